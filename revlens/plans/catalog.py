@@ -450,3 +450,226 @@ def orphan_jobs(spark, d):
 )
 def queue_status(spark, d):
     return SV.queue_status(Q.queue_length(jobs(spark, d)))
+
+
+# ---------------------------------------------------------------------------
+# Webhook payloads built from events, parsed back
+def webhook_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Events as raw webhook JSON; every 50th seq (offsets 7/8/9) carries a
+    missing pull_request, an explicit null pull_request, or cut-off text."""
+    from revlens.sources.webhooks import encode_pr_event
+
+    w = P.webhook_rows(spark, d)
+    full = encode_pr_event(
+        F.col("action"), F.col("repo_name"), F.col("pr_number"), F.col("pr_title"), F.col("pr_author"), F.col("ts")
+    )
+    repo = F.struct(
+        F.element_at(F.split("repo_name", "/"), -1).alias("name"),
+        F.col("repo_name").alias("full_name"),
+        F.struct(F.split("repo_name", "/")[0].alias("login")).alias("owner"),
+    )
+    no_pr = F.to_json(F.struct(F.col("action"), repo.alias("repository")))
+    null_pr = F.to_json(
+        F.struct(F.col("action"), F.lit(None).cast("string").alias("pull_request"), repo.alias("repository")),
+        {"ignoreNullFields": "false"},
+    )
+    m = F.col("seq") % 50
+    raw = (
+        F.when(m == 7, no_pr)
+        .when(m == 8, null_pr)
+        .when(m == 9, F.substring(full, 1, 25))
+        .otherwise(full)
+    )
+    return w.select("seq", "ts", raw.alias("raw"))
+
+
+SQL_WEBHOOK_FLAT = """
+    SELECT seq,
+           CASE WHEN seq % 50 = 9 THEN 'malformed' WHEN seq % 50 = 8 THEN 'rejected' ELSE 'ok' END AS parse_status,
+           CASE WHEN seq % 50 = 9 THEN '' ELSE action END AS action,
+           CASE WHEN seq % 50 = 9 THEN '' ELSE repo_name END AS repo_name,
+           CAST(CASE WHEN seq % 50 IN (7, 8, 9) THEN 0 ELSE pr_number END AS INTEGER) AS pr_number,
+           CASE WHEN seq % 50 IN (7, 8, 9) THEN '' ELSE pr_title END AS pr_title,
+           CASE WHEN seq % 50 IN (7, 8, 9) THEN '' ELSE pr_author END AS pr_author
+    FROM v_webhooks"""
+
+
+@register("webhook_flat", sql_with("v_webhooks") + SQL_WEBHOOK_FLAT)
+def webhook_flat(spark, d):
+    from revlens.sources.webhooks import parse_pr_events
+
+    ev = parse_pr_events(webhook_payloads(spark, d), "raw")
+    return ev.select("seq", "parse_status", "action", "repo_name", "pr_number", "pr_title", "pr_author")
+
+
+@register(
+    "webhook_route",
+    sql_with("v_webhooks", extra={"f": SQL_WEBHOOK_FLAT})
+    + """SELECT seq, parse_status,
+           CASE WHEN parse_status <> 'ok' THEN 'reject'
+                WHEN action IN ('opened', 'synchronize', 'reopened') THEN 'upsert'
+                WHEN action = 'closed' THEN 'delete' ELSE 'ignore' END AS route
+         FROM f""",
+)
+def webhook_route(spark, d):
+    from revlens.operators.state import route_action
+    from revlens.sources.webhooks import parse_pr_events
+
+    ev = parse_pr_events(webhook_payloads(spark, d), "raw")
+    route = F.when(F.col("parse_status") != "ok", F.lit("reject")).otherwise(
+        F.coalesce(route_action("action"), F.lit("ignore"))
+    )
+    return ev.select("seq", "parse_status", route.alias("route"))
+
+
+# ---------------------------------------------------------------------------
+# Analysis state from the event log
+SPLIT_SEQ = 5000
+
+SQL_EV = {
+    "ev": """SELECT *, CASE WHEN action IN ('opened', 'synchronize', 'reopened') THEN 'upsert'
+                            WHEN action = 'closed' THEN 'delete' END AS route
+             FROM v_webhooks""",
+}
+SQL_REPLAY = dict(SQL_EV)
+SQL_REPLAY.update(
+    {
+        "lc": "SELECT repo_name, pr_number, max(seq) AS last_close FROM ev WHERE route = 'delete' GROUP BY ALL",
+        "live": """SELECT e.* FROM ev e LEFT JOIN lc ON e.repo_name = lc.repo_name AND e.pr_number = lc.pr_number
+                   WHERE e.route = 'upsert' AND (lc.last_close IS NULL OR e.seq > lc.last_close)""",
+        "alive": """SELECT repo_name, pr_number, min(seq) AS first_seq, arg_min(ts, seq) AS created,
+                           arg_max(pr_title, seq) AS pr_title, arg_max(pr_author, seq) AS pr_author,
+                           arg_max(ts, seq) AS updated
+                    FROM live GROUP BY ALL""",
+        "v_state": """SELECT sha256(repo_name || '#' || CAST(pr_number AS VARCHAR) || '#' || CAST(first_seq AS VARCHAR))
+                               AS id,
+                             repo_name, pr_number, pr_title, pr_author, '' AS summary, 0 AS quality_score,
+                             '[]' AS findings_json, '[]' AS suggestions_json, 0 AS risk_level,
+                             created AS processed_at, '' AS raw_diff, 0 AS status, created AS created_at,
+                             updated AS updated_at
+                      FROM alive""",
+    }
+)
+STATE_COLS = "id, repo_name, pr_number, pr_title, pr_author, status, quality_score, risk_level, created_at, updated_at"
+
+
+@register("replay_state", sql_with("v_webhooks", extra=SQL_REPLAY) + f"SELECT {STATE_COLS} FROM v_state")
+def replay_state(spark, d):
+    from revlens.operators import state as ST
+
+    return ST.replay(P.webhook_rows(spark, d)).select(*[c.strip() for c in STATE_COLS.split(",")])
+
+
+@register("upsert_state", sql_with("v_webhooks", extra=SQL_REPLAY) + f"SELECT {STATE_COLS} FROM v_state")
+def upsert_state(spark, d):
+    """Incremental: replay the first part of the log, then apply the rest as one batch."""
+    from revlens.operators import state as ST
+
+    ev = P.webhook_rows(spark, d)
+    s0 = ST.replay(ev.filter(F.col("seq") < SPLIT_SEQ))
+    s1 = ST.apply_batch(s0, ev.filter(F.col("seq") >= SPLIT_SEQ))
+    return s1.select(*[c.strip() for c in STATE_COLS.split(",")])
+
+
+SQL_SEGMENTS = dict(SQL_EV)
+SQL_SEGMENTS.update(
+    {
+        "ev2": """SELECT repo_name, pr_number, seq, ts, pr_title, pr_author, route,
+                     max(CASE WHEN route = 'delete' THEN seq END) OVER wp AS prev_close,
+                     max(CASE WHEN route = 'upsert' THEN seq END) OVER wp AS prev_upsert,
+                     max(CASE WHEN route = 'delete' THEN seq END) OVER wc AS seg
+                  FROM ev WHERE route IS NOT NULL
+                  WINDOW wp AS (PARTITION BY repo_name, pr_number ORDER BY seq
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                         wc AS (PARTITION BY repo_name, pr_number ORDER BY seq
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+        "creators": """SELECT repo_name, pr_number, coalesce(seg, -1) AS seg, min(seq) AS creator_seq,
+                              arg_min(ts, seq) AS ts, arg_min(pr_title, seq) AS pr_title,
+                              arg_min(pr_author, seq) AS pr_author
+                       FROM ev2 WHERE route = 'upsert' GROUP BY ALL""",
+    }
+)
+
+
+@register(
+    "closed_report",
+    sql_with("v_webhooks", extra=SQL_SEGMENTS)
+    + """SELECT c.seq, c.repo_name, c.pr_number,
+           CASE WHEN coalesce(c.prev_upsert > coalesce(c.prev_close, -1), false) THEN 'deleted'
+                ELSE 'no analysis found' END AS outcome,
+           CASE WHEN coalesce(c.prev_upsert > coalesce(c.prev_close, -1), false)
+                THEN sha256(c.repo_name || '#' || CAST(c.pr_number AS VARCHAR) || '#' || CAST(k.creator_seq AS VARCHAR))
+                END AS analysis_id
+         FROM ev2 c LEFT JOIN creators k
+           ON k.repo_name = c.repo_name AND k.pr_number = c.pr_number AND k.seg = coalesce(c.prev_close, -1)
+         WHERE c.route = 'delete'""",
+)
+def closed_report(spark, d):
+    from revlens.operators import state as ST
+
+    return ST.closed_report(P.webhook_rows(spark, d))
+
+
+@register(
+    "insert_rows",
+    sql_with("v_webhooks", extra=SQL_SEGMENTS)
+    + """SELECT sha256(repo_name || '#' || CAST(pr_number AS VARCHAR) || '#' || CAST(creator_seq AS VARCHAR)) AS id,
+               repo_name, pr_number, pr_title, pr_author, '' AS summary, 0 AS quality_score, '[]' AS findings_json,
+               '[]' AS suggestions_json, 0 AS risk_level, ts AS processed_at, '' AS raw_diff, 0 AS status,
+               ts AS created_at, ts AS updated_at
+         FROM creators""",
+)
+def insert_rows(spark, d):
+    from revlens.operators import state as ST
+
+    return ST.inserted_rows(P.webhook_rows(spark, d))
+
+
+@register(
+    "replace_rows",
+    with_scored()
+    + """SELECT a.id, CASE WHEN a.status = 2 THEN s.quality_score ELSE 0 END AS quality_score,
+               CASE WHEN a.status = 2 THEN s.risk_level ELSE 0 END AS risk_level, a.status
+         FROM v_analyses a JOIN v_scored s ON a.id = s.id""",
+)
+def replace_rows(spark, d):
+    from revlens.sources.tables import replace_rows as S5
+
+    state = P.analyses(spark, d)
+    changes = scored(spark, d).filter(F.col("status") == 2).select(*state.columns)
+    return S5(state, changes, "id").select("id", "quality_score", "risk_level", "status")
+
+
+@register(
+    "delete_cascade",
+    sql_with("v_analyses", "v_notifications")
+    + """SELECT id, analysis_id, type FROM v_notifications
+         WHERE analysis_id NOT IN (SELECT id FROM v_analyses WHERE repo_name = 'org/repo-3')""",
+)
+def delete_cascade(spark, d):
+    from revlens.operators import state as ST
+
+    a = P.analyses(spark, d)
+    gone = a.filter(F.col("repo_name") == "org/repo-3").select("id")
+    _, kept_n = ST.delete_cascade(a, P.notifications(spark, d), gone)
+    return kept_n.select("id", "analysis_id", "type")
+
+
+@register(
+    "notifications_joined",
+    sql_with("v_analyses", "v_notifications")
+    + """SELECT a.id, CAST(coalesce(n.c, 0) AS INTEGER) AS notification_count,
+               CAST(coalesce(n.u, 0) AS INTEGER) AS unread_count,
+               n.latest_id AS latest_notification_id, n.latest_type AS latest_notification_type
+         FROM v_analyses a LEFT JOIN (
+            SELECT analysis_id, count(*) AS c, count(*) FILTER (WHERE NOT is_read) AS u,
+                   arg_max(id, created_at) AS latest_id, arg_max(type, created_at) AS latest_type
+            FROM v_notifications GROUP BY analysis_id) n ON a.id = n.analysis_id""",
+)
+def notifications_joined(spark, d):
+    from revlens.operators import state as ST
+
+    j = ST.with_notifications(P.analyses(spark, d), P.notifications(spark, d))
+    return j.select(
+        "id", "notification_count", "unread_count", "latest_notification_id", "latest_notification_type"
+    )
