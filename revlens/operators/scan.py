@@ -1,4 +1,4 @@
-"""Keyed running maximum over an ordered event log, safe for hot keys.
+"""Keyed running maximum / sum over an ordered event log, safe for hot keys.
 
 Folds over event logs (replay, job lifecycle, closed-event lookup) need, for
 every event, "the latest X seen so far for this key". A plain
@@ -32,10 +32,12 @@ def running_max(
     values: dict[str, Column],
     inclusive: bool = True,
     span: int = DEFAULT_SPAN,
+    how: str = "max",
 ) -> DataFrame:
-    """Add, per output name in `values`, the max of that expression over the
-    key's events ordered by `seq` up to (inclusive) or before (exclusive) the row.
-    Null where no earlier value exists."""
+    """Add, per output name in `values`, the max (or sum, `how="sum"`) of that
+    expression over the key's events ordered by `seq` up to (inclusive) or
+    before (exclusive) the row. Null where no earlier value exists."""
+    agg = {"max": F.max, "sum": F.sum}[how]
     b = "_scan_bucket"
     tmp = {name: f"_scan_v_{name}" for name in values}
     base = df.withColumn(b, F.floor(F.col(seq) / F.lit(span)).cast("long")).withColumns(
@@ -43,13 +45,23 @@ def running_max(
     )
     upper = Window.currentRow if inclusive else -1
     w_local = Window.partitionBy(*keys, b).orderBy(seq).rowsBetween(Window.unboundedPreceding, upper)
-    local = base.withColumns({f"_scan_l_{n}": F.max(tmp[n]).over(w_local) for n in values})
+    local = base.withColumns({f"_scan_l_{n}": agg(tmp[n]).over(w_local) for n in values})
 
-    totals = base.groupBy(*keys, b).agg(*[F.max(tmp[n]).alias(f"_scan_t_{n}") for n in values])
+    totals = base.groupBy(*keys, b).agg(*[agg(tmp[n]).alias(f"_scan_t_{n}") for n in values])
     w_prev = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, b, *[F.max(f"_scan_t_{n}").over(w_prev).alias(f"_scan_c_{n}") for n in values])
+    carry = totals.select(*keys, b, *[agg(f"_scan_t_{n}").over(w_prev).alias(f"_scan_c_{n}") for n in values])
 
     out = local.join(carry, [*keys, b], "left")
-    out = out.withColumns({n: F.greatest(F.col(f"_scan_l_{n}"), F.col(f"_scan_c_{n}")) for n in values})
+    if how == "max":
+        out = out.withColumns({n: F.greatest(F.col(f"_scan_l_{n}"), F.col(f"_scan_c_{n}")) for n in values})
+    else:
+        out = out.withColumns(
+            {
+                n: F.when(
+                    F.col(f"_scan_l_{n}").isNull() & F.col(f"_scan_c_{n}").isNull(), F.lit(None)
+                ).otherwise(F.coalesce(F.col(f"_scan_l_{n}"), F.lit(0)) + F.coalesce(F.col(f"_scan_c_{n}"), F.lit(0)))
+                for n in values
+            }
+        )
     drop = [b, *tmp.values(), *[f"_scan_l_{n}" for n in values], *[f"_scan_c_{n}" for n in values]]
     return out.drop(*drop)

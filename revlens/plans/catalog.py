@@ -673,3 +673,208 @@ def notifications_joined(spark, d):
     return j.select(
         "id", "notification_count", "unread_count", "latest_notification_id", "latest_notification_type"
     )
+
+
+# ---------------------------------------------------------------------------
+# Diffs -> files -> added lines
+def files(spark: SparkSession, d: str) -> DataFrame:
+    from revlens.operators import diffs as DF
+
+    return DF.changed_files(P.diffs(spark, d))
+
+
+def cs_lines(spark: SparkSession, d: str) -> DataFrame:
+    from revlens.operators import diffs as DF
+
+    return DF.file_lines(DF.csharp_files(files(spark, d)))
+
+
+@register(
+    "diff_files",
+    sql_with("v_docs", "v_text_lines", "v_code_only", "v_lines")
+    + """SELECT analysis_id, file_idx, file_path, true AS is_csharp, CAST(count(*) AS INTEGER) AS added_count
+         FROM v_lines GROUP BY ALL
+         UNION ALL
+         SELECT CAST(doc_id AS VARCHAR), 1, 'docs/Doc' || CAST(doc_id AS VARCHAR) || '.md', false, 2
+         FROM v_docs WHERE doc_id % 3 = 0""",
+)
+def diff_files(spark, d):
+    from revlens.functions import diff as DD
+
+    return files(spark, d).select(
+        "analysis_id", "file_idx", "file_path", DD.is_extension("file_path").alias("is_csharp"), "added_count"
+    )
+
+
+@register(
+    "diff_attach",
+    sql_with("v_docs", "v_text_lines", "v_code_only", "v_lines")
+    + """SELECT CAST(o.o_orderkey AS VARCHAR) AS analysis_id, d.doc_id IS NULL AS diff_missing,
+               CAST(CASE WHEN d.doc_id IS NULL THEN 0
+                    ELSE 1 + 5 + len(d.ls) + k.c + CASE WHEN d.doc_id % 3 = 0 THEN 4 ELSE 0 END END AS INTEGER)
+                 AS diff_lines
+         FROM orders o
+         LEFT JOIN v_docs d ON d.doc_id = o.o_orderkey
+         LEFT JOIN (SELECT doc_id, count(*) AS c FROM v_code_only GROUP BY doc_id) k ON k.doc_id = d.doc_id""",
+)
+def diff_attach(spark, d):
+    """Every analysis gets its diff by (repo, pr); absent diffs become ''."""
+    from revlens.operators import diffs as DF
+
+    a = P.table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("analysis_id"),
+        F.lit("org/docs").alias("repo_name"),
+        F.col("o_orderkey").cast("int").alias("pr_number"),
+    )
+    j = DF.attach_diffs(a, P.diffs(spark, d).drop("analysis_id"))
+    n = F.when(F.col("diff") == "", F.lit(0)).otherwise(F.size(F.split("diff", "\n")))
+    return j.select("analysis_id", "diff_missing", n.cast("int").alias("diff_lines"))
+
+
+@register(
+    "added_lines",
+    sql_with("v_docs", "v_text_lines", "v_code_only", "v_lines")
+    + "SELECT analysis_id, file_path, line_number, text FROM v_lines",
+)
+def added_lines(spark, d):
+    return cs_lines(spark, d).select("analysis_id", "file_path", "line_number", "text")
+
+
+SQL_DIAG = {
+    "diag": """SELECT CAST(doc_id AS VARCHAR) AS analysis_id, 0 AS file_idx,
+                      'CS' || CAST(doc_id % 50 + 1000 AS VARCHAR) AS rule_id, 'Syntax' AS title,
+                      'diagnostic ' || CAST(doc_id AS VARCHAR) AS message,
+                      ['Error', 'Warning', 'Info', 'Hidden'][doc_id % 4 + 1] AS severity,
+                      CAST(doc_id % 7 AS INTEGER) AS line0, CAST(doc_id % 3 AS INTEGER) AS col0
+               FROM v_docs""",
+    "diag_out": """
+        SELECT g.analysis_id, g.rule_id,
+               CASE lower(g.severity) WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END AS severity,
+               CAST(g.line0 + 1 AS INTEGER) AS line_number, CAST(g.col0 + 1 AS INTEGER) AS column_number,
+               coalesce(regexp_replace(l.text, '^\\s+|\\s+$', '', 'g'), '') AS code_snippet
+        FROM diag g LEFT JOIN v_lines l ON l.analysis_id = g.analysis_id AND l.line_number = g.line0 + 1""",
+}
+
+
+def diagnostics_findings(spark, d):
+    from revlens.operators import diffs as DF
+    from revlens.operators import rules as R
+
+    f = DF.csharp_files(files(spark, d))
+    return R.diagnostics(P.diagnostics_input(spark, d), f)
+
+
+@register(
+    "diagnostics",
+    sql_with("v_docs", "v_text_lines", "v_code_only", "v_lines", extra=SQL_DIAG)
+    + "SELECT analysis_id, rule_id, severity, line_number, column_number, code_snippet FROM diag_out",
+)
+def diagnostics(spark, d):
+    return diagnostics_findings(spark, d).select(
+        "analysis_id", "rule_id", "severity", "line_number", "column_number", "code_snippet"
+    )
+
+
+@register(
+    "code_snippets",
+    sql_with("v_docs", "v_text_lines", "v_code_only", "v_lines", extra=SQL_DIAG)
+    + "SELECT analysis_id, line_number, code_snippet FROM diag_out",
+)
+def code_snippets(spark, d):
+    return diagnostics_findings(spark, d).select("analysis_id", "line_number", "code_snippet")
+
+
+# ---------------------------------------------------------------------------
+# R1-R3, W1, U1, R5
+def _sql_rule_views() -> dict[str, str]:
+    from revlens.operators import rules as R
+
+    mask = R.MASK_RE.replace("'", "''")
+    num = R.NUMBER_RE.replace("'", "''")
+    av = R.ASYNC_VOID_RE.replace("'", "''")
+    return {
+        "masked": f"SELECT *, regexp_replace(text, '{mask}', ' ', 'g') AS m FROM v_lines",
+        "toks": f"""SELECT analysis_id, file_idx, file_path, line_number, unnest(t) AS token,
+                           generate_subscripts(t, 1) AS pos
+                    FROM (SELECT *, regexp_extract_all(m, '{num}', 1) AS t FROM masked)""",
+        "norm": """SELECT *, lower(replace(token, '_', '')) AS t0 FROM toks""",
+        "norm2": """SELECT *, regexp_replace(t0, '(ul|lu|u|l|f|d|m)$', '') AS t1 FROM norm""",
+        "lits": """
+            SELECT *, CASE
+                WHEN regexp_matches(t0, '^0x[0-9a-f]+(ul|lu|u|l)?$')
+                  THEN CAST(CAST(regexp_replace(t0, '(ul|lu|u|l)$', '') AS BIGINT) AS VARCHAR)
+                WHEN regexp_matches(t0, '^0b[01]+(ul|lu|u|l)?$')
+                  THEN CAST(CAST(regexp_replace(t0, '(ul|lu|u|l)$', '') AS BIGINT) AS VARCHAR)
+                WHEN NOT regexp_matches(t1, '^\\d+(\\.\\d+)?(e[+-]?\\d+)?$') THEN NULL
+                WHEN regexp_matches(t1, '^\\d+$')
+                  THEN CASE WHEN regexp_replace(t1, '^0+', '') = '' THEN '0' ELSE regexp_replace(t1, '^0+', '') END
+                WHEN TRY_CAST(t1 AS DOUBLE) = floor(TRY_CAST(t1 AS DOUBLE)) AND abs(TRY_CAST(t1 AS DOUBLE)) < 1e15
+                  THEN CAST(CAST(TRY_CAST(t1 AS DOUBLE) AS BIGINT) AS VARCHAR)
+                ELSE t1 END AS value
+            FROM norm2""",
+        "magic": """
+            SELECT * FROM (
+              SELECT *, row_number() OVER (PARTITION BY analysis_id, file_idx ORDER BY line_number, pos) AS r
+              FROM lits WHERE value IS NOT NULL AND value NOT IN ('0', '1', '-1', '2', '10', '100'))
+            WHERE r <= 10""",
+        "asyncv": f"""SELECT analysis_id, file_path, line_number, regexp_extract(m, '{av}', 1) AS name,
+                             instr(m, 'async') AS column_number
+                      FROM masked WHERE regexp_extract(m, '{av}', 1) <> ''""",
+    }
+
+
+@register(
+    "magic_numbers",
+    sql_with("v_docs", "v_text_lines", "v_code_only", "v_lines", extra=_sql_rule_views())
+    + """SELECT analysis_id, file_path, line_number,
+               'Use a named constant instead of magic number ''' || value || '''' AS message,
+               'const int MEANINGFUL_NAME = ' || value || ';' AS suggested_fix
+         FROM magic""",
+)
+def magic_numbers(spark, d):
+    from revlens.operators import rules as R
+
+    return R.magic_numbers(cs_lines(spark, d)).select(
+        "analysis_id", "file_path", "line_number", "message", "suggested_fix"
+    )
+
+
+@register(
+    "async_void",
+    sql_with("v_docs", "v_text_lines", "v_code_only", "v_lines", extra=_sql_rule_views())
+    + """SELECT analysis_id, file_path, line_number, CAST(column_number AS INTEGER) AS column_number,
+               'async Task ' || name || '(...)' AS suggested_fix FROM asyncv""",
+)
+def async_void(spark, d):
+    from revlens.operators import rules as R
+
+    return R.async_void(cs_lines(spark, d)).select(
+        "analysis_id", "file_path", "line_number", "column_number", "suggested_fix"
+    )
+
+
+@register("long_methods")
+def long_methods(spark, d):
+    """R3 (rows-only; covered by unit tests against hand-counted files)."""
+    from revlens.operators import rules as R
+
+    return R.long_methods(cs_lines(spark, d)).select("analysis_id", "file_path", "line_number", "message")
+
+
+@register("diff_findings")
+def diff_findings(spark, d):
+    """All rules + ingested diagnostics over every PR diff, scored per analysis."""
+    from revlens.operators import rules as R
+    from revlens.operators import scoring as SCR
+
+    lines = cs_lines(spark, d)
+    found = R.run_rules(lines).unionByName(diagnostics_findings(spark, d))
+    st = SCR.finding_stats(found)
+    return st.select(
+        "analysis_id",
+        "finding_count",
+        "errors",
+        "warnings",
+        SCR.score_from_penalty(F.col("finding_penalty")).alias("finding_score"),
+        SCR.risk_level(F.col("errors"), F.col("warnings")).alias("risk_level"),
+    )

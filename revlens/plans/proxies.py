@@ -220,3 +220,115 @@ def sql_with(*names: str, extra: dict[str, str] | None = None) -> str:
     for k, v in (extra or {}).items():
         parts.append(f"{k} AS ({v})")
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+# ---------------------------------------------------------------------------
+# documents -> unified diffs with injected C# lines (doc_id % 10 = 0: no diff)
+# Injected code lines per doc_id % 5 ({id} is the doc id).
+CODE_LINES = {
+    0: ["public async void Handle{id}() {", "    await Task.Delay(250);", "}"],
+    1: ["var total = {id} * 3 + 42;"],
+    2: ["const int Limit = 1024;", "var ok = 0 + 1 + 2 + 10 + 100 + 1.0 + 100L + 0x0A;"],
+    3: ["// retry 7 times", 'var s = "code 55";', "var c = '9';"],
+    4: ["return 0;"],
+}
+
+
+def _code_lines(doc_id):
+    sid = doc_id.cast("string")
+    m = doc_id % 5
+    expr = None
+    for k, lines in CODE_LINES.items():
+        arr = F.array(*[F.replace(F.lit(ln), F.lit("{id}"), sid) for ln in lines])
+        expr = F.when(m == k, arr) if expr is None else expr.when(m == k, arr)
+    return expr
+
+
+def diffs(spark: SparkSession, d: str) -> DataFrame:
+    doc = table(spark, d, "documents").filter(F.col("doc_id") % 10 != 0)
+    sid = F.col("doc_id").cast("string")
+    lines = F.split(F.col("text"), "\n")
+    body = F.array_join(
+        F.transform(lines, lambda ln, i: F.concat(F.when(i % 4 == 3, F.lit(" ")).otherwise(F.lit("+")), ln)), "\n"
+    )
+    code = F.array_join(F.transform(_code_lines(F.col("doc_id")), lambda c: F.concat(F.lit("+"), c)), "\n")
+    cs_path = F.concat(F.lit("src/Doc"), sid, F.lit(".cs"))
+    cs = F.concat_ws(
+        "\n",
+        F.concat(F.lit("diff --git a/"), cs_path, F.lit(" b/"), cs_path),
+        F.lit("index 0000000..1111111 100644"),
+        F.concat(F.lit("--- a/"), cs_path),
+        F.concat(F.lit("+++ b/"), cs_path),
+        F.lit("@@ -0,0 +1 @@"),
+        body,
+        code,
+    )
+    md_path = F.concat(F.lit("docs/Doc"), sid, F.lit(".md"))
+    md = F.when(
+        F.col("doc_id") % 3 == 0,
+        F.concat_ws(
+            "\n",
+            F.concat(F.lit("diff --git a/"), md_path, F.lit(" b/"), md_path),
+            F.concat(F.lit("+++ b/"), md_path),
+            F.concat(F.lit("+# Doc "), sid),
+            F.concat(F.lit("+"), F.col("lang")),
+        ),
+    )
+    return doc.select(
+        sid.alias("analysis_id"),
+        F.lit("org/docs").alias("repo_name"),
+        F.col("doc_id").cast("int").alias("pr_number"),
+        F.concat_ws("\n", F.lit("From: review-bot"), cs, md).alias("diff"),
+    )
+
+
+def diagnostics_input(spark: SparkSession, d: str) -> DataFrame:
+    """Compiler diagnostics produced elsewhere: one per document with a diff."""
+    doc = table(spark, d, "documents").filter(F.col("doc_id") % 10 != 0)
+    sev = F.element_at(F.array(*[F.lit(s) for s in ("Error", "Warning", "Info", "Hidden")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return doc.select(
+        F.col("doc_id").cast("string").alias("analysis_id"),
+        F.lit(0).alias("file_idx"),
+        F.concat(F.lit("CS"), (F.col("doc_id") % 50 + 1000).cast("string")).alias("rule_id"),
+        F.lit("Syntax").alias("title"),
+        F.concat(F.lit("diagnostic "), F.col("doc_id").cast("string")).alias("message"),
+        sev.alias("severity"),
+        (F.col("doc_id") % 7).cast("int").alias("line0"),
+        (F.col("doc_id") % 3).cast("int").alias("col0"),
+        F.lit("Compiler").alias("category"),
+    )
+
+
+def _sql_code_case() -> str:
+    parts = []
+    for k, lines in CODE_LINES.items():
+        items = ", ".join("replace(" + _sql_str(ln) + ", '{id}', CAST(doc_id AS VARCHAR))" for ln in lines)
+        parts.append(f"WHEN {k} THEN [{items}]")
+    return "CASE doc_id % 5 " + " ".join(parts) + " END"
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+SQL_VIEWS.update(
+    {
+        "v_docs": "SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id % 10 <> 0",
+        "v_text_lines": """
+            SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM (
+              SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM v_docs)
+            WHERE i % 4 <> 3""",
+        "v_code_only": f"""
+            SELECT doc_id, unnest(cl) AS line, generate_subscripts(cl, 1) AS j
+            FROM (SELECT doc_id, {_sql_code_case()} AS cl FROM v_docs)""",
+        "v_lines": """
+            SELECT CAST(doc_id AS VARCHAR) AS analysis_id, 0 AS file_idx,
+                   'src/Doc' || CAST(doc_id AS VARCHAR) || '.cs' AS file_path,
+                   CAST(n AS INTEGER) AS line_number, line AS text FROM v_text_lines
+            UNION ALL
+            SELECT CAST(c.doc_id AS VARCHAR), 0, 'src/Doc' || CAST(c.doc_id AS VARCHAR) || '.cs',
+                   CAST(k.cnt + c.j AS INTEGER), c.line
+            FROM v_code_only c JOIN (SELECT doc_id, count(*) AS cnt FROM v_text_lines GROUP BY doc_id) k
+              ON k.doc_id = c.doc_id""",
+    }
+)
