@@ -878,3 +878,170 @@ def diff_findings(spark, d):
         SCR.score_from_penalty(F.col("finding_penalty")).alias("finding_score"),
         SCR.risk_level(F.col("errors"), F.col("warnings")).alias("risk_level"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Prompts, replies, suggestions
+TYPE_CHOICES = ["refactor", "Performance", "SECURITY", "best_practice", "other", ""]
+PRIORITY_CHOICES = ["Low", "MEDIUM", "high", "Critical", "urgent", None]
+
+
+def reply_rows(spark: SparkSession, d: str) -> DataFrame:
+    """part -> review replies of six shapes by p_partkey % 6: JSON (upper-case
+    top key), JSON inside prose, null list, plain text, broken JSON, empty."""
+    part = P.table(spark, d, "part")
+    tname = F.element_at(F.array(*[F.lit(t) for t in TYPE_CHOICES]), (F.col("p_size") % 6 + 1).cast("int"))
+    prio = F.element_at(
+        F.array(*[F.lit(p) if p is not None else F.lit(None).cast("string") for p in PRIORITY_CHOICES]),
+        ((F.col("p_size") + 1) % 6 + 1).cast("int"),
+    )
+    item = F.struct(
+        tname.alias("type"),
+        F.col("p_name").alias("title"),
+        F.col("p_brand").alias("description"),
+        prio.alias("priority"),
+        F.lower("p_type").alias("category"),
+        (F.col("p_size") % 13 - 1).cast("string").alias("impactScore"),
+        F.array("p_brand", "p_type").alias("tags"),
+    )
+    js_upper = F.to_json(F.struct(F.array(item).alias("Suggestions")))
+    js = F.to_json(F.struct(F.array(item).alias("suggestions")))
+    k = F.col("p_partkey") % 6
+    reply = (
+        F.when(k == 0, js_upper)
+        .when(k == 1, F.concat(F.lit("Here is my review: "), js, F.lit(" Thanks!")))
+        .when(k == 2, F.lit('{"suggestions":null}'))
+        .when(k == 3, F.concat(F.lit("Looks fine overall for "), F.col("p_name")))
+        .when(k == 4, F.concat(F.lit('{"suggestions":[{"title":"'), F.col("p_name"), F.lit('"}')))
+        .otherwise(F.lit(""))
+    )
+    return part.select(F.col("p_partkey").alias("reply_id"), reply.alias("reply"))
+
+
+def _sql_list(items) -> str:
+    return "[" + ", ".join("NULL" if x is None else P._sql_str(x) for x in items) + "]"
+
+
+SQL_PARSED = f"""
+    SELECT p_partkey AS reply_id, 0 AS idx,
+           CASE lower({_sql_list(TYPE_CHOICES)}[p_size % 6 + 1])
+                WHEN 'potential_issue' THEN 0 WHEN 'refactor' THEN 1 WHEN 'performance' THEN 2
+                WHEN 'security' THEN 3 WHEN 'code_quality' THEN 4 WHEN 'best_practice' THEN 5 ELSE 0 END AS type,
+           p_name AS title, p_brand AS description,
+           CASE lower({_sql_list(PRIORITY_CHOICES)}[(p_size + 1) % 6 + 1])
+                WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 WHEN 'low' THEN 0 ELSE 1 END
+             AS priority,
+           lower(p_type) AS category,
+           CAST(greatest(1, least(10, p_size % 13 - 1)) AS INTEGER) AS impact_score,
+           p_brand || ',' || p_type AS tags
+    FROM part WHERE p_partkey % 6 IN (0, 1)
+    UNION ALL
+    SELECT p_partkey, 0, 0, 'GPT Analysis', left('Looks fine overall for ' || p_name, 500), 1, 'code_quality', 5,
+           'gpt-analysis'
+    FROM part WHERE p_partkey % 6 = 3
+    UNION ALL
+    SELECT p_partkey, 0, 0, 'GPT Analysis (Parse Error)', left('{{"suggestions":[{{"title":"' || p_name || '"}}', 500),
+           0, 'code_quality', 3, 'gpt-analysis,parse-error'
+    FROM part WHERE p_partkey % 6 = 4"""
+
+
+@register("parse_replies", "WITH x AS (SELECT 1) " + SQL_PARSED)
+def parse_replies(spark, d):
+    from revlens.operators import replies as RP
+
+    s = RP.parse_replies(reply_rows(spark, d), "reply_id", "reply", default_type=0, file_label="mixed")
+    return s.select(
+        "reply_id",
+        "idx",
+        "type",
+        "title",
+        "description",
+        "priority",
+        "category",
+        "impact_score",
+        F.array_join("tags", ",").alias("tags"),
+    )
+
+
+def _sql_prompts() -> str:
+    from revlens.functions import replies as RF
+
+    q = P._sql_str
+    return f"""
+    SELECT doc_id, 'summary' AS task,
+           {q(RF.SUMMARY_HEAD)} || 'Doc ' || CAST(doc_id AS VARCHAR) || {q(RF.SUMMARY_MID)} || left(text, 12000) AS prompt
+    FROM documents
+    UNION ALL SELECT doc_id, 'issues', {q(RF.ISSUES_HEAD)} || left(text, 10000) FROM documents
+    UNION ALL SELECT doc_id, 'refactor',
+           {q(RF.REFACTOR_HEAD)} || 'src/Doc' || CAST(doc_id AS VARCHAR) || '.cs' || {q(RF.REFACTOR_MID)} || left(text, 8000)
+    FROM documents
+    UNION ALL SELECT doc_id, 'security', {q(RF.SECURITY_HEAD)} || left(text, 8000) FROM documents"""
+
+
+def prompt_rows(spark: SparkSession, d: str) -> DataFrame:
+    from revlens.functions import replies as RF
+
+    doc = P.table(spark, d, "documents").select("doc_id", "text")
+    sid = F.col("doc_id").cast("string")
+    tasks = F.array(
+        F.struct(F.lit("summary").alias("task"), RF.summary_prompt(F.col("text"), F.concat(F.lit("Doc "), sid)).alias("prompt")),
+        F.struct(F.lit("issues").alias("task"), RF.issues_prompt(F.col("text")).alias("prompt")),
+        F.struct(
+            F.lit("refactor").alias("task"),
+            RF.refactor_prompt(F.col("text"), F.concat(F.lit("src/Doc"), sid, F.lit(".cs"))).alias("prompt"),
+        ),
+        F.struct(F.lit("security").alias("task"), RF.security_prompt(F.col("text")).alias("prompt")),
+    )
+    return doc.select("doc_id", F.inline(tasks))
+
+
+@register(
+    "prompts",
+    "WITH pr AS (" + _sql_prompts() + ") SELECT doc_id, task, CAST(length(prompt) AS INTEGER) AS prompt_chars, "
+    "sha256(prompt) AS prompt_sha FROM pr",
+)
+def prompts(spark, d):
+    return prompt_rows(spark, d).select(
+        "doc_id", "task", F.length("prompt").alias("prompt_chars"), F.sha2("prompt", 256).alias("prompt_sha")
+    )
+
+
+@register(
+    "responder",
+    "WITH pr AS (" + _sql_prompts() + "), k AS (SELECT doc_id, length(prompt) AS n FROM pr WHERE task = 'issues') "
+    "SELECT doc_id, CAST(n % 4 AS INTEGER) AS priority, "
+    "CAST(greatest(1, least(10, n % 12)) AS INTEGER) AS impact_score, 'len ' || CAST(n AS VARCHAR) AS title FROM k",
+)
+def responder(spark, d):
+    from revlens.operators import replies as RP
+
+    pr = prompt_rows(spark, d).filter(F.col("task") == "issues")
+    rep = RP.respond(pr, RP.stub_responder)
+    s = RP.parse_replies(rep, "doc_id", "reply")
+    return s.select("doc_id", "priority", "impact_score", "title")
+
+
+@register(
+    "review_replies",
+    sql_with(
+        "v_analyses",
+        extra={
+            "rep": """SELECT CAST(conv_id AS VARCHAR) AS id, arg_min(text, turn) AS reply
+                      FROM conversations WHERE role = 'assistant' GROUP BY conv_id""",
+            "s": """SELECT a.id, CASE WHEN r.reply IS NULL
+                        THEN 'PR Title: ' || a.pr_title || chr(10) || 'Summary: OpenAI integration is not configured.'
+                        ELSE r.reply END AS summary
+                    FROM v_analyses a LEFT JOIN rep r ON a.id = r.id""",
+        },
+    )
+    + "SELECT id, CAST(length(summary) AS INTEGER) AS summary_chars, sha256(summary) AS summary_sha FROM s",
+)
+def review_replies(spark, d):
+    from revlens.operators import replies as RP
+
+    conv = P.table(spark, d, "conversations").filter(F.col("role") == "assistant")
+    rep = conv.groupBy("conv_id").agg(F.min_by("text", "turn").alias("reply")).select(
+        F.col("conv_id").cast("string").alias("id"), "reply"
+    )
+    a = RP.with_review(P.analyses(spark, d).select("id", "pr_title"), rep)
+    return a.select("id", F.length("summary").alias("summary_chars"), F.sha2("summary", 256).alias("summary_sha"))
