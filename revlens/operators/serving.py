@@ -181,3 +181,60 @@ def high_risk_errors(analyses: DataFrame, findings: DataFrame) -> DataFrame:
     """P10: Error findings of High-risk analyses (semi-join keeps the finding rows whole)."""
     hi = analyses.filter(F.col("risk_level") == S.RISK_HIGH).select(F.col("id").alias("analysis_id"))
     return findings.filter(F.col("severity") == S.SEV_ERROR).join(hi, "analysis_id", "left_semi")
+
+
+def analysis_detail(df: DataFrame) -> DataFrame:
+    """One analysis with parsed findings (8 fields) and suggestions (10 fields
+    + category, impact score, clean tags: T17) and the cleaned summary HTML.
+
+    Expects `findings_json` / `suggestions_json` in the stored format (S6).
+    """
+    from revlens.functions import html as H
+    from revlens.functions import jsonio as J
+
+    findings = F.transform(
+        J.read_findings("findings_json"),
+        lambda f: F.struct(
+            f["Id"].alias("id"),
+            f["RuleId"].alias("rule_id"),
+            L.enum_label(f["Severity"], "severity").alias("severity"),
+            f["Message"].alias("message"),
+            f["FilePath"].alias("file_path"),
+            f["LineNumber"].alias("line_number"),
+            f["Category"].alias("category"),
+            f["Description"].alias("description"),
+        ),
+    )
+    suggestions = F.transform(
+        J.read_suggestions("suggestions_json"),
+        lambda s: F.struct(
+            s["Id"].alias("id"),
+            L.enum_label(s["Type"], "suggestion_type").alias("type"),
+            s["Title"].alias("title"),
+            s["Description"].alias("description"),
+            L.enum_label(s["Priority"], "priority").alias("priority"),
+            s["FilePath"].alias("file_path"),
+            s["StartLine"].alias("start_line"),
+            s["EndLine"].alias("end_line"),
+            s["OriginalCode"].alias("original_code"),
+            s["SuggestedCode"].alias("suggested_code"),
+            s["Category"].alias("category"),
+            s["ImpactScore"].alias("impact_score"),
+            J.clean_tags(s["Tags"]).alias("tags"),
+        ),
+    )
+    return df.select(
+        "id",
+        "repo_name",
+        "pr_number",
+        "pr_title",
+        "pr_author",
+        L.enum_label("status", "status").alias("status"),
+        "quality_score",
+        L.enum_label("risk_level", "risk_level").alias("risk_level"),
+        H.clean_summary(F.col("summary")).alias("summary"),
+        "processed_at",
+        "created_at",
+        findings.alias("findings"),
+        suggestions.alias("suggestions"),
+    )

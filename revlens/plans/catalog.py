@@ -1045,3 +1045,174 @@ def review_replies(spark, d):
     )
     a = RP.with_review(P.analyses(spark, d).select("id", "pr_title"), rep)
     return a.select("id", F.length("summary").alias("summary_chars"), F.sha2("summary", 256).alias("summary_sha"))
+
+
+# ---------------------------------------------------------------------------
+# Detail view and summary HTML
+def detail_rows(spark: SparkSession, d: str) -> DataFrame:
+    from revlens.functions import jsonio as J
+
+    a = scored(spark, d)
+    pf = J.pack_findings(P.findings(spark, d)).withColumnRenamed("analysis_id", "id")
+    sug = P.suggestions(spark, d).withColumn("tags", F.array(F.lit("t"), F.lit(" "), F.col("category")))
+    ps = J.pack_suggestions(sug).withColumnRenamed("analysis_id", "id")
+    j = a.drop("findings_json", "suggestions_json").join(pf, "id", "left").join(ps, "id", "left")
+    j = j.withColumn("findings_json", F.coalesce("findings_json", F.lit("[]"))).withColumn(
+        "suggestions_json", F.coalesce("suggestions_json", F.lit("[]"))
+    )
+    return SV.analysis_detail(j)
+
+
+@register(
+    "analysis_detail",
+    with_scored(
+        extra={
+            "ff": """SELECT analysis_id, rule_id, row_number() OVER (PARTITION BY analysis_id
+                        ORDER BY file_path, line_number, rule_id, id) AS r FROM v_findings""",
+            "fc": """SELECT analysis_id, count(*) AS n, count(*) FILTER (WHERE severity = 2) AS e FROM v_findings
+                     GROUP BY analysis_id""",
+            "sc": """SELECT analysis_id, count(*) AS n, count(*) FILTER (WHERE priority = 3) AS c FROM v_suggestions
+                     GROUP BY analysis_id""",
+        }
+    )
+    + """SELECT s.id,
+               CASE s.status WHEN 0 THEN 'Pending' WHEN 1 THEN 'InProgress' WHEN 2 THEN 'Completed'
+                             WHEN 3 THEN 'Failed' END AS status,
+               s.quality_score,
+               CASE s.risk_level WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' END AS risk_level,
+               '<ol><li><strong>Status</strong><br/>' || o.o_orderstatus || '</li><li><strong>Priority</strong><br/>'
+                 || o.o_orderpriority || '</li></ol>' AS summary,
+               CAST(coalesce(fc.n, 0) AS INTEGER) AS finding_count,
+               CAST(coalesce(fc.e, 0) AS INTEGER) AS error_findings,
+               ff.rule_id AS first_rule,
+               CAST(coalesce(sc.n, 0) AS INTEGER) AS suggestion_count,
+               CAST(coalesce(sc.c, 0) AS INTEGER) AS critical_suggestions,
+               CAST(2 * coalesce(sc.n, 0) AS INTEGER) AS tag_count
+         FROM v_scored s JOIN orders o ON CAST(o.o_orderkey AS VARCHAR) = s.id
+         LEFT JOIN fc ON fc.analysis_id = s.id
+         LEFT JOIN sc ON sc.analysis_id = s.id
+         LEFT JOIN ff ON ff.analysis_id = s.id AND ff.r = 1""",
+)
+def analysis_detail(spark, d):
+    det = detail_rows(spark, d)
+    return det.select(
+        "id",
+        "status",
+        "quality_score",
+        "risk_level",
+        "summary",
+        F.size("findings").alias("finding_count"),
+        F.size(F.filter("findings", lambda f: f["severity"] == "Error")).alias("error_findings"),
+        F.get("findings", 0)["rule_id"].alias("first_rule"),
+        F.size("suggestions").alias("suggestion_count"),
+        F.size(F.filter("suggestions", lambda s: s["priority"] == "Critical")).alias("critical_suggestions"),
+        F.aggregate("suggestions", F.lit(0), lambda acc, s: acc + F.size(s["tags"])).alias("tag_count"),
+    )
+
+
+@register(
+    "finding_counts",
+    with_scored()
+    + """SELECT id, finding_count, suggestion_count,
+               CAST(finding_count + suggestion_count AS INTEGER) AS result_count FROM v_scored""",
+)
+def finding_counts(spark, d):
+    """List sizes shown next to the detail lists, from the packed JSON."""
+    det = detail_rows(spark, d)
+    return det.select(
+        "id",
+        F.size("findings").alias("finding_count"),
+        F.size("suggestions").alias("suggestion_count"),
+        (F.size("findings") + F.size("suggestions")).alias("result_count"),
+    )
+
+
+def _sql_encode(x: str) -> str:
+    return (
+        f"array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: "
+        "CASE WHEN c = '&' THEN '&amp;' WHEN c = '<' THEN '&lt;' WHEN c = '>' THEN '&gt;' "
+        "WHEN c = '\"' THEN '&quot;' WHEN c = '''' THEN '&#39;' "
+        "WHEN unicode(c) BETWEEN 160 AND 255 THEN '&#' || CAST(unicode(c) AS VARCHAR) || ';' ELSE c END), '')"
+    )
+
+
+def _sql_f18(src: str) -> dict[str, str]:
+    num = r"^\s*\d+[.)]\s+(.*)$"
+    return {
+        "f18_in": f"SELECT key, coalesce(t, '') AS t FROM ({src})",
+        "f18_lines": """SELECT key, unnest(ls) AS raw, generate_subscripts(ls, 1) AS i
+                        FROM (SELECT key, string_split(replace(t, chr(13) || chr(10), chr(10)), chr(10)) AS ls
+                              FROM f18_in)""",
+        "f18_l2": f"""SELECT key, i, line, regexp_matches(line, '{num}') AS li,
+                             regexp_replace(regexp_extract(line, '{num}', 1), '^\\s+|\\s+$', '', 'g') AS content
+                      FROM (SELECT key, i, regexp_replace(raw, '\\s+$', '') AS line FROM f18_lines)""",
+        "f18_l3": """SELECT *, coalesce(lag(li) OVER (PARTITION BY key ORDER BY i), false) AS prev_li,
+                            instr(content, ':') - 1 AS idx FROM f18_l2""",
+        "f18_l4": f"""SELECT key, i, li,
+               CASE WHEN li THEN (CASE WHEN NOT prev_li THEN '<ol>' ELSE '' END) ||
+                    CASE WHEN idx > 0 AND idx < 120 THEN
+                         '<li><strong>' || {_sql_encode("regexp_replace(substr(content, 1, idx), '^\\s+|\\s+$', '', 'g')")}
+                         || '</strong>' ||
+                         CASE WHEN regexp_replace(substr(content, idx + 2), '^\\s+|\\s+$', '', 'g') <> ''
+                              THEN '<br/>' || {_sql_encode("regexp_replace(substr(content, idx + 2), '^\\s+|\\s+$', '', 'g')")}
+                              ELSE '' END || '</li>'
+                    ELSE '<li>' || {_sql_encode("content")} || '</li>' END
+               ELSE (CASE WHEN prev_li THEN '</ol>' ELSE '' END) ||
+                    CASE WHEN regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> '' THEN '<p>' || line || '</p>' ELSE '' END
+               END AS piece
+            FROM f18_l3""",
+        "f18_out": """SELECT i.key,
+               CASE WHEN regexp_replace(i.t, '^\\s+|\\s+$', '', 'g') = '' THEN ''
+                    WHEN contains(i.t, '<ol') OR contains(i.t, '<ul') THEN i.t
+                    ELSE h.body || CASE WHEN h.last_li THEN '</ol>' ELSE '' END END AS html
+            FROM f18_in i JOIN (SELECT key, string_agg(piece, '' ORDER BY i) AS body, arg_max(li, i) AS last_li
+                                FROM f18_l4 GROUP BY key) h ON h.key = i.key""",
+    }
+
+
+def _sql_sanitize(x: str) -> str:
+    from revlens.functions import html as H
+
+    allowed = H.ALLOWED_TAGS
+    s = x
+    s = f"regexp_replace({s}, '(?is)<script[^>]*>.*?</script>', '', 'g')"
+    s = f"regexp_replace({s}, '(?is)<style[^>]*>.*?</style>', '', 'g')"
+    for pat in (H.HANDLER_DQ_RE, H.HANDLER_SQ_RE, H.HANDLER_BARE_RE, H.JS_URL_RE):
+        s = f"regexp_replace({s}, {P._sql_str(pat)}, '', 'g')"
+    s = f"regexp_replace({s}, '(?i)<({allowed})(?:\\s+[^>]*)?>', '<\\1>', 'g')"
+    s = f"regexp_replace({s}, '(?i)<(/?(?:{allowed})\\b[^>]*)>', chr(1) || '\\1' || chr(2), 'g')"
+    s = f"regexp_replace({s}, '</?\\w+[^>]*>', '', 'g')"
+    return f"replace(replace({s}, chr(1), '<'), chr(2), '>')"
+
+
+@register(
+    "summary_html",
+    "WITH "
+    + ",\n".join(f"{k} AS ({v})" for k, v in _sql_f18("SELECT doc_id AS key, text AS t FROM documents").items())
+    + f", s AS (SELECT key AS doc_id, CASE WHEN regexp_replace(html, '^\\s+|\\s+$', '', 'g') = '' THEN ''"
+    f" ELSE {_sql_sanitize('html')} END AS h FROM f18_out)"
+    + " SELECT doc_id, CAST(length(h) AS INTEGER) AS html_chars, sha256(h) AS html_sha FROM s",
+)
+def summary_html(spark, d):
+    from revlens.functions import html as H
+
+    doc = P.table(spark, d, "documents")
+    h = H.clean_summary(F.col("text"))
+    return doc.select("doc_id", h.alias("h")).select(
+        "doc_id", F.length("h").alias("html_chars"), F.sha2("h", 256).alias("html_sha")
+    )
+
+
+@register(
+    "sanitize_html",
+    f"SELECT page_id, CAST(length(h) AS INTEGER) AS html_chars, sha256(h) AS html_sha FROM "
+    f"(SELECT page_id, CASE WHEN regexp_replace(html, '^\\s+|\\s+$', '', 'g') = '' THEN '' "
+    f"ELSE {_sql_sanitize('html')} END AS h FROM pages)",
+)
+def sanitize_html(spark, d):
+    from revlens.functions import html as H
+
+    pg = P.table(spark, d, "pages")
+    return pg.select("page_id", H.sanitize_html(F.col("html")).alias("h")).select(
+        "page_id", F.length("h").alias("html_chars"), F.sha2("h", 256).alias("html_sha")
+    )
