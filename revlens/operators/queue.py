@@ -88,6 +88,49 @@ def job_states(events: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
     )
 
 
+def effective_events(events: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
+    """The events that change a job's state (every enqueue, the first dequeue
+    after it, the first complete/fail after that dequeue), with K5's analysis
+    status and hub event: dequeue -> InProgress + AnalysisUpdated,
+    complete -> Completed + AnalysisCompleted, fail -> Failed (no event)."""
+    kind = F.col("kind")
+    scanned = running_max(
+        events.select("job_id", "seq", "ts", "kind"),
+        ["job_id"],
+        "seq",
+        {
+            "segment": F.when(kind == "enqueue", F.col("seq")),
+            "last_dequeue": F.when(kind == "dequeue", F.col("seq")),
+        },
+        span=span,
+    ).filter(F.col("segment").isNotNull())
+    candidate = kind.isin(*TERMINAL) & (F.col("last_dequeue") > F.col("segment"))
+    seg = scanned.groupBy("job_id", "segment").agg(
+        F.min(F.when(kind == "dequeue", F.struct(F.col("seq"), F.col("ts")))).alias("deq"),
+        F.min(F.when(candidate, F.struct(F.col("seq"), F.col("ts"), kind.alias("kind")))).alias("term"),
+    )
+    enq = scanned.filter(kind == "enqueue").select("job_id", "seq", "ts", "kind")
+    deq = seg.filter(F.col("deq").isNotNull()).select(
+        "job_id", F.col("deq.seq").alias("seq"), F.col("deq.ts").alias("ts"), F.lit("dequeue").alias("kind")
+    )
+    term = seg.filter(F.col("term").isNotNull()).select(
+        "job_id", F.col("term.seq").alias("seq"), F.col("term.ts").alias("ts"), F.col("term.kind").alias("kind")
+    )
+    out = enq.unionByName(deq).unionByName(term)
+    k = F.col("kind")
+    return out.select(
+        "*",
+        F.when(k == "enqueue", F.lit(S.ST_PENDING))
+        .when(k == "dequeue", F.lit(S.ST_IN_PROGRESS))
+        .when(k == "complete", F.lit(S.ST_COMPLETED))
+        .otherwise(F.lit(S.ST_FAILED))
+        .alias("analysis_status"),
+        F.when(k == "dequeue", F.lit("AnalysisUpdated")).when(k == "complete", F.lit("AnalysisCompleted")).alias(
+            "hub_event"
+        ),
+    )
+
+
 def queue_length(states: DataFrame) -> DataFrame:
     """Jobs waiting in the queue (Pending only; Retrying jobs sit in their delay)."""
     return states.agg(F.count_if(F.col("status") == S.JOB_PENDING).cast("int").alias("queue_length"))

@@ -1216,3 +1216,131 @@ def sanitize_html(spark, d):
     return pg.select("page_id", H.sanitize_html(F.col("html")).alias("h")).select(
         "page_id", F.length("h").alias("html_chars"), F.sha2("h", 256).alias("html_sha")
     )
+
+
+# ---------------------------------------------------------------------------
+# Status transitions and the notification log
+SQL_EFFECTIVE = """
+    SELECT job_id, seq, kind,
+           CASE kind WHEN 'enqueue' THEN 0 WHEN 'dequeue' THEN 1 WHEN 'complete' THEN 2 ELSE 3 END AS analysis_status,
+           CASE kind WHEN 'dequeue' THEN 'AnalysisUpdated' WHEN 'complete' THEN 'AnalysisCompleted' END AS hub_event
+    FROM (
+      SELECT job_id, seq, kind FROM je WHERE segment IS NOT NULL AND kind = 'enqueue'
+      UNION ALL
+      SELECT job_id, min(seq), 'dequeue' FROM je WHERE segment IS NOT NULL AND kind = 'dequeue'
+      GROUP BY job_id, segment
+      UNION ALL
+      SELECT job_id, min(seq), arg_min(kind, seq) FROM je
+      WHERE segment IS NOT NULL AND kind IN ('complete', 'fail') AND last_dequeue > segment
+      GROUP BY job_id, segment)"""
+
+
+@register("status_events", with_jobs(extra={"eff": SQL_EFFECTIVE}) + "SELECT * FROM eff")
+def status_events(spark, d):
+    return Q.effective_events(P.job_events(spark, d)).select(
+        "job_id", "seq", "kind", "analysis_status", "hub_event"
+    )
+
+
+@register(
+    "notification_log",
+    with_jobs("v_webhooks", extra={"eff": SQL_EFFECTIVE, **{k: v for k, v in SQL_SEGMENTS.items()}})
+    + """SELECT 'NewPullRequest' AS event, seq, repo_name, pr_number, pr_title AS title, pr_author AS author,
+               CAST(NULL AS VARCHAR) AS analysis_id
+         FROM ev WHERE route = 'upsert'
+         UNION ALL
+         SELECT 'PullRequestClosed', c.seq, c.repo_name, c.pr_number, c.pr_title, NULL,
+                sha256(c.repo_name || '#' || CAST(c.pr_number AS VARCHAR) || '#' || CAST(k.creator_seq AS VARCHAR))
+         FROM ev2 c JOIN creators k
+           ON k.repo_name = c.repo_name AND k.pr_number = c.pr_number AND k.seg = coalesce(c.prev_close, -1)
+         WHERE c.route = 'delete' AND coalesce(c.prev_upsert > coalesce(c.prev_close, -1), false)
+         UNION ALL
+         SELECT hub_event, seq, NULL, NULL, NULL, NULL,
+                CAST(CAST(split_part(job_id, '-', 1) AS BIGINT) * 100 + CAST(split_part(job_id, '-', 2) AS BIGINT)
+                     AS VARCHAR)
+         FROM eff WHERE hub_event IS NOT NULL""",
+)
+def notification_log(spark, d):
+    """NewPullRequest / PullRequestClosed from the webhook log, AnalysisUpdated /
+    AnalysisCompleted from the job log, as one typed event table."""
+    from revlens.operators import state as ST
+
+    w = P.webhook_rows(spark, d)
+    new = w.filter(ST.route_action("action") == "upsert").select(
+        F.lit("NewPullRequest").alias("event"),
+        "seq",
+        "repo_name",
+        "pr_number",
+        F.col("pr_title").alias("title"),
+        F.col("pr_author").alias("author"),
+    )
+    rep = ST.closed_report(w).filter(F.col("outcome") == ST.DELETED)
+    titles = w.select("seq", F.col("pr_title").alias("title"))
+    closed = rep.join(titles, "seq").select(
+        F.lit("PullRequestClosed").alias("event"), "seq", "repo_name", "pr_number", "title", "analysis_id"
+    )
+    parts = F.split(F.col("job_id"), "-")
+    hub = (
+        Q.effective_events(P.job_events(spark, d))
+        .filter(F.col("hub_event").isNotNull())
+        .select(
+            F.col("hub_event").alias("event"),
+            "seq",
+            (parts[0].cast("long") * 100 + parts[1].cast("long")).cast("string").alias("analysis_id"),
+        )
+    )
+    return new.unionByName(closed, allowMissingColumns=True).unionByName(hub, allowMissingColumns=True).select(
+        "event", "seq", "repo_name", "pr_number", "title", "author", "analysis_id"
+    )
+
+
+# ---------------------------------------------------------------------------
+# K1, K2, K6: streaming twins (file source, availableNow, run to completion)
+@register(
+    "stream_state",
+    sql_with(
+        "v_webhooks",
+        extra={
+            **SQL_REPLAY,
+            "ev": """SELECT *, CASE WHEN action IN ('opened', 'synchronize', 'reopened') THEN 'upsert'
+                                    WHEN action = 'closed' THEN 'delete' END AS route
+                     FROM v_webhooks WHERE seq % 50 NOT IN (7, 8, 9)""",
+        },
+    )
+    + f"SELECT {STATE_COLS} FROM v_state",
+)
+def stream_state(spark, d):
+    from revlens.streaming import jobs as SJ
+
+    root = SJ.scratch(spark, "stream-state")
+    src = f"{root}/source"
+    SJ.write_in_chunks(webhook_payloads(spark, d), src, "seq", 4)
+    out = SJ.run_state_stream(spark, src, root)
+    return out.select(*[c.strip() for c in STATE_COLS.split(",")])
+
+
+@register("stream_jobs", with_jobs() + "SELECT * FROM v_jobs")
+def stream_jobs(spark, d):
+    from revlens.streaming import jobs as SJ
+
+    root = SJ.scratch(spark, "stream-jobs")
+    src = f"{root}/source"
+    SJ.write_in_chunks(P.job_events(spark, d), src, "seq", 4)
+    return SJ.run_job_stream(spark, src, root)
+
+
+@register("stream_enrich")
+def stream_enrich(spark, d):
+    """K6 (rows-only; equals the batch `diff_findings` on analyses with a diff)."""
+    from revlens.streaming import jobs as SJ
+
+    root = SJ.scratch(spark, "stream-enrich")
+    src = f"{root}/source"
+    newjobs = P.table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("analysis_id"),
+        F.lit("org/docs").alias("repo_name"),
+        F.col("doc_id").cast("int").alias("pr_number"),
+        F.col("doc_id").alias("seq"),
+    )
+    SJ.write_in_chunks(newjobs, src, "seq", 3)
+    return SJ.run_enrich_stream(spark, src, root, P.diffs(spark, d), P.diagnostics_input(spark, d))

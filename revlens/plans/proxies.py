@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPOS = 20  # analyses are spread over org/repo-0 .. org/repo-19
-PR_SLOTS = 20  # webhook PR numbers / job slots are props.k % 20
+PR_SLOTS = 20  # webhook PR numbers are props.k % 20 + 1; job slots props.k % 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,7 +110,7 @@ def webhook_rows(spark: SparkSession, d: str) -> DataFrame:
         _ts("ts").alias("ts"),
         action.alias("action"),
         F.concat(F.lit("org/r"), F.col("user_id").cast("string")).alias("repo_name"),
-        (k % PR_SLOTS).cast("int").alias("pr_number"),
+        (k % PR_SLOTS + 1).cast("int").alias("pr_number"),
         F.concat(F.lit("PR "), F.col("event_id").cast("string")).alias("pr_title"),
         F.concat(F.lit("user"), (F.col("user_id") % 7).cast("string")).alias("pr_author"),
     )
@@ -191,7 +191,7 @@ SQL_VIEWS: dict[str, str] = {
                     WHEN 'view' THEN 'reopened' WHEN 'error' THEN 'closed'
                     WHEN 'purchase' THEN 'edited' END AS action,
                'org/r' || CAST(user_id AS VARCHAR) AS repo_name,
-               CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 20 AS INTEGER) AS pr_number,
+               CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 20 + 1 AS INTEGER) AS pr_number,
                'PR ' || CAST(event_id AS VARCHAR) AS pr_title,
                'user' || CAST(user_id % 7 AS VARCHAR) AS pr_author
         FROM events""",
