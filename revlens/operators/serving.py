@@ -223,6 +223,7 @@ def analysis_detail(df: DataFrame) -> DataFrame:
             J.clean_tags(s["Tags"]).alias("tags"),
         ),
     )
+    df = H.with_clean_summary(df, "summary", "_clean_summary")
     return df.select(
         "id",
         "repo_name",
@@ -232,7 +233,7 @@ def analysis_detail(df: DataFrame) -> DataFrame:
         L.enum_label("status", "status").alias("status"),
         "quality_score",
         L.enum_label("risk_level", "risk_level").alias("risk_level"),
-        H.clean_summary(F.col("summary")).alias("summary"),
+        F.col("_clean_summary").alias("summary"),
         "processed_at",
         "created_at",
         findings.alias("findings"),

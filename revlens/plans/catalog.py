@@ -1196,9 +1196,8 @@ def _sql_sanitize(x: str) -> str:
 def summary_html(spark, d):
     from revlens.functions import html as H
 
-    doc = P.table(spark, d, "documents")
-    h = H.clean_summary(F.col("text"))
-    return doc.select("doc_id", h.alias("h")).select(
+    doc = P.table(spark, d, "documents").select("doc_id", "text")
+    return H.with_clean_summary(doc, "text", "h").select(
         "doc_id", F.length("h").alias("html_chars"), F.sha2("h", 256).alias("html_sha")
     )
 
