@@ -230,7 +230,7 @@ CODE_LINES = {
     1: ["var total = {id} * 3 + 42;"],
     2: ["const int Limit = 1024;", "var ok = 0 + 1 + 2 + 10 + 100 + 1.0 + 100L + 0x0A;"],
     3: ["// retry 7 times", 'var s = "code 55";', "var c = '9';"],
-    4: ["return 0;"],
+    4: ["return 0;", "void Long{id}() {"] + ["    step();"] * 52 + ["}"],
 }
 
 
