@@ -28,8 +28,18 @@ REPO = "org/repo-7"
 
 
 def register(name: str, sql: str | None = None):
+    """Register a query; the stored times are UTC, so every query runs with a UTC
+    session time zone whatever session the caller passes in."""
+
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, d)
+
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
