@@ -802,6 +802,8 @@ def _sql_rule_views() -> dict[str, str]:
     mask = R.MASK_RE.replace("'", "''")
     num = R.NUMBER_RE.replace("'", "''")
     av = R.ASYNC_VOID_RE.replace("'", "''")
+    hdr = R.METHOD_HEADER_RE.replace("'", "''")
+    ctl = ", ".join(P._sql_str(w) for w in R.CONTROL_WORDS)
     return {
         "masked": f"SELECT *, regexp_replace(text, '{mask}', ' ', 'g') AS m FROM v_lines",
         "toks": f"""SELECT analysis_id, file_idx, file_path, line_number, unnest(t) AS token,
@@ -830,6 +832,33 @@ def _sql_rule_views() -> dict[str, str]:
         "asyncv": f"""SELECT analysis_id, file_path, line_number, regexp_extract(m, '{av}', 1) AS name,
                              instr(m, 'async') AS column_number
                       FROM masked WHERE regexp_extract(m, '{av}', 1) <> ''""",
+        # Brace depth as a window sum over earlier lines, method bodies by the
+        # latest header line, statements counted at body depth.
+        "lm1": f"""SELECT analysis_id, file_idx, file_path, line_number, m AS code,
+                          length(regexp_replace(m, '[^{{]', '', 'g')) AS o,
+                          length(regexp_replace(m, '[^}}]', '', 'g')) AS c,
+                          regexp_extract(m, '{hdr}', 1) AS name
+                   FROM masked""",
+        "lm2": f"""SELECT *,
+                          coalesce(sum(o - c) OVER (PARTITION BY analysis_id, file_idx ORDER BY line_number
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth,
+                          (name <> '' AND name NOT IN ({ctl}) AND NOT contains(code, '=>')) AS is_header
+                   FROM lm1""",
+        "lm3": """SELECT *, max(CASE WHEN is_header THEN line_number END) OVER (PARTITION BY analysis_id, file_idx
+                          ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hdr
+                  FROM lm2""",
+        "lm_hd": "SELECT analysis_id, file_idx, line_number AS hdr, depth AS d0 FROM lm2 WHERE is_header",
+        "lm_cnt": """
+            SELECT b.analysis_id, b.file_idx, b.file_path, b.hdr,
+                   count(*) FILTER (WHERE (b.depth = h.d0 + 1 AND b.depth + b.o - b.c = h.d0 + 1
+                                           AND ends_with(regexp_replace(b.code, '^\\s+|\\s+$', '', 'g'), ';'))
+                                       OR (b.depth > h.d0 + 1 AND b.depth + b.o - b.c = h.d0 + 1 AND b.c > 0)) AS n
+            FROM lm3 b JOIN lm_hd h ON h.analysis_id = b.analysis_id AND h.file_idx = b.file_idx AND h.hdr = b.hdr
+            WHERE b.line_number > b.hdr AND b.depth >= h.d0 + 1
+            GROUP BY ALL""",
+        "longm": """SELECT analysis_id, file_path, CAST(hdr AS INTEGER) AS line_number,
+                           'Metot çok uzun (' || CAST(n AS VARCHAR) || ' satır). Daha küçük parçalara bölün.' AS message
+                    FROM lm_cnt WHERE n > 50""",
     }
 
 
@@ -863,15 +892,36 @@ def async_void(spark, d):
     )
 
 
-@register("long_methods")
+@register(
+    "long_methods",
+    sql_with("v_docs", "v_text_lines", "v_code_only", "v_lines", extra=_sql_rule_views())
+    + "SELECT analysis_id, file_path, line_number, message FROM longm",
+)
 def long_methods(spark, d):
-    """R3 (rows-only; covered by unit tests against hand-counted files)."""
+    """Methods with more than 50 top-level statements."""
     from revlens.operators import rules as R
 
     return R.long_methods(cs_lines(spark, d)).select("analysis_id", "file_path", "line_number", "message")
 
 
-@register("diff_findings")
+@register(
+    "diff_findings",
+    sql_with("v_docs", "v_text_lines", "v_code_only", "v_lines", extra={**_sql_rule_views(), **SQL_DIAG})
+    + """SELECT analysis_id, CAST(count(*) AS INTEGER) AS finding_count,
+               CAST(count(*) FILTER (WHERE severity = 2) AS INTEGER) AS errors,
+               CAST(count(*) FILTER (WHERE severity = 1) AS INTEGER) AS warnings,
+               CAST(greatest(0, 100 - sum(CASE severity WHEN 2 THEN 10 WHEN 1 THEN 5 WHEN 0 THEN 1 ELSE 0 END))
+                    AS INTEGER) AS finding_score,
+               CASE WHEN count(*) FILTER (WHERE severity = 2) >= 5 THEN 2
+                    WHEN count(*) FILTER (WHERE severity = 2) >= 1 AND count(*) FILTER (WHERE severity = 1) >= 10 THEN 2
+                    WHEN count(*) FILTER (WHERE severity = 2) >= 1 THEN 1
+                    WHEN count(*) FILTER (WHERE severity = 1) >= 15 THEN 1 ELSE 0 END AS risk_level
+         FROM (SELECT analysis_id, 1 AS severity FROM asyncv
+               UNION ALL SELECT analysis_id, 0 FROM magic
+               UNION ALL SELECT analysis_id, 1 FROM longm
+               UNION ALL SELECT analysis_id, severity FROM diag_out)
+         GROUP BY analysis_id""",
+)
 def diff_findings(spark, d):
     """All rules + ingested diagnostics over every PR diff, scored per analysis."""
     from revlens.operators import rules as R
