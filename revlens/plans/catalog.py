@@ -904,8 +904,7 @@ def long_methods(spark, d):
     return R.long_methods(cs_lines(spark, d)).select("analysis_id", "file_path", "line_number", "message")
 
 
-@register(
-    "diff_findings",
+SQL_DIFF_FINDINGS = (
     sql_with("v_docs", "v_text_lines", "v_code_only", "v_lines", extra={**_sql_rule_views(), **SQL_DIAG})
     + """SELECT analysis_id, CAST(count(*) AS INTEGER) AS finding_count,
                CAST(count(*) FILTER (WHERE severity = 2) AS INTEGER) AS errors,
@@ -920,8 +919,11 @@ def long_methods(spark, d):
                UNION ALL SELECT analysis_id, 0 FROM magic
                UNION ALL SELECT analysis_id, 1 FROM longm
                UNION ALL SELECT analysis_id, severity FROM diag_out)
-         GROUP BY analysis_id""",
+         GROUP BY analysis_id"""
 )
+
+
+@register("diff_findings", SQL_DIFF_FINDINGS)
 def diff_findings(spark, d):
     """All rules + ingested diagnostics over every PR diff, scored per analysis."""
     from revlens.operators import rules as R
@@ -1388,9 +1390,17 @@ def stream_jobs(spark, d):
     return SJ.run_job_stream(spark, src, root)
 
 
-@register("stream_enrich")
+@register(
+    "stream_enrich",
+    "WITH df AS (" + SQL_DIFF_FINDINGS + """)
+    SELECT CAST(d.doc_id AS VARCHAR) AS analysis_id,
+           CAST(coalesce(f.finding_count, 0) AS INTEGER) AS finding_count,
+           CAST(coalesce(f.errors, 0) AS INTEGER) AS errors, CAST(coalesce(f.warnings, 0) AS INTEGER) AS warnings,
+           CAST(coalesce(f.finding_score, 100) AS INTEGER) AS finding_score, coalesce(f.risk_level, 0) AS risk_level
+    FROM documents d LEFT JOIN df f ON f.analysis_id = CAST(d.doc_id AS VARCHAR)""",
+)
 def stream_enrich(spark, d):
-    """K6 (rows-only; equals the batch `diff_findings` on analyses with a diff)."""
+    """K6: the streaming twin of `diff_findings`, one row per new job (no diff -> 100, Low)."""
     from revlens.streaming import jobs as SJ
 
     root = SJ.scratch(spark, "stream-enrich")
@@ -1403,3 +1413,48 @@ def stream_enrich(spark, d):
     )
     SJ.write_in_chunks(newjobs, src, "seq", 3)
     return SJ.run_enrich_stream(spark, src, root, P.diffs(spark, d), P.diagnostics_input(spark, d))
+
+
+
+# ---------------------------------------------------------------------------
+# Counting and the table round trip
+@register(
+    "count_rows",
+    with_scored()
+    + """SELECT CAST(count(*) AS BIGINT) AS total,
+               CAST(count(*) FILTER (WHERE risk_level = 2 OR quality_score < 50) AS BIGINT) AS matching
+         FROM v_scored""",
+)
+def count_rows(spark, d):
+    """A6 with and without a caller predicate (X1), as one aggregate."""
+    from revlens.operators import serving as SVV
+
+    a = scored(spark, d)
+    total = SVV.count_rows(a).withColumnRenamed("count", "total")
+    matching = SVV.count_rows(a, (F.col("risk_level") == 2) | (F.col("quality_score") < 50)).withColumnRenamed(
+        "count", "matching"
+    )
+    return SVV.combine_rows(total, matching)
+
+
+@register(
+    "table_roundtrip",
+    sql_with("v_webhooks", extra=SQL_SEGMENTS)
+    + """SELECT sha256(repo_name || '#' || CAST(pr_number AS VARCHAR) || '#' || CAST(creator_seq AS VARCHAR)) AS id,
+               repo_name, pr_number, pr_title, 0 AS status, 0 AS quality_score, '[]' AS findings_json,
+               ts AS created_at
+         FROM creators""",
+)
+def table_roundtrip(spark, d):
+    """S4 then S3: append the inserted analyses to a table in the shared
+    checkpoint folder, in two appends, and read it back with the fixed schema."""
+    from revlens.operators import state as ST
+    from revlens.sources import tables as TB
+    from revlens.streaming.jobs import scratch
+
+    path = scratch(spark, "analyses-table")
+    rows = ST.inserted_rows(P.webhook_rows(spark, d))
+    TB.insert_rows(rows.filter(F.col("created_at") < F.lit(AS_OF).cast("timestamp")), path)
+    TB.insert_rows(rows.filter(F.col("created_at") >= F.lit(AS_OF).cast("timestamp")), path)
+    back = TB.read_table(spark, path, "analyses")
+    return back.select("id", "repo_name", "pr_number", "pr_title", "status", "quality_score", "findings_json", "created_at")
