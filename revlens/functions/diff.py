@@ -25,7 +25,9 @@ def file_blocks(diff) -> Column:
     Text before the first header is returned as its own first element; callers
     drop elements that do not start with the header.
     """
-    return F.split(F.coalesce(_c(diff), F.lit("")), r"(?m)(?=^diff --git)")
+    # Cut at the newline before each header (lines are '\n'-separated, as in
+    # the reference); the regex engine only tests the lookahead at newlines.
+    return F.split(F.coalesce(_c(diff), F.lit("")), r"\n(?=diff --git)")
 
 
 def block_path(block, parity: bool = False) -> Column:

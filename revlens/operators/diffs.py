@@ -25,35 +25,41 @@ def attach_diffs(rows: DataFrame, diffs: DataFrame, key: list[str] | None = None
     ).drop("_diff")
 
 
-def changed_files(diffs: DataFrame, id_col: str = "analysis_id", parity: bool = False, partitions: int | None = None) -> DataFrame:
+def changed_files(
+    diffs: DataFrame, id_col: str = "analysis_id", parity: bool = False, partitions: int | None = None
+) -> DataFrame:
     """F1 + F2 + F3: one row per file block with at least one added line.
 
     Columns: id_col, file_idx (0-based block order), file_path, content
     (added lines, newline-terminated), added_count.
     """
+    # Parse every block inside one projection and drop non-file blocks / files
+    # without added lines with a higher-order `filter`: a Filter operator here
+    # would be pushed down to the scan and re-evaluate the whole parse there.
     arr = diffs.select(id_col, D.file_blocks("diff").alias("_blocks"))
-    # Text before the first header (if any) is element 0; file_idx counts real
-    # file blocks from 0 in diff order.
     pre = F.when(F.element_at("_blocks", 1).startswith(D.FILE_HEADER), F.lit(0)).otherwise(F.lit(1))
-    blocks = arr.select(id_col, pre.alias("_pre"), F.posexplode("_blocks").alias("_pos", "block")).filter(
-        F.col("block").startswith(D.FILE_HEADER)
+    parsed = F.transform(
+        "_blocks",
+        lambda blk, i: F.struct(
+            (i - pre).alias("file_idx"),
+            blk.startswith(D.FILE_HEADER).alias("is_file"),
+            D.block_path(blk, parity).alias("file_path"),
+            D.added_lines(blk).alias("added"),
+        ),
     )
-    files = blocks.select(
+    kept = F.filter(parsed, lambda x: x["is_file"] & x["file_path"].isNotNull() & (F.size(x["added"]) > 0))
+    out = arr.select(id_col, F.explode(kept).alias("_f")).select(
         id_col,
-        (F.col("_pos") - F.col("_pre")).alias("_pos"),
-        D.block_path("block", parity).alias("file_path"),
-        D.added_lines("block").alias("_added"),
-    ).filter(F.col("file_path").isNotNull() & (F.size("_added") > 0))
-    out = files.select(
-        id_col,
-        F.col("_pos").cast("int").alias("file_idx"),
-        "file_path",
-        F.concat(F.array_join("_added", "\n"), F.lit("\n")).alias("content"),
-        F.size("_added").alias("added_count"),
+        F.col("_f.file_idx").cast("int").alias("file_idx"),
+        F.col("_f.file_path").alias("file_path"),
+        F.concat(F.array_join("_f.added", "\n"), F.lit("\n")).alias("content"),
+        F.size("_f.added").alias("added_count"),
     )
-    if partitions:
-        out = out.repartition(partitions, id_col, "file_idx")
-    return out
+    # Spread file blocks over the cluster: every later step (line explode,
+    # rules) is per file, and one huge diff must not stay one task. An explicit
+    # count keeps AQE from coalescing the blocks back into a few partitions.
+    n = partitions or int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartition(n, id_col, "file_idx")
 
 
 def csharp_files(files: DataFrame, ext: str = ".cs") -> DataFrame:

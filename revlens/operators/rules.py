@@ -175,7 +175,9 @@ def magic_numbers(lines: DataFrame, limit: int = MAGIC_LIMIT_PER_FILE, span: int
     )
 
 
-def long_methods(lines: DataFrame, max_statements: int = LONG_MAX_STATEMENTS, span: int = DEFAULT_SPAN) -> DataFrame:
+def long_methods(
+    lines: DataFrame, max_statements: int = LONG_MAX_STATEMENTS, span: int = DEFAULT_SPAN, materialize: bool = False
+) -> DataFrame:
     """Block-bodied methods with more than `max_statements` top-level statements.
 
     Line-level approximation: brace depth is a running sum over the file's
@@ -192,27 +194,34 @@ def long_methods(lines: DataFrame, max_statements: int = LONG_MAX_STATEMENTS, sp
             "_name": F.regexp_extract("code", METHOD_HEADER_RE, 1),
         }
     )
+    if materialize:
+        from revlens.session import materialize as _materialize
+
+        m = _materialize(m, "masked-lines")
+    is_header = (F.col("_name") != "") & ~F.col("_name").isin(*CONTROL_WORDS) & ~F.col("code").contains("=>")
+    # One keyed scan gives both the brace depth (running sum, then minus the
+    # line's own braces = depth before the line) and the latest header line.
     m = running_max(
         m,
         LINE_KEYS,
         "line_number",
-        {"_depth": (F.col("_open") - F.col("_close")).cast("long")},
-        inclusive=False,
+        {
+            "_depth_incl": (F.col("_open") - F.col("_close")).cast("long"),
+            "_hdr": F.when(is_header, F.col("line_number").cast("long")),
+        },
         span=span,
-        how="sum",
-    ).withColumn("_depth", F.coalesce(F.col("_depth"), F.lit(0)))
-    is_header = (F.col("_name") != "") & ~F.col("_name").isin(*CONTROL_WORDS) & ~F.col("code").contains("=>")
+        how={"_depth_incl": "sum", "_hdr": "max"},
+    ).withColumn("_depth", F.col("_depth_incl") - (F.col("_open") - F.col("_close")))
+    # The header's own depth (d0) is carried to its body lines by a second scan
+    # over the running max of (header line, depth) — no self-join.
     m = running_max(
         m,
         LINE_KEYS,
         "line_number",
-        {"_hdr": F.when(is_header, F.col("line_number").cast("long"))},
+        {"_h": F.when(is_header, F.struct(F.col("line_number").cast("long").alias("l"), F.col("_depth").alias("d"), F.col("_name").alias("n")))},
         span=span,
-    )
-    headers = m.filter(is_header).select(
-        *LINE_KEYS, F.col("line_number").cast("long").alias("_hdr"), F.col("_depth").alias("_d0"), F.col("_name").alias("method")
-    )
-    body = m.filter(F.col("_hdr").isNotNull() & (F.col("line_number") > F.col("_hdr"))).join(headers, [*LINE_KEYS, "_hdr"])
+    ).withColumns({"_d0": F.col("_h.d"), "method": F.col("_h.n")})
+    body = m.filter(F.col("_hdr").isNotNull() & (F.col("line_number") > F.col("_hdr")))
     after = F.col("_depth") + F.col("_open") - F.col("_close")
     d1 = F.col("_d0") + 1
     trimmed = D.trim_ws(F.col("code"))
@@ -283,6 +292,31 @@ def run_rules(lines: DataFrame, rules: dict[str, Callable[[DataFrame], DataFrame
     return out
 
 
+def analyze_diffs(
+    diffs: DataFrame,
+    diags: DataFrame | None = None,
+    rules: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+    checkpoint: bool = False,
+) -> DataFrame:
+    """Diffs (analysis_id, diff) -> findings of every rule over the C# files,
+    plus ingested diagnostics. Non-C# files are skipped; a diff that yields no
+    file simply yields no finding. The line table is read by every rule; AQE
+    reuses its exchange at run time, and `checkpoint=True` writes it once as a
+    table in the shared checkpoint folder instead (for expensive lineages)."""
+    from revlens.operators import diffs as DF
+
+    files = DF.csharp_files(DF.changed_files(diffs))
+    lines = DF.file_lines(files)
+    if checkpoint:
+        from revlens.session import materialize as _materialize
+
+        lines = _materialize(lines, "diff-lines")
+    found = run_rules(lines, rules)
+    if diags is not None:
+        found = found.unionByName(diagnostics(diags, files))
+    return found
+
+
 def finding_ids(findings: DataFrame) -> DataFrame:
     """Deterministic finding ids (T15): hash of analysis, file, rule, line, column."""
     return findings.withColumn(

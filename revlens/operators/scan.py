@@ -32,12 +32,14 @@ def running_max(
     values: dict[str, Column],
     inclusive: bool = True,
     span: int = DEFAULT_SPAN,
-    how: str = "max",
+    how: str | dict[str, str] = "max",
 ) -> DataFrame:
     """Add, per output name in `values`, the max (or sum, `how="sum"`) of that
     expression over the key's events ordered by `seq` up to (inclusive) or
-    before (exclusive) the row. Null where no earlier value exists."""
-    agg = {"max": F.max, "sum": F.sum}[how]
+    before (exclusive) the row. Null where no earlier value exists.
+    `how` may also map output names to "max" / "sum" to mix both in one pass."""
+    fns = {"max": F.max, "sum": F.sum}
+    hows = {n: (how.get(n, "max") if isinstance(how, dict) else how) for n in values}
     b = "_scan_bucket"
     tmp = {name: f"_scan_v_{name}" for name in values}
     base = df.withColumn(b, F.floor(F.col(seq) / F.lit(span)).cast("long")).withColumns(
@@ -45,23 +47,25 @@ def running_max(
     )
     upper = Window.currentRow if inclusive else -1
     w_local = Window.partitionBy(*keys, b).orderBy(seq).rowsBetween(Window.unboundedPreceding, upper)
-    local = base.withColumns({f"_scan_l_{n}": agg(tmp[n]).over(w_local) for n in values})
+    local = base.withColumns({f"_scan_l_{n}": fns[hows[n]](tmp[n]).over(w_local) for n in values})
 
-    totals = base.groupBy(*keys, b).agg(*[agg(tmp[n]).alias(f"_scan_t_{n}") for n in values])
+    # Totals come from the window output, which is already partitioned on
+    # (keys, bucket): no second exchange, and the input is evaluated once.
+    totals = local.groupBy(*keys, b).agg(*[fns[hows[n]](tmp[n]).alias(f"_scan_t_{n}") for n in values])
     w_prev = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, b, *[agg(f"_scan_t_{n}").over(w_prev).alias(f"_scan_c_{n}") for n in values])
+    carry = totals.select(
+        *keys, b, *[fns[hows[n]](f"_scan_t_{n}").over(w_prev).alias(f"_scan_c_{n}") for n in values]
+    )
 
     out = local.join(carry, [*keys, b], "left")
-    if how == "max":
-        out = out.withColumns({n: F.greatest(F.col(f"_scan_l_{n}"), F.col(f"_scan_c_{n}")) for n in values})
-    else:
-        out = out.withColumns(
-            {
-                n: F.when(
-                    F.col(f"_scan_l_{n}").isNull() & F.col(f"_scan_c_{n}").isNull(), F.lit(None)
-                ).otherwise(F.coalesce(F.col(f"_scan_l_{n}"), F.lit(0)) + F.coalesce(F.col(f"_scan_c_{n}"), F.lit(0)))
-                for n in values
-            }
+    def combine(n: str):
+        loc, car = F.col(f"_scan_l_{n}"), F.col(f"_scan_c_{n}")
+        if hows[n] == "max":
+            return F.greatest(loc, car)
+        return F.when(loc.isNull() & car.isNull(), F.lit(None)).otherwise(
+            F.coalesce(loc, F.lit(0)) + F.coalesce(car, F.lit(0))
         )
+
+    out = out.withColumns({n: combine(n) for n in values})
     drop = [b, *tmp.values(), *[f"_scan_l_{n}" for n in values], *[f"_scan_c_{n}" for n in values]]
     return out.drop(*drop)

@@ -929,8 +929,7 @@ def diff_findings(spark, d):
     from revlens.operators import rules as R
     from revlens.operators import scoring as SCR
 
-    lines = cs_lines(spark, d)
-    found = R.run_rules(lines).unionByName(diagnostics_findings(spark, d))
+    found = R.analyze_diffs(P.diffs(spark, d), P.diagnostics_input(spark, d))
     st = SCR.finding_stats(found)
     return st.select(
         "analysis_id",

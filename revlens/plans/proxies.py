@@ -274,10 +274,22 @@ def diffs(spark: SparkSession, d: str) -> DataFrame:
             F.concat(F.lit("+"), F.col("lang")),
         ),
     )
-    return doc.select(
+    # Diffs are hash-partitioned on their lookup key (repo_name, pr_number), the
+    # key `attach_diffs` joins on, so the diff text is shuffled once and the
+    # per-diff parsing runs spread over tasks.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = doc.select(
         sid.alias("analysis_id"),
         F.lit("org/docs").alias("repo_name"),
         F.col("doc_id").cast("int").alias("pr_number"),
+        "doc_id",
+        "text",
+        "lang",
+    ).repartition(n, "repo_name", "pr_number")
+    return keyed.select(
+        "analysis_id",
+        "repo_name",
+        "pr_number",
         F.concat_ws("\n", F.lit("From: review-bot"), cs, md).alias("diff"),
     )
 

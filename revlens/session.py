@@ -59,3 +59,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)
+
+
+def materialize(df, name: str = "table"):
+    """Cut lineage by writing `df` as a parquet table in the shared checkpoint
+    folder and reading it back (columnar, faster than an RDD checkpoint)."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -206,10 +206,8 @@ def run_enrich_stream(spark: SparkSession, source: str, root: str, diffs: DataFr
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         with_diff = DF.attach_diffs(batch, diffs.select("repo_name", "pr_number", "diff"))
-        files = DF.csharp_files(DF.changed_files(with_diff))
-        found = R.run_rules(DF.file_lines(files))
-        if diags is not None:
-            found = found.unionByName(R.diagnostics(diags.join(batch.select("analysis_id"), "analysis_id", "left_semi"), files))
+        batch_diags = None if diags is None else diags.join(batch.select("analysis_id"), "analysis_id", "left_semi")
+        found = R.analyze_diffs(with_diff, batch_diags)
         st = SC.finding_stats(found)
         scored = batch.select("analysis_id").join(st, "analysis_id", "left").select(
             "analysis_id",
