@@ -126,9 +126,13 @@ def fold_job(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
         status, retry, created, failed, last_seq = state.get
     else:
         status, retry, created, failed, last_seq = None, 0, None, None, -1
-    events = pd.concat(list(pdfs)).sort_values("seq")
-    for kind, ts, seq in zip(events["kind"], events["ts"], events["seq"]):
-        last_seq = max(last_seq, int(seq))
+    frames = list(pdfs)
+    ev = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    order = ev["seq"].to_numpy().argsort(kind="stable")
+    kinds = ev["kind"].to_numpy()[order]
+    stamps = ev["ts"].iloc[order].tolist()
+    last_seq = max(last_seq, int(ev["seq"].max()))
+    for kind, ts in zip(kinds, stamps):
         if kind == "enqueue":
             status, created, failed = S.JOB_PENDING, ts, None
         elif status is None:
