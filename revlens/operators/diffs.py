@@ -55,10 +55,11 @@ def changed_files(
         F.concat(F.array_join("_f.added", "\n"), F.lit("\n")).alias("content"),
         F.size("_f.added").alias("added_count"),
     )
-    # Spread file blocks over the cluster: every later step (line explode,
-    # rules) is per file, and one huge diff must not stay one task. An explicit
-    # count keeps AQE from coalescing the blocks back into a few partitions.
-    n = partitions or int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Spread file blocks over every core of the cluster: each later step (line
+    # explode, rules) is per file, and one huge diff must not stay one task.
+    # The count is explicit so AQE does not fold the CPU-heavy text work back
+    # into a few partitions (it only sees bytes, not regex cost).
+    n = partitions or out.sparkSession.sparkContext.defaultParallelism
     return out.repartition(n, id_col, "file_idx")
 
 

@@ -1411,7 +1411,12 @@ def stream_enrich(spark, d):
         F.col("doc_id").alias("seq"),
     )
     SJ.write_in_chunks(newjobs, src, "seq", 3)
-    return SJ.run_enrich_stream(spark, src, root, P.diffs(spark, d), P.diagnostics_input(spark, d))
+    # The static side is a stored table in a real deployment: write the derived
+    # diffs once instead of re-deriving them in every micro-batch.
+    from revlens.session import materialize
+
+    static_diffs = materialize(P.diffs(spark, d), "static-diffs")
+    return SJ.run_enrich_stream(spark, src, root, static_diffs, P.diagnostics_input(spark, d))
 
 
 

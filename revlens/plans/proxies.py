@@ -277,7 +277,6 @@ def diffs(spark: SparkSession, d: str) -> DataFrame:
     # Diffs are hash-partitioned on their lookup key (repo_name, pr_number), the
     # key `attach_diffs` joins on, so the diff text is shuffled once and the
     # per-diff parsing runs spread over tasks.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = doc.select(
         sid.alias("analysis_id"),
         F.lit("org/docs").alias("repo_name"),
@@ -285,7 +284,7 @@ def diffs(spark: SparkSession, d: str) -> DataFrame:
         "doc_id",
         "text",
         "lang",
-    ).repartition(n, "repo_name", "pr_number")
+    ).repartition(spark.sparkContext.defaultParallelism, "repo_name", "pr_number")
     return keyed.select(
         "analysis_id",
         "repo_name",
