@@ -27,7 +27,10 @@ def file_blocks(diff) -> Column:
     """
     # Cut at the newline before each header (lines are '\n'-separated, as in
     # the reference); the regex engine only tests the lookahead at newlines.
-    return F.split(F.coalesce(_c(diff), F.lit("")), r"\n(?=diff --git)")
+    # Only a header with at least 4 space-separated tokens starts a file: a
+    # shorter one is content-free and its lines stay with the current file,
+    # which is then emitted once.
+    return F.split(F.coalesce(_c(diff), F.lit("")), r"\n(?=diff --git(?:[^ \n]* ){2})")
 
 
 def block_path(block, parity: bool = False) -> Column:

@@ -31,6 +31,10 @@ def test_diff_boundaries(spark):
     assert _files(spark, "") == []
     dup = "diff --git a/p.cs b/p.cs\n+a\ndiff --git a/p.cs b/p.cs\n+b"
     assert [r[1] for r in _files(spark, dup)] == ["p.cs", "p.cs"]
+    short = "diff --git a/p.cs b/p.cs\n+a\ndiff --git broken\n+b\ndiff --git a/q.cs b/q.cs\n+c"
+    assert _files(spark, short) == [(0, "p.cs", "a\nb\n"), (1, "q.cs", "c\n")]
+    crlf = "diff --git a/w.cs b/w.cs\r\n+x\r\n"
+    assert _files(spark, crlf) == [(0, "w.cs", "x\r\n")]
 
 
 def test_extension_filter(spark):
