@@ -41,18 +41,24 @@ LONG_MAX_STATEMENTS = 50
 MASK_RE = r'"(?:[^"\\]|\\.)*"|' + r"'(?:[^'\\]|\\.)'|/\*.*?\*/|//.*"
 ASYNC_VOID_RE = (
     r"\basync\s+(?:(?:public|private|protected|internal|static|override|virtual|sealed|new|unsafe|extern)\s+)*"
-    r"void\s+(\w+)\s*\("
+    r"void\s+(\w+)\s*(?:<[^>]*>)?\s*\("
 )
 # A numeric token: a digit run with word characters and one optional fraction,
 # not glued to an identifier or a preceding dot.
 NUMBER_RE = r"(?:^|[^\w.])(\d\w*(?:\.\d\w*)?)"
 VALID_NUMBER_RE = r"^\d+(\.\d+)?(e[+-]?\d+)?$"
 NUMBER_SUFFIX_RE = r"(ul|lu|u|l|f|d|m)$"
+# Group 1 is the return type, group 2 the method name.
 METHOD_HEADER_RE = (
     r"^\s*(?:(?:public|private|protected|internal|static|override|virtual|sealed|new|unsafe|extern|async|partial)\s+)*"
-    r"[\w<>\[\],.?]+\s+(\w+)\s*(?:<[^>]*>)?\s*\([^;]*\)\s*(?:where\s+[^{;]*)?\{?\s*$"
+    r"([\w<>\[\],.?]+)\s+(\w+)\s*(?:<[^>]*>)?\s*\([^;]*\)\s*(?:where\s+[^{;]*)?\{?\s*$"
 )
 CONTROL_WORDS = ("if", "for", "foreach", "while", "switch", "catch", "using", "lock", "return", "else", "new")
+# A modifier in the return-type slot means a constructor-like header ("public Foo()").
+MODIFIER_WORDS = (
+    "public", "private", "protected", "internal", "static", "override", "virtual", "sealed", "new", "unsafe",
+    "extern", "async", "partial",
+)
 
 LINE_KEYS = ["analysis_id", "file_idx"]
 
@@ -181,7 +187,8 @@ def long_methods(
     """Block-bodied methods with more than `max_statements` top-level statements.
 
     Line-level approximation: brace depth is a running sum over the file's
-    lines; a method starts at a header line (not a control statement, no ';'),
+    lines; a method starts at a header line (return type + name + parameter
+    list; not a control statement, not a constructor, no ';'),
     its body is every later line deeper than the header; a top-level statement
     is a body line that ends with ';' at body depth, or a line that closes a
     nested block back to body depth. Expression-bodied methods never count.
@@ -191,14 +198,20 @@ def long_methods(
         {
             "_open": F.length(F.regexp_replace("code", r"[^{]", "")),
             "_close": F.length(F.regexp_replace("code", r"[^}]", "")),
-            "_name": F.regexp_extract("code", METHOD_HEADER_RE, 1),
+            "_type": F.regexp_extract("code", METHOD_HEADER_RE, 1),
+            "_name": F.regexp_extract("code", METHOD_HEADER_RE, 2),
         }
     )
     if materialize:
         from revlens.session import materialize as _materialize
 
         m = _materialize(m, "masked-lines")
-    is_header = (F.col("_name") != "") & ~F.col("_name").isin(*CONTROL_WORDS) & ~F.col("code").contains("=>")
+    is_header = (
+        (F.col("_name") != "")
+        & ~F.col("_name").isin(*CONTROL_WORDS)
+        & ~F.col("_type").isin(*MODIFIER_WORDS)
+        & ~F.col("code").contains("=>")
+    )
     # One keyed scan gives both the brace depth (running sum, then minus the
     # line's own braces = depth before the line) and the latest header line.
     m = running_max(

@@ -804,6 +804,7 @@ def _sql_rule_views() -> dict[str, str]:
     av = R.ASYNC_VOID_RE.replace("'", "''")
     hdr = R.METHOD_HEADER_RE.replace("'", "''")
     ctl = ", ".join(P._sql_str(w) for w in R.CONTROL_WORDS)
+    mods = ", ".join(P._sql_str(w) for w in R.MODIFIER_WORDS)
     return {
         "masked": f"SELECT *, regexp_replace(text, '{mask}', ' ', 'g') AS m FROM v_lines",
         "toks": f"""SELECT analysis_id, file_idx, file_path, line_number, unnest(t) AS token,
@@ -837,12 +838,14 @@ def _sql_rule_views() -> dict[str, str]:
         "lm1": f"""SELECT analysis_id, file_idx, file_path, line_number, m AS code,
                           length(regexp_replace(m, '[^{{]', '', 'g')) AS o,
                           length(regexp_replace(m, '[^}}]', '', 'g')) AS c,
-                          regexp_extract(m, '{hdr}', 1) AS name
+                          regexp_extract(m, '{hdr}', 1) AS rtype,
+                          regexp_extract(m, '{hdr}', 2) AS name
                    FROM masked""",
         "lm2": f"""SELECT *,
                           coalesce(sum(o - c) OVER (PARTITION BY analysis_id, file_idx ORDER BY line_number
                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth,
-                          (name <> '' AND name NOT IN ({ctl}) AND NOT contains(code, '=>')) AS is_header
+                          (name <> '' AND name NOT IN ({ctl}) AND rtype NOT IN ({mods})
+                           AND NOT contains(code, '=>')) AS is_header
                    FROM lm1""",
         "lm3": """SELECT *, max(CASE WHEN is_header THEN line_number END) OVER (PARTITION BY analysis_id, file_idx
                           ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hdr

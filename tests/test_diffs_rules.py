@@ -49,9 +49,9 @@ def _lines(spark, text):
 
 
 def test_async_void(spark):
-    code = "async void F() {}\nasync Task G() {}\nvoid H() {}\n// async void C() {}\nvar s = \"async void S()\";\npublic static async void K(int x) {}"
+    code = "async void F() {}\nasync Task G() {}\nvoid H() {}\n// async void C() {}\nvar s = \"async void S()\";\npublic static async void K(int x) {}\nprivate async void Gen<T>(T x) {}"
     got = sorted((r["line_number"], r["suggested_fix"]) for r in R.async_void(_lines(spark, code)).collect())
-    assert got == [(1, "async Task F(...)"), (6, "async Task K(...)")]
+    assert got == [(1, "async Task F(...)"), (6, "async Task K(...)"), (7, "async Task Gen(...)")]
 
 
 def test_magic_numbers(spark):
@@ -72,6 +72,8 @@ def test_long_methods(spark):
     assert R.long_methods(_lines(spark, _method(50))).count() == 0
     got = R.long_methods(_lines(spark, _method(51))).collect()
     assert len(got) == 1 and got[0]["line_number"] == 2 and "(51 satır)" in got[0]["message"]
+    ctor = "class C {\n  public C() {\n" + "\n".join(f"    x{i}();" for i in range(60)) + "\n  }\n}"
+    assert R.long_methods(_lines(spark, ctor)).count() == 0
     nested = "class C {\n  void M() {\n" + "\n".join("    if (a) {\n      b();\n    }" for _ in range(51)) + "\n  }\n}"
     assert R.long_methods(_lines(spark, nested)).count() == 1
 
