@@ -1196,7 +1196,8 @@ def _sql_encode(x: str) -> str:
         f"array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: "
         "CASE WHEN c = '&' THEN '&amp;' WHEN c = '<' THEN '&lt;' WHEN c = '>' THEN '&gt;' "
         "WHEN c = '\"' THEN '&quot;' WHEN c = '''' THEN '&#39;' "
-        "WHEN unicode(c) BETWEEN 160 AND 255 THEN '&#' || CAST(unicode(c) AS VARCHAR) || ';' ELSE c END), '')"
+        "WHEN unicode(c) BETWEEN 160 AND 255 OR unicode(c) >= 65536 THEN '&#' || CAST(unicode(c) AS VARCHAR) || ';' "
+        "ELSE c END), '')"
     )
 
 

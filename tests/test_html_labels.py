@@ -20,6 +20,7 @@ def test_numbered_to_html(spark):
     assert _one(spark, f, "x <ul> y") == "x <ul> y"
     assert _one(spark, f, "1. <b>x</b>\n<b>p</b>") == "<ol><li>&lt;b&gt;x&lt;/b&gt;</li></ol><p><b>p</b></p>"
     assert _one(spark, f, "1. café") == "<ol><li>caf&#233;</li></ol>"
+    assert _one(spark, f, "1. ok 😀") == "<ol><li>ok &#128512;</li></ol>"
     assert _one(spark, f, "   ") == ""
 
 
