@@ -64,8 +64,10 @@ LINE_KEYS = ["analysis_id", "file_idx"]
 
 
 def mask_code(text) -> Column:
+    """Blank comments, string and char literals (a line without a quote or a
+    slash has none, so the regex is skipped for it)."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.regexp_replace(t, MASK_RE, " ")
+    return F.when(t.rlike("[\"'/]"), F.regexp_replace(t, MASK_RE, " ")).otherwise(t)
 
 
 def _finding(
@@ -98,9 +100,9 @@ def _finding(
 
 def async_void(lines: DataFrame) -> DataFrame:
     """`async ... void Name(` on a masked line; Warning."""
-    m = lines.withColumn("_masked", mask_code("text")).withColumn(
-        "_name", F.regexp_extract("_masked", ASYNC_VOID_RE, 1)
-    )
+    # Only lines that mention `async` can match: test that before the regex.
+    m = lines.filter(F.col("text").contains("async")).withColumn("_masked", mask_code("text"))
+    m = m.withColumn("_name", F.regexp_extract("_masked", ASYNC_VOID_RE, 1))
     hits = m.filter(F.col("_name") != "")
     col = F.locate("async", F.col("_masked"))
     return hits.select(
@@ -196,12 +198,17 @@ def long_methods(
     m = lines.select(*LINE_KEYS, "file_path", "line_number", mask_code("text").alias("code"))
     m = m.withColumns(
         {
-            "_open": F.length(F.regexp_replace("code", r"[^{]", "")),
-            "_close": F.length(F.regexp_replace("code", r"[^}]", "")),
-            "_type": F.regexp_extract("code", METHOD_HEADER_RE, 1),
-            "_name": F.regexp_extract("code", METHOD_HEADER_RE, 2),
+            "_open": F.length("code") - F.length(F.replace(F.col("code"), F.lit("{"), F.lit(""))),
+            "_close": F.length("code") - F.length(F.replace(F.col("code"), F.lit("}"), F.lit(""))),
+            # A header needs a '(' : skip the regex on every other line.
+            "_hdr_parts": F.when(
+                F.col("code").contains("("),
+                F.array(
+                    F.regexp_extract("code", METHOD_HEADER_RE, 1), F.regexp_extract("code", METHOD_HEADER_RE, 2)
+                ),
+            ).otherwise(F.array(F.lit(""), F.lit(""))),
         }
-    )
+    ).withColumns({"_type": F.col("_hdr_parts")[0], "_name": F.col("_hdr_parts")[1]}).drop("_hdr_parts")
     if materialize:
         from revlens.session import materialize as _materialize
 
