@@ -59,7 +59,9 @@ def changed_files(
     # explode, rules) is per file, and one huge diff must not stay one task.
     # The count is explicit so AQE does not fold the CPU-heavy text work back
     # into a few partitions (it only sees bytes, not regex cost).
-    n = partitions or out.sparkSession.sparkContext.defaultParallelism
+    from revlens.session import parallelism
+
+    n = partitions or parallelism(out.sparkSession)
     return out.repartition(n, id_col, "file_idx")
 
 

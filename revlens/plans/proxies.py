@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens.session import parallelism
+
 REPOS = 20  # analyses are spread over org/repo-0 .. org/repo-19
 PR_SLOTS = 20  # webhook PR numbers are props.k % 20 + 1; job slots props.k % 20
 
@@ -32,7 +34,11 @@ def analyses(spark: SparkSession, d: str) -> DataFrame:
         .when(F.col("o_orderstatus") == "O", F.lit(1))
         .when(F.col("o_orderstatus") == "P", F.lit(0))
     )
-    return j.select(
+    # Hash-partitioned on `id`: every analysis join (per-analysis finding /
+    # suggestion aggregates, packed JSON, notifications) is on this key, so
+    # the sort-merge joins reuse this one exchange, and the per-row detail work
+    # (summary HTML, JSON parsing) is spread over tasks.
+    out = j.select(
         F.col("o_orderkey").cast("string").alias("id"),
         F.concat(F.lit("org/repo-"), (F.col("o_custkey") % REPOS).cast("string")).alias("repo_name"),
         F.col("o_orderkey").cast("int").alias("pr_number"),
@@ -51,6 +57,7 @@ def analyses(spark: SparkSession, d: str) -> DataFrame:
         _ts("o_orderdate").alias("created_at"),
         _ts("o_orderdate").alias("updated_at"),
     )
+    return out.repartition("id")
 
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
@@ -284,7 +291,7 @@ def diffs(spark: SparkSession, d: str) -> DataFrame:
         "doc_id",
         "text",
         "lang",
-    ).repartition(spark.sparkContext.defaultParallelism, "repo_name", "pr_number")
+    ).repartition(parallelism(spark), "repo_name", "pr_number")
     return keyed.select(
         "analysis_id",
         "repo_name",

@@ -70,3 +70,12 @@ def materialize(df, name: str = "table"):
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Cores available to the job (the cluster's default parallelism); falls
+    back to the shuffle partition setting where no SparkContext is exposed."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect sessions
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
