@@ -131,6 +131,19 @@ def effective_events(events: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
     )
 
 
+def apply_status_events(analyses: DataFrame, events: DataFrame, key: str = "analysis_id") -> DataFrame:
+    """K5 state update: each analysis takes the analysis status of its latest
+    effective job event (a failed attempt marks it Failed even when a retry
+    follows); analyses without job events keep their status. `events` carries
+    `key`, seq and analysis_status (see `effective_events`); it is reduced to
+    one row per analysis (partial aggregation) before the join."""
+    latest = events.groupBy(key).agg(F.max(F.struct("seq", "analysis_status")).alias("_last"))
+    j = analyses.join(latest.withColumnRenamed(key, "id"), "id", "left")
+    return j.select(
+        *[F.coalesce(F.col("_last.analysis_status"), F.col(c)).alias(c) if c == "status" else F.col(c) for c in analyses.columns]
+    )
+
+
 def queue_length(states: DataFrame) -> DataFrame:
     """Jobs waiting in the queue (Pending only; Retrying jobs sit in their delay)."""
     return states.agg(F.count_if(F.col("status") == S.JOB_PENDING).cast("int").alias("queue_length"))

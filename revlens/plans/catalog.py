@@ -1466,3 +1466,25 @@ def table_roundtrip(spark, d):
     TB.insert_rows(rows.filter(F.col("created_at") >= F.lit(AS_OF).cast("timestamp")), path)
     back = TB.read_table(spark, path, "analyses")
     return back.select("id", "repo_name", "pr_number", "pr_title", "status", "quality_score", "findings_json", "created_at")
+
+
+
+@register(
+    "analysis_status",
+    with_jobs("v_analyses", extra={"eff": SQL_EFFECTIVE})
+    + """SELECT a.id, coalesce(l.st, a.status) AS status
+         FROM v_analyses a LEFT JOIN (
+            SELECT CAST(CAST(split_part(job_id, '-', 1) AS BIGINT) * 100 + CAST(split_part(job_id, '-', 2) AS BIGINT)
+                        AS VARCHAR) AS analysis_id,
+                   arg_max(analysis_status, seq) AS st
+            FROM eff GROUP BY 1) l ON l.analysis_id = a.id""",
+)
+def analysis_status(spark, d):
+    """K5: analysis status driven by the job lifecycle events."""
+    parts = F.split(F.col("job_id"), "-")
+    ev = Q.effective_events(P.job_events(spark, d)).select(
+        (parts[0].cast("long") * 100 + parts[1].cast("long")).cast("string").alias("analysis_id"),
+        "seq",
+        "analysis_status",
+    )
+    return Q.apply_status_events(P.analyses(spark, d), ev).select("id", "status")
