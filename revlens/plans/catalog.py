@@ -1115,10 +1115,10 @@ def review_replies(spark, d):
 
 # ---------------------------------------------------------------------------
 # Detail view and summary HTML
-def detail_rows(spark: SparkSession, d: str) -> DataFrame:
+def detail_rows(spark: SparkSession, d: str, with_scores: bool = True) -> DataFrame:
     from revlens.functions import jsonio as J
 
-    a = scored(spark, d)
+    a = scored(spark, d) if with_scores else P.analyses(spark, d)
     pf = J.pack_findings(P.findings(spark, d)).withColumnRenamed("analysis_id", "id")
     sug = P.suggestions(spark, d).withColumn("tags", F.array(F.lit("t"), F.lit(" "), F.col("category")))
     ps = J.pack_suggestions(sug).withColumnRenamed("analysis_id", "id")
@@ -1183,8 +1183,9 @@ def analysis_detail(spark, d):
                CAST(finding_count + suggestion_count AS INTEGER) AS result_count FROM v_scored""",
 )
 def finding_counts(spark, d):
-    """List sizes shown next to the detail lists, from the packed JSON."""
-    det = detail_rows(spark, d)
+    """List sizes shown next to the detail lists, from the packed JSON
+    (scores are not needed for the counts, so the scoring joins are skipped)."""
+    det = detail_rows(spark, d, with_scores=False)
     return det.select(
         "id",
         F.size("findings").alias("finding_count"),
