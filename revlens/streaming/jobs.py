@@ -65,33 +65,70 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def run_state_stream(spark: SparkSession, source: str, root: str) -> DataFrame:
+def _bucket(cols, buckets: int = 64) -> "F.Column":
+    return F.pmod(F.hash(*[F.col(c) for c in cols]), F.lit(buckets)).cast("int")
+
+
+def run_state_stream(spark: SparkSession, source: str, root: str, buckets: int | None = None) -> DataFrame:
     """K1: run the webhook stream to completion (availableNow) and return the
     final analysis table.
 
     Source rows are (seq, ts, raw webhook JSON). Each micro-batch is parsed
-    (S1), rejected / malformed payloads and rows with an empty repository or
-    PR 0 are dropped (T21), and the rest is applied in seq order onto the
-    snapshot of the previous batch id. Batch ids are consecutive, so a retried
-    batch b always starts again from snapshot b-1 and overwrites snapshot b.
+    (S1); rejected / malformed payloads and rows with an empty repository or
+    PR 0 are dropped (T21); the rest is applied in seq order.
+
+    The state table is partitioned by a hash bucket of (repo_name, pr_number).
+    A batch reads only the buckets its events touch (worth it for the usual
+    small, frequent webhook batches against a large table) (semi-join: dynamic
+    partition pruning), stages the new rows of those buckets, and overwrites
+    just those partitions (dynamic partition overwrite), so the cost follows
+    the batch, not the whole table. A placeholder row per touched bucket makes
+    buckets that become empty get overwritten too. Applying a batch twice gives
+    the same rows as applying it once, so a retry after a partial write is
+    safe (at-least-once foreachBatch).
     """
     from revlens.sources.webhooks import OK, parse_pr_events
 
-    state_root = os.path.join(root, "state")
-    empty = spark.createDataFrame([], S.ANALYSES)
+    from revlens.session import parallelism
+
+    table = os.path.join(root, "state")
+    key = list(ST.KEY)
+    # Bucket count: one per core by default (thousands on a cluster), fixed for
+    # the life of the table.
+    nb = buckets or parallelism(spark)
+    state_schema = T.StructType(S.ANALYSES.fields + [T.StructField("_bucket", T.IntegerType())])
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        prev_path = os.path.join(state_root, str(batch_id - 1))
-        state = (
-            spark.read.schema(S.ANALYSES).parquet(prev_path)
-            if batch_id > 0 and _exists(spark, prev_path)
-            else empty
-        )
         ev = parse_pr_events(batch, "raw").filter(
             (F.col("parse_status") == OK) & (F.col("repo_name") != "") & (F.col("pr_number") != 0)
         )
-        out = ST.apply_batch(state, ev)
-        out.write.mode("overwrite").parquet(os.path.join(state_root, str(batch_id)))
+        ev = ev.withColumn("_bucket", _bucket(key, nb))
+        touched = ev.select("_bucket").distinct()
+        if _exists(spark, table):
+            state = (
+                spark.read.schema(state_schema)
+                .parquet(table)
+                .join(touched, "_bucket", "left_semi")
+                .filter(F.col("id").isNotNull())
+                .drop("_bucket")
+            )
+        else:
+            state = spark.createDataFrame([], S.ANALYSES)
+        new_rows = ST.apply_batch(state, ev.drop("_bucket")).withColumn("_bucket", _bucket(key, nb))
+        placeholders = touched.select(
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in S.ANALYSES.fields], "_bucket"
+        )
+        staging = os.path.join(root, "staging", str(batch_id))
+        new_rows.unionByName(placeholders).write.mode("overwrite").parquet(staging)
+        (
+            spark.read.schema(state_schema)
+            .parquet(staging)
+            .repartition("_bucket")  # one writer per bucket: one file per touched partition
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("_bucket")
+            .parquet(table)
+        )
 
     stream = spark.readStream.schema(RAW_EVENT).option("maxFilesPerTrigger", 1).parquet(source)
     q = (
@@ -101,10 +138,9 @@ def run_state_stream(spark: SparkSession, source: str, root: str) -> DataFrame:
         .start()
     )
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else None
-    if last is None or not _exists(spark, os.path.join(state_root, str(last))):
-        return empty
-    return spark.read.schema(S.ANALYSES).parquet(os.path.join(state_root, str(last)))
+    if not _exists(spark, table):
+        return spark.createDataFrame([], S.ANALYSES)
+    return spark.read.schema(state_schema).parquet(table).filter(F.col("id").isNotNull()).drop("_bucket")
 
 
 # --- K2 ------------------------------------------------------------------------------

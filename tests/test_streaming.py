@@ -41,3 +41,21 @@ def test_job_stream_equals_batch_fold(spark):
     want = Q.job_states(ev)
     cols = ["job_id", "status", "retry_count", "created_at", "failed_at", "next_attempt_at", "error_message"]
     assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect())
+
+
+def test_state_stream_keeps_untouched_buckets(spark):
+    # batch 1 touches only repo a, batch 2 only repo b, batch 3 updates repo a
+    # again: if batch 2 had dropped a's bucket, batch 3 would create a new id.
+    spec = [(0, "opened", "o/a"), (1, "synchronize", "o/a"), (10, "opened", "o/b"), (20, "synchronize", "o/a")]
+    rows = [(s, T0 + timedelta(seconds=s), act, repo, 1, f"t{s}", "u") for s, act, repo in spec]
+    ev = spark.createDataFrame(
+        rows, "seq long, ts timestamp, action string, repo_name string, pr_number int, pr_title string, pr_author string"
+    )
+    raw = ev.select("seq", "ts", encode_pr_event(F.col("action"), F.col("repo_name"), F.col("pr_number"), F.col("pr_title"), F.col("pr_author"), F.col("ts")).alias("raw"))
+    root = SJ.scratch(spark, "test-k1-buckets")
+    for lo, hi in ((0, 5), (5, 15), (15, 30)):
+        raw.filter(f"seq >= {lo} AND seq < {hi}").coalesce(1).write.mode("append").parquet(f"{root}/src")
+    got = SJ.run_state_stream(spark, f"{root}/src", root)
+    assert sorted((r["repo_name"], r["pr_title"]) for r in got.collect()) == [("o/a", "t20"), ("o/b", "t10")]
+    want = ST.replay(ev)
+    assert sorted(got.select("id").collect()) == sorted(want.select("id").collect())
