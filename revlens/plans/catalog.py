@@ -234,8 +234,17 @@ SQL_LIST = """
         FROM m, r, qn""",
 )
 def dashboard(spark, d):
+    from revlens.session import materialize
+
+    # The dashboard reads the analysis table twice (metrics and the recent
+    # list, each pruned to different columns). Score once and store the
+    # table in the shared checkpoint folder, as the service reads its stored
+    # table, so the findings / suggestions scans are not repeated per branch.
+    cols = ["id", "repo_name", "pr_number", "pr_title", "pr_author", "status", "quality_score", "risk_level",
+            "processed_at", "created_at"]
+    table = materialize(scored(spark, d).select(*cols), "analyses-scored")
     ql = Q.queue_length(jobs(spark, d))
-    row = SV.dashboard(scored(spark, d), ql)
+    row = SV.dashboard(table, ql)
     return row.select(
         "total_analyses",
         "average_quality_score",
