@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import quality_ranker, quality_rules
+from revlens.llm import license_scan, packing, quality_ranker, quality_rules
 from revlens.llm.common import read
 
 
@@ -16,15 +16,26 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents, quality_rules.train(documents, labels))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents", "doc_id", "text")
     labels = read(spark, sf_dir, "labels", "doc_id", "quality")
     return quality_ranker.classify(documents, quality_ranker.train(documents, labels))
 
 
+def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = packing.write_packed(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return packing.sequences(blocks)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_token_packing": op4_token_packing,
 }
 
 ORACLE: dict[str, str] = {}
