@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import license_scan, packing, quality_ranker, quality_rules
+from revlens.llm import decontaminate, license_scan, packing, quality_ranker, quality_rules
 from revlens.llm.common import read
 
 
@@ -31,11 +31,16 @@ def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(blocks)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_token_packing": op4_token_packing,
+    "op5_decontamination": op5_decontamination,
 }
 
 ORACLE: dict[str, str] = {}
