@@ -44,8 +44,8 @@ _ARROW = pa.schema(
 @dataclass(frozen=True)
 class Config:
     bits: int = 18  # size of the weight vector
-    rows_per_class: int = 1500  # bound of the fitted sample, per label
-    calibration_rows: int = 1500  # bound of the sample that calibrates
+    rows_per_class: int = 1000  # bound of the fitted sample, per label
+    calibration_rows: int = 1000  # bound of the sample that calibrates
     epochs: int = 12
     batch: int = 128
     rate: float = 0.5
