@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import decontaminate, license_scan, mixing, packing, quality_ranker, quality_rules
+from revlens.llm import decontaminate, license_scan, mixing, packing, quality_ranker, quality_rules, url_lists
 from revlens.llm.common import read
 
 
@@ -39,6 +39,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages", "page_id", "url")
+    return url_lists.judge(url_lists.dated_captures(pages), url_lists.dated_entries(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_packing": op4_token_packing,
     "op5_decontamination": op5_decontamination,
     "op8_source_mixing": op8_source_mixing,
+    "op10_url_lists": op10_url_lists,
 }
 
-ORACLE: dict[str, str] = {"op8_source_mixing": mixing.MIX_SQL}
+ORACLE: dict[str, str] = {"op8_source_mixing": mixing.MIX_SQL, "op10_url_lists": url_lists.JUDGE_SQL}
