@@ -176,7 +176,7 @@ def train(documents: DataFrame, labels: DataFrame, cfg: Config = Config()) -> Ra
 
 def quantile_threshold(documents: DataFrame, known: DataFrame, ranker: Ranker) -> tuple[float | None, float | None]:
     """Share of label 0 among the labelled rows and their strengths' quantile there."""
-    ranked = _strengths(documents.join(known.select("doc_id"), "doc_id", "left_semi"), ranker).join(known, "doc_id")
+    ranked = _strengths(documents, ranker).join(known, "doc_id")  # joins numbers, not texts
     share = ranked.agg(F.avg(1 - F.col("label")).alias("share"), F.percentile_approx("strength", [i / 1000 for i in range(1001)], 100_000).alias("q")).first()
     if share["share"] is None:
         return None, None
