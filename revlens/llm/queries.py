@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import decontaminate, license_scan, mixing, packing, quality_ranker, quality_rules, url_lists
+from revlens.llm import decontaminate, license_scan, mixing, packing, quality_ranker, quality_rules, url_lists, warc
 from revlens.llm.common import read
 
 
@@ -35,6 +35,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.write_and_read(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -50,8 +55,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_token_packing": op4_token_packing,
     "op5_decontamination": op5_decontamination,
+    "op6_warc": op6_warc,
     "op8_source_mixing": op8_source_mixing,
     "op10_url_lists": op10_url_lists,
 }
 
-ORACLE: dict[str, str] = {"op8_source_mixing": mixing.MIX_SQL, "op10_url_lists": url_lists.JUDGE_SQL}
+ORACLE: dict[str, str] = {
+    "op6_warc": warc.WARC_SQL,
+    "op8_source_mixing": mixing.MIX_SQL,
+    "op10_url_lists": url_lists.JUDGE_SQL,
+}
