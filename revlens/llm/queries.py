@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import decontaminate, license_scan, mixing, packing, quality_ranker, quality_rules, url_lists, warc
+from revlens.llm import decontaminate, license_scan, mixing, packing, ppm, quality_ranker, quality_rules, url_lists, warc
 from revlens.llm.common import read
 
 
@@ -40,6 +40,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_packing": op4_token_packing,
     "op5_decontamination": op5_decontamination,
     "op6_warc": op6_warc,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_source_mixing": op8_source_mixing,
     "op10_url_lists": op10_url_lists,
 }
