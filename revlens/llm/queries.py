@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import decontaminate, license_scan, mixing, packing, ppm, quality_ranker, quality_rules, url_lists, warc
+from revlens.llm import decontaminate, license_scan, mixing, ngram_join, packing, ppm, quality_ranker, quality_rules, url_lists, warc
 from revlens.llm.common import read
 
 
@@ -48,6 +48,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join.join_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return joined.select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages", "page_id", "url")
     return url_lists.judge(url_lists.dated_captures(pages), url_lists.dated_entries(pages))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_source_mixing": op8_source_mixing,
+    "op9_ngram_join": op9_ngram_join,
     "op10_url_lists": op10_url_lists,
 }
 
