@@ -1,7 +1,7 @@
 """Column builders for review prompts and replies.
 
-Prompt wording is our own; only the truncation limits and fallback texts are
-fixed values shared with the reference behaviour.
+Prompt wording is our own; only the size limits and fallback texts are fixed
+values. A text beyond a prompt's limit is asked in numbered parts.
 """
 
 from __future__ import annotations
@@ -53,39 +53,46 @@ def truncate(text, n: int) -> Column:
     return F.substring(_c(text), 1, n)
 
 
+def text_parts(text, n: int) -> Column:
+    """The whole text as parts of n characters, the last one shorter; an empty
+    or null text is one empty part."""
+    t = F.coalesce(_c(text), F.lit(""))
+    last = F.greatest(F.lit(0), F.ceil(F.length(t) / F.lit(n)) - 1).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(t, i * n + 1, F.lit(n)))
+
+
 def summary_prompt(diff, title) -> Column:
-    """summary prompt (diff cut to 12000 characters)."""
-    return F.concat(
-        F.lit(SUMMARY_HEAD),
-        F.coalesce(_c(title), F.lit("")),
-        F.lit(SUMMARY_MID),
-        truncate(F.coalesce(_c(diff), F.lit("")), SUMMARY_LIMIT),
-    )
+    """summary prompt for a diff or a part of one (see `prompts`)."""
+    return F.concat(F.lit(SUMMARY_HEAD), F.coalesce(_c(title), F.lit("")), F.lit(SUMMARY_MID), F.coalesce(_c(diff), F.lit("")))
 
 
 def issues_prompt(diff) -> Column:
-    """potential-issue prompt (diff cut to 10000 characters), JSON reply requested."""
-    return F.concat(
-        F.lit(ISSUES_HEAD),
-        truncate(F.coalesce(_c(diff), F.lit("")), ISSUES_LIMIT),
-    )
+    """potential-issue prompt, JSON reply requested."""
+    return F.concat(F.lit(ISSUES_HEAD), F.coalesce(_c(diff), F.lit("")))
 
 
 def refactor_prompt(code, file_name) -> Column:
-    """refactoring prompt for one file (code cut to 8000 characters)."""
-    return F.concat(
-        F.lit(REFACTOR_HEAD),
-        F.coalesce(_c(file_name), F.lit("")),
-        F.lit(REFACTOR_MID),
-        truncate(F.coalesce(_c(code), F.lit("")), REFACTOR_LIMIT),
-    )
+    """refactoring prompt for one file."""
+    return F.concat(F.lit(REFACTOR_HEAD), F.coalesce(_c(file_name), F.lit("")), F.lit(REFACTOR_MID), F.coalesce(_c(code), F.lit("")))
 
 
 def security_prompt(code) -> Column:
-    """security / concurrency prompt (code cut to 8000 characters)."""
-    return F.concat(
-        F.lit(SECURITY_HEAD),
-        truncate(F.coalesce(_c(code), F.lit("")), SECURITY_LIMIT),
+    """security / concurrency prompt."""
+    return F.concat(F.lit(SECURITY_HEAD), F.coalesce(_c(code), F.lit("")))
+
+
+def prompts(text, build, limit: int, first_only: bool = False) -> Column:
+    """F5 + F6: numbered prompts that cover the whole text in parts of `limit`
+    characters: array of (part, parts, truncated, prompt). With `first_only` the
+    text is cut at the limit instead, and `truncated` tells so."""
+    parts = text_parts(text, limit)
+    n = F.size(parts)
+    used = F.slice(parts, 1, 1) if first_only else parts
+    return F.transform(
+        used,
+        lambda p, i: F.struct(
+            (i + 1).alias("part"), n.alias("parts"), ((n > 1) & F.lit(first_only)).alias("truncated"), build(p).alias("prompt")
+        ),
     )
 
 

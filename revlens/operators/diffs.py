@@ -1,9 +1,7 @@
 """Diff tables: PR diff -> changed files -> added lines.
 
-A huge diff is a single row until it is cut into file blocks, so the block
-explode is followed by a repartition on (analysis_id, file_idx): after that
-every file is an independent row and the line explode spreads over tasks.
-`raw_diff` is never carried past the file split.
+All of it is row-local work on the partitions that hold the diffs, without an
+exchange; `raw_diff` is never carried past the file split.
 """
 
 from __future__ import annotations
@@ -25,9 +23,7 @@ def attach_diffs(rows: DataFrame, diffs: DataFrame, key: list[str] | None = None
     ).drop("_diff")
 
 
-def changed_files(
-    diffs: DataFrame, id_col: str = "analysis_id", parity: bool = False, partitions: int | None = None
-) -> DataFrame:
+def changed_files(diffs: DataFrame, id_col: str = "analysis_id", parity: bool = False) -> DataFrame:
     """F1 + F2 + F3: one row per file block with at least one added line.
 
     Columns: id_col, file_idx (0-based block order), file_path, content
@@ -55,14 +51,7 @@ def changed_files(
         F.concat(F.array_join("_f.added", "\n"), F.lit("\n")).alias("content"),
         F.size("_f.added").alias("added_count"),
     )
-    # Spread file blocks over every core of the cluster: each later step (line
-    # explode, rules) is per file, and one huge diff must not stay one task.
-    # The count is explicit so AQE does not fold the CPU-heavy text work back
-    # into a few partitions (it only sees bytes, not regex cost).
-    from revlens.session import parallelism
-
-    n = partitions or parallelism(out.sparkSession)
-    return out.repartition(n, id_col, "file_idx")
+    return out
 
 
 def csharp_files(files: DataFrame, ext: str = ".cs") -> DataFrame:
@@ -73,10 +62,10 @@ def csharp_files(files: DataFrame, ext: str = ".cs") -> DataFrame:
 def file_lines(files: DataFrame, id_col: str = "analysis_id") -> DataFrame:
     """One row per added line; line_number is the 1-based position in the
     concatenated added text (not the line number of the real file)."""
-    body = F.regexp_replace("content", r"\n$", "")
+    lines = F.split("content", "\n")
     return files.select(
         id_col,
         "file_idx",
         "file_path",
-        F.posexplode(F.split(body, "\n")).alias("_i", "text"),
+        F.posexplode(F.slice(lines, 1, F.size(lines) - 1)).alias("_i", "text"),
     ).select(id_col, "file_idx", "file_path", (F.col("_i") + 1).cast("int").alias("line_number"), "text")

@@ -1,7 +1,7 @@
 """Job lifecycle over a job-event log.
 
 This records outcomes; it schedules nothing. Events are
-(job_id, seq, ts, kind) with kind in enqueue / dequeue / complete / fail.
+(job_id, seq, ts, kind[, message]) with kind in enqueue / dequeue / complete / fail.
 
 Fold semantics (per job, in seq order):
 * enqueue   -> Pending, created_at = ts (a re-enqueue resets both); retry count kept
@@ -37,15 +37,45 @@ ORPHAN_MESSAGE = "Analysis record not found"
 TERMINAL = ("complete", "fail")
 
 
-def job_states(events: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
-    """K2 batch fold: one row per job that was ever enqueued.
+PRIOR_SEQ = -3  # events that stand for a stored state come before all real ones (seq >= 0)
+
+
+def prior_events(states: DataFrame) -> DataFrame:
+    """Stored job states as the events that lead to them, with the retry count
+    and error message so far on the enqueue event."""
+    done = F.when(F.col("status") == S.JOB_COMPLETED, F.lit("complete")).otherwise(F.lit("fail"))
+    step = lambda seq, ts, kind: F.struct(
+        F.lit(seq).cast("long").alias("seq"), F.col(ts).alias("ts"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind")
+    )
+    steps = F.array_compact(
+        F.array(
+            step(PRIOR_SEQ, "created_at", "enqueue"),
+            F.when(F.col("status") != S.JOB_PENDING, step(PRIOR_SEQ + 1, "created_at", "dequeue")),
+            F.when(~F.col("status").isin(S.JOB_PENDING, S.JOB_PROCESSING), step(PRIOR_SEQ + 2, "failed_at", done)),
+        )
+    )
+    so_far = F.struct("retry_count", F.col("error_message").alias("message"))
+    return states.select("job_id", so_far.alias("so_far"), F.inline(steps))
+
+
+def job_states(events: DataFrame, prior: DataFrame | None = None, span: int = DEFAULT_SPAN) -> DataFrame:
+    """K2 fold: one row per job that was ever enqueued.
+
+    `events` are applied in seq order on top of the `prior` states, if given
+    (events of a later batch are applied after those of earlier ones, whatever
+    their seq). An optional `message` column holds a failure's text.
 
     Columns: job_id, status, retry_count, created_at, failed_at, next_attempt_at,
     error_message.
     """
     kind = F.col("kind")
+    message = F.col("message") if "message" in events.columns else F.lit(None).cast("string")
+    nothing = F.lit(None).cast("struct<retry_count:int,message:string>")
+    ev = events.select("job_id", "seq", "ts", "kind", message.alias("message"), nothing.alias("so_far"))
+    if prior is not None:
+        ev = ev.unionByName(prior_events(prior), allowMissingColumns=True)
     scanned = running_max(
-        events.select("job_id", "seq", "ts", "kind"),
+        ev,
         ["job_id"],
         "seq",
         {
@@ -58,12 +88,16 @@ def job_states(events: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
     candidate = kind.isin(*TERMINAL) & (F.col("last_dequeue") > F.col("segment"))
     seg = scanned.groupBy("job_id", "segment").agg(
         (F.count_if(kind == "dequeue") > 0).alias("dequeued"),
-        F.min(F.when(candidate, F.struct(F.col("seq"), kind.alias("kind"), F.col("ts").alias("ts")))).alias("term"),
+        F.min(F.when(candidate, F.struct("seq", "kind", "ts", "message"))).alias("term"),
         F.max(F.when(F.col("seq") == F.col("segment"), F.col("ts"))).alias("enqueued_at"),
+        F.max("so_far").alias("so_far"),
     )
+    new_fail = (F.col("term.kind") == "fail") & (F.col("term.seq") >= 0)
     per_job = seg.groupBy("job_id").agg(
-        F.count_if(F.col("term.kind") == "fail").cast("int").alias("retry_count"),
+        (F.count_if(new_fail) + F.coalesce(F.max("so_far.retry_count"), F.lit(0))).cast("int").alias("retry_count"),
         F.max(F.struct("segment", "dequeued", "term", "enqueued_at")).alias("last"),
+        F.max(F.when(new_fail, F.struct("segment", F.col("term.message").alias("message")))).alias("error"),
+        F.max("so_far.message").alias("old_message"),
     )
     rc = F.col("retry_count")
     term_kind = F.col("last.term.kind")
@@ -84,15 +118,17 @@ def job_states(events: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
         F.when(status == S.JOB_RETRYING, failed_at + F.make_interval(secs=F.lit(RETRY_DELAY_SECONDS))).alias(
             "next_attempt_at"
         ),
-        F.when(rc > 0, F.concat(F.lit("attempt "), rc.cast("string"), F.lit(" failed"))).alias("error_message"),
+        F.when(F.col("error").isNotNull(), F.col("error.message")).otherwise(F.col("old_message")).alias("error_message"),
     )
 
 
 def effective_events(events: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
     """The events that change a job's state (every enqueue, the first dequeue
     after it, the first complete/fail after that dequeue), with K5's analysis
-    status and hub event: dequeue -> InProgress + AnalysisUpdated,
-    complete -> Completed + AnalysisCompleted, fail -> Failed (no event)."""
+    status and hub event: first enqueue -> Pending, dequeue -> InProgress +
+    AnalysisUpdated, complete -> Completed + AnalysisCompleted, fail -> Failed.
+    A retry's enqueue concerns the job only (status null): the analysis stays
+    Failed until the next dequeue."""
     kind = F.col("kind")
     scanned = running_max(
         events.select("job_id", "seq", "ts", "kind"),
@@ -101,26 +137,25 @@ def effective_events(events: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
         {
             "segment": F.when(kind == "enqueue", F.col("seq")),
             "last_dequeue": F.when(kind == "dequeue", F.col("seq")),
+            "enqueues": F.when(kind == "enqueue", F.lit(1)).otherwise(F.lit(0)).cast("long"),
         },
         span=span,
+        how={"enqueues": "sum"},
     ).filter(F.col("segment").isNotNull())
     candidate = kind.isin(*TERMINAL) & (F.col("last_dequeue") > F.col("segment"))
     seg = scanned.groupBy("job_id", "segment").agg(
-        F.min(F.when(kind == "dequeue", F.struct(F.col("seq"), F.col("ts")))).alias("deq"),
-        F.min(F.when(candidate, F.struct(F.col("seq"), F.col("ts"), kind.alias("kind")))).alias("term"),
+        F.min(F.when(kind == "enqueue", F.struct("seq", "ts", "kind", (F.col("enqueues") == 1).alias("first")))).alias("enq"),
+        F.min(F.when(kind == "dequeue", F.struct("seq", "ts", "kind", F.lit(False).alias("first")))).alias("deq"),
+        F.min(F.when(candidate, F.struct("seq", "ts", "kind", F.lit(False).alias("first")))).alias("term"),
     )
-    enq = scanned.filter(kind == "enqueue").select("job_id", "seq", "ts", "kind")
-    deq = seg.filter(F.col("deq").isNotNull()).select(
-        "job_id", F.col("deq.seq").alias("seq"), F.col("deq.ts").alias("ts"), F.lit("dequeue").alias("kind")
-    )
-    term = seg.filter(F.col("term").isNotNull()).select(
-        "job_id", F.col("term.seq").alias("seq"), F.col("term.ts").alias("ts"), F.col("term.kind").alias("kind")
-    )
-    out = enq.unionByName(deq).unionByName(term)
+    out = seg.select("job_id", F.inline(F.array_compact(F.array("enq", "deq", "term"))))
     k = F.col("kind")
     return out.select(
-        "*",
-        F.when(k == "enqueue", F.lit(S.ST_PENDING))
+        "job_id",
+        "seq",
+        "ts",
+        "kind",
+        F.when(k == "enqueue", F.when(F.col("first"), F.lit(S.ST_PENDING)))
         .when(k == "dequeue", F.lit(S.ST_IN_PROGRESS))
         .when(k == "complete", F.lit(S.ST_COMPLETED))
         .otherwise(F.lit(S.ST_FAILED))
@@ -133,15 +168,15 @@ def effective_events(events: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
 
 def apply_status_events(analyses: DataFrame, events: DataFrame, key: str = "analysis_id") -> DataFrame:
     """K5 state update: each analysis takes the analysis status of its latest
-    effective job event (a failed attempt marks it Failed even when a retry
-    follows); analyses without job events keep their status. `events` carries
-    `key`, seq and analysis_status (see `effective_events`); it is reduced to
-    one row per analysis (partial aggregation) before the join."""
-    latest = events.groupBy(key).agg(F.max(F.struct("seq", "analysis_status")).alias("_last"))
+    effective job event with a status (a failed attempt marks it Failed, and a
+    retry's enqueue does not change that); analyses without job events keep
+    their status. `events` carries `key`, seq, ts and analysis_status (see
+    `effective_events`); it is reduced to one row per analysis (partial
+    aggregation) before the join. A change stamps `updated_at` (F26)."""
+    latest = events.filter(F.col("analysis_status").isNotNull()).groupBy(key).agg(F.max(F.struct("seq", "analysis_status", "ts")).alias("_last"))
     j = analyses.join(latest.withColumnRenamed(key, "id"), "id", "left")
-    return j.select(
-        *[F.coalesce(F.col("_last.analysis_status"), F.col(c)).alias(c) if c == "status" else F.col(c) for c in analyses.columns]
-    )
+    new = {"status": "_last.analysis_status", "updated_at": "_last.ts"}
+    return j.select(*[F.coalesce(F.col(new[c]), F.col(c)).alias(c) if c in new else F.col(c) for c in analyses.columns])
 
 
 def queue_length(states: DataFrame) -> DataFrame:
@@ -170,13 +205,19 @@ def next_attempts(states: DataFrame) -> DataFrame:
 
 
 def attach_analysis(jobs: DataFrame, analyses: DataFrame, key: str = "analysis_id") -> DataFrame:
-    """Look each job's analysis up; an unmatched job fails with the orphan message."""
+    """Look up each job's analysis. A job that is being processed without
+    one fails that attempt (`fail` above): one retry more, Retrying below the
+    limit, the orphan message. Jobs that are not being processed are not looked
+    up, so a waiting orphan stays Pending."""
     found = analyses.select(F.col("id").alias(key)).withColumn("_found", F.lit(True))
-    j = jobs.join(found, key, "left")
-    hit = F.coalesce(F.col("_found"), F.lit(False))
+    j = jobs.join(found, key, "left").withColumn("_found", F.coalesce(F.col("_found"), F.lit(False)))
+    fails = ~F.col("_found") & (F.col("status") == S.JOB_PROCESSING)
+    retries = F.when(fails, F.col("retry_count") + 1).otherwise(F.col("retry_count"))
+    status = F.when(fails, F.when(retries < MAX_ATTEMPTS, F.lit(S.JOB_RETRYING)).otherwise(F.lit(S.JOB_FAILED))).otherwise(F.col("status"))
     return j.select(
-        *[c for c in jobs.columns if c not in ("status", "error_message")],
-        hit.alias("analysis_found"),
-        F.when(hit, F.col("status")).otherwise(F.lit(S.JOB_FAILED)).alias("status"),
-        F.when(hit, F.col("error_message")).otherwise(F.lit(ORPHAN_MESSAGE)).alias("error_message"),
+        *[c for c in jobs.columns if c not in ("status", "retry_count", "error_message")],
+        F.col("_found").alias("analysis_found"),
+        status.alias("status"),
+        retries.cast("int").alias("retry_count"),
+        F.when(fails, F.lit(ORPHAN_MESSAGE)).otherwise(F.col("error_message")).alias("error_message"),
     )

@@ -81,7 +81,9 @@ def canonical_suggestions(texts: pd.Series) -> pd.Series:
     return texts.map(_canonical)
 
 
-def parse_replies(replies: DataFrame, key: str, reply: str = "reply", default_type=0, file_label="mixed") -> DataFrame:
+def parse_replies(
+    replies: DataFrame, key: str, reply: str = "reply", default_type=0, file_label="mixed", fallback_limit: int | None = None
+) -> DataFrame:
     """F9 + F10: one row per suggestion of each reply.
 
     * empty / null reply -> no rows
@@ -89,6 +91,8 @@ def parse_replies(replies: DataFrame, key: str, reply: str = "reply", default_ty
     * invalid JSON -> one Low suggestion, impact 3, tags gpt-analysis + parse-error
     * valid JSON -> its suggestions with defaults; `{"suggestions": null}` -> none
     `default_type` / `file_label` may be ints/strings or Columns (caller's values).
+    The two fallbacks carry the whole reply text, or its first `fallback_limit`
+    characters.
     """
     r = F.col(reply)
     dtype = F.lit(default_type) if isinstance(default_type, int) else default_type
@@ -102,7 +106,7 @@ def parse_replies(replies: DataFrame, key: str, reply: str = "reply", default_ty
         label.alias("_label"),
     ).withColumn("_canon", F.when(F.col("_obj").isNotNull(), canonical_suggestions(F.col("_obj"))))
     parsed = F.from_json(F.col("_canon"), _CANON)
-    short = RF.truncate(F.col("_reply"), RF.FALLBACK_LIMIT)
+    short = F.col("_reply") if fallback_limit is None else RF.truncate(F.col("_reply"), fallback_limit)
 
     def fallback(title: str, prio: int, impact: int, tags: list[str]) -> Column:
         return F.array(
@@ -161,20 +165,63 @@ def from_items_type() -> str:
     )
 
 
+TASKS = {"summary": RF.SUMMARY_LIMIT, "issues": RF.ISSUES_LIMIT, "refactor": RF.REFACTOR_LIMIT, "security": RF.SECURITY_LIMIT}
+
+
+def review_prompts(rows: DataFrame, key: str, text: str, title: str, file_name: str | None = None) -> DataFrame:
+    """F5 + F6: the prompts of the four tasks for each row, in numbered parts:
+    key, task, part, parts, truncated, prompt, and the title for fallbacks.
+    Without `file_name` the refactoring task names the title."""
+    build = {
+        "summary": lambda p: RF.summary_prompt(p, F.col(title)),
+        "issues": RF.issues_prompt,
+        "refactor": lambda p: RF.refactor_prompt(p, F.col(file_name or title)),
+        "security": RF.security_prompt,
+    }
+
+    def named(task: str, limit: int) -> Column:
+        made = RF.prompts(text, build[task], limit)
+        return F.transform(made, lambda p: F.struct(F.lit(task).alias("task"), p["part"], p["parts"], p["truncated"], p["prompt"]))
+
+    asked = [named(task, limit) for task, limit in TASKS.items()]
+    return rows.select(key, F.col(title).alias("title"), F.inline(F.concat(*asked))).toDF(key, "title", "task", "part", "parts", "truncated", "prompt")
+
+
 def respond(prompts: DataFrame, responder: Callable[[pd.Series], pd.Series], prompt: str = "prompt") -> DataFrame:
-    """Run a reviewer over prompt rows (Arrow batches via mapInPandas);
-    adds a `reply` string column. A failing batch raises, like any task."""
-    schema = T.StructType(prompts.schema.fields + [T.StructField("reply", T.StringType())])
+    """Run a reviewer over prompt rows (Arrow batches via mapInPandas); adds
+    `reply` and `failed`. Where a batch fails, its prompts are asked one by one,
+    and those that fail again get no reply and failed = true: one pull request
+    never fails the others."""
+    schema = T.StructType(prompts.schema.fields + [T.StructField("reply", T.StringType()), T.StructField("failed", T.BooleanType())])
+
+    def alone(text: str) -> tuple[str | None, bool]:
+        try:
+            return responder(pd.Series([text])).iloc[0], False
+        except Exception:  # noqa: BLE001 - whatever the reviewer raises concerns this prompt only
+            return None, True
 
     def run(batches):
         for pdf in batches:
             pdf = pdf.copy()
-            pdf["reply"] = responder(pdf[prompt]).astype(object)
+            try:
+                pdf["reply"], pdf["failed"] = responder(pdf[prompt]).astype(object), False
+            except Exception:  # noqa: BLE001
+                each = [alone(t) for t in pdf[prompt]]
+                pdf["reply"], pdf["failed"] = pd.Series([r for r, _ in each], pdf.index, object), [f for _, f in each]
             yield pdf
 
     return prompts.mapInPandas(run, schema)
 
 
+def summaries(replies: DataFrame, key: str) -> DataFrame:
+    """F7 per key: the replies to its summary prompts in the order of the parts;
+    one failed part makes the error text, none with text the empty one."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("part", "reply"))), lambda x: x["reply"])
+    per = replies.groupBy(key).agg(F.first("title").alias("title"), F.bool_or("failed").alias("failed"), texts.alias("texts"))
+    joined = F.array_join("texts", "\n")
+    return per.select(key, RF.summary_text(F.when(joined != "", joined), "title", failed="failed").alias("summary"))
+
+
 def stub_responder(prompts: pd.Series) -> pd.Series:
     """Deterministic test reviewer: one suggestion whose priority and impact
     come from the prompt length (so the oracle can recompute it)."""
@@ -189,9 +236,21 @@ def stub_responder(prompts: pd.Series) -> pd.Series:
     )
 
 
+def fragile_responder(prompts: pd.Series) -> pd.Series:
+    """Test reviewer that fails on prompts whose length ends in 3."""
+    if (prompts.str.len() % 10 == 3).any():
+        raise RuntimeError("no answer")
+    return stub_responder(prompts)
+
+
 def with_review(analyses: DataFrame, replies: DataFrame, key: str = "id") -> DataFrame:
-    """Attach each analysis's summary reply; absent reply -> unconfigured fallback."""
-    j = analyses.join(replies.select(F.col(key), F.col("reply").alias("_r")), key, "left")
-    return j.withColumn(
-        "summary", RF.summary_text(F.col("_r"), F.col("pr_title"), configured=F.col("_r").isNotNull())
-    ).drop("_r")
+    """Each analysis with the summaries its reviews gave, a row each.
+    `replies`: key, reply, failed. An analysis without a row there was not
+    reviewed (no reviewer configured); a failed review and one without text have
+    texts of their own."""
+    r = replies.withColumnsRenamed({"reply": "_r", "failed": "_failed"}).withColumn("_asked", F.lit(True))
+    j = analyses.join(r, key, "left")
+    text = RF.summary_text(
+        F.col("_r"), F.col("pr_title"), configured=F.coalesce("_asked", F.lit(False)), failed=F.coalesce("_failed", F.lit(False))
+    )
+    return j.withColumn("summary", text).drop("_r", "_failed", "_asked")

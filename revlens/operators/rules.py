@@ -1,25 +1,26 @@
-"""Code rules over added lines.
-
-There is no C# parser here: rules are lexical, over each added line after
-comments, string and char literals are blanked (`mask_code`). Block comments
-and verbatim strings that span lines are not tracked (documented
-approximation). Every rule is a `lines_df -> findings_df` function over the
-exploded line table `(analysis_id, file_idx, file_path, line_number, text)`,
-so all rules run as column expressions over partitions of lines; the registry
-(X3) is a dict of such functions, unioned as a bag (U1).
+"""Code rules over the added text of files.
+
+One pass over each file's added text (`functions.csharp.scan`, a small lexical
+helper in an Arrow-batched UDF) gives the hits of R1-R3 as an array, where the
+file is read: no shuffle, whatever the number of rules. Exempt values, the
+optional limit (W1) and the texts of findings are column expressions on that
+array. The registry (X3) maps a kind of hit to the column that turns it into a
+finding; rules of other kinds are functions of the files, and all findings are
+united as a bag (U1).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens import schemas as S
+from revlens.functions import csharp
 from revlens.functions import diff as D
 from revlens.functions import labels as L
-from revlens.operators.scan import DEFAULT_SPAN, running_max
 
 # --- fixed values: rule ids, texts and limits ------------------------------------
 ASYNC_VOID_ID = "CV0001"
@@ -37,236 +38,124 @@ LONG_CATEGORY = "Maintainability"
 LONG_MAX_STATEMENTS = 50
 # ------------------------------------------------------------------------------------
 
-# Comments, string and char literals (one alternation, scanned left to right).
-MASK_RE = r'"(?:[^"\\]|\\.)*"|' + r"'(?:[^'\\]|\\.)'|/\*.*?\*/|//.*"
-ASYNC_VOID_RE = (
-    r"\basync\s+(?:(?:public|private|protected|internal|static|override|virtual|sealed|new|unsafe|extern)\s+)*"
-    r"void\s+(\w+)\s*(?:<[^>]*>)?\s*\("
-)
-# A numeric token: a digit run with word characters and one optional fraction,
-# not glued to an identifier or a preceding dot.
-NUMBER_RE = r"(?:^|[^\w.])(\d\w*(?:\.\d\w*)?)"
-VALID_NUMBER_RE = r"^\d+(\.\d+)?(e[+-]?\d+)?$"
-NUMBER_SUFFIX_RE = r"(ul|lu|u|l|f|d|m)$"
-# Group 1 is the return type, group 2 the method name.
-METHOD_HEADER_RE = (
-    r"^\s*(?:(?:public|private|protected|internal|static|override|virtual|sealed|new|unsafe|extern|async|partial)\s+)*"
-    r"([\w<>\[\],.?]+)\s+(\w+)\s*(?:<[^>]*>)?\s*\([^;]*\)\s*(?:where\s+[^{;]*)?\{?\s*$"
-)
-CONTROL_WORDS = ("if", "for", "foreach", "while", "switch", "catch", "using", "lock", "return", "else", "new")
-# A modifier in the return-type slot means a constructor-like header ("public Foo()").
-MODIFIER_WORDS = (
-    "public", "private", "protected", "internal", "static", "override", "virtual", "sealed", "new", "unsafe",
-    "extern", "async", "partial",
-)
-
 LINE_KEYS = ["analysis_id", "file_idx"]
+HITS = "array<struct<rule:string,line:int,col:int,text:string>>"
+
+
+def hits(content: Column, max_statements: int = LONG_MAX_STATEMENTS) -> Column:
+    """Hits of R1-R3 in one file's text, in text order; 1-based line and column."""
 
+    def positions(text: str) -> list[tuple]:
+        out, line, start = [], 1, 0
+        for f in csharp.scan(text, max_statements):
+            line += text.count("\n", start, f.at)
+            start = f.at
+            out.append((f.rule, line, f.at - text.rfind("\n", 0, f.at), f.text))
+        return out
 
-def mask_code(text) -> Column:
-    """Blank comments, string and char literals (a line without a quote or a
-    slash has none, so the regex is skipped for it)."""
-    t = F.col(text) if isinstance(text, str) else text
-    return F.when(t.rlike("[\"'/]"), F.regexp_replace(t, MASK_RE, " ")).otherwise(t)
+    @F.pandas_udf(HITS)
+    def scan(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: positions(t or ""))
+
+    return scan(content)
 
 
 def _finding(
-    rule_id: str,
-    title: Column | str,
-    message: Column | str,
-    severity: int,
-    category: str,
-    suggested_fix: Column | None = None,
-    column_number: Column | None = None,
-    snippet: Column | None = None,
-) -> list[Column]:
-    lit = lambda v: F.lit(v) if isinstance(v, str) else v
-    return [
-        "analysis_id",
-        "file_idx",
+    rule_id: str, title: str, message: Column, severity: int, category: str, suggested_fix: Column | None = None
+) -> Column:
+    return F.struct(
         F.lit(rule_id).alias("rule_id"),
-        lit(title).alias("title"),
-        lit(message).alias("message"),
+        F.lit(title).alias("title"),
+        message.alias("message"),
         F.lit(severity).alias("severity"),
-        "file_path",
-        F.col("line_number").cast("int").alias("line_number"),
-        (column_number if column_number is not None else F.lit(1)).cast("int").alias("column_number"),
-        (snippet if snippet is not None else F.lit("")).alias("code_snippet"),
         F.lit(category).alias("category"),
-        F.lit(None).cast("string").alias("description"),
         (suggested_fix if suggested_fix is not None else F.lit(None).cast("string")).alias("suggested_fix"),
-    ]
-
-
-def async_void(lines: DataFrame) -> DataFrame:
-    """`async ... void Name(` on a masked line; Warning."""
-    # Only lines that mention `async` can match: test that before the regex.
-    m = lines.filter(F.col("text").contains("async")).withColumn("_masked", mask_code("text"))
-    m = m.withColumn("_name", F.regexp_extract("_masked", ASYNC_VOID_RE, 1))
-    hits = m.filter(F.col("_name") != "")
-    col = F.locate("async", F.col("_masked"))
-    return hits.select(
-        *_finding(
-            ASYNC_VOID_ID,
-            ASYNC_VOID_TITLE,
-            ASYNC_VOID_MESSAGE,
-            S.SEV_WARNING,
-            ASYNC_VOID_CATEGORY,
-            suggested_fix=F.concat(F.lit("async Task "), F.col("_name"), F.lit("(...)")),
-            column_number=col,
-        )
     )
 
 
-def literal_value(tok) -> Column:
-    """Value text of a numeric literal token, or null when it is not one.
+def _async_void(h: Column) -> Column:
+    fix = F.concat(F.lit("async Task "), h["text"], F.lit("(...)"))
+    return _finding(ASYNC_VOID_ID, ASYNC_VOID_TITLE, F.lit(ASYNC_VOID_MESSAGE), S.SEV_WARNING, ASYNC_VOID_CATEGORY, fix)
 
-    '_' separators and type suffixes are dropped, integers lose leading zeros,
-    whole-valued reals print as integers (1.0 -> 1); hex (0x..) and binary
-    (0b..) integers are converted to decimal.
-    """
-    t0 = F.lower(F.regexp_replace(F.col(tok) if isinstance(tok, str) else tok, "_", ""))
-    is_hex = t0.rlike(r"^0x[0-9a-f]+(ul|lu|u|l)?$")
-    is_bin = t0.rlike(r"^0b[01]+(ul|lu|u|l)?$")
-    hex_digits = F.regexp_replace(F.regexp_replace(t0, r"^0x", ""), r"(ul|lu|u|l)$", "")
-    bin_digits = F.regexp_replace(F.regexp_replace(t0, r"^0b", ""), r"(ul|lu|u|l)$", "")
-    t1 = F.regexp_replace(t0, NUMBER_SUFFIX_RE, "")
-    d = t1.try_cast("double")
-    int_text = F.regexp_replace(t1, r"^0+", "")
-    dec = (
-        F.when(~t1.rlike(VALID_NUMBER_RE), F.lit(None).cast("string"))
-        .when(t1.rlike(r"^\d+$"), F.when(int_text == "", F.lit("0")).otherwise(int_text))
-        .when((d == F.floor(d)) & (F.abs(d) < F.lit(1e15)), d.cast("long").cast("string"))
-        .otherwise(t1)
-    )
-    return (
-        F.when(is_hex, F.conv(hex_digits, 16, 10))
-        .when(is_bin, F.conv(bin_digits, 2, 10))
-        .otherwise(dec)
-    )
 
+def _magic_number(h: Column) -> Column:
+    message = F.concat(F.lit("Use a named constant instead of magic number '"), h["text"], F.lit("'"))
+    fix = F.concat(F.lit("const int MEANINGFUL_NAME = "), h["text"], F.lit(";"))
+    return _finding(MAGIC_ID, MAGIC_TITLE, message, S.SEV_INFO, MAGIC_CATEGORY, fix)
 
-def numeric_literals(lines: DataFrame) -> DataFrame:
-    """Every numeric literal of every masked line, in source order (line, pos)."""
-    toks = lines.select(
-        *LINE_KEYS,
-        "file_path",
-        "line_number",
-        F.posexplode(F.regexp_extract_all(mask_code("text"), F.lit(NUMBER_RE), 1)).alias("pos", "token"),
-    )
-    return toks.withColumn("value", literal_value("token")).filter(F.col("value").isNotNull())
 
+def _long_method(h: Column) -> Column:
+    message = F.concat(F.lit("Metot çok uzun ("), h["text"], F.lit(" satır). Daha küçük parçalara bölün."))
+    return _finding(LONG_ID, LONG_TITLE, message, S.SEV_WARNING, LONG_CATEGORY)
 
-def magic_numbers(lines: DataFrame, limit: int = MAGIC_LIMIT_PER_FILE, span: int = 4096) -> DataFrame:
-    """R2 + W1: non-exempt literals, the first `limit` per file in source order.
 
-    Top-k per file in two stages so a huge file never sorts in one task:
-    first per (file, block of `span` lines), then over those few candidates.
-    """
-    lits = numeric_literals(lines).filter(~F.col("value").isin(*MAGIC_EXEMPT))
-    order = [F.col("line_number"), F.col("pos")]
-    blk = F.floor(F.col("line_number") / F.lit(span))
-    w1 = Window.partitionBy(*LINE_KEYS, blk).orderBy(*order)
-    cand = lits.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= limit)
-    w2 = Window.partitionBy(*LINE_KEYS).orderBy(*order)
-    top = cand.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= limit)
-    v = F.col("value")
-    return top.select(
-        *_finding(
-            MAGIC_ID,
-            MAGIC_TITLE,
-            F.concat(F.lit("Use a named constant instead of magic number '"), v, F.lit("'")),
-            S.SEV_INFO,
-            MAGIC_CATEGORY,
-            suggested_fix=F.concat(F.lit("const int MEANINGFUL_NAME = "), v, F.lit(";")),
-        )
-    )
+#: Kind of hit -> finding.
+RULES: dict[str, Callable[[Column], Column]] = {
+    "async_void": _async_void,
+    "literal": _magic_number,
+    "long_method": _long_method,
+}
 
 
-def long_methods(
-    lines: DataFrame, max_statements: int = LONG_MAX_STATEMENTS, span: int = DEFAULT_SPAN, materialize: bool = False
+def run_rules(
+    files: DataFrame,
+    rules: Mapping[str, Callable[[Column], Column]] | None = None,
+    literal_limit: int | None = None,
+    max_statements: int = LONG_MAX_STATEMENTS,
+    more: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> DataFrame:
-    """Block-bodied methods with more than `max_statements` top-level statements.
-
-    Line-level approximation: brace depth is a running sum over the file's
-    lines; a method starts at a header line (return type + name + parameter
-    list; not a control statement, not a constructor, no ';'),
-    its body is every later line deeper than the header; a top-level statement
-    is a body line that ends with ';' at body depth, or a line that closes a
-    nested block back to body depth. Expression-bodied methods never count.
-    """
-    m = lines.select(*LINE_KEYS, "file_path", "line_number", mask_code("text").alias("code"))
-    m = m.withColumns(
-        {
-            "_open": F.length("code") - F.length(F.replace(F.col("code"), F.lit("{"), F.lit(""))),
-            "_close": F.length("code") - F.length(F.replace(F.col("code"), F.lit("}"), F.lit(""))),
-            # A header needs a '(' : skip the regex on every other line.
-            "_hdr_parts": F.when(
-                F.col("code").contains("("),
-                F.array(
-                    F.regexp_extract("code", METHOD_HEADER_RE, 1), F.regexp_extract("code", METHOD_HEADER_RE, 2)
-                ),
-            ).otherwise(F.array(F.lit(""), F.lit(""))),
-        }
-    ).withColumns({"_type": F.col("_hdr_parts")[0], "_name": F.col("_hdr_parts")[1]}).drop("_hdr_parts")
-    if materialize:
-        from revlens.session import materialize as _materialize
-
-        m = _materialize(m, "masked-lines")
-    is_header = (
-        (F.col("_name") != "")
-        & ~F.col("_name").isin(*CONTROL_WORDS)
-        & ~F.col("_type").isin(*MODIFIER_WORDS)
-        & ~F.col("code").contains("=>")
-    )
-    # One keyed scan gives both the brace depth (running sum, then minus the
-    # line's own braces = depth before the line) and the latest header line.
-    m = running_max(
-        m,
-        LINE_KEYS,
-        "line_number",
-        {
-            "_depth_incl": (F.col("_open") - F.col("_close")).cast("long"),
-            "_hdr": F.when(is_header, F.col("line_number").cast("long")),
-        },
-        span=span,
-        how={"_depth_incl": "sum", "_hdr": "max"},
-    ).withColumn("_depth", F.col("_depth_incl") - (F.col("_open") - F.col("_close")))
-    # The header's own depth (d0) is carried to its body lines by a second scan
-    # over the running max of (header line, depth) — no self-join.
-    m = running_max(
-        m,
-        LINE_KEYS,
-        "line_number",
-        {"_h": F.when(is_header, F.struct(F.col("line_number").cast("long").alias("l"), F.col("_depth").alias("d"), F.col("_name").alias("n")))},
-        span=span,
-    ).withColumns({"_d0": F.col("_h.d"), "method": F.col("_h.n")})
-    body = m.filter(F.col("_hdr").isNotNull() & (F.col("line_number") > F.col("_hdr")))
-    after = F.col("_depth") + F.col("_open") - F.col("_close")
-    d1 = F.col("_d0") + 1
-    trimmed = D.trim_ws(F.col("code"))
-    stmt = ((F.col("_depth") == d1) & (after == d1) & trimmed.endswith(";")) | (
-        (F.col("_depth") > d1) & (after == d1) & (F.col("_close") > 0)
-    )
-    counts = (
-        body.filter(F.col("_depth") >= d1)
-        .groupBy(*LINE_KEYS, "file_path", "_hdr", "method")
-        .agg(F.count_if(stmt).alias("statements"))
+    """X3 + U1: findings of all rules over `files` (analysis_id, file_idx,
+    file_path, content), as a bag. `literal_limit` keeps each file's first
+    literals only (W1); by default all count. `more` are rules of other kinds,
+    functions from the files to findings."""
+    rules = RULES if rules is None else rules
+    wanted = F.filter(
+        "_hits", lambda h: h["rule"].isin(*rules) & ~((h["rule"] == "literal") & h["text"].isin(*MAGIC_EXEMPT))
     )
-    hits = counts.filter(F.col("statements") > max_statements).withColumn("line_number", F.col("_hdr"))
-    return hits.select(
-        *_finding(
-            LONG_ID,
-            LONG_TITLE,
-            F.concat(
-                F.lit("Metot çok uzun ("),
-                F.col("statements").cast("string"),
-                F.lit(" satır). Daha küçük parçalara bölün."),
-            ),
-            S.SEV_WARNING,
-            LONG_CATEGORY,
-        )
+    scanned = files.select(*LINE_KEYS, "file_path", hits(F.col("content"), max_statements).alias("_hits"))
+    scanned = scanned.select(*LINE_KEYS, "file_path", wanted.alias("_hits"))
+    if literal_limit is not None:
+        others = F.filter("_hits", lambda h: h["rule"] != "literal")
+        first = F.slice(F.filter("_hits", lambda h: h["rule"] == "literal"), 1, literal_limit)
+        scanned = scanned.withColumn("_hits", F.concat(others, first))
+    h = F.col("_hit")
+    made = None
+    for kind, make in rules.items():
+        made = F.when(h["rule"] == kind, make(h)) if made is None else made.when(h["rule"] == kind, make(h))
+    found = scanned.select(*LINE_KEYS, "file_path", F.explode("_hits").alias("_hit")).withColumn("_f", made)
+    out = found.select(
+        *LINE_KEYS,
+        "_f.rule_id",
+        "_f.title",
+        "_f.message",
+        "_f.severity",
+        "file_path",
+        h["line"].alias("line_number"),
+        h["col"].alias("column_number"),
+        F.lit("").alias("code_snippet"),
+        "_f.category",
+        F.lit(None).cast("string").alias("description"),
+        "_f.suggested_fix",
     )
+    for rule in (more or {}).values():
+        out = out.unionByName(rule(files))
+    return out
+
+
+def async_void(files: DataFrame) -> DataFrame:
+    """Methods (not local functions) that are async and return void; Warning."""
+    return run_rules(files, {"async_void": _async_void})
+
+
+def magic_numbers(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """R2: numeric literals other than the exempt values; Info. W1: with `limit`
+    the first ones of each file, in source order."""
+    return run_rules(files, {"literal": _magic_number}, literal_limit=limit)
+
+
+def long_methods(files: DataFrame, max_statements: int = LONG_MAX_STATEMENTS) -> DataFrame:
+    """Methods whose block body has more statements of its own; Warning."""
+    return run_rules(files, {"long_method": _long_method}, max_statements=max_statements)
 
 
 def diagnostics(diags: DataFrame, files: DataFrame) -> DataFrame:
@@ -275,10 +164,11 @@ def diagnostics(diags: DataFrame, files: DataFrame) -> DataFrame:
     `diags`: analysis_id, file_idx, rule_id, title, message, severity (name),
     line0, col0 (0-based), category. Severity names map by F13, positions
     become 1-based and the snippet is the trimmed source line (F4), taken by
-    an equi-join on the file, never by collecting the file.
+    an equi-join on the file; a diagnostic without its file or line keeps an
+    empty snippet.
     """
     f = files.select(*LINE_KEYS, "file_path", "content")
-    j = diags.join(f, LINE_KEYS, "inner")
+    j = diags.join(f, LINE_KEYS, "left")
     return j.select(
         "analysis_id",
         "file_idx",
@@ -286,52 +176,29 @@ def diagnostics(diags: DataFrame, files: DataFrame) -> DataFrame:
         "title",
         "message",
         L.severity_from_diagnostic(F.col("severity")).alias("severity"),
-        "file_path",
+        F.coalesce("file_path", F.lit("")).alias("file_path"),
         (F.col("line0") + 1).cast("int").alias("line_number"),
         (F.col("col0") + 1).cast("int").alias("column_number"),
-        D.line_snippet(F.col("content"), F.col("line0")).alias("code_snippet"),
+        D.line_snippet(F.coalesce("content", F.lit("")), F.col("line0")).alias("code_snippet"),
         "category",
         F.lit(None).cast("string").alias("description"),
         F.lit(None).cast("string").alias("suggested_fix"),
     )
 
 
-RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
-    ASYNC_VOID_ID: async_void,
-    MAGIC_ID: magic_numbers,
-    LONG_ID: long_methods,
-}
-
-
-def run_rules(lines: DataFrame, rules: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """X3 + U1: apply every registered rule and union the findings as a bag."""
-    out = None
-    for fn in (rules or RULES).values():
-        r = fn(lines)
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
 def analyze_diffs(
     diffs: DataFrame,
     diags: DataFrame | None = None,
-    rules: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
-    checkpoint: bool = False,
+    literal_limit: int | None = None,
+    more: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> DataFrame:
     """Diffs (analysis_id, diff) -> findings of every rule over the C# files,
     plus ingested diagnostics. Non-C# files are skipped; a diff that yields no
-    file simply yields no finding. The line table is read by every rule; AQE
-    reuses its exchange at run time, and `checkpoint=True` writes it once as a
-    table in the shared checkpoint folder instead (for expensive lineages)."""
+    file simply yields no finding."""
     from revlens.operators import diffs as DF
 
     files = DF.csharp_files(DF.changed_files(diffs))
-    lines = DF.file_lines(files)
-    if checkpoint:
-        from revlens.session import materialize as _materialize
-
-        lines = _materialize(lines, "diff-lines")
-    found = run_rules(lines, rules)
+    found = run_rules(files, literal_limit=literal_limit, more=more)
     if diags is not None:
         found = found.unionByName(diagnostics(diags, files))
     return found

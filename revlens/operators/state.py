@@ -41,28 +41,29 @@ def analysis_id(repo: Column, pr: Column, seq: Column) -> Column:
     return F.sha2(F.concat_ws("#", repo, pr.cast("string"), seq.cast("string")), 256)
 
 
-def new_analysis_defaults(rows: DataFrame, now: Column, updated: Column | None = None) -> DataFrame:
-    """P9 + F26: a fresh analysis row (Pending, score 0, Low, '[]' JSON, empty text).
+def default_values(now: Column, updated: Column | None = None) -> dict[str, Column]:
+    """P9 + F26: the values of a fresh analysis (Pending, score 0, Low, '[]'
+    JSON, empty text); `now` is the write time (one literal per run, or the
+    event time for replays)."""
+    return {
+        "summary": F.lit(""),
+        "quality_score": F.lit(0),
+        "findings_json": F.lit("[]"),
+        "suggestions_json": F.lit("[]"),
+        "risk_level": F.lit(S.RISK_LOW),
+        "processed_at": now,
+        "raw_diff": F.lit(""),
+        "status": F.lit(S.ST_PENDING),
+        "created_at": now,
+        "updated_at": now if updated is None else updated,
+    }
 
-    `rows` carries id, repo_name, pr_number, pr_title, pr_author; `now` is the
-    write time (one literal per run, or the event time for replays).
-    """
+
+def new_analysis_defaults(rows: DataFrame, now: Column, updated: Column | None = None) -> DataFrame:
+    """P9 rows; `rows` carries id, repo_name, pr_number, pr_title, pr_author."""
+    values = default_values(now, updated)
     return rows.select(
-        "id",
-        "repo_name",
-        F.col("pr_number").cast("int").alias("pr_number"),
-        "pr_title",
-        "pr_author",
-        F.lit("").alias("summary"),
-        F.lit(0).alias("quality_score"),
-        F.lit("[]").alias("findings_json"),
-        F.lit("[]").alias("suggestions_json"),
-        F.lit(S.RISK_LOW).alias("risk_level"),
-        now.alias("processed_at"),
-        F.lit("").alias("raw_diff"),
-        F.lit(S.ST_PENDING).alias("status"),
-        now.alias("created_at"),
-        (now if updated is None else updated).alias("updated_at"),
+        "id", "repo_name", F.col("pr_number").cast("int").alias("pr_number"), "pr_title", "pr_author", *[v.alias(c) for c, v in values.items()]
     )
 
 
@@ -120,60 +121,50 @@ def apply_batch(state: DataFrame, events: DataFrame) -> DataFrame:
     update_old = in_state & ~closed & has_up
     create = has_up & (closed | ~in_state)
 
-    created = _created_rows(j.filter(create))
-
-    cols = state.columns
-    updated = j.filter(update_old).select(
-        *[
-            F.col("last.pr_title").alias(c)
-            if c == "pr_title"
-            else F.col("last.pr_author").alias(c)
-            if c == "pr_author"
-            else F.lit(S.ST_PENDING).alias(c)
-            if c == "status"
-            else F.col("last.ts").alias(c)
-            if c == "updated_at"
-            else F.col(c)
-            for c in cols
-        ]
-    )
-    kept = j.filter(keep_old).select(*cols)
-    return kept.unionByName(updated).unionByName(created.select(*cols))
+    fresh = default_values(F.col("first.ts"), F.col("last.ts")) | {
+        "id": analysis_id(F.col("repo_name"), F.col("pr_number"), F.col("first.seq")),
+        "repo_name": F.col("repo_name"),
+        "pr_number": F.col("pr_number").cast("int"),
+        "pr_title": F.col("last.pr_title"),
+        "pr_author": F.col("last.pr_author"),
+    }
+    changed = {
+        "pr_title": F.col("last.pr_title"),
+        "pr_author": F.col("last.pr_author"),
+        "status": F.lit(S.ST_PENDING),
+        "updated_at": F.col("last.ts"),
+    }
+
+    def value(c: str) -> Column:
+        old = F.when(update_old, changed[c]).otherwise(F.col(c)) if c in changed else F.col(c)
+        return F.when(create, fresh[c]).otherwise(old).alias(c)
+
+    return j.filter(create | update_old | keep_old).select(*[value(c) for c in state.columns])
 
 
 def closed_report(events: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
-    """For every close event, whether an analysis existed (deleted) or not."""
+    """For every close event, whether an analysis existed (deleted) or not,
+    and which. The analysis that a close deletes was created by the first upsert
+    after the close before it."""
     ev = events.withColumn("_route", route_action("action")).filter(F.col("_route").isNotNull())
     scanned = running_max(
-        ev.select(*KEY, "seq", "_route"),
+        ev.select(*KEY, "seq", "pr_title", "_route"),
         KEY,
         "seq",
-        {
-            "prev_close": F.when(F.col("_route") == "delete", F.col("seq")),
-            "prev_upsert": F.when(F.col("_route") == "upsert", F.col("seq")),
-        },
+        {"prev_close": F.when(F.col("_route") == "delete", F.col("seq"))},
         inclusive=False,
         span=span,
+    ).withColumn("seg", F.coalesce("prev_close", F.lit(-1)))
+    upsert = F.col("_route") == "upsert"
+    segments = scanned.groupBy(*KEY, "seg").agg(
+        F.min(F.when(upsert, F.col("seq"))).alias("creator_seq"),
+        F.min(F.when(~upsert, F.struct("seq", "pr_title"))).alias("close"),
     )
-    closes = scanned.filter(F.col("_route") == "delete")
-    found = F.coalesce(F.col("prev_upsert") > F.coalesce(F.col("prev_close"), F.lit(-1)), F.lit(False))
-    # The analysis deleted by a close was created by the first upsert after the previous close.
-    seg = (
-        running_max(
-            ev.select(*KEY, "seq", "_route"),
-            KEY,
-            "seq",
-            {"seg": F.when(F.col("_route") == "delete", F.col("seq"))},
-            span=span,
-        )
-        .filter(F.col("_route") == "upsert")
-        .groupBy(*KEY, F.coalesce(F.col("seg"), F.lit(-1)).alias("seg"))
-        .agg(F.min("seq").alias("creator_seq"))
-    )
-    rep = closes.withColumn("seg", F.coalesce(F.col("prev_close"), F.lit(-1))).join(seg, [*KEY, "seg"], "left")
-    return rep.select(
-        "seq",
+    found = F.coalesce(F.col("creator_seq") < F.col("close.seq"), F.lit(False))
+    return segments.filter(F.col("close").isNotNull()).select(
+        F.col("close.seq").alias("seq"),
         *KEY,
+        F.col("close.pr_title").alias("pr_title"),
         F.when(found, F.lit(DELETED)).otherwise(F.lit(NOT_FOUND)).alias("outcome"),
         F.when(found, analysis_id(F.col("repo_name"), F.col("pr_number"), F.col("creator_seq"))).alias(
             "analysis_id"
@@ -213,7 +204,15 @@ def delete_cascade(analyses: DataFrame, notifications: DataFrame, deleted_ids: D
 
 
 def with_notifications(analyses: DataFrame, notifications: DataFrame) -> DataFrame:
-    """Analyses left-joined with their notifications, summarised per analysis.
+    """One row per analysis and notification (nulls where it has none).
+    Rows, not a list, so an analysis with very many notifications is no single
+    large row and a skewed key can be split."""
+    n = notifications.select(F.col("analysis_id").alias("id"), *[F.col(c).alias(f"notification_{c}") for c in notifications.columns if c != "analysis_id"])
+    return analyses.join(n, "id", "left")
+
+
+def notification_summary(analyses: DataFrame, notifications: DataFrame) -> DataFrame:
+    """J1 summarised per analysis.
 
     Notifications are aggregated per analysis first (partial aggregation, so a
     hot analysis is reduced map-side), then joined one-to-one; analyses with no

@@ -57,6 +57,12 @@ def jobs(spark: SparkSession, d: str) -> DataFrame:
     return Q.job_states(P.job_events(spark, d))
 
 
+def with_analysis_id(rows: DataFrame) -> DataFrame:
+    """The proxy's analysis of a job."""
+    parts = F.split(F.col("job_id"), "-")
+    return rows.withColumn("analysis_id", (parts[0].cast("long") * 100 + parts[1].cast("long")).cast("string"))
+
+
 SQL_SCORED = {
     "f_stats": """
         SELECT analysis_id,
@@ -95,36 +101,37 @@ def with_scored(*more: str, extra: dict[str, str] | None = None) -> str:
     return sql_with("v_analyses", "v_findings", "v_suggestions", *more, extra=ex)
 
 
+# The job life cycle as a fold over each job's events, one event a step:
+# enqueue sets Pending, dequeue takes a Pending job, complete and fail end a
+# Processing one; a third failure is final.
 SQL_JOBS = {
     "je": """
-        SELECT job_id, seq, ts, kind,
-               max(CASE WHEN kind = 'enqueue' THEN seq END) OVER w AS segment,
-               max(CASE WHEN kind = 'dequeue' THEN seq END) OVER w AS last_dequeue
-        FROM v_job_events
-        WINDOW w AS (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
-    "jseg": """
-        SELECT job_id, segment,
-               count(*) FILTER (WHERE kind = 'dequeue') > 0 AS dequeued,
-               arg_min(kind, seq) FILTER (WHERE kind IN ('complete', 'fail') AND last_dequeue > segment) AS term_kind,
-               arg_min(ts, seq) FILTER (WHERE kind IN ('complete', 'fail') AND last_dequeue > segment) AS term_ts,
-               max(CASE WHEN seq = segment THEN ts END) AS enqueued_at
-        FROM je WHERE segment IS NOT NULL GROUP BY job_id, segment""",
-    "jlast": """
-        SELECT job_id, max(segment) AS last_segment,
-               CAST(count(*) FILTER (WHERE term_kind = 'fail') AS INTEGER) AS retry_count
-        FROM jseg GROUP BY job_id""",
-    "jstate0": """
-        SELECT l.job_id, l.retry_count, s.enqueued_at AS created_at,
-               CASE WHEN NOT s.dequeued THEN 0 WHEN s.term_kind IS NULL THEN 1
-                    WHEN s.term_kind = 'complete' THEN 2 WHEN l.retry_count < 3 THEN 4 ELSE 3 END AS status,
-               CASE WHEN s.term_kind = 'fail' THEN s.term_ts END AS failed_at
-        FROM jlast l JOIN jseg s ON s.job_id = l.job_id AND s.segment = l.last_segment""",
+        SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS n FROM v_job_events""",
+    "jfold": """
+        SELECT job_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS kind,
+               CAST(NULL AS INTEGER) AS was, CAST(NULL AS INTEGER) AS status, 0 AS retry_count,
+               CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS failed_at,
+               CAST(NULL AS VARCHAR) AS error_message, false AS effective
+        FROM (SELECT DISTINCT job_id FROM v_job_events)
+        UNION ALL
+        SELECT f.job_id, e.n, e.seq, e.kind, f.status,
+               CASE WHEN e.kind = 'enqueue' THEN 0
+                    WHEN e.kind = 'dequeue' AND f.status = 0 THEN 1
+                    WHEN e.kind = 'complete' AND f.status = 1 THEN 2
+                    WHEN e.kind = 'fail' AND f.status = 1 THEN CASE WHEN f.retry_count + 1 < 3 THEN 4 ELSE 3 END
+                    ELSE f.status END,
+               CASE WHEN e.kind = 'fail' AND f.status = 1 THEN f.retry_count + 1 ELSE f.retry_count END,
+               CASE WHEN e.kind = 'enqueue' THEN e.ts ELSE f.created_at END,
+               CASE WHEN e.kind = 'enqueue' THEN NULL WHEN e.kind = 'fail' AND f.status = 1 THEN e.ts ELSE f.failed_at END,
+               CASE WHEN e.kind = 'fail' AND f.status = 1 THEN e.message ELSE f.error_message END,
+               e.kind = 'enqueue' OR (e.kind = 'dequeue' AND f.status = 0)
+                 OR (e.kind IN ('complete', 'fail') AND f.status = 1)
+        FROM jfold f JOIN je e ON e.job_id = f.job_id AND e.n = f.n + 1""",
     "v_jobs": """
-        SELECT job_id, CAST(status AS INTEGER) AS status, retry_count, created_at, failed_at,
-               CASE WHEN status = 4 THEN failed_at + INTERVAL 5 SECOND END AS next_attempt_at,
-               CASE WHEN retry_count > 0 THEN 'attempt ' || CAST(retry_count AS VARCHAR) || ' failed' END
-                 AS error_message
-        FROM jstate0""",
+        SELECT job_id, status, retry_count, created_at, failed_at,
+               CASE WHEN status = 4 THEN failed_at + INTERVAL 5 SECOND END AS next_attempt_at, error_message
+        FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY n DESC) AS back FROM jfold)
+        WHERE back = 1 AND status IS NOT NULL""",
 }
 
 
@@ -432,30 +439,29 @@ def next_attempt(spark, d):
     return Q.next_attempts(jobs(spark, d))
 
 
+# An attempt at a job without an analysis record fails like any other.
 @register(
     "orphan_jobs",
     with_jobs(
         "v_analyses",
+        extra={
+            "looked_up": """SELECT j.*, a.id IS NOT NULL AS analysis_found, a.id IS NULL AND j.status = 1 AS fails
+                            FROM (SELECT *, CAST(CAST(split_part(job_id, '-', 1) AS BIGINT) * 100
+                                              + CAST(split_part(job_id, '-', 2) AS BIGINT) AS VARCHAR) AS analysis_id
+                                  FROM v_jobs) j
+                            LEFT JOIN v_analyses a ON a.id = j.analysis_id""",
+        },
     )
-    + """SELECT j.job_id, j.analysis_id, a.id IS NOT NULL AS analysis_found,
-               CASE WHEN a.id IS NOT NULL THEN j.status ELSE 3 END AS status,
-               CASE WHEN a.id IS NOT NULL THEN j.error_message ELSE 'Analysis record not found' END AS error_message
-         FROM (SELECT job_id, status, error_message,
-                      CAST(CAST(split_part(job_id, '-', 1) AS BIGINT) * 100
-                           + CAST(split_part(job_id, '-', 2) AS BIGINT) AS VARCHAR) AS analysis_id
-               FROM v_jobs) j
-         LEFT JOIN v_analyses a ON a.id = j.analysis_id""",
+    + """SELECT job_id, analysis_id, analysis_found,
+               CASE WHEN NOT fails THEN status WHEN retry_count >= 2 THEN 3 ELSE 4 END AS status,
+               CASE WHEN fails THEN retry_count + 1 ELSE retry_count END AS retry_count,
+               CASE WHEN fails THEN 'Analysis record not found' ELSE error_message END AS error_message
+         FROM looked_up""",
 )
 def orphan_jobs(spark, d):
-    parts = F.split(F.col("job_id"), "-")
-    js = jobs(spark, d).select(
-        "job_id",
-        "status",
-        "error_message",
-        (parts[0].cast("long") * 100 + parts[1].cast("long")).cast("string").alias("analysis_id"),
-    )
+    js = with_analysis_id(jobs(spark, d).select("job_id", "status", "retry_count", "error_message"))
     return Q.attach_analysis(js, P.analyses(spark, d)).select(
-        "job_id", "analysis_id", "analysis_found", "status", "error_message"
+        "job_id", "analysis_id", "analysis_found", "status", "retry_count", "error_message"
     )
 
 
@@ -628,7 +634,7 @@ SQL_SEGMENTS.update(
 def closed_report(spark, d):
     from revlens.operators import state as ST
 
-    return ST.closed_report(P.webhook_rows(spark, d))
+    return ST.closed_report(P.webhook_rows(spark, d)).drop("pr_title")
 
 
 @register(
@@ -679,6 +685,21 @@ def delete_cascade(spark, d):
 @register(
     "notifications_joined",
     sql_with("v_analyses", "v_notifications")
+    + """SELECT a.id, a.pr_title, n.id AS notification_id, n.message AS notification_message, n.type AS notification_type,
+               n.is_read AS notification_is_read, n.created_at AS notification_created_at
+         FROM v_analyses a LEFT JOIN v_notifications n ON n.analysis_id = a.id""",
+)
+def notifications_joined(spark, d):
+    """Every analysis with each of its notifications."""
+    from revlens.operators import state as ST
+
+    j = ST.with_notifications(P.analyses(spark, d), P.notifications(spark, d))
+    return j.select("id", "pr_title", *[c for c in j.columns if c.startswith("notification_")])
+
+
+@register(
+    "notification_summary",
+    sql_with("v_analyses", "v_notifications")
     + """SELECT a.id, CAST(coalesce(n.c, 0) AS INTEGER) AS notification_count,
                CAST(coalesce(n.u, 0) AS INTEGER) AS unread_count,
                n.latest_id AS latest_notification_id, n.latest_type AS latest_notification_type
@@ -687,10 +708,10 @@ def delete_cascade(spark, d):
                    arg_max(id, created_at) AS latest_id, arg_max(type, created_at) AS latest_type
             FROM v_notifications GROUP BY analysis_id) n ON a.id = n.analysis_id""",
 )
-def notifications_joined(spark, d):
+def notification_summary(spark, d):
     from revlens.operators import state as ST
 
-    j = ST.with_notifications(P.analyses(spark, d), P.notifications(spark, d))
+    j = ST.notification_summary(P.analyses(spark, d), P.notifications(spark, d))
     return j.select(
         "id", "notification_count", "unread_count", "latest_notification_id", "latest_notification_type"
     )
@@ -808,100 +829,69 @@ def code_snippets(spark, d):
 # ---------------------------------------------------------------------------
 # R1-R3, W1, U1, R5
 def _sql_rule_views() -> dict[str, str]:
-    from revlens.operators import rules as R
-
-    mask = R.MASK_RE.replace("'", "''")
-    num = R.NUMBER_RE.replace("'", "''")
-    av = R.ASYNC_VOID_RE.replace("'", "''")
-    hdr = R.METHOD_HEADER_RE.replace("'", "''")
-    ctl = ", ".join(P._sql_str(w) for w in R.CONTROL_WORDS)
-    mods = ", ".join(P._sql_str(w) for w in R.MODIFIER_WORDS)
+    """The hand-written findings of the injected code lines, placed behind each
+    document's text lines."""
+    rows = ", ".join(f"({k}, {line}, {col}, '{rule}', '{value}')" for k, line, col, rule, value in P.EXPECTED)
     return {
-        "masked": f"SELECT *, regexp_replace(text, '{mask}', ' ', 'g') AS m FROM v_lines",
-        "toks": f"""SELECT analysis_id, file_idx, file_path, line_number, unnest(t) AS token,
-                           generate_subscripts(t, 1) AS pos
-                    FROM (SELECT *, regexp_extract_all(m, '{num}', 1) AS t FROM masked)""",
-        "norm": """SELECT *, lower(replace(token, '_', '')) AS t0 FROM toks""",
-        "norm2": """SELECT *, regexp_replace(t0, '(ul|lu|u|l|f|d|m)$', '') AS t1 FROM norm""",
-        "lits": """
-            SELECT *, CASE
-                WHEN regexp_matches(t0, '^0x[0-9a-f]+(ul|lu|u|l)?$')
-                  THEN CAST(CAST(regexp_replace(t0, '(ul|lu|u|l)$', '') AS BIGINT) AS VARCHAR)
-                WHEN regexp_matches(t0, '^0b[01]+(ul|lu|u|l)?$')
-                  THEN CAST(CAST(regexp_replace(t0, '(ul|lu|u|l)$', '') AS BIGINT) AS VARCHAR)
-                WHEN NOT regexp_matches(t1, '^\\d+(\\.\\d+)?(e[+-]?\\d+)?$') THEN NULL
-                WHEN regexp_matches(t1, '^\\d+$')
-                  THEN CASE WHEN regexp_replace(t1, '^0+', '') = '' THEN '0' ELSE regexp_replace(t1, '^0+', '') END
-                WHEN TRY_CAST(t1 AS DOUBLE) = floor(TRY_CAST(t1 AS DOUBLE)) AND abs(TRY_CAST(t1 AS DOUBLE)) < 1e15
-                  THEN CAST(CAST(TRY_CAST(t1 AS DOUBLE) AS BIGINT) AS VARCHAR)
-                ELSE t1 END AS value
-            FROM norm2""",
-        "magic": """
-            SELECT * FROM (
-              SELECT *, row_number() OVER (PARTITION BY analysis_id, file_idx ORDER BY line_number, pos) AS r
-              FROM lits WHERE value IS NOT NULL AND value NOT IN ('0', '1', '-1', '2', '10', '100'))
-            WHERE r <= 10""",
-        "asyncv": f"""SELECT analysis_id, file_path, line_number, regexp_extract(m, '{av}', 1) AS name,
-                             instr(m, 'async') AS column_number
-                      FROM masked WHERE regexp_extract(m, '{av}', 1) <> ''""",
-        # Brace depth as a window sum over earlier lines, method bodies by the
-        # latest header line, statements counted at body depth.
-        "lm1": f"""SELECT analysis_id, file_idx, file_path, line_number, m AS code,
-                          length(regexp_replace(m, '[^{{]', '', 'g')) AS o,
-                          length(regexp_replace(m, '[^}}]', '', 'g')) AS c,
-                          regexp_extract(m, '{hdr}', 1) AS rtype,
-                          regexp_extract(m, '{hdr}', 2) AS name
-                   FROM masked""",
-        "lm2": f"""SELECT *,
-                          coalesce(sum(o - c) OVER (PARTITION BY analysis_id, file_idx ORDER BY line_number
-                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth,
-                          (name <> '' AND name NOT IN ({ctl}) AND rtype NOT IN ({mods})
-                           AND NOT contains(code, '=>')) AS is_header
-                   FROM lm1""",
-        "lm3": """SELECT *, max(CASE WHEN is_header THEN line_number END) OVER (PARTITION BY analysis_id, file_idx
-                          ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hdr
-                  FROM lm2""",
-        "lm_hd": "SELECT analysis_id, file_idx, line_number AS hdr, depth AS d0 FROM lm2 WHERE is_header",
-        "lm_cnt": """
-            SELECT b.analysis_id, b.file_idx, b.file_path, b.hdr,
-                   count(*) FILTER (WHERE (b.depth = h.d0 + 1 AND b.depth + b.o - b.c = h.d0 + 1
-                                           AND ends_with(regexp_replace(b.code, '^\\s+|\\s+$', '', 'g'), ';'))
-                                       OR (b.depth > h.d0 + 1 AND b.depth + b.o - b.c = h.d0 + 1 AND b.c > 0)) AS n
-            FROM lm3 b JOIN lm_hd h ON h.analysis_id = b.analysis_id AND h.file_idx = b.file_idx AND h.hdr = b.hdr
-            WHERE b.line_number > b.hdr AND b.depth >= h.d0 + 1
-            GROUP BY ALL""",
-        "longm": """SELECT analysis_id, file_path, CAST(hdr AS INTEGER) AS line_number,
-                           'Metot çok uzun (' || CAST(n AS VARCHAR) || ' satır). Daha küçük parçalara bölün.' AS message
-                    FROM lm_cnt WHERE n > 50""",
+        "expected": f"""
+            SELECT CAST(d.doc_id AS VARCHAR) AS analysis_id, 'src/Doc' || CAST(d.doc_id AS VARCHAR) || '.cs' AS file_path,
+                   CAST(coalesce(t.cnt, 0) + e.line AS INTEGER) AS line_number, e.col AS column_number, e.rule,
+                   replace(e.value, '{{id}}', CAST(d.doc_id AS VARCHAR)) AS value
+            FROM v_docs d JOIN (VALUES {rows}) e(k, line, col, rule, value) ON d.doc_id % 6 = e.k
+            LEFT JOIN (SELECT doc_id, count(*) AS cnt FROM v_text_lines GROUP BY doc_id) t ON t.doc_id = d.doc_id""",
+        "magic": "SELECT * FROM expected WHERE rule = 'magic' AND value NOT IN ('0', '1', '-1', '2', '10', '100')",
+        "asyncv": "SELECT * FROM expected WHERE rule = 'async'",
+        "longm": """SELECT analysis_id, file_path, line_number, column_number,
+                           'Metot çok uzun (' || value || ' satır). Daha küçük parçalara bölün.' AS message
+                    FROM expected WHERE rule = 'long'""",
     }
 
 
-@register(
-    "magic_numbers",
-    sql_with("v_docs", "v_text_lines", "v_code_only", "v_lines", extra=_sql_rule_views())
-    + """SELECT analysis_id, file_path, line_number,
+def cs_files(spark: SparkSession, d: str) -> DataFrame:
+    from revlens.operators import diffs as DF
+
+    return DF.csharp_files(files(spark, d))
+
+
+SQL_MAGIC = """SELECT analysis_id, file_path, line_number, column_number,
                'Use a named constant instead of magic number ''' || value || '''' AS message,
                'const int MEANINGFUL_NAME = ' || value || ';' AS suggested_fix
-         FROM magic""",
+         FROM magic"""
+MAGIC_COLS = ["analysis_id", "file_path", "line_number", "column_number", "message", "suggested_fix"]
+
+
+@register(
+    "magic_numbers", sql_with("v_docs", "v_text_lines", "v_code_only", "v_lines", extra=_sql_rule_views()) + SQL_MAGIC
 )
 def magic_numbers(spark, d):
     from revlens.operators import rules as R
 
-    return R.magic_numbers(cs_lines(spark, d)).select(
-        "analysis_id", "file_path", "line_number", "message", "suggested_fix"
-    )
+    return R.magic_numbers(cs_files(spark, d)).select(*MAGIC_COLS)
+
+
+@register(
+    "first_magic_numbers",
+    sql_with("v_docs", "v_text_lines", "v_code_only", "v_lines", extra=_sql_rule_views())
+    + SQL_MAGIC
+    + " QUALIFY row_number() OVER (PARTITION BY analysis_id ORDER BY line_number, column_number) <= 3",
+)
+def first_magic_numbers(spark, d):
+    """The first three literals of each file, a top-k report."""
+    from revlens.operators import rules as R
+
+    return R.magic_numbers(cs_files(spark, d), limit=3).select(*MAGIC_COLS)
 
 
 @register(
     "async_void",
     sql_with("v_docs", "v_text_lines", "v_code_only", "v_lines", extra=_sql_rule_views())
-    + """SELECT analysis_id, file_path, line_number, CAST(column_number AS INTEGER) AS column_number,
-               'async Task ' || name || '(...)' AS suggested_fix FROM asyncv""",
+    + """SELECT analysis_id, file_path, line_number, column_number,
+               'async Task ' || value || '(...)' AS suggested_fix FROM asyncv""",
 )
 def async_void(spark, d):
     from revlens.operators import rules as R
 
-    return R.async_void(cs_lines(spark, d)).select(
+    return R.async_void(cs_files(spark, d)).select(
         "analysis_id", "file_path", "line_number", "column_number", "suggested_fix"
     )
 
@@ -909,13 +899,13 @@ def async_void(spark, d):
 @register(
     "long_methods",
     sql_with("v_docs", "v_text_lines", "v_code_only", "v_lines", extra=_sql_rule_views())
-    + "SELECT analysis_id, file_path, line_number, message FROM longm",
+    + "SELECT analysis_id, file_path, line_number, column_number, message FROM longm",
 )
 def long_methods(spark, d):
     """Methods with more than 50 top-level statements."""
     from revlens.operators import rules as R
 
-    return R.long_methods(cs_lines(spark, d)).select("analysis_id", "file_path", "line_number", "message")
+    return R.long_methods(cs_files(spark, d)).select("analysis_id", "file_path", "line_number", "column_number", "message")
 
 
 SQL_DIFF_FINDINGS = (
@@ -1011,11 +1001,11 @@ SQL_PARSED = f"""
            p_brand || ',' || p_type AS tags
     FROM part WHERE p_partkey % 6 IN (0, 1)
     UNION ALL
-    SELECT p_partkey, 0, 0, 'GPT Analysis', left('Looks fine overall for ' || p_name, 500), 1, 'code_quality', 5,
+    SELECT p_partkey, 0, 0, 'GPT Analysis', 'Looks fine overall for ' || p_name, 1, 'code_quality', 5,
            'gpt-analysis'
     FROM part WHERE p_partkey % 6 = 3
     UNION ALL
-    SELECT p_partkey, 0, 0, 'GPT Analysis (Parse Error)', left('{{"suggestions":[{{"title":"' || p_name || '"}}', 500),
+    SELECT p_partkey, 0, 0, 'GPT Analysis (Parse Error)', '{{"suggestions":[{{"title":"' || p_name || '"}}',
            0, 'code_quality', 3, 'gpt-analysis,parse-error'
     FROM part WHERE p_partkey % 6 = 4"""
 
@@ -1038,62 +1028,67 @@ def parse_replies(spark, d):
     )
 
 
+def _sql_parts(text: str, limit: int) -> str:
+    return f"""unnest(list_transform(range(0, greatest(1, CAST(ceil(length({text}) / {limit}.0) AS BIGINT))),
+                   lambda i: {{'part': i + 1, 'p': substr({text}, i * {limit} + 1, {limit})}}))"""
+
+
 def _sql_prompts() -> str:
     from revlens.functions import replies as RF
 
     q = P._sql_str
-    return f"""
-    SELECT doc_id, 'summary' AS task,
-           {q(RF.SUMMARY_HEAD)} || 'Doc ' || CAST(doc_id AS VARCHAR) || {q(RF.SUMMARY_MID)} || left(text, 12000) AS prompt
-    FROM documents
-    UNION ALL SELECT doc_id, 'issues', {q(RF.ISSUES_HEAD)} || left(text, 10000) FROM documents
-    UNION ALL SELECT doc_id, 'refactor',
-           {q(RF.REFACTOR_HEAD)} || 'src/Doc' || CAST(doc_id AS VARCHAR) || '.cs' || {q(RF.REFACTOR_MID)} || left(text, 8000)
-    FROM documents
-    UNION ALL SELECT doc_id, 'security', {q(RF.SECURITY_HEAD)} || left(text, 8000) FROM documents"""
+    doc = "CAST(doc_id AS VARCHAR)"
+    heads = {
+        "summary": (12000, f"{q(RF.SUMMARY_HEAD)} || 'Doc ' || {doc} || {q(RF.SUMMARY_MID)}"),
+        "issues": (10000, q(RF.ISSUES_HEAD)),
+        "refactor": (8000, f"{q(RF.REFACTOR_HEAD)} || 'src/Doc' || {doc} || '.cs' || {q(RF.REFACTOR_MID)}"),
+        "security": (8000, q(RF.SECURITY_HEAD)),
+    }
+    return " UNION ALL ".join(
+        f"SELECT doc_id, '{task}' AS task, CAST(x.part AS INTEGER) AS part, {head} || x.p AS prompt"
+        f" FROM (SELECT doc_id, {_sql_parts('text', limit)} AS x FROM documents)"
+        for task, (limit, head) in heads.items()
+    )
 
 
 def prompt_rows(spark: SparkSession, d: str) -> DataFrame:
-    from revlens.functions import replies as RF
+    from revlens.operators import replies as RP
 
-    doc = P.table(spark, d, "documents").select("doc_id", "text")
     sid = F.col("doc_id").cast("string")
-    tasks = F.array(
-        F.struct(F.lit("summary").alias("task"), RF.summary_prompt(F.col("text"), F.concat(F.lit("Doc "), sid)).alias("prompt")),
-        F.struct(F.lit("issues").alias("task"), RF.issues_prompt(F.col("text")).alias("prompt")),
-        F.struct(
-            F.lit("refactor").alias("task"),
-            RF.refactor_prompt(F.col("text"), F.concat(F.lit("src/Doc"), sid, F.lit(".cs"))).alias("prompt"),
-        ),
-        F.struct(F.lit("security").alias("task"), RF.security_prompt(F.col("text")).alias("prompt")),
+    doc = P.table(spark, d, "documents").select(
+        "doc_id", "text", F.concat(F.lit("Doc "), sid).alias("name"), F.concat(F.lit("src/Doc"), sid, F.lit(".cs")).alias("file")
     )
-    return doc.select("doc_id", F.inline(tasks))
+    return RP.review_prompts(doc, "doc_id", "text", "name", "file")
 
 
 @register(
     "prompts",
-    "WITH pr AS (" + _sql_prompts() + ") SELECT doc_id, task, CAST(length(prompt) AS INTEGER) AS prompt_chars, "
+    "WITH pr AS (" + _sql_prompts() + ") SELECT doc_id, task, part, CAST(length(prompt) AS INTEGER) AS prompt_chars, "
     "sha256(prompt) AS prompt_sha FROM pr",
 )
 def prompts(spark, d):
+    """the prompts of all four tasks, in parts that cover the whole text."""
     return prompt_rows(spark, d).select(
-        "doc_id", "task", F.length("prompt").alias("prompt_chars"), F.sha2("prompt", 256).alias("prompt_sha")
+        "doc_id", "task", "part", F.length("prompt").alias("prompt_chars"), F.sha2("prompt", 256).alias("prompt_sha")
     )
 
 
 @register(
     "responder",
-    "WITH pr AS (" + _sql_prompts() + "), k AS (SELECT doc_id, length(prompt) AS n FROM pr WHERE task = 'issues') "
-    "SELECT doc_id, CAST(n % 4 AS INTEGER) AS priority, "
-    "CAST(greatest(1, least(10, n % 12)) AS INTEGER) AS impact_score, 'len ' || CAST(n AS VARCHAR) AS title FROM k",
+    "WITH pr AS (" + _sql_prompts() + "), k AS (SELECT doc_id, task, part, length(prompt) AS n FROM pr) "
+    "SELECT doc_id || '/' || task || '/' || part AS asked, CAST(n % 4 AS INTEGER) AS priority, "
+    "CAST(greatest(1, least(10, n % 12)) AS INTEGER) AS impact_score, 'len ' || CAST(n AS VARCHAR) AS title "
+    "FROM k WHERE n % 10 <> 3",
 )
 def responder(spark, d):
+    """Every prompt of every task is answered on its own; prompts that the
+    reviewer fails on (here by their length) leave the others alone."""
     from revlens.operators import replies as RP
 
-    pr = prompt_rows(spark, d).filter(F.col("task") == "issues")
-    rep = RP.respond(pr, RP.stub_responder)
-    s = RP.parse_replies(rep, "doc_id", "reply")
-    return s.select("doc_id", "priority", "impact_score", "title")
+    asked = prompt_rows(spark, d).withColumn("asked", F.concat_ws("/", "doc_id", "task", "part"))
+    rep = RP.respond(asked, RP.fragile_responder).where(~F.col("failed"))
+    s = RP.parse_replies(rep, "asked", "reply")
+    return s.select("asked", "priority", "impact_score", "title")
 
 
 @register(
@@ -1101,25 +1096,32 @@ def responder(spark, d):
     sql_with(
         "v_analyses",
         extra={
-            "rep": """SELECT CAST(conv_id AS VARCHAR) AS id, arg_min(text, turn) AS reply
-                      FROM conversations WHERE role = 'assistant' GROUP BY conv_id""",
-            "s": """SELECT a.id, CASE WHEN r.reply IS NULL
-                        THEN 'PR Title: ' || a.pr_title || chr(10) || 'Summary: OpenAI integration is not configured.'
-                        ELSE r.reply END AS summary
+            "rep": """SELECT CAST(conv_id AS VARCHAR) AS id, turn, CASE WHEN turn % 7 <> 5 THEN text END AS reply,
+                             turn % 5 = 3 AS failed
+                      FROM conversations WHERE role = 'assistant'""",
+            "s": """SELECT a.id, r.turn, CASE
+                        WHEN r.id IS NULL
+                          THEN 'PR Title: ' || a.pr_title || chr(10) || 'Summary: OpenAI integration is not configured.'
+                        WHEN r.failed
+                          THEN 'PR Title: ' || a.pr_title || chr(10) || 'Summary: An error occurred during automated analysis.'
+                        ELSE coalesce(r.reply, 'Summary could not be generated.') END AS summary
                     FROM v_analyses a LEFT JOIN rep r ON a.id = r.id""",
         },
     )
-    + "SELECT id, CAST(length(summary) AS INTEGER) AS summary_chars, sha256(summary) AS summary_sha FROM s",
+    + "SELECT id, turn, CAST(length(summary) AS INTEGER) AS summary_chars, sha256(summary) AS summary_sha FROM s",
 )
 def review_replies(spark, d):
+    """J6 + F7: every assistant turn is a review; some failed, some without text."""
     from revlens.operators import replies as RP
 
-    conv = P.table(spark, d, "conversations").filter(F.col("role") == "assistant")
-    rep = conv.groupBy("conv_id").agg(F.min_by("text", "turn").alias("reply")).select(
-        F.col("conv_id").cast("string").alias("id"), "reply"
+    rep = P.table(spark, d, "conversations").filter(F.col("role") == "assistant").select(
+        F.col("conv_id").cast("string").alias("id"),
+        "turn",
+        F.when(F.col("turn") % 7 != 5, F.col("text")).alias("reply"),
+        (F.col("turn") % 5 == 3).alias("failed"),
     )
     a = RP.with_review(P.analyses(spark, d).select("id", "pr_title"), rep)
-    return a.select("id", F.length("summary").alias("summary_chars"), F.sha2("summary", 256).alias("summary_sha"))
+    return a.select("id", "turn", F.length("summary").alias("summary_chars"), F.sha2("summary", 256).alias("summary_sha"))
 
 
 # ---------------------------------------------------------------------------
@@ -1248,17 +1250,15 @@ def _sql_f18(src: str) -> dict[str, str]:
 
 
 def _sql_sanitize(x: str) -> str:
-    from revlens.functions import html as H
-
-    allowed = H.ALLOWED_TAGS
+    """The sanitiser by marking: allowed tags become chr(1)name chr(2), all other
+    markup goes, and the marks become tags again."""
+    names = "p|br|strong|b|em|i|u|ul|ol|li|code|pre|h1|h2|h3|h4"
+    rest = """(?:[^<>"'']|"[^"]*"|''[^'']*'')*"""
     s = x
-    s = f"regexp_replace({s}, '(?is)<script[^>]*>.*?</script>', '', 'g')"
-    s = f"regexp_replace({s}, '(?is)<style[^>]*>.*?</style>', '', 'g')"
-    for pat in (H.HANDLER_DQ_RE, H.HANDLER_SQ_RE, H.HANDLER_BARE_RE, H.JS_URL_RE):
-        s = f"regexp_replace({s}, {P._sql_str(pat)}, '', 'g')"
-    s = f"regexp_replace({s}, '(?i)<({allowed})(?:\\s+[^>]*)?>', '<\\1>', 'g')"
-    s = f"regexp_replace({s}, '(?i)<(/?(?:{allowed})\\b[^>]*)>', chr(1) || '\\1' || chr(2), 'g')"
-    s = f"regexp_replace({s}, '</?\\w+[^>]*>', '', 'g')"
+    for gone in ("<script(?:\\s[^>]*)?>.*?</script\\s*>", "<style(?:\\s[^>]*)?>.*?</style\\s*>", "<!--.*?-->"):
+        s = f"regexp_replace({s}, '(?is){gone}', '', 'g')"
+    s = f"regexp_replace({s}, '(?i)<(/?(?:{names}))(?:[\\s/]{rest}?)?(/?)>', chr(1) || '\\1\\2' || chr(2), 'g')"
+    s = f"replace(regexp_replace({s}, '<[a-zA-Z/!?]{rest}>', '', 'g'), '<', '&lt;')"
     return f"replace(replace({s}, chr(1), '<'), chr(2), '>')"
 
 
@@ -1300,22 +1300,18 @@ def sanitize_html(spark, d):
 
 # ---------------------------------------------------------------------------
 # Status transitions and the notification log
+# Only a job's first enqueue concerns the analysis: a retry's leaves it Failed.
 SQL_EFFECTIVE = """
     SELECT job_id, seq, kind,
-           CASE kind WHEN 'enqueue' THEN 0 WHEN 'dequeue' THEN 1 WHEN 'complete' THEN 2 ELSE 3 END AS analysis_status,
-           CASE kind WHEN 'dequeue' THEN 'AnalysisUpdated' WHEN 'complete' THEN 'AnalysisCompleted' END AS hub_event
-    FROM (
-      SELECT job_id, seq, kind FROM je WHERE segment IS NOT NULL AND kind = 'enqueue'
-      UNION ALL
-      SELECT job_id, min(seq), 'dequeue' FROM je WHERE segment IS NOT NULL AND kind = 'dequeue'
-      GROUP BY job_id, segment
-      UNION ALL
-      SELECT job_id, min(seq), arg_min(kind, seq) FROM je
-      WHERE segment IS NOT NULL AND kind IN ('complete', 'fail') AND last_dequeue > segment
-      GROUP BY job_id, segment)"""
-
-
-@register("status_events", with_jobs(extra={"eff": SQL_EFFECTIVE}) + "SELECT * FROM eff")
+           CASE kind WHEN 'enqueue' THEN CASE WHEN was IS NULL THEN 0 END WHEN 'dequeue' THEN 1 WHEN 'complete' THEN 2
+                     ELSE 3 END AS analysis_status,
+           CASE kind WHEN 'dequeue' THEN 'AnalysisUpdated' WHEN 'complete' THEN 'AnalysisCompleted' END AS hub_event,
+           CAST(CAST(split_part(job_id, '-', 1) AS BIGINT) * 100 + CAST(split_part(job_id, '-', 2) AS BIGINT)
+                AS VARCHAR) AS analysis_id
+    FROM jfold WHERE effective"""
+
+
+@register("status_events", with_jobs(extra={"eff": SQL_EFFECTIVE}) + "SELECT job_id, seq, kind, analysis_status, hub_event FROM eff")
 def status_events(spark, d):
     return Q.effective_events(P.job_events(spark, d)).select(
         "job_id", "seq", "kind", "analysis_status", "hub_event"
@@ -1324,7 +1320,7 @@ def status_events(spark, d):
 
 @register(
     "notification_log",
-    with_jobs("v_webhooks", extra={"eff": SQL_EFFECTIVE, **{k: v for k, v in SQL_SEGMENTS.items()}})
+    with_jobs("v_webhooks", "v_analyses", extra={"eff": SQL_EFFECTIVE, **{k: v for k, v in SQL_SEGMENTS.items()}})
     + """SELECT 'NewPullRequest' AS event, seq, repo_name, pr_number, pr_title AS title, pr_author AS author,
                CAST(NULL AS VARCHAR) AS analysis_id
          FROM ev WHERE route = 'upsert'
@@ -1335,43 +1331,15 @@ def status_events(spark, d):
            ON k.repo_name = c.repo_name AND k.pr_number = c.pr_number AND k.seg = coalesce(c.prev_close, -1)
          WHERE c.route = 'delete' AND coalesce(c.prev_upsert > coalesce(c.prev_close, -1), false)
          UNION ALL
-         SELECT hub_event, seq, NULL, NULL, NULL, NULL,
-                CAST(CAST(split_part(job_id, '-', 1) AS BIGINT) * 100 + CAST(split_part(job_id, '-', 2) AS BIGINT)
-                     AS VARCHAR)
-         FROM eff WHERE hub_event IS NOT NULL""",
+         SELECT hub_event, seq, NULL, NULL, NULL, NULL, analysis_id
+         FROM eff WHERE hub_event IS NOT NULL AND analysis_id IN (SELECT id FROM v_analyses)""",
 )
 def notification_log(spark, d):
-    """NewPullRequest / PullRequestClosed from the webhook log, AnalysisUpdated /
-    AnalysisCompleted from the job log, as one typed event table."""
-    from revlens.operators import state as ST
+    """All notification events as one typed table."""
+    from revlens.operators.notifications import notification_log as S7
 
-    w = P.webhook_rows(spark, d)
-    new = w.filter(ST.route_action("action") == "upsert").select(
-        F.lit("NewPullRequest").alias("event"),
-        "seq",
-        "repo_name",
-        "pr_number",
-        F.col("pr_title").alias("title"),
-        F.col("pr_author").alias("author"),
-    )
-    rep = ST.closed_report(w).filter(F.col("outcome") == ST.DELETED)
-    titles = w.select("seq", F.col("pr_title").alias("title"))
-    closed = rep.join(titles, "seq").select(
-        F.lit("PullRequestClosed").alias("event"), "seq", "repo_name", "pr_number", "title", "analysis_id"
-    )
-    parts = F.split(F.col("job_id"), "-")
-    hub = (
-        Q.effective_events(P.job_events(spark, d))
-        .filter(F.col("hub_event").isNotNull())
-        .select(
-            F.col("hub_event").alias("event"),
-            "seq",
-            (parts[0].cast("long") * 100 + parts[1].cast("long")).cast("string").alias("analysis_id"),
-        )
-    )
-    return new.unionByName(closed, allowMissingColumns=True).unionByName(hub, allowMissingColumns=True).select(
-        "event", "seq", "repo_name", "pr_number", "title", "author", "analysis_id"
-    )
+    jobs_of = with_analysis_id(Q.effective_events(P.job_events(spark, d)))
+    return S7(P.webhook_rows(spark, d), jobs_of, P.analyses(spark, d))
 
 
 # ---------------------------------------------------------------------------
@@ -1394,8 +1362,7 @@ def stream_state(spark, d):
 
     root = SJ.scratch(spark, "stream-state")
     src = f"{root}/source"
-    SJ.write_in_chunks(webhook_payloads(spark, d), src, "seq", 4)
-    out = SJ.run_state_stream(spark, src, root)
+    out = SJ.feed(webhook_payloads(spark, d), src, "seq", 4, lambda: SJ.run_state_stream(spark, src, root))
     return out.select(*[c.strip() for c in STATE_COLS.split(",")])
 
 
@@ -1405,21 +1372,52 @@ def stream_jobs(spark, d):
 
     root = SJ.scratch(spark, "stream-jobs")
     src = f"{root}/source"
-    SJ.write_in_chunks(P.job_events(spark, d), src, "seq", 4)
-    return SJ.run_job_stream(spark, src, root)
+    return SJ.feed(P.job_events(spark, d), src, "seq", 4, lambda: SJ.run_job_stream(spark, src, root))
+
+
+def _sql_outcomes() -> str:
+    from revlens.functions import replies as RF
+
+    q = P._sql_str
+    return f"""
+        SELECT doc_id, sum(CASE k % 4 WHEN 3 THEN 15 WHEN 2 THEN 10 WHEN 1 THEN 5 ELSE 2 END) AS pen, count(*) AS n
+        FROM (SELECT doc_id, length({q(RF.ISSUES_HEAD)} || x.p) AS k
+              FROM (SELECT doc_id, {_sql_parts('diff', 10000)} AS x FROM v_diffs)) GROUP BY doc_id"""
+
+
+def _sql_summaries() -> str:
+    from revlens.functions import replies as RF
+
+    q = P._sql_str
+    head = f"{q(RF.SUMMARY_HEAD)} || 'Doc ' || CAST(doc_id AS VARCHAR) || {q(RF.SUMMARY_MID)}"
+    reply = """'{"suggestions": [{"priority": "' || ['Low', 'Medium', 'High', 'Critical'][k % 4 + 1]
+               || '", "impactScore": "' || CAST(k % 12 AS VARCHAR) || '", "title": "len ' || CAST(k AS VARCHAR) || '"}]}'"""
+    return f"""
+        SELECT doc_id, string_agg({reply}, chr(10) ORDER BY part) AS summary
+        FROM (SELECT doc_id, x.part AS part, length({head} || x.p) AS k
+              FROM (SELECT doc_id, {_sql_parts('diff', 12000)} AS x FROM v_diffs)) GROUP BY doc_id"""
 
 
 @register(
     "stream_enrich",
-    "WITH df AS (" + SQL_DIFF_FINDINGS + """)
-    SELECT CAST(d.doc_id AS VARCHAR) AS analysis_id,
+    "WITH df AS (" + SQL_DIFF_FINDINGS + "), v_diffs AS (" + P.SQL_DIFF_TEXT + "), sg AS (" + _sql_outcomes()
+    + "), sm AS (" + _sql_summaries() + """), o AS (
+    SELECT d.doc_id,
            CAST(coalesce(f.finding_count, 0) AS INTEGER) AS finding_count,
            CAST(coalesce(f.errors, 0) AS INTEGER) AS errors, CAST(coalesce(f.warnings, 0) AS INTEGER) AS warnings,
-           CAST(coalesce(f.finding_score, 100) AS INTEGER) AS finding_score, coalesce(f.risk_level, 0) AS risk_level
-    FROM documents d LEFT JOIN df f ON f.analysis_id = CAST(d.doc_id AS VARCHAR)""",
+           CAST(coalesce(f.finding_score, 100) AS INTEGER) AS finding_score, coalesce(f.risk_level, 0) AS risk_level,
+           CAST(sg.n AS INTEGER) AS suggestion_count, CAST(greatest(0, 100 - sg.pen) AS INTEGER) AS suggestion_score,
+           sha256(sm.summary) AS summary_sha
+    FROM documents d LEFT JOIN df f ON f.analysis_id = CAST(d.doc_id AS VARCHAR)
+    JOIN sg USING (doc_id) JOIN sm USING (doc_id))
+    SELECT CAST(doc_id AS VARCHAR) AS analysis_id, 2 AS status, * EXCLUDE (doc_id),
+           CAST(trunc(finding_score * 0.6::DOUBLE + suggestion_score * 0.4::DOUBLE) AS INTEGER) AS quality_score,
+           TIMESTAMP '2024-01-01' + to_seconds(doc_id) AS processed_at
+    FROM o""",
 )
 def stream_enrich(spark, d):
-    """K6: the streaming twin of `diff_findings`, one row per new job (no diff -> 100, Low)."""
+    """K6: the streaming twin of `diff_findings` with reviews: one outcome per new job."""
+    from revlens.operators import replies as RP
     from revlens.streaming import jobs as SJ
 
     root = SJ.scratch(spark, "stream-enrich")
@@ -1428,16 +1426,14 @@ def stream_enrich(spark, d):
         F.col("doc_id").cast("string").alias("analysis_id"),
         F.lit("org/docs").alias("repo_name"),
         F.col("doc_id").cast("int").alias("pr_number"),
+        F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("pr_title"),
+        F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("doc_id")).alias("ts"),
         F.col("doc_id").alias("seq"),
     )
-    SJ.write_in_chunks(newjobs, src, "seq", 3)
-    # The static side is a stored table in a real deployment: write the derived
-    # diffs once instead of re-deriving them in every micro-batch.
-    from revlens.session import materialize
-
-    static_diffs = materialize(P.diffs(spark, d), "static-diffs")
-    return SJ.run_enrich_stream(spark, src, root, static_diffs, P.diagnostics_input(spark, d))
-
+    static = SJ.store_diffs(P.diffs(spark, d), f"{root}/diffs")
+    diags = P.diagnostics_input(spark, d)
+    out = SJ.feed(newjobs, src, "seq", 3, lambda: SJ.run_enrich_stream(spark, src, root, static, RP.stub_responder, diags))
+    return out.select("*", F.sha2("summary", 256).alias("summary_sha")).drop("summary", "updated_at")
 
 
 # ---------------------------------------------------------------------------
@@ -1490,17 +1486,10 @@ def table_roundtrip(spark, d):
     with_jobs("v_analyses", extra={"eff": SQL_EFFECTIVE})
     + """SELECT a.id, coalesce(l.st, a.status) AS status
          FROM v_analyses a LEFT JOIN (
-            SELECT CAST(CAST(split_part(job_id, '-', 1) AS BIGINT) * 100 + CAST(split_part(job_id, '-', 2) AS BIGINT)
-                        AS VARCHAR) AS analysis_id,
-                   arg_max(analysis_status, seq) AS st
-            FROM eff GROUP BY 1) l ON l.analysis_id = a.id""",
+            SELECT analysis_id, arg_max(analysis_status, seq) AS st
+            FROM eff WHERE analysis_status IS NOT NULL GROUP BY analysis_id) l ON l.analysis_id = a.id""",
 )
 def analysis_status(spark, d):
     """K5: analysis status driven by the job lifecycle events."""
-    parts = F.split(F.col("job_id"), "-")
-    ev = Q.effective_events(P.job_events(spark, d)).select(
-        (parts[0].cast("long") * 100 + parts[1].cast("long")).cast("string").alias("analysis_id"),
-        "seq",
-        "analysis_status",
-    )
+    ev = with_analysis_id(Q.effective_events(P.job_events(spark, d)))
     return Q.apply_status_events(P.analyses(spark, d), ev).select("id", "status")

@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.session import parallelism
-
 REPOS = 20  # analyses are spread over org/repo-0 .. org/repo-19
+NOTIFIED = 500  # notifications go to the analyses 0 .. 499
 PR_SLOTS = 20  # webhook PR numbers are props.k % 20 + 1; job slots props.k % 20
 
 
@@ -34,6 +33,12 @@ def analyses(spark: SparkSession, d: str) -> DataFrame:
         .when(F.col("o_orderstatus") == "O", F.lit(1))
         .when(F.col("o_orderstatus") == "P", F.lit(0))
     )
+    # Titles: some longer than the display limit, some empty.
+    title = (
+        F.when(F.col("o_orderkey") % 11 == 0, F.lit(""))
+        .when(F.col("o_orderkey") % 7 == 0, F.repeat(F.concat(F.col("o_orderpriority"), F.lit(" ")), 9))
+        .otherwise(F.col("o_orderpriority"))
+    )
     # Hash-partitioned on `id`: every analysis join (per-analysis finding /
     # suggestion aggregates, packed JSON, notifications) is on this key, so
     # the sort-merge joins reuse this one exchange, and the per-row detail work
@@ -42,7 +47,7 @@ def analyses(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_orderkey").cast("string").alias("id"),
         F.concat(F.lit("org/repo-"), (F.col("o_custkey") % REPOS).cast("string")).alias("repo_name"),
         F.col("o_orderkey").cast("int").alias("pr_number"),
-        F.col("o_orderpriority").alias("pr_title"),
+        title.alias("pr_title"),
         F.col("c_name").alias("pr_author"),
         F.concat(
             F.lit("1. Status: "), F.col("o_orderstatus"), F.lit("\n2. Priority: "), F.col("o_orderpriority")
@@ -86,16 +91,16 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def suggestions(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").filter(F.col("l_linenumber") == 1)
+    li = table(spark, d, "lineitem")
     q = F.col("l_quantity").cast("int") % 5
     return li.select(
         F.col("l_orderkey").cast("string").alias("analysis_id"),
-        F.concat_ws("-", "l_orderkey", "l_partkey").alias("id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"),
         F.lit(0).alias("type"),
         F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("title"),
         F.lit("No description").alias("description"),
         F.lit("mixed").alias("file_path"),
-        F.when(q == 4, F.lit(1)).otherwise(q).cast("int").alias("priority"),
+        F.when(q != 4, q).cast("int").alias("priority"),
         F.lit("code_quality").alias("category"),
         (F.col("l_quantity").cast("int") % 10 + 1).cast("int").alias("impact_score"),
     )
@@ -137,11 +142,12 @@ def job_events(spark: SparkSession, d: str) -> DataFrame:
         F.col("event_id").alias("seq"),
         _ts("ts").alias("ts"),
         kind.alias("kind"),
+        F.when(kind == "fail", F.concat(F.lit("diff not readable, event "), F.col("event_id").cast("string"))).alias("message"),
     ).filter(F.col("kind").isNotNull())
 
 
 def notifications(spark: SparkSession, d: str) -> DataFrame:
-    """One notification per event; event_id doubles as the analysis key (some dangle)."""
+    """Notifications, many to one analysis: event_id modulo NOTIFIED (some dangle)."""
     ev = table(spark, d, "events")
     ntype = (
         F.when(F.col("event_type") == "signup", F.lit(0))
@@ -151,7 +157,7 @@ def notifications(spark: SparkSession, d: str) -> DataFrame:
     )
     return ev.select(
         F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("id"),
-        F.col("event_id").cast("string").alias("analysis_id"),
+        (F.col("event_id") % NOTIFIED).cast("string").alias("analysis_id"),
         F.concat(F.lit("event "), F.col("event_type")).alias("message"),
         ntype.alias("type"),
         (F.col("value") > 100).alias("is_read"),
@@ -166,7 +172,8 @@ SQL_VIEWS: dict[str, str] = {
         SELECT CAST(o.o_orderkey AS VARCHAR) AS id,
                'org/repo-' || CAST(o.o_custkey % 20 AS VARCHAR) AS repo_name,
                CAST(o.o_orderkey AS INTEGER) AS pr_number,
-               o.o_orderpriority AS pr_title,
+               CASE WHEN o.o_orderkey % 11 = 0 THEN '' WHEN o.o_orderkey % 7 = 0 THEN repeat(o.o_orderpriority || ' ', 9)
+                    ELSE o.o_orderpriority END AS pr_title,
                c.c_name AS pr_author,
                '1. Status: ' || o.o_orderstatus || chr(10) || '2. Priority: ' || o.o_orderpriority AS summary,
                CASE o.o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 WHEN 'P' THEN 0 END AS status,
@@ -186,12 +193,11 @@ SQL_VIEWS: dict[str, str] = {
         FROM lineitem""",
     "v_suggestions": """
         SELECT CAST(l_orderkey AS VARCHAR) AS analysis_id,
-               concat_ws('-', l_orderkey, l_partkey) AS id,
+               concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS id,
                'Part ' || CAST(l_partkey AS VARCHAR) AS title,
-               CAST(CASE WHEN CAST(trunc(l_quantity) AS INTEGER) % 5 = 4 THEN 1
-                         ELSE CAST(trunc(l_quantity) AS INTEGER) % 5 END AS INTEGER) AS priority,
+               CAST(nullif(CAST(trunc(l_quantity) AS INTEGER) % 5, 4) AS INTEGER) AS priority,
                CAST(CAST(trunc(l_quantity) AS INTEGER) % 10 + 1 AS INTEGER) AS impact_score
-        FROM lineitem WHERE l_linenumber = 1""",
+        FROM lineitem""",
     "v_webhooks": """
         SELECT event_id AS seq, CAST(ts AS TIMESTAMP) AS ts,
                CASE event_type WHEN 'signup' THEN 'opened' WHEN 'click' THEN 'synchronize'
@@ -208,11 +214,12 @@ SQL_VIEWS: dict[str, str] = {
                    CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 20 AS VARCHAR) AS job_id,
                  event_id AS seq, CAST(ts AS TIMESTAMP) AS ts,
                  CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'click' THEN 'dequeue'
-                      WHEN 'view' THEN 'complete' WHEN 'error' THEN 'fail' END AS kind
+                      WHEN 'view' THEN 'complete' WHEN 'error' THEN 'fail' END AS kind,
+                 CASE event_type WHEN 'error' THEN 'diff not readable, event ' || CAST(event_id AS VARCHAR) END AS message
           FROM events) WHERE kind IS NOT NULL""",
     "v_notifications": """
         SELECT 'n' || CAST(event_id AS VARCHAR) AS id,
-               CAST(event_id AS VARCHAR) AS analysis_id,
+               CAST(event_id % 500 AS VARCHAR) AS analysis_id,
                'event ' || event_type AS message,
                CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'error' THEN 2 ELSE 3 END AS type,
                value > 100 AS is_read,
@@ -226,24 +233,40 @@ def sql_with(*names: str, extra: dict[str, str] | None = None) -> str:
     parts = [f"{n} AS ({SQL_VIEWS[n]})" for n in names]
     for k, v in (extra or {}).items():
         parts.append(f"{k} AS ({v})")
-    return "WITH " + ",\n".join(parts) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
 
 
 # ---------------------------------------------------------------------------
-# documents -> unified diffs with injected C# lines (doc_id % 10 = 0: no diff)
-# Injected code lines per doc_id % 5 ({id} is the doc id).
+# documents -> unified diffs: the text as comment lines, then C# lines by
+# doc_id % 6 ({id} is the doc id).
 CODE_LINES = {
-    0: ["public async void Handle{id}() {", "    await Task.Delay(250);", "}"],
-    1: ["var total = {id} * 3 + 42;"],
-    2: ["const int Limit = 1024;", "var ok = 0 + 1 + 2 + 10 + 100 + 1.0 + 100L + 0x0A;"],
-    3: ["// retry 7 times", 'var s = "code 55";', "var c = '9';"],
-    4: ["return 0;", "void Long{id}() {"] + ["    step();"] * 52 + ["}"],
-}
+    0: ["public async void Handle{id}() {", "    await Task.Delay(250);", "    async void Local() { }", "}"],
+    1: ["var a = {id};", "var b = 1e-5 + 6.02e+23 + .5 + 1.50;", "var c = arr[3..7];", 'var s = $"{n + 42} 43 {{44}}";'],
+    2: [
+        "const int Limit = 1024;", "/* block 5", "   still 6 */ int x = 7;", 'var v = @"a', '  8 "" 9";',
+        "var ok = 0 + 1 + 2 + 10 + 100 + 1.0 + 100L + 0x0A;",
+    ],
+    3: ["// retry 7 times", 'var s = "code 55";', "var c = '9';", "Log(12, 12);"],
+    4: ["class C{id} {", "    void Long(", "        int a = 5)", "    {"]
+    + ["        step(); step();"] * 24
+    + ["        if (a > 3) { step(); }", "        else { step(); }", "        await Foo(6)", "            .Bar();"]
+    + ["        void L() { step(); }", "    }", "}"],
+    5: ["void Even() {"] + ["    if (a)", "    {", "        x();", "    }", "    else", "    {", "        y();", "    }"] * 26 + ["}"],
+}
+#: What the rules have to find in them, by hand: doc_id % 6, line, column, rule, value.
+EXPECTED = [
+    (0, 1, 1, "async", "Handle{id}"), (0, 2, 22, "magic", "250"),
+    (1, 1, 9, "magic", "{id}"), (1, 2, 9, "magic", "1E-05"), (1, 2, 16, "magic", "6.02E+23"), (1, 2, 27, "magic", "0.5"),
+    (1, 2, 32, "magic", "1.5"), (1, 3, 13, "magic", "3"), (1, 3, 16, "magic", "7"), (1, 4, 16, "magic", "42"),
+    (2, 1, 19, "magic", "1024"), (2, 3, 23, "magic", "7"),
+    (3, 4, 5, "magic", "12"), (3, 4, 9, "magic", "12"),
+    (4, 2, 5, "long", "51"), (4, 3, 17, "magic", "5"), (4, 29, 17, "magic", "3"), (4, 31, 19, "magic", "6"),
+]
 
 
 def _code_lines(doc_id):
     sid = doc_id.cast("string")
-    m = doc_id % 5
+    m = doc_id % 6
     expr = None
     for k, lines in CODE_LINES.items():
         arr = F.array(*[F.replace(F.lit(ln), F.lit("{id}"), sid) for ln in lines])
@@ -252,11 +275,11 @@ def _code_lines(doc_id):
 
 
 def diffs(spark: SparkSession, d: str) -> DataFrame:
-    doc = table(spark, d, "documents").filter(F.col("doc_id") % 10 != 0)
+    doc = table(spark, d, "documents")
     sid = F.col("doc_id").cast("string")
     lines = F.split(F.col("text"), "\n")
     body = F.array_join(
-        F.transform(lines, lambda ln, i: F.concat(F.when(i % 4 == 3, F.lit(" ")).otherwise(F.lit("+")), ln)), "\n"
+        F.transform(lines, lambda ln, i: F.concat(F.when(i % 4 == 3, F.lit(" ")).otherwise(F.lit("+// ")), ln)), "\n"
     )
     code = F.array_join(F.transform(_code_lines(F.col("doc_id")), lambda c: F.concat(F.lit("+"), c)), "\n")
     cs_path = F.concat(F.lit("src/Doc"), sid, F.lit(".cs"))
@@ -281,9 +304,6 @@ def diffs(spark: SparkSession, d: str) -> DataFrame:
             F.concat(F.lit("+"), F.col("lang")),
         ),
     )
-    # Diffs are hash-partitioned on their lookup key (repo_name, pr_number), the
-    # key `attach_diffs` joins on, so the diff text is shuffled once and the
-    # per-diff parsing runs spread over tasks.
     keyed = doc.select(
         sid.alias("analysis_id"),
         F.lit("org/docs").alias("repo_name"),
@@ -291,7 +311,7 @@ def diffs(spark: SparkSession, d: str) -> DataFrame:
         "doc_id",
         "text",
         "lang",
-    ).repartition(parallelism(spark), "repo_name", "pr_number")
+    )
     return keyed.select(
         "analysis_id",
         "repo_name",
@@ -301,8 +321,8 @@ def diffs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diagnostics_input(spark: SparkSession, d: str) -> DataFrame:
-    """Compiler diagnostics produced elsewhere: one per document with a diff."""
-    doc = table(spark, d, "documents").filter(F.col("doc_id") % 10 != 0)
+    """Compiler diagnostics produced elsewhere: one per document."""
+    doc = table(spark, d, "documents")
     sev = F.element_at(F.array(*[F.lit(s) for s in ("Error", "Warning", "Info", "Hidden")]), (F.col("doc_id") % 4 + 1).cast("int"))
     return doc.select(
         F.col("doc_id").cast("string").alias("analysis_id"),
@@ -322,7 +342,7 @@ def _sql_code_case() -> str:
     for k, lines in CODE_LINES.items():
         items = ", ".join("replace(" + _sql_str(ln) + ", '{id}', CAST(doc_id AS VARCHAR))" for ln in lines)
         parts.append(f"WHEN {k} THEN [{items}]")
-    return "CASE doc_id % 5 " + " ".join(parts) + " END"
+    return "CASE doc_id % 6 " + " ".join(parts) + " END"
 
 
 def _sql_str(s: str) -> str:
@@ -331,10 +351,10 @@ def _sql_str(s: str) -> str:
 
 SQL_VIEWS.update(
     {
-        "v_docs": "SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id % 10 <> 0",
+        "v_docs": "SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents",
         "v_text_lines": """
             SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM (
-              SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM v_docs)
+              SELECT doc_id, '// ' || unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM v_docs)
             WHERE i % 4 <> 3""",
         "v_code_only": f"""
             SELECT doc_id, unnest(cl) AS line, generate_subscripts(cl, 1) AS j
@@ -350,3 +370,30 @@ SQL_VIEWS.update(
               ON k.doc_id = c.doc_id""",
     }
 )
+
+
+def _sql_diff_text() -> str:
+    """The text of `diffs` in SQL, written out from its layout."""
+    cs = "'src/Doc' || CAST(doc_id AS VARCHAR) || '.cs'"
+    md = "'docs/Doc' || CAST(doc_id AS VARCHAR) || '.md'"
+    nl = " || chr(10) || "
+    code_file = nl.join(
+        [
+            "'From: review-bot'",
+            f"'diff --git a/' || {cs} || ' b/' || {cs}",
+            "'index 0000000..1111111 100644'",
+            f"'--- a/' || {cs}",
+            f"'+++ b/' || {cs}",
+            "'@@ -0,0 +1 @@'",
+            "array_to_string(list_transform(ls, lambda x, i: CASE WHEN i % 4 = 0 THEN ' ' || x ELSE '+// ' || x END), chr(10))",
+            "array_to_string(list_transform(cl, lambda x: '+' || x), chr(10))",
+        ]
+    )
+    text_file = nl.join(
+        [f"'diff --git a/' || {md} || ' b/' || {md}", f"'+++ b/' || {md}", "'+# Doc ' || CAST(doc_id AS VARCHAR)", "'+' || lang"]
+    )
+    return f"""SELECT doc_id, {code_file} || CASE WHEN doc_id % 3 = 0 THEN chr(10) || {text_file} ELSE '' END AS diff
+               FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS ls, {_sql_code_case()} AS cl FROM documents)"""
+
+
+SQL_DIFF_TEXT = _sql_diff_text()

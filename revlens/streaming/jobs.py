@@ -1,55 +1,103 @@
 """Structured Streaming jobs (K1, K2, K6).
 
-* K1 `run_state_stream`: webhook event files -> analysis state table. Each
-  micro-batch is applied with `apply_batch` (J3/J4) onto the previous snapshot
-  and written as a new snapshot folder named by batch id, so a retried batch
-  rewrites the same folder (idempotent) and each snapshot cuts the lineage.
-* K2 `job_state_stream`: job-event files -> job status per job, folded with
-  `applyInPandasWithState` (keyed by job id, state kept in the state store).
-* K6 `run_enrich_stream`: new jobs joined to static diffs inside
-  `foreachBatch`, analysed by the rule pipeline and scored.
-
-All scratch and sink folders live under the session's `spark.checkpoint.dir`
-(shared storage on a cluster), never in a machine-local temp folder.
+* K1 `run_state_stream`: webhook event files -> analysis state table.
+* K2 `run_job_stream`: job-event files -> status per job.
+* K6 `run_enrich_stream`: new jobs joined to static diffs and analysed.
+
+K1 and K2 keep a state table in two slots. Micro-batch b reads slot (b - 1) mod
+2 and overwrites slot b mod 2, so a retried batch starts from the same state and
+writes the same rows again, the lineage is cut in every batch, and the folders
+do not grow. The number of cores or partitions has no part in it: a restart on
+another cluster goes on from the stored slot. A batch costs one pass over the
+state, so the trigger interval is to be chosen by the state's size. Every batch
+also logs one row of counts (`batches`), which names the current slot.
+
+All folders live under the session's `spark.checkpoint.dir` (shared storage on a
+cluster), never in a machine-local temp folder.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from revlens import schemas as S
 from revlens.operators import queue as Q
 from revlens.operators import state as ST
-from revlens.session import checkpoint_dir
+from revlens.session import scratch_path
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    return scratch_path(spark, name)
+
+
+def feed(events: DataFrame, path: str, seq: str, parts: int, run: Callable[[], DataFrame], fmt: str = "parquet") -> DataFrame:
+    """Deliver a table to a file stream in `parts` ranges of seq: each range is
+    appended by as many tasks as it has partitions, then `run` takes it in.
+    Returns what the last run returned."""
+    lo, hi = events.agg(F.min(seq), F.max(seq)).first()
+    lo, hi = (0, 0) if lo is None else (int(lo), int(hi))
+    step = max(1, (hi - lo + parts) // parts)
+    out = None
+    for i in range(parts):
+        part = events.filter((F.col(seq) >= lo + i * step) & (F.col(seq) < lo + (i + 1) * step))
+        part.write.mode("append").format(fmt).save(path)
+        out = run()
+    return out
+
+
+def run_available(spark: SparkSession, source: str, schema: T.StructType | str, root: str, apply, files_per_batch: int | None = None) -> None:
+    """Run a file stream over all files that have arrived; by default one
+    micro-batch, or batches of `files_per_batch` files."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    writer = reader.parquet(source).writeStream.foreachBatch(apply)
+    writer.option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def run_stateful(
+    spark: SparkSession,
+    source: str,
+    schema: T.StructType | str,
+    root: str,
+    state_schema: T.StructType,
+    step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
+    files_per_batch: int | None = None,
+) -> DataFrame:
+    """`step(state, batch)` gives the next state and one row of counts to be
+    logged. Returns the state after the last batch."""
+    slot = lambda b: f"{root}/state/slot={b % 2}"
+    stored = lambda b: spark.read.schema(state_schema).parquet(slot(b))
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        state = stored(batch_id - 1) if batch_id else spark.createDataFrame([], state_schema)
+        new, counts = step(state, batch)
+        new.select(*state_schema.fieldNames()).write.mode("overwrite").parquet(slot(batch_id))
+        logged = counts.select(F.lit(batch_id).cast("long").alias("batch_id"), *counts.columns)
+        logged.coalesce(1).write.mode("overwrite").parquet(f"{root}/batches/batch={batch_id}")
+
+    run_available(spark, source, schema, root, apply, files_per_batch)
+    last = batch_log(spark, root).agg(F.max("batch_id")).first()[0]
+    return spark.createDataFrame([], state_schema) if last is None else stored(last)
 
 
-def write_in_chunks(df: DataFrame, path: str, seq: str, chunks: int, fmt: str = "parquet") -> None:
-    """Write a table as `chunks` files in seq order, one write per seq range, so a
-    file stream with maxFilesPerTrigger=1 sees them as ordered micro-batches."""
-    bounds = df.agg(F.min(seq).alias("lo"), F.max(seq).alias("hi")).first()
-    if bounds is None or bounds["lo"] is None:
-        df.limit(0).write.mode("append").format(fmt).save(path)
-        return
-    lo, hi = int(bounds["lo"]), int(bounds["hi"])
-    step = max(1, (hi - lo + chunks) // chunks)
-    for i in range(chunks):
-        a, b = lo + i * step, lo + (i + 1) * step
-        part = df.filter((F.col(seq) >= a) & (F.col(seq) < b))
-        part.coalesce(1).write.mode("append").format(fmt).save(path)
+def batch_log(spark: SparkSession, root: str) -> DataFrame:
+    """One row of counts per micro-batch so far; empty before the first."""
+    try:
+        return spark.read.parquet(f"{root}/batches").drop("batch")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "batch_id long")
 
 
+# --- K1 ------------------------------------------------------------------------------
 RAW_EVENT = T.StructType(
     [
         T.StructField("seq", T.LongType()),
@@ -59,88 +107,26 @@ RAW_EVENT = T.StructType(
 )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _bucket(cols, buckets: int = 64) -> "F.Column":
-    return F.pmod(F.hash(*[F.col(c) for c in cols]), F.lit(buckets)).cast("int")
-
-
-def run_state_stream(spark: SparkSession, source: str, root: str, buckets: int | None = None) -> DataFrame:
-    """K1: run the webhook stream to completion (availableNow) and return the
-    final analysis table.
-
-    Source rows are (seq, ts, raw webhook JSON). Each micro-batch is parsed
-    (S1); rejected / malformed payloads and rows with an empty repository or
-    PR 0 are dropped (T21); the rest is applied in seq order.
-
-    The state table is partitioned by a hash bucket of (repo_name, pr_number).
-    A batch reads only the buckets its events touch (worth it for the usual
-    small, frequent webhook batches against a large table) (semi-join: dynamic
-    partition pruning), stages the new rows of those buckets, and overwrites
-    just those partitions (dynamic partition overwrite), so the cost follows
-    the batch, not the whole table. A placeholder row per touched bucket makes
-    buckets that become empty get overwritten too. Applying a batch twice gives
-    the same rows as applying it once, so a retry after a partial write is
-    safe (at-least-once foreachBatch).
-    """
-    from revlens.sources.webhooks import OK, parse_pr_events
-
-    from revlens.session import parallelism
-
-    table = os.path.join(root, "state")
-    key = list(ST.KEY)
-    # Bucket count: one per core by default (thousands on a cluster), fixed for
-    # the life of the table.
-    nb = buckets or parallelism(spark)
-    state_schema = T.StructType(S.ANALYSES.fields + [T.StructField("_bucket", T.IntegerType())])
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        ev = parse_pr_events(batch, "raw").filter(
-            (F.col("parse_status") == OK) & (F.col("repo_name") != "") & (F.col("pr_number") != 0)
-        )
-        ev = ev.withColumn("_bucket", _bucket(key, nb))
-        touched = ev.select("_bucket").distinct()
-        if _exists(spark, table):
-            state = (
-                spark.read.schema(state_schema)
-                .parquet(table)
-                .join(touched, "_bucket", "left_semi")
-                .filter(F.col("id").isNotNull())
-                .drop("_bucket")
-            )
-        else:
-            state = spark.createDataFrame([], S.ANALYSES)
-        new_rows = ST.apply_batch(state, ev.drop("_bucket")).withColumn("_bucket", _bucket(key, nb))
-        placeholders = touched.select(
-            *[F.lit(None).cast(f.dataType).alias(f.name) for f in S.ANALYSES.fields], "_bucket"
-        )
-        staging = os.path.join(root, "staging", str(batch_id))
-        new_rows.unionByName(placeholders).write.mode("overwrite").parquet(staging)
-        (
-            spark.read.schema(state_schema)
-            .parquet(staging)
-            .repartition("_bucket")  # one writer per bucket: one file per touched partition
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("_bucket")
-            .parquet(table)
+def run_state_stream(spark: SparkSession, source: str, root: str, files_per_batch: int | None = None) -> DataFrame:
+    """K1: take in all webhook files that have arrived and return the analysis
+    table. Source rows are (seq, ts, raw webhook JSON); each micro-batch is
+    parsed (S1) and applied in seq order (J3, J4). Malformed and rejected
+    payloads, and those without a repository or PR number, are left out and
+    counted in the batch log (T21)."""
+    from revlens.sources.webhooks import MALFORMED, OK, REJECTED, parse_pr_events
+
+    def step(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        parsed = parse_pr_events(batch, "raw")
+        status, targeted = F.col("parse_status"), (F.col("repo_name") != "") & (F.col("pr_number") != 0)
+        counts = parsed.agg(
+            F.count("*").alias("events"),
+            F.count_if(status == MALFORMED).alias("malformed"),
+            F.count_if(status == REJECTED).alias("rejected"),
+            F.count_if((status == OK) & ~targeted).alias("without_target"),
         )
+        return ST.apply_batch(state, parsed.filter((status == OK) & targeted)), counts
 
-    stream = spark.readStream.schema(RAW_EVENT).option("maxFilesPerTrigger", 1).parquet(source)
-    q = (
-        stream.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", os.path.join(root, "_checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    if not _exists(spark, table):
-        return spark.createDataFrame([], S.ANALYSES)
-    return spark.read.schema(state_schema).parquet(table).filter(F.col("id").isNotNull()).drop("_bucket")
+    return run_stateful(spark, source, RAW_EVENT, root, S.ANALYSES, step, files_per_batch)
 
 
 # --- K2 ------------------------------------------------------------------------------
@@ -150,121 +136,106 @@ JOB_EVENT_SCHEMA = T.StructType(
         T.StructField("seq", T.LongType()),
         T.StructField("ts", T.TimestampType()),
         T.StructField("kind", T.StringType()),
+        T.StructField("message", T.StringType()),
+    ]
+)
+JOB_STATE = T.StructType(
+    [
+        T.StructField("job_id", T.StringType()),
+        T.StructField("status", T.IntegerType()),
+        T.StructField("retry_count", T.IntegerType()),
+        T.StructField("created_at", T.TimestampType()),
+        T.StructField("failed_at", T.TimestampType()),
+        T.StructField("next_attempt_at", T.TimestampType()),
+        T.StructField("error_message", T.StringType()),
     ]
 )
-JOB_OUT = "job_id string, status int, retry_count int, created_at timestamp, failed_at timestamp, last_seq long"
-JOB_STATE = "status int, retry_count int, created_at timestamp, failed_at timestamp, last_seq long"
-
-
-def fold_job(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per-job fold of one micro-batch of events (the K2 state machine)."""
-    if state.exists:
-        status, retry, created, failed, last_seq = state.get
-    else:
-        status, retry, created, failed, last_seq = None, 0, None, None, -1
-    frames = list(pdfs)
-    ev = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-    order = ev["seq"].to_numpy().argsort(kind="stable")
-    kinds = ev["kind"].to_numpy()[order]
-    stamps = ev["ts"].iloc[order].tolist()
-    last_seq = max(last_seq, int(ev["seq"].max()))
-    for kind, ts in zip(kinds, stamps):
-        if kind == "enqueue":
-            status, created, failed = S.JOB_PENDING, ts, None
-        elif status is None:
-            continue
-        elif kind == "dequeue" and status == S.JOB_PENDING:
-            status = S.JOB_PROCESSING
-        elif kind == "complete" and status == S.JOB_PROCESSING:
-            status = S.JOB_COMPLETED
-        elif kind == "fail" and status == S.JOB_PROCESSING:
-            retry += 1
-            failed = ts
-            status = S.JOB_RETRYING if retry < Q.MAX_ATTEMPTS else S.JOB_FAILED
-    if status is None:
-        return
-    state.update((int(status), int(retry), created, failed, int(last_seq)))
-    yield pd.DataFrame(
-        {
-            "job_id": [key[0]],
-            "status": [int(status)],
-            "retry_count": [int(retry)],
-            "created_at": [created],
-            "failed_at": [failed],
-            "last_seq": [int(last_seq)],
-        }
-    )
-
-
-def job_state_stream(events: DataFrame) -> DataFrame:
-    """K2 streaming: state per job, emitted on every update."""
-    return events.groupBy("job_id").applyInPandasWithState(
-        fold_job, JOB_OUT, JOB_STATE, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def run_job_stream(spark: SparkSession, source: str, root: str) -> DataFrame:
-    """Run K2 to completion; the latest update per job is its current state."""
-    sink = os.path.join(root, "updates")
-    stream = spark.readStream.schema(JOB_EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
-    q = (
-        job_state_stream(stream)
-        .writeStream.format("parquet")
-        .option("path", sink)
-        .option("checkpointLocation", os.path.join(root, "_checkpoint"))
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    ups = spark.read.schema(JOB_OUT).parquet(sink)
-    last = ups.groupBy("job_id").agg(F.max(F.struct("last_seq", "status", "retry_count", "created_at", "failed_at")).alias("s"))
-    rc = F.col("s.retry_count")
-    return last.select(
-        "job_id",
-        F.col("s.status").alias("status"),
-        rc.alias("retry_count"),
-        F.col("s.created_at").alias("created_at"),
-        F.col("s.failed_at").alias("failed_at"),
-        F.when(F.col("s.status") == S.JOB_RETRYING, F.col("s.failed_at") + F.make_interval(secs=F.lit(Q.RETRY_DELAY_SECONDS))).alias(
-            "next_attempt_at"
-        ),
-        F.when(rc > 0, F.concat(F.lit("attempt "), rc.cast("string"), F.lit(" failed"))).alias("error_message"),
-    )
+
+
+def run_job_stream(
+    spark: SparkSession, source: str, root: str, retain_hours: int | None = None, files_per_batch: int | None = None
+) -> DataFrame:
+    """K2: take in all job-event files that have arrived and return the state of
+    every job. Batches are applied in the order of arrival, the events of a
+    batch in seq order. With `retain_hours` (K4), finished jobs that are older
+    at a batch's latest event leave the state."""
+
+    def step(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        touched = batch.select("job_id").distinct()
+        folded = Q.job_states(batch, state.join(touched, "job_id", "left_semi"))
+        new = state.join(touched, "job_id", "left_anti").unionByName(folded)
+        if retain_hours is not None:
+            latest = batch.agg(F.max("ts")).first()[0]
+            new = Q.retention(new, F.lit(latest), retain_hours) if latest is not None else new
+        return new, batch.agg(F.count("*").alias("events"))
+
+    return run_stateful(spark, source, JOB_EVENT_SCHEMA, root, JOB_STATE, step, files_per_batch)
 
 
 # --- K6 ------------------------------------------------------------------------------
-def run_enrich_stream(spark: SparkSession, source: str, root: str, diffs: DataFrame, diags: DataFrame | None = None) -> DataFrame:
-    """K6: each micro-batch of new jobs (analysis_id, repo_name, pr_number) is
-    joined to the static diff table, analysed (R5) and scored (A1, A3, A4)."""
+DIFF_BUCKETS = 64  # fixed: folders of the static diff table
+
+
+def diff_bucket() -> Column:
+    return F.pmod(F.hash("repo_name", "pr_number"), F.lit(DIFF_BUCKETS))
+
+
+def store_diffs(diffs: DataFrame, path: str) -> DataFrame:
+    """The static side of K6 as a table in folders by a fixed hash of its key."""
+    stored = diffs.select("repo_name", "pr_number", "diff").withColumn("bucket", diff_bucket())
+    stored.write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return diffs.sparkSession.read.parquet(path)
+
+
+def run_enrich_stream(
+    spark: SparkSession,
+    source: str,
+    root: str,
+    diffs: DataFrame,
+    responder: Callable[[pd.Series], pd.Series],
+    diags: DataFrame | None = None,
+) -> DataFrame:
+    """K6: the outcome of every new job (analysis_id, repo_name, pr_number,
+    pr_title). A micro-batch reads the diffs from the folders of its keys,
+    writes its diffs once, and from them come the findings (R5), the reviewer's
+    suggestions and summary (X2), both scores, quality and risk (A1-A5), the
+    status Completed and the time. `diffs` is a table of `store_diffs`; the
+    result has the values to be written back to the analyses (S5)."""
     from revlens.operators import diffs as DF
+    from revlens.operators import replies as RP
     from revlens.operators import rules as R
     from revlens.operators import scoring as SC
 
-    sink = os.path.join(root, "scores")
-    schema = "analysis_id string, repo_name string, pr_number int"
+    sink = f"{root}/outcomes"
+    schema = "analysis_id string, repo_name string, pr_number int, pr_title string, ts timestamp"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        with_diff = DF.attach_diffs(batch, diffs.select("repo_name", "pr_number", "diff"))
-        batch_diags = None if diags is None else diags.join(batch.select("analysis_id"), "analysis_id", "left_semi")
-        found = R.analyze_diffs(with_diff, batch_diags)
-        st = SC.finding_stats(found)
-        scored = batch.select("analysis_id").join(st, "analysis_id", "left").select(
+        keyed = batch.withColumn("bucket", diff_bucket())
+        folders = [r[0] for r in keyed.select("bucket").distinct().collect()]  # DIFF_BUCKETS at most
+        mine = diffs.where(F.col("bucket").isin(folders))
+        work = f"{root}/work/slot={batch_id % 2}"
+        DF.attach_diffs(keyed, mine, ["bucket", "repo_name", "pr_number"]).write.mode("overwrite").parquet(work)
+        jobs = spark.read.parquet(work).drop("slot")
+        own = None if diags is None else diags.join(jobs.select("analysis_id"), "analysis_id", "left_semi")
+        found = SC.finding_stats(R.analyze_diffs(jobs, own))
+        asked = RP.review_prompts(jobs, "analysis_id", "diff", "pr_title")
+        replies = RP.respond(asked, responder)
+        suggested = SC.suggestion_stats(RP.parse_replies(replies.where("task = 'issues' and not failed"), "analysis_id"))
+        summaries = RP.summaries(replies.where("task = 'summary'"), "analysis_id")
+        scored = jobs.select("analysis_id", "ts").join(found, "analysis_id", "left").join(suggested, "analysis_id", "left").join(summaries, "analysis_id", "left")
+        scores = scored.select(
             "analysis_id",
-            F.coalesce("finding_count", F.lit(0)).alias("finding_count"),
-            F.coalesce("errors", F.lit(0)).alias("errors"),
-            F.coalesce("warnings", F.lit(0)).alias("warnings"),
+            F.lit(S.ST_COMPLETED).alias("status"),
+            "summary",
+            *[F.coalesce(c, F.lit(0)).alias(c) for c in ("finding_count", "errors", "warnings", "suggestion_count")],
             SC.score_from_penalty(F.col("finding_penalty")).alias("finding_score"),
+            SC.score_from_penalty(F.col("suggestion_penalty")).alias("suggestion_score"),
             SC.risk_level(F.col("errors"), F.col("warnings")).alias("risk_level"),
+            F.col("ts").alias("processed_at"),
+            F.col("ts").alias("updated_at"),
         )
-        scored.write.mode("overwrite").parquet(os.path.join(sink, f"batch={batch_id}"))
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    q = (
-        stream.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", os.path.join(root, "_checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+        outcome = scores.withColumn("quality_score", SC.quality_score(F.col("finding_score"), F.col("suggestion_score")))
+        outcome.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    run_available(spark, source, schema, root, apply)
     return spark.read.parquet(sink).drop("batch")

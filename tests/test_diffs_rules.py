@@ -1,5 +1,4 @@
-from pyspark.sql import functions as F
-
+from revlens.functions import csharp
 from revlens.operators import diffs as DF
 from revlens.operators import rules as R
 
@@ -43,24 +42,68 @@ def test_extension_filter(spark):
     assert sorted(r[0] for r in DF.csharp_files(df).select("file_path").collect()) == ["A.CS", "d.cs"]
 
 
-def _lines(spark, text):
-    rows = [("a", 0, "f.cs", i + 1, t) for i, t in enumerate(text.split("\n"))]
-    return spark.createDataFrame(rows, "analysis_id string, file_idx int, file_path string, line_number int, text string")
+def _code(spark, *texts):
+    rows = [("a", i, f"f{i}.cs", t) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "analysis_id string, file_idx int, file_path string, content string")
+
+
+def _hits(text, max_statements=50):
+    """(rule, line, column, text) of one file."""
+    out = []
+    for f in csharp.scan(text, max_statements):
+        out.append((f.rule, text.count("\n", 0, f.at) + 1, f.at - text.rfind("\n", 0, f.at), f.text))
+    return out
+
+
+def _values(text):
+    return [(line, col, v) for rule, line, col, v in _hits(text) if rule == "literal"]
+
+
+def _async(text):
+    return [(line, col, v) for rule, line, col, v in _hits(text) if rule == "async_void"]
+
+
+def _statements(text):
+    """Statement counts of the methods, by name order in the text."""
+    return [int(v) for rule, _, _, v in _hits(text, 0) if rule == "long_method"]
 
 
 def test_async_void(spark):
     code = "async void F() {}\nasync Task G() {}\nvoid H() {}\n// async void C() {}\nvar s = \"async void S()\";\npublic static async void K(int x) {}\nprivate async void Gen<T>(T x) {}"
-    got = sorted((r["line_number"], r["suggested_fix"]) for r in R.async_void(_lines(spark, code)).collect())
-    assert got == [(1, "async Task F(...)"), (6, "async Task K(...)"), (7, "async Task Gen(...)")]
+    got = sorted((r["line_number"], r["column_number"], r["suggested_fix"]) for r in R.async_void(_code(spark, code)).collect())
+    assert got == [(1, 1, "async Task F(...)"), (6, 1, "async Task K(...)"), (7, 1, "async Task Gen(...)")]
+
+
+def test_async_void_declarations():
+    assert _async("public async void Handle() {\n  async void Local() { }\n}") == [(1, 1, "Handle")]
+    assert _async("class C {\n  [Fact]\n  async void T() => F();\n  async Task U() {}\n  async ValueTask<int> V() {}\n}") == [(2, 3, "T")]
+    assert _async("interface I { async void A(\n  int x,\n  int y); }") == [(1, 15, "A")]
+    assert _async('/* async void A() {}\n async void B() {} */ var s = @"\nasync void C() {}";') == []
+
+
+def test_literals():
+    assert _values("var a = 1e-5 + 6.02e+23 + .5 + 1.50;") == [(1, 9, "1E-05"), (1, 16, "6.02E+23"), (1, 27, "0.5"), (1, 32, "1.5")]
+    assert _values("arr[3..7] = x.Item1 + a1;") == [(1, 5, "3"), (1, 8, "7")]
+    assert _values('var s = $"{n + 42} 43 {{44}} {x:N5} {(b ? 46 : 47)}" + $@"{48}\n""49""";') == [(1, 16, "42"), (1, 43, "46"), (1, 48, "47"), (1, 60, "48")]
+    assert _values("/* 5\n 6 */ f(7); // 8\n#pragma warning disable 618\nvar v = @\"9 \"\" 11\"; var c = '3';") == [(2, 9, "7")]
+    assert [v for _, _, v in _values("0xFF 0b101 1_000 100L 1.50m 2.0f 1e3 1e15 0.0001 0x1F_UL 007")] == [
+        "255", "5", "1000", "100", "1.50", "2", "1000", "1E+15", "0.0001", "31", "7",
+    ]
+    assert _values('"""\n 5 """ + 6') == [(2, 10, "6")]
+    assert _values("Log(12, 12);") == [(1, 5, "12"), (1, 9, "12")]
+    assert _values("'unclosed 5\n6 \"unclosed 7\n8") == [(2, 1, "6"), (3, 1, "8")]
 
 
 def test_magic_numbers(spark):
     code = "var a = 0 + 1 + 2 + 10 + 100;\nvar b = 3 + 42 + 1024;\nvar x10 = 1;\nvar h = 0x0A + 1.0 + 100L;"
-    got = [r["message"] for r in R.magic_numbers(_lines(spark, code)).orderBy("line_number", "column_number").collect()]
+    got = [r["message"] for r in R.magic_numbers(_code(spark, code)).collect()]
     assert sorted(got) == sorted(f"Use a named constant instead of magic number '{v}'" for v in ("3", "42", "1024"))
     many = "\n".join(f"var v{i} = {i + 11};" for i in range(12))
-    got = R.magic_numbers(_lines(spark, many)).orderBy("line_number").collect()
-    assert [r["line_number"] for r in got] == list(range(1, 11))
+    assert R.magic_numbers(_code(spark, many, many)).count() == 24
+    got = R.magic_numbers(_code(spark, many, many), limit=10).collect()
+    assert sorted((r["file_idx"], r["line_number"]) for r in got) == [(f, n) for f in (0, 1) for n in range(1, 11)]
+    ids = R.finding_ids(R.magic_numbers(_code(spark, "f(12, 12);"))).select("id").distinct().count()
+    assert ids == 2
 
 
 def _method(n):
@@ -69,21 +112,31 @@ def _method(n):
 
 
 def test_long_methods(spark):
-    assert R.long_methods(_lines(spark, _method(50))).count() == 0
-    got = R.long_methods(_lines(spark, _method(51))).collect()
-    assert len(got) == 1 and got[0]["line_number"] == 2 and "(51 satır)" in got[0]["message"]
+    got = R.long_methods(_code(spark, _method(50), _method(51))).collect()
+    assert [(r["file_idx"], r["line_number"], r["column_number"]) for r in got] == [(1, 2, 3)] and "(51 satır)" in got[0]["message"]
     ctor = "class C {\n  public C() {\n" + "\n".join(f"    x{i}();" for i in range(60)) + "\n  }\n}"
-    assert R.long_methods(_lines(spark, ctor)).count() == 0
     nested = "class C {\n  void M() {\n" + "\n".join("    if (a) {\n      b();\n    }" for _ in range(51)) + "\n  }\n}"
-    assert R.long_methods(_lines(spark, nested)).count() == 1
+    assert [r["file_idx"] for r in R.long_methods(_code(spark, ctor, nested)).collect()] == [1]
+    assert R.run_rules(_code(spark, "", "}}}}", "{{((")).count() == 0
+
+
+def test_statement_counts():
+    assert _statements("void M() {\n await Foo(1)\n  .Bar();\n return Foo(2);\n throw Foo(3);\n}") == [3]
+    assert _statements("void M() { a(); b(); void L() { x(); y(); } c(); }") == [4]
+    assert _statements("int M(\n int a,\n int b)\n{\n a();\n}") == [1]
+    assert _statements("void M() {" + "\nif (a)\n{\n x();\n}\nelse\n{\n y();\n}" * 26 + "\n}") == [26]
+    assert _statements("void M() { for (;;) { a(); } do { x(); } while (c); try { } catch { } finally { } if (a) b(); else c(); }") == [4]
+    assert _statements("void M() { var f = () => { q(); }; var o = new X { A = 1 }; switch (x) { case 3: break; } }") == [3]
+    assert _statements("class C { int P { get { return 1; } } int Q => 2; void M() => a(); C() { a(); } void N() { a(); ") == [1]
 
 
 def test_diagnostics_snippet(spark):
     files = spark.createDataFrame([("a", 0, "f.cs", "  first  \nsecond\n")],
                                   "analysis_id string, file_idx int, file_path string, content string")
     diags = spark.createDataFrame(
-        [("a", 0, "CS1", "t", "m", sev, line, 0, "Compiler") for sev, line in [("Error", 0), ("Hidden", 1), ("Warning", 9)]],
+        [("a", 0, "CS1", "t", "m", sev, line, 0, "Compiler") for sev, line in [("Error", 0), ("Hidden", 1), ("Warning", 9)]]
+        + [("b", 0, "CS1", "t", "m", "Error", 4, 0, "Compiler")],
         "analysis_id string, file_idx int, rule_id string, title string, message string, severity string, line0 int, col0 int, category string",
     )
     got = sorted((r["line_number"], r["severity"], r["code_snippet"]) for r in R.diagnostics(diags, files).collect())
-    assert got == [(1, 2, "first"), (2, 0, "second"), (10, 1, "")]
+    assert got == [(1, 2, "first"), (2, 0, "second"), (5, 2, ""), (10, 1, "")]

@@ -31,6 +31,15 @@ def test_sanitize(spark):
     assert _one(spark, f, "<iframe src=1>y</iframe>") == "y"
     assert _one(spark, f, "<H2 id=z>") == "<H2>"
     assert _one(spark, f, "<body><b>k</b><br/></body>") == "<b>k</b><br/>"
+    prose = "<p>The only = sign stays; once = 3 and one=two</p>"
+    assert _one(spark, f, prose) == prose
+    assert _one(spark, f, "<b/style=color:red>x</b>") == "<b>x</b>"
+    assert _one(spark, f, '<a title="x>y" href=javascript:z>t</a>') == "t"
+    assert _one(spark, f, "a < b <i>c</i> <!-- <b>d</b> --> <img src=x onerror=e") == "a &lt; b <i>c</i>  &lt;img src=x onerror=e"
+    assert _one(spark, f, "x<SCRIPT src='>'>alert('</p>')</Script >y<script>open") == "xy"
+    assert _one(spark, f, "<pre\nclass=a>k</pre><br /><blockquote>q</blockquote><!DOCTYPE html>") == "<pre>k</pre><br/>q"
+    long = "<p " + "a=1 " * 20_000 + ">" + "word " * 20_000 + "</p>"
+    assert _one(spark, f, long) == "<p>" + "word " * 20_000 + "</p>"
     s = "<div><p onclick='x'>t</p><style>a</style></div>"
     once = _one(spark, f, s)
     assert _one(spark, f, once) == once

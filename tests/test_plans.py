@@ -22,4 +22,21 @@ def test_no_cross_products(spark):
 def test_scoring_scan_is_pruned(spark):
     plan = _plan(E.queries()["analysis_scores"](spark, SMALL))
     assert "ReadSchema: struct<l_orderkey:bigint,l_returnflag:string>" in plan
-    assert "PushedFilters: [IsNotNull(l_linenumber), EqualTo(l_linenumber,1)]" in plan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_diff_work_needs_no_exchange(spark):
+    for name in ("diff_files", "added_lines", "async_void", "magic_numbers", "long_methods"):
+        assert "Exchange" not in E.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_diff_findings_exchanges(spark):
+    plan = E.queries()["diff_findings"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4 and "Window" not in plan
+
+
+def test_lookup_pushes_its_key(spark):
+    for name, column in (("get_by_id", "o_orderkey"), ("first_match", "o_orderkey")):
+        plan = E.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION" not in plan, name
+    assert "EqualTo(o_orderkey," in E.queries()["get_by_id"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()

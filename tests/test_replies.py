@@ -52,7 +52,7 @@ def test_reply_fallbacks(spark):
     for k in (7, 8):
         r = by[k][0]
         assert (r["priority"], r["impact_score"], r["tags"]) == (0, 3, ["gpt-analysis", "parse-error"])
-    assert len(by[9][0]["description"]) == 500
+    assert by[9][0]["description"] == long_text
     r = by[10][0]
     assert (r["impact_score"], r["priority"], r["tags"]) == (7, 2, ["a"])
 
@@ -73,3 +73,39 @@ def test_summary_fallbacks(spark):
     assert r["a"] == "PR Title: T\nSummary: OpenAI integration is not configured."
     assert r["b"] == "PR Title: T\nSummary: An error occurred during automated analysis."
     assert r["c"] == "Summary could not be generated."
+
+
+def test_fallback_limit_is_a_parameter(spark):
+    df = spark.createDataFrame([(1, "y" * 600)], "reply_id int, reply string")
+    assert len(RP.parse_replies(df, "reply_id", fallback_limit=RF.FALLBACK_LIMIT).first()["description"]) == 500
+
+
+def test_prompt_parts_cover_the_text(spark):
+    texts = ["", None, "a" * 7, "b" * 8, "".join(chr(0x1F600 + i % 50) for i in range(25))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", F.inline(RF.prompts("t", lambda p: F.concat(F.lit(">"), p), 8))).collect()
+    for i, t in enumerate(texts):
+        parts = sorted((r["part"], r["parts"], r["prompt"][1:]) for r in got if r["i"] == i)
+        assert "".join(p for _, _, p in parts) == (t or "") and [n for n, _, _ in parts] == list(range(1, parts[0][1] + 1))
+    cut = df.select("i", F.inline(RF.prompts("t", RF.issues_prompt, 8, first_only=True))).collect()
+    assert [r["truncated"] for r in sorted(cut)] == [False, False, False, False, True]
+
+
+def test_reviewer_failures_stay_alone(spark):
+    import pandas as pd
+
+    def reviewer(prompts: pd.Series) -> pd.Series:
+        if prompts.str.contains("bad").any():
+            raise RuntimeError("no answer")
+        return prompts.str.upper()
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "bad", "b", "bad2"])], "i int, prompt string").coalesce(1)
+    got = {r["i"]: (r["reply"], r["failed"]) for r in RP.respond(df, reviewer).collect()}
+    assert got == {0: ("A", False), 1: (None, True), 2: ("B", False), 3: (None, True)}
+
+
+def test_review_fallbacks(spark):
+    a = spark.createDataFrame([(str(i), f"T{i}") for i in range(4)], "id string, pr_title string")
+    r = spark.createDataFrame([("0", "ok", False), ("1", None, False), ("2", None, True), ("0", "again", False)], "id string, reply string, failed boolean")
+    got = sorted((x["id"], x["summary"]) for x in RP.with_review(a, r).collect())
+    assert got == [("0", "again"), ("0", "ok"), ("1", RF.SUMMARY_EMPTY), ("2", f"PR Title: T2\nSummary: {RF.SUMMARY_ERROR}"), ("3", f"PR Title: T3\nSummary: {RF.SUMMARY_UNCONFIGURED}")]

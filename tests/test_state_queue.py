@@ -115,3 +115,39 @@ def test_pack_and_read_round_trip(spark):
     df = spark.createDataFrame([(packed,), ("not json",), ("",)], "j string")
     got = [r[0] for r in df.select(F.size(J.read_findings("j"))).collect()]
     assert got == [1, 0, 0]
+
+
+def test_retry_leaves_the_analysis_failed(spark):
+    ev = _jobs(spark, ["enqueue", "dequeue", "fail", "enqueue"])
+    eff = Q.effective_events(ev).withColumn("analysis_id", F.lit("a"))
+    assert [(r["kind"], r["analysis_status"]) for r in eff.orderBy("seq").collect()] == [("enqueue", S.ST_PENDING), ("dequeue", S.ST_IN_PROGRESS), ("fail", S.ST_FAILED), ("enqueue", None)]
+    a = spark.createDataFrame([("a", 0, T0), ("b", 0, T0)], "id string, status int, updated_at timestamp")
+    got = {r["id"]: (r["status"], r["updated_at"]) for r in Q.apply_status_events(a, eff).collect()}
+    assert got == {"a": (S.ST_FAILED, T0 + timedelta(seconds=2)), "b": (0, T0)}
+
+
+def test_orphans_fail_one_attempt(spark):
+    rows = [("p", S.JOB_PENDING, 0, "x"), ("r", S.JOB_PROCESSING, 0, "x"), ("f", S.JOB_PROCESSING, 2, "x"), ("c", S.JOB_COMPLETED, 1, "x"), ("k", S.JOB_PROCESSING, 0, "a")]
+    jobs = spark.createDataFrame(rows, "job_id string, status int, retry_count int, analysis_id string").withColumn("error_message", F.lit(None).cast("string"))
+    known = spark.createDataFrame([("a",)], "id string")
+    got = {r["job_id"]: (r["status"], r["retry_count"], r["error_message"]) for r in Q.attach_analysis(jobs, known).collect()}
+    assert got == {
+        "p": (S.JOB_PENDING, 0, None), "r": (S.JOB_RETRYING, 1, Q.ORPHAN_MESSAGE), "f": (S.JOB_FAILED, 3, Q.ORPHAN_MESSAGE),
+        "c": (S.JOB_COMPLETED, 1, None), "k": (S.JOB_PROCESSING, 0, None),
+    }
+
+
+def test_no_hub_events_for_orphans(spark):
+    from revlens.operators.notifications import notification_log
+
+    hooks = _events(spark, ["opened", "closed", "closed"])
+    jobs = Q.effective_events(_jobs(spark, ["enqueue", "dequeue", "complete"])).withColumn("analysis_id", F.lit("gone"))
+    got = notification_log(hooks, jobs, spark.createDataFrame([("a",)], "id string")).collect()
+    assert sorted((r["event"], r["seq"], r["title"]) for r in got) == [("NewPullRequest", 0, "t0"), ("PullRequestClosed", 1, "t1")]
+
+
+def test_notifications_are_rows(spark):
+    a = spark.createDataFrame([("1",), ("2",)], "id string")
+    n = spark.createDataFrame([("x", "1", "m", 0, True, T0), ("y", "1", "m", 1, False, T0)], "id string, analysis_id string, message string, type int, is_read boolean, created_at timestamp")
+    got = sorted((r["id"], r["notification_id"] or "") for r in ST.with_notifications(a, n).collect())
+    assert got == [("1", "x"), ("1", "y"), ("2", "")]
