@@ -29,7 +29,7 @@ def notification_log(webhooks: DataFrame, job_events: DataFrame, analyses: DataF
     hub = (
         job_events.filter(F.col("hub_event").isNotNull())
         .join(analyses.select(F.col("id").alias("analysis_id")), "analysis_id", "left_semi")
-        .select(F.col("hub_event").alias("event"), "seq", "analysis_id")
+        .select(F.col("hub_event").alias("event"), "seq", F.col("analysis_id").cast("string").alias("analysis_id"))
     )
     return new.unionByName(closed, allowMissingColumns=True).unionByName(hub, allowMissingColumns=True).select(
         "event", "seq", "repo_name", "pr_number", "title", "author", "analysis_id"

@@ -35,7 +35,7 @@ def find(df: DataFrame, predicate: Column) -> DataFrame:
     return df.filter(predicate)
 
 
-def get_by_id(df: DataFrame, id_value: str, key: str = "id") -> DataFrame:
+def get_by_id(df: DataFrame, id_value: str | int, key: str = "id") -> DataFrame:
     """The row with this id (at most one)."""
     return df.filter(F.col(key) == F.lit(id_value)).limit(1)
 

@@ -60,7 +60,7 @@ def jobs(spark: SparkSession, d: str) -> DataFrame:
 def with_analysis_id(rows: DataFrame) -> DataFrame:
     """The proxy's analysis of a job."""
     parts = F.split(F.col("job_id"), "-")
-    return rows.withColumn("analysis_id", (parts[0].cast("long") * 100 + parts[1].cast("long")).cast("string"))
+    return rows.withColumn("analysis_id", parts[0].cast("long") * 100 + parts[1].cast("long"))
 
 
 SQL_SCORED = {
@@ -220,7 +220,7 @@ SQL_LIST = """
         extra={
             "m": SQL_METRICS,
             "top": SQL_LIST + " ORDER BY processed_at DESC, id LIMIT 5",
-            "r": """SELECT string_agg(id, ',' ORDER BY processed_at DESC, id) AS recent_ids,
+            "r": """SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY processed_at DESC, id) AS recent_ids,
                            string_agg(CAST(quality_score AS VARCHAR), ',' ORDER BY processed_at DESC, id)
                              AS recent_scores,
                            CAST(count(*) AS INTEGER) AS recent_count FROM top""",
@@ -262,7 +262,7 @@ def dashboard(spark, d):
         "risk_medium",
         "risk_low",
         "quality_band",
-        F.array_join(F.transform("recent_analyses", lambda x: x["id"]), ",").alias("recent_ids"),
+        F.array_join(F.transform("recent_analyses", lambda x: x["id"].cast("string")), ",").alias("recent_ids"),
         F.array_join(F.transform("recent_analyses", lambda x: x["quality_score"].cast("string")), ",").alias(
             "recent_scores"
         ),
@@ -316,10 +316,10 @@ def find(spark, d):
 
 @register(
     "get_by_id",
-    with_scored() + "SELECT id, pr_title, pr_author, quality_score FROM v_scored WHERE id = '42'",
+    with_scored() + "SELECT id, pr_title, pr_author, quality_score FROM v_scored WHERE id = 42",
 )
 def get_by_id(spark, d):
-    return SV.get_by_id(scored(spark, d), "42").select("id", "pr_title", "pr_author", "quality_score")
+    return SV.get_by_id(scored(spark, d), 42).select("id", "pr_title", "pr_author", "quality_score")
 
 
 @register(
@@ -446,8 +446,8 @@ def next_attempt(spark, d):
         "v_analyses",
         extra={
             "looked_up": """SELECT j.*, a.id IS NOT NULL AS analysis_found, a.id IS NULL AND j.status = 1 AS fails
-                            FROM (SELECT *, CAST(CAST(split_part(job_id, '-', 1) AS BIGINT) * 100
-                                              + CAST(split_part(job_id, '-', 2) AS BIGINT) AS VARCHAR) AS analysis_id
+                            FROM (SELECT *, CAST(split_part(job_id, '-', 1) AS BIGINT) * 100
+                                              + CAST(split_part(job_id, '-', 2) AS BIGINT) AS analysis_id
                                   FROM v_jobs) j
                             LEFT JOIN v_analyses a ON a.id = j.analysis_id""",
         },
@@ -1096,7 +1096,7 @@ def responder(spark, d):
     sql_with(
         "v_analyses",
         extra={
-            "rep": """SELECT CAST(conv_id AS VARCHAR) AS id, turn, CASE WHEN turn % 7 <> 5 THEN text END AS reply,
+            "rep": """SELECT conv_id AS id, turn, CASE WHEN turn % 7 <> 5 THEN text END AS reply,
                              turn % 5 = 3 AS failed
                       FROM conversations WHERE role = 'assistant'""",
             "s": """SELECT a.id, r.turn, CASE
@@ -1115,7 +1115,7 @@ def review_replies(spark, d):
     from revlens.operators import replies as RP
 
     rep = P.table(spark, d, "conversations").filter(F.col("role") == "assistant").select(
-        F.col("conv_id").cast("string").alias("id"),
+        F.col("conv_id").alias("id"),
         "turn",
         F.when(F.col("turn") % 7 != 5, F.col("text")).alias("reply"),
         (F.col("turn") % 5 == 3).alias("failed"),
@@ -1165,7 +1165,7 @@ def detail_rows(spark: SparkSession, d: str, with_scores: bool = True) -> DataFr
                CAST(coalesce(sc.n, 0) AS INTEGER) AS suggestion_count,
                CAST(coalesce(sc.c, 0) AS INTEGER) AS critical_suggestions,
                CAST(2 * coalesce(sc.n, 0) AS INTEGER) AS tag_count
-         FROM v_scored s JOIN orders o ON CAST(o.o_orderkey AS VARCHAR) = s.id
+         FROM v_scored s JOIN orders o ON o.o_orderkey = s.id
          LEFT JOIN fc ON fc.analysis_id = s.id
          LEFT JOIN sc ON sc.analysis_id = s.id
          LEFT JOIN ff ON ff.analysis_id = s.id AND ff.r = 1""",
@@ -1306,8 +1306,7 @@ SQL_EFFECTIVE = """
            CASE kind WHEN 'enqueue' THEN CASE WHEN was IS NULL THEN 0 END WHEN 'dequeue' THEN 1 WHEN 'complete' THEN 2
                      ELSE 3 END AS analysis_status,
            CASE kind WHEN 'dequeue' THEN 'AnalysisUpdated' WHEN 'complete' THEN 'AnalysisCompleted' END AS hub_event,
-           CAST(CAST(split_part(job_id, '-', 1) AS BIGINT) * 100 + CAST(split_part(job_id, '-', 2) AS BIGINT)
-                AS VARCHAR) AS analysis_id
+           CAST(split_part(job_id, '-', 1) AS BIGINT) * 100 + CAST(split_part(job_id, '-', 2) AS BIGINT) AS analysis_id
     FROM jfold WHERE effective"""
 
 
@@ -1331,7 +1330,7 @@ def status_events(spark, d):
            ON k.repo_name = c.repo_name AND k.pr_number = c.pr_number AND k.seg = coalesce(c.prev_close, -1)
          WHERE c.route = 'delete' AND coalesce(c.prev_upsert > coalesce(c.prev_close, -1), false)
          UNION ALL
-         SELECT hub_event, seq, NULL, NULL, NULL, NULL, analysis_id
+         SELECT hub_event, seq, NULL, NULL, NULL, NULL, CAST(analysis_id AS VARCHAR)
          FROM eff WHERE hub_event IS NOT NULL AND analysis_id IN (SELECT id FROM v_analyses)""",
 )
 def notification_log(spark, d):

@@ -39,12 +39,8 @@ def analyses(spark: SparkSession, d: str) -> DataFrame:
         .when(F.col("o_orderkey") % 7 == 0, F.repeat(F.concat(F.col("o_orderpriority"), F.lit(" ")), 9))
         .otherwise(F.col("o_orderpriority"))
     )
-    # Hash-partitioned on `id`: every analysis join (per-analysis finding /
-    # suggestion aggregates, packed JSON, notifications) is on this key, so
-    # the sort-merge joins reuse this one exchange, and the per-row detail work
-    # (summary HTML, JSON parsing) is spread over tasks.
-    out = j.select(
-        F.col("o_orderkey").cast("string").alias("id"),
+    return j.select(
+        F.col("o_orderkey").alias("id"),
         F.concat(F.lit("org/repo-"), (F.col("o_custkey") % REPOS).cast("string")).alias("repo_name"),
         F.col("o_orderkey").cast("int").alias("pr_number"),
         title.alias("pr_title"),
@@ -62,7 +58,6 @@ def analyses(spark: SparkSession, d: str) -> DataFrame:
         _ts("o_orderdate").alias("created_at"),
         _ts("o_orderdate").alias("updated_at"),
     )
-    return out.repartition("id")
 
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +69,7 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
     )
     rule = F.concat(F.lit("CV"), F.lpad((F.col("l_suppkey") % 4).cast("string"), 4, "0"))
     return li.select(
-        F.col("l_orderkey").cast("string").alias("analysis_id"),
+        F.col("l_orderkey").alias("analysis_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
         rule.alias("rule_id"),
         F.concat(F.lit("Rule "), rule).alias("title"),
@@ -94,7 +89,7 @@ def suggestions(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     q = F.col("l_quantity").cast("int") % 5
     return li.select(
-        F.col("l_orderkey").cast("string").alias("analysis_id"),
+        F.col("l_orderkey").alias("analysis_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"),
         F.lit(0).alias("type"),
         F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("title"),
@@ -157,7 +152,7 @@ def notifications(spark: SparkSession, d: str) -> DataFrame:
     )
     return ev.select(
         F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("id"),
-        (F.col("event_id") % NOTIFIED).cast("string").alias("analysis_id"),
+        (F.col("event_id") % NOTIFIED).alias("analysis_id"),
         F.concat(F.lit("event "), F.col("event_type")).alias("message"),
         ntype.alias("type"),
         (F.col("value") > 100).alias("is_read"),
@@ -169,7 +164,7 @@ def notifications(spark: SparkSession, d: str) -> DataFrame:
 # DuckDB twins of the views above (CTE bodies).
 SQL_VIEWS: dict[str, str] = {
     "v_analyses": """
-        SELECT CAST(o.o_orderkey AS VARCHAR) AS id,
+        SELECT o.o_orderkey AS id,
                'org/repo-' || CAST(o.o_custkey % 20 AS VARCHAR) AS repo_name,
                CAST(o.o_orderkey AS INTEGER) AS pr_number,
                CASE WHEN o.o_orderkey % 11 = 0 THEN '' WHEN o.o_orderkey % 7 = 0 THEN repeat(o.o_orderpriority || ' ', 9)
@@ -181,7 +176,7 @@ SQL_VIEWS: dict[str, str] = {
                CAST(o.o_orderdate AS TIMESTAMP) AS created_at
         FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey""",
     "v_findings": """
-        SELECT CAST(l_orderkey AS VARCHAR) AS analysis_id,
+        SELECT l_orderkey AS analysis_id,
                concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id,
                'CV' || lpad(CAST(l_suppkey % 4 AS VARCHAR), 4, '0') AS rule_id,
                'Rule CV' || lpad(CAST(l_suppkey % 4 AS VARCHAR), 4, '0') AS title,
@@ -192,7 +187,7 @@ SQL_VIEWS: dict[str, str] = {
                'Status' || l_linestatus AS category
         FROM lineitem""",
     "v_suggestions": """
-        SELECT CAST(l_orderkey AS VARCHAR) AS analysis_id,
+        SELECT l_orderkey AS analysis_id,
                concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS id,
                'Part ' || CAST(l_partkey AS VARCHAR) AS title,
                CAST(nullif(CAST(trunc(l_quantity) AS INTEGER) % 5, 4) AS INTEGER) AS priority,
@@ -219,7 +214,7 @@ SQL_VIEWS: dict[str, str] = {
           FROM events) WHERE kind IS NOT NULL""",
     "v_notifications": """
         SELECT 'n' || CAST(event_id AS VARCHAR) AS id,
-               CAST(event_id % 500 AS VARCHAR) AS analysis_id,
+               event_id % 500 AS analysis_id,
                'event ' || event_type AS message,
                CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'error' THEN 2 ELSE 3 END AS type,
                value > 100 AS is_read,
