@@ -79,11 +79,11 @@ def analysis_list(df: DataFrame) -> DataFrame:
     )
 
 
-def count_rows(df: DataFrame, predicate: Column | None = None) -> DataFrame:
-    """Count of rows, optionally of rows matching a predicate."""
-    if predicate is None:
-        return df.agg(F.count(F.lit(1)).alias("count"))
-    return df.agg(F.count_if(predicate).alias("count"))
+def count_rows(df: DataFrame, predicate: Column | None = None, **matching: Column) -> DataFrame:
+    """Number of rows, or of rows matching a predicate, as `count`; further
+    named predicates (X1) are counted in the same aggregate."""
+    first = F.count(F.lit(1)) if predicate is None else F.count_if(predicate)
+    return df.agg(first.alias("count"), *[F.count_if(p).alias(n) for n, p in matching.items()])
 
 
 def quality_metrics(df: DataFrame) -> DataFrame:

@@ -275,6 +275,19 @@ def dashboard(spark, d):
     )
 
 
+@register(
+    "dashboard_recent",
+    with_scored(extra={"l": SQL_LIST})
+    + """SELECT row_number() OVER (ORDER BY processed_at DESC, id) - 1 AS position, id, repo_name, pr_number, pr_title, pr_author,
+               status, quality_score, risk_level, processed_at
+         FROM l ORDER BY processed_at DESC, id LIMIT 5""",
+)
+def dashboard_recent(spark, d):
+    """A10: the rows of the dashboard's recent list."""
+    row = SV.dashboard(scored(spark, d), Q.queue_length(jobs(spark, d)))
+    return row.select(F.posexplode("recent_analyses").alias("position", "a")).select(F.col("position").cast("long").alias("position"), "a.*")
+
+
 # ---------------------------------------------------------------------------
 # Lists and pages
 @register(
@@ -1145,7 +1158,7 @@ def detail_rows(spark: SparkSession, d: str, with_scores: bool = True) -> DataFr
     with_scored(
         extra={
             "ff": """SELECT analysis_id, rule_id, row_number() OVER (PARTITION BY analysis_id
-                        ORDER BY file_path, line_number, rule_id, id) AS r FROM v_findings""",
+                        ORDER BY file_idx, file_path, line_number, rule_id, id) AS r FROM v_findings""",
             "fc": """SELECT analysis_id, count(*) AS n, count(*) FILTER (WHERE severity = 2) AS e FROM v_findings
                      GROUP BY analysis_id""",
             "sc": """SELECT analysis_id, count(*) AS n, count(*) FILTER (WHERE priority = 3) AS c FROM v_suggestions
@@ -1194,17 +1207,47 @@ def analysis_detail(spark, d):
                CAST(finding_count + suggestion_count AS INTEGER) AS result_count FROM v_scored""",
 )
 def finding_counts(spark, d):
-    """List sizes shown next to the detail lists, from the packed JSON
-    (scores are not needed for the counts, so the scoring joins are skipped)."""
+    """List sizes shown next to the detail lists, from the per-analysis
+    aggregates (A1, A2); no list is built for them."""
+    return scored(spark, d).select(
+        "id", "finding_count", "suggestion_count", (F.col("finding_count") + F.col("suggestion_count")).alias("result_count")
+    )
+
+
+@register(
+    "detail_findings",
+    sql_with("v_findings")
+    + """SELECT analysis_id, row_number() OVER (PARTITION BY analysis_id ORDER BY file_idx, file_path, line_number, rule_id, id)
+                  - 1 AS position, id, rule_id,
+               CASE severity WHEN 0 THEN 'Info' WHEN 1 THEN 'Warning' WHEN 2 THEN 'Error' END AS severity, message,
+               file_path, line_number, category, CAST(NULL AS VARCHAR) AS description
+         FROM v_findings""",
+)
+def detail_findings(spark, d):
+    """The eight fields of every finding of the detail view, in file order."""
     det = detail_rows(spark, d, with_scores=False)
-    return det.select(
-        "id",
-        F.size("findings").alias("finding_count"),
-        F.size("suggestions").alias("suggestion_count"),
-        (F.size("findings") + F.size("suggestions")).alias("result_count"),
+    return det.select(F.col("id").alias("analysis_id"), F.posexplode("findings").alias("position", "f")).select(
+        "analysis_id", F.col("position").cast("long").alias("position"), "f.*"
     )
 
 
+@register(
+    "detail_suggestions",
+    sql_with("v_suggestions")
+    + """SELECT analysis_id, id, 'PotentialIssue' AS type, title, 'No description' AS description,
+               CASE priority WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' WHEN 3 THEN 'Critical' END AS priority,
+               'mixed' AS file_path, CAST(NULL AS INTEGER) AS start_line, CAST(NULL AS INTEGER) AS end_line,
+               CAST(NULL AS VARCHAR) AS original_code, CAST(NULL AS VARCHAR) AS suggested_code,
+               'code_quality' AS category, impact_score, 't,code_quality' AS tags
+         FROM v_suggestions""",
+)
+def detail_suggestions(spark, d):
+    """The fields of every suggestion of the detail view, with clean tags."""
+    det = detail_rows(spark, d, with_scores=False)
+    rows = det.select(F.col("id").alias("analysis_id"), F.explode("suggestions").alias("s")).select("analysis_id", "s.*")
+    return rows.withColumn("tags", F.array_join("tags", ","))
+
+
 def _sql_encode(x: str) -> str:
     return (
         f"array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: "
@@ -1446,14 +1489,8 @@ def stream_enrich(spark, d):
 )
 def count_rows(spark, d):
     """A6 with and without a caller predicate (X1), as one aggregate."""
-    from revlens.operators import serving as SVV
-
-    a = scored(spark, d)
-    total = SVV.count_rows(a).withColumnRenamed("count", "total")
-    matching = SVV.count_rows(a, (F.col("risk_level") == 2) | (F.col("quality_score") < 50)).withColumnRenamed(
-        "count", "matching"
-    )
-    return SVV.combine_rows(total, matching)
+    risky = (F.col("risk_level") == 2) | (F.col("quality_score") < 50)
+    return SV.count_rows(scored(spark, d), matching=risky).withColumnRenamed("count", "total")
 
 
 @register(

@@ -75,6 +75,7 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("Rule "), rule).alias("title"),
         F.concat(F.lit("quantity "), F.col("l_quantity").cast("int").cast("string")).alias("message"),
         sev.alias("severity"),
+        (F.col("l_suppkey") % 3).cast("int").alias("file_idx"),
         F.concat(F.lit("src/"), F.col("l_partkey").cast("string"), F.lit(".cs")).alias("file_path"),
         F.col("l_linenumber").cast("int").alias("line_number"),
         F.lit(1).alias("column_number"),
@@ -182,6 +183,7 @@ SQL_VIEWS: dict[str, str] = {
                'Rule CV' || lpad(CAST(l_suppkey % 4 AS VARCHAR), 4, '0') AS title,
                'quantity ' || CAST(CAST(trunc(l_quantity) AS INTEGER) AS VARCHAR) AS message,
                CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 WHEN 'N' THEN 0 END AS severity,
+               CAST(l_suppkey % 3 AS INTEGER) AS file_idx,
                'src/' || CAST(l_partkey AS VARCHAR) || '.cs' AS file_path,
                CAST(l_linenumber AS INTEGER) AS line_number,
                'Status' || l_linestatus AS category

@@ -3,8 +3,8 @@
 Tables are plain files (parquet by default) with fixed schemas. JDBC or any
 other stock Spark source is reached with the same call by passing `fmt` and
 `options`. There is no MERGE on parquet: a whole-row replace is written as a
-new snapshot (left_anti + unionByName), which stays a two-sided shuffle join on
-the key and never goes through the driver.
+new snapshot, from one shuffle join on the key that never goes through the
+driver.
 """
 
 from __future__ import annotations
@@ -22,14 +22,22 @@ TABLE_SCHEMAS = {
 }
 
 
-def read_table(spark: SparkSession, path: str, name: str = "analyses", fmt: str = "parquet", **options) -> DataFrame:
-    """S3: full scan with the fixed schema of `name` (no inference)."""
+def read_table(
+    spark: SparkSession, path: str, name: str = "analyses", fmt: str = "parquet", allow_missing: bool = False, **options
+) -> DataFrame:
+    """S3: full scan with the fixed schema of `name` (no inference). A stored
+    table without one of the columns raises, unless `allow_missing` reads it as
+    null."""
     schema: T.StructType = TABLE_SCHEMAS[name]
     reader = spark.read.format(fmt).options(**options)
+    load = (lambda r: r.load()) if fmt == "jdbc" else (lambda r: r.load(path))
     if fmt in ("json", "csv"):
-        reader = reader.schema(schema)
-    df = reader.load(path) if fmt != "jdbc" else reader.load()
-    return conform(df, schema)
+        return load(reader.schema(schema))
+    stored = set(load(reader).columns)
+    missing = [f.name for f in schema.fields if f.name not in stored]
+    if missing and not allow_missing:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    return conform(load(reader), schema) if fmt == "jdbc" else load(spark.read.format(fmt).options(**options).schema(schema))
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -50,10 +58,14 @@ def insert_rows(rows: DataFrame, path: str, fmt: str = "parquet", partition_by:
 
 
 def replace_rows(state: DataFrame, changes: DataFrame, key: str | list[str] = "id") -> DataFrame:
-    """Whole-row update by key; rows of `changes` win, others are kept."""
+    """Whole-row update by key: a row of `changes` (one per key) replaces the
+    stored row, other rows stay, and changes without a stored row are left out,
+    as an update touches existing rows only. One join; both sides are read once."""
     keys = [key] if isinstance(key, str) else list(key)
-    kept = state.join(changes.select(*keys), keys, "left_anti")
-    return kept.unionByName(changes.select(*state.columns))
+    others = [c for c in state.columns if c not in keys]
+    new = changes.select(*keys, F.struct(*others).alias("_new"))
+    value = lambda c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
+    return state.join(new, keys, "left").select(*[F.col(c) if c in keys else value(c) for c in state.columns])
 
 
 def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet") -> None:
