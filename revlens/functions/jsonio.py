@@ -86,18 +86,36 @@ def pack_suggestions(suggestions: DataFrame, key: str = "analysis_id", order: li
     return _pack(suggestions, SUGGESTION_KEYS, S.SUGGESTION, order, key).withColumnRenamed("json", "suggestions_json")
 
 
-def read_findings(js) -> Column:
-    """F16: stored findings JSON -> array of structs; empty or malformed -> []."""
+def _read(js, keys, schema: T.ArrayType) -> Column:
+    """Stored JSON list -> array of structs. Property names match in any case (of
+    several the last one counts), quotes must be double; empty or malformed
+    text gives []."""
     c = F.col(js) if isinstance(js, str) else js
-    parsed = F.from_json(c, FINDINGS_JSON_SCHEMA, {"mode": "PERMISSIVE"})
-    return F.coalesce(parsed, F.array().cast(FINDINGS_JSON_SCHEMA))
+    strict = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
+    rows = F.from_json(c, "array<map<string,string>>", strict)
+    types = {f.name: f.dataType for f in schema.elementType.fields}
+
+    def field(entries: Column, k: str) -> Column:
+        same = F.filter(entries, lambda e: F.lower(e["key"]) == k.lower())
+        v = F.try_element_at(same, F.lit(-1))["value"]
+        t = types[k]
+        return (F.from_json(v, t, strict) if isinstance(t, T.ArrayType) else v.try_cast(t)).alias(k)
+
+    def item(m: Column) -> Column:
+        return F.struct(*[field(F.map_entries(m), k) for k, _ in keys])
+
+    empty = F.array().cast(schema)
+    return F.when(F.trim(c).rlike(r"\]$") & rows.isNotNull(), F.transform(F.filter(rows, lambda m: m.isNotNull()), item)).otherwise(empty)
+
+
+def read_findings(js) -> Column:
+    """F16: stored findings JSON."""
+    return _read(js, FINDING_KEYS, FINDINGS_JSON_SCHEMA)
 
 
 def read_suggestions(js) -> Column:
     """F16 for suggestions."""
-    c = F.col(js) if isinstance(js, str) else js
-    parsed = F.from_json(c, SUGGESTIONS_JSON_SCHEMA, {"mode": "PERMISSIVE"})
-    return F.coalesce(parsed, F.array().cast(SUGGESTIONS_JSON_SCHEMA))
+    return _read(js, SUGGESTION_KEYS, SUGGESTIONS_JSON_SCHEMA)
 
 
 def clean_tags(tags) -> Column:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SPAN = 1 << 20
+DEFAULT_SPAN = 1 << 12
 
 
 def running_max(

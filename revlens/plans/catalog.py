@@ -497,9 +497,7 @@ def webhook_payloads(spark: SparkSession, d: str) -> DataFrame:
     missing pull_request, an explicit null pull_request, or cut-off text."""
     from revlens.sources.webhooks import encode_pr_event
 
-    from revlens.session import spread
-
-    w = spread(P.webhook_rows(spark, d), "seq")
+    w = P.webhook_rows(spark, d)
     full = encode_pr_event(
         F.col("action"), F.col("repo_name"), F.col("pr_number"), F.col("pr_title"), F.col("pr_author"), F.col("ts")
     )
@@ -1316,9 +1314,7 @@ def _sql_sanitize(x: str) -> str:
 def summary_html(spark, d):
     from revlens.functions import html as H
 
-    from revlens.session import spread
-
-    doc = spread(P.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    doc = P.table(spark, d, "documents").select("doc_id", "text")
     return H.with_clean_summary(doc, "text", "h").select(
         "doc_id", F.length("h").alias("html_chars"), F.sha2("h", 256).alias("html_sha")
     )
@@ -1333,9 +1329,7 @@ def summary_html(spark, d):
 def sanitize_html(spark, d):
     from revlens.functions import html as H
 
-    from revlens.session import spread
-
-    pg = spread(P.table(spark, d, "pages").select("page_id", "html"), "page_id")
+    pg = P.table(spark, d, "pages").select("page_id", "html")
     return pg.select("page_id", H.sanitize_html(F.col("html")).alias("h")).select(
         "page_id", F.length("h").alias("html_chars"), F.sha2("h", 256).alias("html_sha")
     )

@@ -83,28 +83,3 @@ def materialize(df, name: str = "table"):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def parallelism(spark: SparkSession) -> int:
-    """Cores available to the job (the cluster's default parallelism); falls
-    back to the shuffle partition setting where no SparkContext is exposed."""
-    try:
-        return int(spark.sparkContext.defaultParallelism)
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect sessions
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def spread(df, *cols: str):
-    """Repartition a DataFrame over all cores when its input has fewer
-    partitions than cores (a small table in one file / row group) before
-    CPU-heavy per-row work. Large inputs already have more splits than cores
-    and are returned unchanged, so no shuffle is added at scale."""
-    spark = df.sparkSession
-    n = parallelism(spark)
-    try:
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect)
-        return df
-    if parts >= n:
-        return df
-    return df.repartition(n, *cols) if cols else df.repartition(n)

@@ -9,7 +9,7 @@ driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,14 +57,19 @@ def insert_rows(rows: DataFrame, path: str, fmt: str = "parquet", partition_by:
     w.save(path)
 
 
-def replace_rows(state: DataFrame, changes: DataFrame, key: str | list[str] = "id") -> DataFrame:
+def replace_rows(state: DataFrame, changes: DataFrame, key: str | list[str] = "id", now: Column | None = None) -> DataFrame:
     """Whole-row update by key: a row of `changes` (one per key) replaces the
     stored row, other rows stay, and changes without a stored row are left out,
-    as an update touches existing rows only. One join; both sides are read once."""
+    as an update touches existing rows only. `now` stamps the replaced rows'
+    `updated_at` (F26). One join; both sides are read once."""
     keys = [key] if isinstance(key, str) else list(key)
     others = [c for c in state.columns if c not in keys]
     new = changes.select(*keys, F.struct(*others).alias("_new"))
-    value = lambda c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
+
+    def value(c: str) -> Column:
+        changed = now if c == "updated_at" and now is not None else F.col(f"_new.{c}")
+        return F.when(F.col("_new").isNotNull(), changed).otherwise(F.col(c)).alias(c)
+
     return state.join(new, keys, "left").select(*[F.col(c) if c in keys else value(c) for c in state.columns])
 
 

@@ -151,3 +151,14 @@ def test_notifications_are_rows(spark):
     n = spark.createDataFrame([("x", "1", "m", 0, True, T0), ("y", "1", "m", 1, False, T0)], "id string, analysis_id string, message string, type int, is_read boolean, created_at timestamp")
     got = sorted((r["id"], r["notification_id"] or "") for r in ST.with_notifications(a, n).collect())
     assert got == [("1", "x"), ("1", "y"), ("2", "")]
+
+
+def test_stored_json_names_in_any_case(spark):
+    from revlens.functions import jsonio as J
+
+    texts = ['[{"id":"a","SEVERITY":2,"lineNumber":3},null]', "[{'Id':'a'}]", '[{"Id":"x","id":"y"}]', '[{"Id":"cut', None, "{}", "[]"]
+    df = spark.createDataFrame([(t,) for t in texts], "j string")
+    got = [[(f["Id"], f["Severity"], f["LineNumber"]) for f in r[0]] for r in df.select(J.read_findings("j")).collect()]
+    assert got == [[("a", 2, 3)], [], [("y", None, None)], [], [], [], []]
+    tags = spark.createDataFrame([('[{"tags":["a"," "],"Priority":1}]',)], "j string").select(J.read_suggestions("j")[0]).first()[0]
+    assert tags["Tags"] == ["a", " "] and tags["Priority"] == 1
