@@ -21,8 +21,9 @@ The index is broadcast in groups of at most `Config.group_chunks` chunks, which
 bounds its size; a larger benchmark takes more passes over the documents.
 
 Defined results: null or empty texts and items give no pair; items that repeat
-give a pair each; a repeated document row gives one pair per (doc_id, item_id);
-extra columns are ignored; an empty benchmark gives an empty result.
+give a pair each; a repeated document row gives one pair per (doc_id, item_id),
+and rows without doc_id together likewise; extra columns are ignored; an empty
+benchmark gives an empty result. `clean` judges every row by itself.
 """
 
 from __future__ import annotations
