@@ -40,3 +40,27 @@ def test_lookup_pushes_its_key(spark):
         plan = E.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION" not in plan, name
     assert "EqualTo(o_orderkey," in E.queries()["get_by_id"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+def _scans(spark, name, table):
+    plan = E.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count(f"{table}.parquet") or plan.count("Relation [" + {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}[table])
+
+
+def test_sources_are_read_once_per_use(spark):
+    for name in ("count_rows", "analysis_scores", "finding_counts"):
+        assert _scans(spark, name, "lineitem") == 2 and _scans(spark, name, "orders") == 1, name
+    assert _scans(spark, "upsert_state", "events") <= 8 and _scans(spark, "closed_report", "events") <= 2
+
+
+def test_stream_steps_have_no_cross_products(spark):
+    from revlens import schemas as S
+    from revlens.operators import queue as Q
+    from revlens.operators import state as ST
+    from revlens.plans import proxies as P
+    from revlens.streaming import jobs as SJ
+
+    jobs = Q.job_states(P.job_events(spark, SMALL), spark.createDataFrame([], SJ.JOB_STATE))
+    state = ST.apply_batch(spark.createDataFrame([], S.ANALYSES), P.webhook_rows(spark, SMALL))
+    for df in (jobs, state):
+        assert not any(op in _plan(df) for op in FORBIDDEN)
