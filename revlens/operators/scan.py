@@ -50,7 +50,8 @@ def running_max(
     local = base.withColumns({f"_scan_l_{n}": fns[hows[n]](tmp[n]).over(w_local) for n in values})
 
     # Totals come from the window output, which is already partitioned on
-    # (keys, bucket): no second exchange, and the input is evaluated once.
+    # (keys, bucket), so both sides of the join below share one exchange (AQE
+    # reuses it at run time); the window itself runs on either side.
     totals = local.groupBy(*keys, b).agg(*[fns[hows[n]](tmp[n]).alias(f"_scan_t_{n}") for n in values])
     w_prev = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
