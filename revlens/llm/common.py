@@ -47,6 +47,33 @@ def word_count(column: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+#: Bits of a key bitmap: 2048 rows of 4 KB, 8 MB in all, whatever the number of keys.
+BITMAP_BITS = 1 << 26
+_ROW_BITS = 1 << 15
+
+
+def _bit(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
+
+
+def key_bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """The hashes of a key column as a bitmap of fixed size."""
+    bits = keys.select(F.floor(_bit(key) / _ROW_BITS).alias("__row"), (_bit(key) % _ROW_BITS).alias("__at"))
+    return bits.groupBy("__row").agg(F.bitmap_construct_agg("__at").alias("__bits"))
+
+
+def with_hint(rows: DataFrame, bitmap: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds whether the row's key may be among the bitmap's keys (false: it is
+    not). The bitmap has a fixed bound, so it is broadcast: rows that cannot
+    match need no shuffle. With very many keys it only excludes less."""
+    columns = rows.columns
+    at = _bit(key) % _ROW_BITS
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1
+    joined = rows.join(F.broadcast(bitmap), F.floor(_bit(key) / _ROW_BITS) == F.col("__row"), "left")
+    return joined.select(*columns, F.coalesce(held, F.lit(False)).alias(name))
+
+
 def record_batch(fields: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     """A batch of the schema's types from arrays or lists."""
     arrays = []

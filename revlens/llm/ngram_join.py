@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import utf8
+from revlens.llm.common import key_bitmap, utf8, with_hint
 from revlens.session import materialize
 
 
@@ -309,6 +309,14 @@ def _first(*columns: str) -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *columns)
 
 
+def _row_key(doc_id: Column, text_md5: Column) -> Column:
+    return F.md5(F.concat_ws("\x1f", F.coalesce(doc_id.cast("string"), F.lit("")), text_md5).cast("binary"))
+
+
+def _text_md5() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
 def join_documents(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
     """doc_id, text_md5, class_id, n_links, n_copies and keep (the component's
     first document and text) of every document row."""
@@ -325,12 +333,12 @@ def join_documents(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
             sets = [shingles(t, cfg.words).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("copies"), pa.array(sets, pa.binary())], names=["digest", "copies", "shingles"])
 
-    wanted = materialize(
-        possible.select("digest").distinct().join(classes, "digest").select("digest", "copies", F.col("first.doc_id").alias("d"), F.col("first.text_md5").alias("m")), "join-wanted"
-    )
-    md5 = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (md5 == F.col("m"))).select("digest", "copies", "text")
+    # Only texts that may be wanted are shuffled to the wanted classes.
+    first = _row_key(F.col("first.doc_id"), F.col("first.text_md5"))
+    wanted = materialize(possible.select("digest").distinct().join(classes, "digest").select("digest", "copies", first.alias("k")), "join-wanted")
+    texts = documents.select(_row_key(F.col("doc_id").cast("long"), _text_md5()).alias("k"), "text")
+    texts = with_hint(texts, key_bitmap(wanted, "k"), "k", "may").where("may").select("k", "text")
+    sets = texts.join(wanted, "k").select("digest", "copies", "text")
     sets = sets.mapInArrow(attach, "digest binary, copies long, shingles binary").dropDuplicates(["digest"])
     links = materialize(verified(possible.join(sets, "digest"), cfg), "join-links")
     labels = components(links, "digest", "root")
@@ -350,11 +358,18 @@ def join_documents(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def deduplicated(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """One document of each component, with all its columns."""
-    kept = materialize(join_documents(documents, cfg).where("keep").select(F.col("doc_id").alias("__d"), F.col("text_md5").alias("__m")).distinct(), "join-kept")
-    md5 = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    rows = documents.withColumn("__t", md5)
-    rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__m")))
+    """One document of each component, with all its columns. Documents that
+    cannot be among the dropped or repeated rows pass where they are read; only
+    the others are shuffled."""
+    rows = join_documents(documents, cfg).select(_row_key(F.col("doc_id"), F.col("text_md5")).alias("__k"), "keep")
+    keys = rows.groupBy("__k").agg(F.bool_or("keep").alias("keep"), F.count("*").alias("n"))
+    checked = materialize(keys.where("not keep or n > 1").select("__k", "keep"), "join-checked")
+    key = _row_key(F.col("doc_id").cast("long"), _text_md5())
+    docs = with_hint(documents.withColumn("__k", key), key_bitmap(checked, "__k"), "__k", "__may")
+    doubtful = docs.where("__may")
     others = [F.col(c).cast("string") for c in documents.columns if c not in ("doc_id", "text")]
-    nth = F.row_number().over(Window.partitionBy("__d", "__t").orderBy(*others, F.lit(1)))
-    return rows.withColumn("__n", nth).where("__n = 1").select(*documents.columns)
+    nth = F.row_number().over(Window.partitionBy("__k").orderBy(*others, F.lit(1)))
+    kept = doubtful.join(checked.where("keep").select("__k"), "__k").withColumn("__n", nth).where("__n = 1")
+    parts = (docs.where("not __may"), doubtful.join(checked, "__k", "left_anti"), kept)
+    a, b, c = (x.select(*documents.columns) for x in parts)
+    return a.unionByName(b).unionByName(c)
