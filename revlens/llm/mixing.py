@@ -133,15 +133,17 @@ def mixed(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Every document row as often as the mix takes it, with all its columns.
     Rows of one doc_id, source and size are told apart by rank only: the counts
     of those taken once, twice, ... say how often each rank comes."""
-    key = ["doc_id", "source", "size"]
+
+    def key(size: str) -> Column:  # one column, so that join and ranks share one shuffle of the texts
+        parts = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("."), "source"), F.lit(""))
+        return F.md5(F.concat_ws("\x1f", *parts, F.col(size).cast("string")).cast("binary"))
+
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)
     often = [F.sum((times >= t).cast("long")).alias(f"__often{t}") for t in range(1, cfg.repeats + 1)]
-    taken = materialize(mix(documents, cfg).groupBy(*key).agg(*often).where("__often1 > 0"), "mix-taken")
-    taken = taken.withColumnsRenamed({c: f"__{c}" for c in key})
-    docs = documents.withColumn("__words", word_count("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    rank = F.row_number().over(Window.partitionBy("__doc_id", "__source", "__size").orderBy(F.md5(F.col("text").cast("binary"))))
-    docs = docs.join(taken, same).withColumn("__rank", rank)
+    taken = materialize(mix(documents, cfg).groupBy(key("size").alias("__k")).agg(*often).where("__often1 > 0"), "mix-taken")
+    docs = documents.withColumn("__words", word_count("text")).withColumn("__k", key("__words"))
+    rank = F.row_number().over(Window.partitionBy("__k").orderBy(F.md5(F.col("text").cast("binary"))))
+    docs = docs.join(taken, "__k").withColumn("__rank", rank)
     n = sum(((F.col("__rank") <= F.col(f"__often{t}")).cast("int") for t in range(1, cfg.repeats + 1)), F.lit(0))
     copies = docs.withColumn("__n", n).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     return copies.select(*documents.columns)
