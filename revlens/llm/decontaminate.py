@@ -12,10 +12,11 @@ of blocks cannot reach the threshold (for all windows of a text at once), visits
 a block only if the block's maxima can, and inside it a WAND pivot skips the
 chunks that cannot.
 
-A retrieved item is verified against the text around the passage: at least
-`Config.min_overlap` of the word 3-grams of its question (all but the last
-quarter of its words) and of its answer (the last quarter, with the two words
-before it) must occur there. Words are alphanumeric runs in lower case.
+Every retrieved passage of an item is verified against the text around it, the
+best-scoring first, until one passes: at least `Config.min_overlap` of the word
+3-grams of its question (all but the last quarter of its words) and of its
+answer (the last quarter, with the two words before it) must occur there. Words
+are alphanumeric runs in lower case.
 
 The index is broadcast in groups of at most `Config.group_chunks` chunks, which
 bounds its size; a larger benchmark takes more passes over the documents.
@@ -193,7 +194,8 @@ def passages(steps: np.ndarray, terms: np.ndarray, n_terms: int, index: Index, c
 
 
 def match_text(text: str | None, index: Index, cfg: Config) -> dict[str, tuple[float, float, float, int]]:
-    """Verified items (by key) of one text: score, overlaps, start of the best passage."""
+    """Verified items (by key) of one text: score, overlaps, start of the best
+    passage that passes; all retrieved ones are verified until one does."""
     tokens = item_words(text)
     if not tokens:
         return {}
@@ -201,21 +203,22 @@ def match_text(text: str | None, index: Index, cfg: Config) -> dict[str, tuple[f
     get = index.terms.get
     ids = np.array([get(w, unknown) for w in tokens], np.int64)
     places = np.flatnonzero(ids != unknown)
-    best: dict[str, tuple[float, int]] = {}
+    retrieved: dict[str, dict[int, float]] = {}  # score by item key and start
     for window, query in passages(places // cfg.chunk, ids[places], unknown, index, cfg):
         start = window * cfg.chunk
         reach = index.block_max[query].sum(axis=0)
         for b in np.flatnonzero(reach >= cfg.min_score):
             for chunk, score in wand(query.tolist(), index.postings[b], index.block_max[:, b], cfg.min_score - 1e-9):
-                key = index.items[chunk]
-                if key not in best or score > best[key][0]:
-                    best[key] = (score, start)
+                at = retrieved.setdefault(index.items[chunk], {})
+                at[start] = max(score, at.get(start, 0.0))
     found = {}
-    for key, (score, start) in best.items():
+    for key, at in retrieved.items():
         item = index.texts[key]
-        q, a = overlaps(item, tokens[max(0, start - len(item)) : start + 2 * cfg.chunk + len(item)], cfg.gram)
-        if q >= cfg.min_overlap and a >= cfg.min_overlap:
-            found[key] = (score, q, a, start)
+        for start, score in sorted(at.items(), key=lambda x: (-x[1], x[0])):
+            q, a = overlaps(item, tokens[max(0, start - len(item)) : start + 2 * cfg.chunk + len(item)], cfg.gram)
+            if q >= cfg.min_overlap and a >= cfg.min_overlap:
+                found[key] = (score, q, a, start)
+                break
     return found
 
 

@@ -40,6 +40,19 @@ def test_leaks(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - {i for i, _ in truth}
 
 
+def test_copy_after_a_better_scoring_quote(spark):
+    item = prose(800, 64).split()
+    quote = item[:32]  # one whole chunk: score 1, nothing of the answer
+    edited = [f"edited{i}" if i % 12 == 5 else w for i, w in enumerate(item)]
+    texts = [quote, [*quote, *prose(801, 400).split(), *item], [*quote, *prose(802, 400).split(), *edited], edited, [*edited, *prose(803, 400).split(), *quote]]
+    docs = spark.createDataFrame([(i, " ".join([*prose(810 + i, 100).split(), *t, *prose(820 + i, 100).split()])) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, prose(830, 40))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.leaks(docs, items).collect()}
+    assert got.keys() == {1, 2, 3, 4} and {r.item_id for r in got.values()} == {1}
+    assert got[1].score > 0.99 and got[1].passage_start >= 400 and 0.7 <= got[2].score < 0.99 and got[2].passage_start >= 400 and got[4].passage_start < 200
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [0]
+
+
 def test_wand_equals_full_scoring():
     import numpy as np
 
