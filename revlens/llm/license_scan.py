@@ -1,13 +1,14 @@
 """License scans with a positional rare-token index.
 
 Each template is a word sequence with postings `word -> positions`. The words'
-document frequencies over the whole corpus give their IDF; a template's anchors
-are its `Config.anchors` rarest words. A file that holds anchor words votes, for
-each pair of posting and place, for the relative position (place of the
-template's first word). A position whose votes reach half of the template's
-anchors is a candidate; it counts as a hit if all mandatory key phrases of the
-template stand near their aligned places. The score of a hit is the IDF-weighted
-share of template words found at their relative places.
+document frequencies over the whole corpus give their IDF. A file's licence words
+vote, highest IDF first, for each pair of posting and place, for the relative
+position (place of the template's first word), with their IDF. A template's vote
+ends when the file's words left for it weigh less than `Config.min_score` of it,
+so every position that can score as much has votes; a position is a candidate if
+its votes and the words left reach that score. It counts as a hit if all mandatory
+key phrases of the template stand near their aligned places. The score of a hit is
+the IDF-weighted share of template words found at their relative places.
 
 Beside the templates, fixed base phrases are located in every text.
 
@@ -78,7 +79,6 @@ _ARROW = pa.schema(
 
 @dataclass(frozen=True)
 class Config:
-    anchors: int = 4  # rarest words of a template that open a candidate
     slack: int = 2  # words by which a key phrase may be off its aligned place
     min_score: float = 0.6  # IDF-weighted share of words at their places
 
@@ -88,8 +88,8 @@ class Index:
     words: list[list[bytes]]  # by template
     labels: list[str]
     weights: list[np.ndarray]  # IDF by template position
-    anchors: dict[bytes, list[tuple[int, int]]]  # rare word -> (template, position)
-    needed: list[int]  # votes that open a candidate
+    places: dict[bytes, list[tuple[int, int]]]  # licence word, highest IDF first -> (template, position)
+    totals: list[float]  # weight by template
     phrases: list[list[tuple[int, list[bytes]]]]  # by template: (position, words)
 
 
@@ -117,16 +117,14 @@ def document_frequencies(documents: DataFrame, templates: dict[str, tuple[str, l
     return counts.pop(b"", 0), counts
 
 
-def build_index(n_docs: int, df: dict[bytes, int], templates: dict[str, tuple[str, list[str]]], cfg: Config = Config()) -> Index:
+def build_index(n_docs: int, df: dict[bytes, int], templates: dict[str, tuple[str, list[str]]]) -> Index:
     idf = {w: float(np.log((n_docs + 1) / (df.get(w, 0) + 0.5))) for w in vocabulary(templates)}
-    words, labels, weights, phrases, needed = [], [], [], [], []
-    anchors: dict[bytes, list[tuple[int, int]]] = {}
+    words, labels, weights, phrases = [], [], [], []
+    places: dict[bytes, list[tuple[int, int]]] = {w: [] for w in sorted(idf, key=lambda w: (-idf[w], w))}
     for label, (text, keys) in templates.items():
         t = alnum_words(text)
-        rare = sorted(set(t), key=lambda w: (-idf[w], w))[: cfg.anchors]
-        places = [i for i, w in enumerate(t) if w in rare]
-        for i in places:
-            anchors.setdefault(t[i], []).append((len(words), i))
+        for i, w in enumerate(t):
+            places[w].append((len(words), i))
         at = []
         for key in keys:
             k = alnum_words(key)
@@ -134,9 +132,8 @@ def build_index(n_docs: int, df: dict[bytes, int], templates: dict[str, tuple[st
         words.append(t)
         labels.append(label)
         weights.append(np.maximum([idf[w] for w in t], 1e-6))
-        needed.append((len(places) + 1) // 2)
         phrases.append(at)
-    return Index(words, labels, weights, anchors, needed, phrases)
+    return Index(words, labels, weights, places, [float(w.sum()) for w in weights], phrases)
 
 
 def starts(tokens: list[bytes], joined: bytes, phrase: list[bytes]) -> list[int]:
@@ -153,17 +150,30 @@ def starts(tokens: list[bytes], joined: bytes, phrase: list[bytes]) -> list[int]
 
 def hits(tokens: list[bytes], index: Index, cfg: Config) -> list[tuple[int, int, float]]:
     """(template, place of its first word, score) of every verified candidate."""
-    present = index.anchors.keys() & set(tokens)
+    present = index.places.keys() & set(tokens)
     if not present:
         return []
-    votes: Counter = Counter()
+    left = [0.0] * len(index.words)  # weight of the template's words that are in the file and have not voted
+    for w in present:
+        for template, position in index.places[w]:
+            left[template] += index.weights[template][position]
+    least = [cfg.min_score * total - 1e-9 * total for total in index.totals]
+    if not any(x >= y for x, y in zip(left, least)):
+        return []
+    voting: dict[bytes, list[tuple[int, int, float]]] = {}
+    for w in index.places:
+        if w in present and (of := [(t, i, float(index.weights[t][i])) for t, i in index.places[w] if left[t] >= least[t]]):
+            voting[w] = of
+            for template, _, weight in of:
+                left[template] -= weight
+    votes: dict[tuple[int, int], float] = {}
     for place, w in enumerate(tokens):
-        if w in present:
-            for template, position in index.anchors[w]:
-                votes[template, place - position] += 1
+        for template, position, weight in voting.get(w, ()):
+            at = (template, place - position)
+            votes[at] = votes.get(at, 0.0) + weight
     found = []
     for (template, start), n in votes.items():
-        if n < index.needed[template]:
+        if n + left[template] < least[template]:
             continue
         for position, phrase in index.phrases[template]:
             near = range(max(0, start + position - cfg.slack), start + position + cfg.slack + 1)
@@ -198,7 +208,7 @@ def scan_text(text: str | None, index: Index, cfg: Config) -> tuple:
 
 def license_scan(documents: DataFrame, templates: dict[str, tuple[str, list[str]]] = TEMPLATES, cfg: Config = Config()) -> DataFrame:
     """Base places and labels, template labels and score of every document."""
-    index = build_index(*document_frequencies(documents, templates), templates, cfg)
+    index = build_index(*document_frequencies(documents, templates), templates)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
