@@ -11,10 +11,12 @@ A document's score is its log10 probability, end included.
 Exclusion only needs the context just escaped from (its followers are followers
 of every suffix), so its sums are precomputed for each trie node and a whole run
 of bytes is scored by table lookups. The counts are summed by Spark over all
-training texts. The trie is cut into slices of at most `Config.slice_edges`
-longest contexts' symbols by the byte before the symbol; a slice answers all
-lengths of context for its positions, so slices are exact on their own, and a
-worker holds one at a time.
+training texts and stored by the executors; the driver sees sizes only. The trie is cut
+into slices of at most `Config.slice_edges` longest contexts' symbols by the byte
+before the symbol; a byte with more of them is cut by the byte before it, and so
+on. Every slice also has the whole counts of the contexts that were cut (at most
+256 symbols each), so it answers all lengths of context for its positions and is
+exact on its own; a worker holds one at a time.
 
 The base score is an add-0.1 unigram model of words and one end token. Counts of
 frequent words (at least a `frequent`th of all tokens, so at most `frequent`
@@ -29,7 +31,6 @@ every symbol equally likely.
 
 from __future__ import annotations
 
-import io
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -50,7 +51,7 @@ _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 @dataclass(frozen=True)
 class Config:
     order: int = 3  # longest context in bytes, 7 at most
-    slice_edges: int = 2_000_000  # (context, symbol) pairs of the longest length in a slice
+    slice_edges: int = 2_000_000  # (context, symbol) pairs of the longest length in a slice (those of one context stay together)
     run_bytes: int = 1 << 19  # bytes scored at once
     held_bytes: int = 1 << 25  # text a worker holds while it goes through several slices
     frequent: int = 1 << 18  # bound of the broadcast word table
@@ -123,10 +124,15 @@ class Table:
         return found
 
 
+#: By context length: pairs and their counts.
+Whole = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
 class Trie:
-    """Lookup tables of one slice: by context length, pairs and contexts."""
+    """Lookup tables of one slice: by context length, pairs and contexts. `whole`
+    has, by context length, the pairs and counts of the contexts cut between slices."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, root: np.ndarray, order: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, root: np.ndarray, order: int, whole: Whole | None = None):
         wide = np.uint32 if order <= 3 else np.uint64
         self.order, self.wide = order, wide
         n = counts.astype(np.float64)
@@ -136,6 +142,13 @@ class Trie:
             if k < order:
                 keys, inverse = np.unique(keys & wide((1 << 8 * (k + 1)) - 1), return_inverse=True)
                 n = np.bincount(inverse, n, len(keys))
+                if whole and k in whole:
+                    own, known = keys, whole[k][0].astype(wide)
+                    keys = np.union1d(own, known)
+                    inverse = np.searchsorted(keys, own)[inverse]
+                    sums, n = n, np.zeros(len(keys))
+                    n[np.searchsorted(keys, own)] = sums
+                    n[np.searchsorted(keys, known)] = whole[k][1]
                 levels[-1]["suffix"] = inverse
             levels.append({"keys": keys, "n": n})
         symbols = np.flatnonzero(root)
@@ -245,62 +258,105 @@ def word_counts(texts: DataFrame, cfg: Config) -> DataFrame:
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def slices_of(counts: DataFrame, cfg: Config) -> tuple[np.ndarray, list[list[int]]]:
-    """Counts of the single symbols, and groups of context bytes whose pairs fit a slice."""
-    symbol, last = F.col("key").bitwiseAND(255), F.shiftright("key", 8).bitwiseAND(255)
-    sums = counts.groupBy(symbol.alias("symbol"), last.alias("last")).agg(F.sum("n").alias("n"), F.count("*").alias("pairs")).collect()  # 65,536 rows at most
-    root, pairs = np.zeros(256, np.int64), Counter()
-    for r in sums:
-        root[r["symbol"]] += r["n"]
-        pairs[r["last"]] += r["pairs"]
-    groups: list[list[int]] = [[]]
-    held = 0
-    for last, n in sorted(pairs.items()):
-        if groups[-1] and held + n > cfg.slice_edges:
-            groups.append([])
-            held = 0
-        groups[-1].append(last)
-        held += n
-    return root, groups
-
-
-def train(documents: DataFrame, cfg: Config = Config()) -> tuple[str, list[list[int]]]:
-    """Counts the training texts and stores every slice's pairs in the shared
-    folder; returns that folder and the slices' context bytes."""
-    from pyarrow.fs import FileSystem
-
-    spark = documents.sparkSession
+@dataclass(frozen=True)
+class Slices:
+    n: int
+    root: np.ndarray  # counts of the single symbols
+    units: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: sorted contexts, cut or not, and their slices
+    whole: Whole  # counts after the contexts that were cut
+
+    def of(self, contexts: np.ndarray) -> np.ndarray:
+        """The slice that answers each context: that of its longest known unit."""
+        found = np.zeros(len(contexts), np.int32)
+        for length, (keys, slices) in sorted(self.units.items()):
+            own = contexts.astype(np.uint64) & np.uint64((1 << 8 * length) - 1)
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            found = np.where(keys[at] == own, slices[at], found)
+        return found
+
+
+def slices_of(counts: DataFrame, cfg: Config) -> Slices:
+    """Deals contexts to slices. Only sizes come to the driver: 65,536 rows for
+    the last byte, and as many at most for each context that has to be cut."""
+    sizes: dict[int, int] = {}  # pairs by uncut context, with a 1 before it as its length
+    cut: list[int] = []
+    root, whole, length = np.zeros(256, np.int64), {}, 1
+    rows = counts
+    while True:
+        symbol, context = F.col("key").bitwiseAND(255), F.shiftright("key", 8).bitwiseAND((1 << 8 * length) - 1)
+        sums = rows.groupBy(symbol.alias("symbol"), context.alias("context")).agg(F.sum("n").alias("n"), F.count("*").alias("pairs")).toArrow()
+        symbols, contexts, n, pairs = (sums[c].to_numpy() for c in ("symbol", "context", "n", "pairs"))
+        if length == 1:
+            np.add.at(root, symbols, n)
+        own, inverse = np.unique(contexts, return_inverse=True)
+        totals = np.bincount(inverse, pairs, len(own)).astype(np.int64)
+        large = (totals > cfg.slice_edges) & (length < cfg.order)
+        over = own[large]
+        sizes.update((1 << 8 * length | int(c), int(t)) for c, t in zip(own[~large], totals[~large]))
+        if not len(over):
+            break
+        cut += [1 << 8 * length | int(c) for c in over]
+        mine = np.isin(contexts, over)
+        keys = (contexts[mine] << 8) | symbols[mine]
+        order = np.argsort(keys)
+        whole[length] = keys[order].astype(np.uint64), n[mine][order]
+        rows = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(int(c),) for c in over], "cut long")), context == F.col("cut"), "left_semi")
+        length += 1
+    slices, i, held = {}, 0, 0
+    for unit, size in sorted(sizes.items()):
+        if held and held + size > cfg.slice_edges:
+            i, held = i + 1, 0
+        slices[unit], held = i, held + size
+    slices.update((unit, 0) for unit in cut)  # contexts unknown beyond a cut one: any slice has its whole counts
+    units = {}
+    for k in range(1, length + 1):
+        at = sorted(u for u in slices if u >> 8 * k == 1)
+        if at:
+            units[k] = np.array([u & (1 << 8 * k) - 1 for u in at], np.uint64), np.array([slices[u] for u in at], np.int32)
+    return Slices(i + 1, root, units, whole)
+
+
+def train(documents: DataFrame, cfg: Config = Config()) -> tuple[str, Slices]:
+    """Counts the training texts and has the executors store every slice's pairs
+    as Parquet in the shared folder; returns that folder and the slices."""
     counts = materialize(gram_counts(training(documents, cfg), cfg), "ppm-counts")
-    root, groups = slices_of(counts, cfg)
-    folder = scratch_path(spark, "ppm")
-    fs, base = FileSystem.from_uri(folder)
-    fs.create_dir(base, recursive=True)
-    for i, group in enumerate(groups):
-        own = counts.where(F.shiftright("key", 8).bitwiseAND(255).isin(group)).toArrow().sort_by("key") if group else None
-        keys, n = (own["key"].to_numpy(), own["n"].to_numpy()) if own is not None else (np.zeros(0, np.int64),) * 2
-        stored = io.BytesIO()
-        np.savez(stored, keys=keys, n=n, root=root)
-        with fs.open_output_stream(f"{base}/{i}.npz", compression=None) as out:
-            out.write(stored.getvalue())
-    return folder, groups
+    slices = slices_of(counts, cfg)
+    folder = scratch_path(documents.sparkSession, "ppm")
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = slices.of(batch.column("key").to_numpy().astype(np.uint64) >> np.uint64(8))
+            yield pa.RecordBatch.from_arrays([pa.array(own), batch.column("key"), batch.column("n")], names=["slice", "key", "n"])
 
-def load(folder: str, i: int, cfg: Config) -> Trie:
-    from pyarrow.fs import FileSystem
+    dealt = counts.mapInArrow(deal, "slice int, key long, n long").repartition("slice").sortWithinPartitions("slice", "key")
+    dealt.write.partitionBy("slice").parquet(folder)
+    return folder, slices
 
-    fs, base = FileSystem.from_uri(folder)
-    with fs.open_input_file(f"{base}/{i}.npz") as f:
-        stored = np.load(io.BytesIO(f.read()))
-    return Trie(stored["keys"], stored["n"], stored["root"], cfg.order)
 
+def load(folder: str, i: int, slices: Slices, cfg: Config) -> Trie:
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSelector, FileSystem
 
-def score_texts(texts: list[bytes], trie: Trie, last_bytes: list[int] | None, cfg: Config) -> np.ndarray:
+    fs, base = FileSystem.from_uri(folder)
+    files = [f.path for f in fs.get_file_info(FileSelector(f"{base}/slice={i}", allow_not_found=True)) if f.path.endswith(".parquet")]
+    keys, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for path in sorted(files):
+        with fs.open_input_file(path) as f:
+            stored = pq.ParquetFile(f).read(["key", "n"], use_threads=False)
+        keys.append(stored["key"].to_numpy())
+        n.append(stored["n"].to_numpy())
+    keys, n = np.concatenate(keys), np.concatenate(n)
+    order = np.argsort(keys, kind="stable")
+    return Trie(keys[order], n[order], slices.root, cfg.order, slices.whole)
+
+
+def score_texts(texts: list[bytes], trie: Trie, own: tuple[int, Slices] | None, cfg: Config) -> np.ndarray:
     """log10 probability of each text, or the part at the slice's positions."""
     scores = np.zeros(len(texts))
     for first, part in runs(texts, cfg.run_bytes):
         keys, owner = grams(part, cfg.order)
-        if last_bytes is not None:
-            mine = np.isin((keys >> trie.wide(8)).astype(np.uint8), np.array(last_bytes, np.uint8))
+        if own is not None:
+            mine = own[1].of(keys >> trie.wide(8)) == own[0]
             keys, owner = keys[mine], owner[mine]
         scores[first : first + len(part)] = np.bincount(owner, trie.score(keys), len(part))
     return scores
@@ -328,11 +384,11 @@ def score(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"], sums["v"]
     shared = spark.sparkContext.broadcast({w: (np.log10(c + 0.1), c) for w, c in frequent_words(counts, total, cfg).items()})
-    folder, groups = train(documents, cfg)
+    folder, slices = train(documents, cfg)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        trie = load(folder, 0, cfg) if len(groups) == 1 else None
+        trie = load(folder, 0, slices, cfg) if slices.n == 1 else None
         end = known.get(b"", (-1.0, 0))
         row = 0
 
@@ -342,7 +398,7 @@ def score(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
             if trie is not None:
                 logs = score_texts(texts, trie, None, cfg)
             else:
-                logs = sum(score_texts(texts, load(folder, i, cfg), g, cfg) for i, g in enumerate(groups))
+                logs = sum(score_texts(texts, load(folder, i, slices, cfg), (i, slices), cfg) for i in range(slices.n))
             at = 0
             for b in held:
                 part = b.column("part")[0].as_py() if b.num_rows else 0

@@ -60,6 +60,27 @@ def test_scores_equal_plain_model(spark, documents, corpus, cfg):
         assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6 and abs(g[6] - w[6]) < 1e-6
 
 
+@pytest.mark.parametrize("order", [3, 5])
+def test_slices_are_bounded_and_exact(spark, order):
+    """A frequent context is cut between slices; bytes that the training texts
+    lack, alone and after cut contexts, are scored as in the whole model."""
+    import pyarrow.parquet as pq
+
+    cfg = ppm.Config(order=order, slice_edges=150, held_bytes=3000)
+    rows = [(i, prose(950 + i, 60) + (" Z~é\x01 a\x02b th\x03e" if zlib.crc32(str(i).encode()) % 10 == 0 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder, slices = ppm.train(docs, cfg)
+    stored = [(i, pq.read_table(f"{folder.removeprefix('file:')}/slice={i}", partitioning=None)) for i in range(slices.n)]
+    assert slices.n > 5 and 2 in slices.units and 1 in slices.whole
+    assert all(t.num_rows <= 256 for _, t in stored)
+    keys = [k for _, t in stored for k in t["key"].to_pylist()]
+    train = [ppm.lowered(t) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    assert len(keys) == len(set(keys)) and sum(sum(t["n"].to_pylist()) for _, t in stored) == sum(len(t) + 1 for t in train)
+    want = dict(zip([i for i, _ in rows], plain_ppm([ppm.lowered(t) for _, t in rows], train, order)))
+    got = {r.doc_id: r.score for r in ppm.score(docs, cfg).collect()}
+    assert any("Z~" in t for _, t in rows) and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
 def test_lm_edges(spark, sf_dir, corpus, no_documents):
     got = QUERIES["op7_lm_scoring"](spark, sf_dir).collect()
     assert len(got) == len(corpus) and all(r.score < 0 and r.n_known <= r.n_tokens for r in got)
