@@ -44,8 +44,8 @@ _ARROW = pa.schema(
 @dataclass(frozen=True)
 class Config:
     bits: int = 18  # size of the weight vector
-    rows_per_class: int = 1000  # bound of the fitted sample, per label
-    calibration_rows: int = 1000  # bound of the sample that calibrates
+    rows_per_class: int = 1500  # bound of the fitted sample, per label
+    calibration_rows: int = 1500  # bound of the sample that calibrates
     epochs: int = 12
     batch: int = 128
     rate: float = 0.5
@@ -206,7 +206,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, cfg: Config) -> Dat
 
 def train(documents: DataFrame, labels: DataFrame, cfg: Config = Config()) -> Model | None:
     """Fits and calibrates on the bounded sample; None without both labels.
-    Features are made on the executors; the driver holds the sample's sparse rows."""
+    Features are made on the executors; the driver holds the sample's sparse rows
+    once, as 32-bit arrays read in place."""
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,13 +222,13 @@ def train(documents: DataFrame, labels: DataFrame, cfg: Config = Config()) -> Mo
         labelled_sample(documents, labels, cfg)
         .mapInArrow(sparse, "at string, label int, for_fit boolean, index array<int>, value array<float>")
         .toArrow()
-        .sort_by("at")
     )
-    y = np.array(rows["label"].to_pylist(), float)
-    fit = np.array(rows["for_fit"].to_pylist(), bool)
+    order = np.argsort(np.array(rows["at"].to_pylist(), object), kind="stable")
+    y = np.array(rows["label"].to_pylist(), float)[order]
+    fit = np.array(rows["for_fit"].to_pylist(), bool)[order]
     if not len(y) or len(set(y[fit])) < 2:
         return None
-    vectors = [(rows["index"][i].values.to_numpy().astype(np.int64), rows["value"][i].values.to_numpy().astype(float)) for i in range(len(y))]
+    vectors = [(rows["index"][i].values.to_numpy(), rows["value"][i].values.to_numpy()) for i in order.tolist()]
     w, b = fit_logistic([v for v, f in zip(vectors, fit) if f], y[fit], cfg)
     logits = np.array([w[i] @ v + b for i, v in vectors])
     held = ~fit if (~fit).any() else fit

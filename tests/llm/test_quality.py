@@ -123,6 +123,23 @@ def test_license_hits_equal_plain_search():
         assert {(k, 2), (k, 3 + len(license_scan.alnum_words(text)))} <= found
 
 
+def test_sample_of_the_rules_is_whole(spark):
+    """The documented bounds are reached, and 32-bit rows fit as 64-bit copies do."""
+    import numpy as np
+
+    rows = [(i, f"w{i} words of a text {i % 7}", i % 2) for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    sample = quality_rules.labelled_sample(docs.select("doc_id", "text"), docs.select("doc_id", "quality"), quality_rules.Config()).collect()
+    assert Counter((r.for_fit, r.label if r.for_fit else None) for r in sample) == {(True, 0): 1500, (True, 1): 1500, (False, None): 1500}
+    made = [quality_rules.features(r.text, 12) for r in sample[:300]]
+    y = np.array([r.label for r in sample[:300]], float)
+    cfg = quality_rules.Config(bits=12, epochs=2)
+    small = [(i.astype(np.int32), v.astype(np.float32)) for i, v in made]
+    large = [(i.astype(np.int64), v.astype(float)) for i, v in small]
+    a, b = quality_rules.fit_logistic(small, y, cfg), quality_rules.fit_logistic(large, y, cfg)
+    assert np.array_equal(a[0], b[0]) and a[1] == b[1] and a[0].any()
+
+
 def plain_hits(tokens, index, cfg):
     found = {}
     for k, (t, w) in enumerate(zip(index.words, index.weights)):
