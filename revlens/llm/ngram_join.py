@@ -8,9 +8,10 @@ a pair at the similarity threshold is found with the target recall
 (`prefix_depth`), which bounds the recall of all more similar pairs from below.
 
 Classes that share a prefix are compared in blocks: a trie node with more than
-`Config.block` members is cut into blocks by hash, and every pair of blocks is a
-task's group, so a node of any size is compared whole, without a row for each
-pair. A pair is compared in the first trie where it meets only. Whole signatures
+`Config.block` members, or `Config.block_bytes` of their shingles, is cut into
+blocks by hash, and every pair of blocks is a task's group, so a node of any size
+is compared whole, without a row for each pair; shingles are counted in ranges of
+at most about `Config.count_bytes`. A pair is compared in the first trie where it meets only. Whole signatures
 drop pairs far below the threshold (`margin` standard errors), the remaining
 ones are verified exactly on their shingle sets. A group yields link counts and
 a star of its linked classes; the stars' connected components are the groups of
@@ -51,6 +52,8 @@ class Config:
     target_recall: float = 0.995
     margin: float = 5.0  # standard errors of the signature estimate
     block: int = 1024  # members of a trie node compared against as many in a group
+    block_bytes: int = 1 << 26  # shingles of a block, on average; a text stays whole
+    count_bytes: int = 1 << 24  # shingles sorted at once
 
 
 def prefix_depth(cfg: Config) -> int:
@@ -96,24 +99,25 @@ def signature(s: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.ndarra
 
 
 def signatures(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """doc_id, text_md5, digest (of the shingle set; null without words), sig."""
+    """doc_id, text_md5, digest (of the shingle set; null without words), sig, n_bytes (of the set)."""
     n = cfg.trees * prefix_depth(cfg)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = _hash_family(n)
         for batch in batches:
-            digests, sigs = [], []
+            digests, sigs, sizes = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, cfg.words)
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(signature(s, family).tobytes() if len(s) else None)
+                sizes.append(s.nbytes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_md5"), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())],
-                names=["doc_id", "text_md5", "digest", "sig"],
+                [batch.column("doc_id"), batch.column("text_md5"), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())],
+                names=["doc_id", "text_md5", "digest", "sig", "n_bytes"],
             )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "text")
-    return rows.mapInArrow(sign, "doc_id long, text_md5 string, digest binary, sig binary")
+    return rows.mapInArrow(sign, "doc_id long, text_md5 string, digest binary, sig binary, n_bytes long")
 
 
 # --- groups of rows inside a task -------------------------------------------
@@ -163,26 +167,31 @@ def candidate_pairs(sig: np.ndarray, tree: int, left: np.ndarray, right: np.ndar
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def common_shingles(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the given pairs of sorted sets."""
+def common_shingles(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, most_bytes: int = Config.count_bytes) -> np.ndarray:
+    """Sizes of the intersections of the given pairs of sorted sets. They are
+    summed over ranges of hashes with about `most_bytes` of the sets each."""
     if len(i) < 64:
         return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)], np.int64)
     used = np.unique(np.concatenate([i, j]))
-    values = np.concatenate([sets[u] for u in used])
-    owner = np.repeat(np.arange(len(used)), [len(sets[u]) for u in used])
-    _, inverse, times = np.unique(values, return_inverse=True, return_counts=True)
-    shared = times[inverse] > 1
-    _, column = np.unique(inverse[shared], return_inverse=True)
-    owner = owner[shared]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
+    parts = max(1, -(-sum(sets[u].nbytes for u in used) // most_bytes))
+    inner = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
+    cuts = [[0, *np.searchsorted(sets[u], inner).tolist(), len(sets[u])] for u in used]
     both = np.zeros((len(used), len(used)), np.float32)
     width = 4096
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [low, low + width])
-        x = np.zeros((len(used), width), np.float32)
-        x[owner[a:b], column[a:b] - low] = 1
-        both += x @ x.T
+    for p in range(parts):
+        own = [sets[u][c[p] : c[p + 1]] for u, c in zip(used, cuts)]
+        owner = np.repeat(np.arange(len(used), dtype=np.int32), [len(s) for s in own])
+        _, inverse, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        shared = times[inverse] > 1
+        _, column = np.unique(inverse[shared], return_inverse=True)
+        owner = owner[shared]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, [low, low + width])
+            x = np.zeros((len(used), width), np.float32)
+            x[owner[a:b], column[a:b] - low] = 1
+            both += x @ x.T
     return both[np.searchsorted(used, i), np.searchsorted(used, j)].astype(np.int64)
 
 
@@ -214,9 +223,9 @@ def trie_members(classes: DataFrame, cfg: Config) -> DataFrame:
     add pairs that then fail the prefix test."""
     depth = prefix_depth(cfg)
     tree = F.explode(F.sequence(F.lit(0), F.lit(cfg.trees - 1))).alias("tree")
-    nodes = classes.select("digest", "sig", tree).select("digest", "tree", F.xxhash64("tree", F.substring(F.col("sig"), F.col("tree") * (4 * depth) + 1, F.lit(4 * depth))).alias("node"))
-    full = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / cfg.block)
+    nodes = classes.select("digest", "sig", "n_bytes", tree).select("digest", "n_bytes", "tree", F.xxhash64("tree", F.substring(F.col("sig"), F.col("tree") * (4 * depth) + 1, F.lit(4 * depth))).alias("node"))
+    full = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("node_bytes")).where("n > 1")
+    blocks = F.least("n", F.greatest(F.ceil(F.col("n") / cfg.block), F.ceil(F.col("node_bytes") / cfg.block_bytes)))
     own = F.pmod(F.xxhash64("digest", F.lit(1)), blocks)
     members = nodes.join(full, "node").select("node", "tree", "digest", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
@@ -264,9 +273,9 @@ def verified(members: DataFrame, cfg: Config) -> DataFrame:
             i, j = _group_pairs(group, trees, _matrix(group["sig"], width), cfg)
             if not len(i):
                 continue
-            sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["shingles"]]
             size = np.array([len(s) for s in sets])
-            both = common_shingles(sets, i, j)
+            both = common_shingles(sets, i, j, cfg.count_bytes)
             linked = both >= cfg.threshold * (size[i] + size[j] - both) - 1e-9
             i, j = i[linked], j[linked]
             if not len(i):
@@ -323,7 +332,7 @@ def join_documents(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
     signed = materialize(signatures(documents, cfg), "join-signatures")
     with_words = signed.where("digest is not null")
     classes = materialize(
-        with_words.groupBy("digest").agg(F.min(_first("text_md5")).alias("first"), F.count("*").alias("copies"), F.min("sig").alias("sig")), "join-classes"
+        with_words.groupBy("digest").agg(F.min(_first("text_md5")).alias("first"), F.count("*").alias("copies"), F.min("sig").alias("sig"), F.min("n_bytes").alias("n_bytes")), "join-classes"
     )
     members = trie_members(classes, cfg).join(classes.select("digest", "sig"), "digest").select(*(c.split()[0] for c in _MEMBER.split(", ")))
     possible = materialize(possible_members(members, cfg), "join-members")
@@ -343,11 +352,11 @@ def join_documents(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
     links = materialize(verified(possible.join(sets, "digest"), cfg), "join-links")
     labels = components(links, "digest", "root")
     counts = links.groupBy("digest").agg(F.sum("links").alias("links"))
-    placed = classes.drop("sig").join(labels.withColumnRenamed("node", "digest"), "digest", "left").join(counts, "digest", "left")
+    placed = classes.drop("sig", "n_bytes").join(labels.withColumnRenamed("node", "digest"), "digest", "left").join(counts, "digest", "left")
     placed = placed.withColumn("component", F.coalesce("component", "digest"))
     firsts = placed.groupBy("component").agg(F.min("first").alias("keeper"))
     placed = placed.join(firsts, "component").select("digest", "keeper", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    linked = with_words.drop("sig").join(placed, "digest").select(
+    linked = with_words.drop("sig", "n_bytes").join(placed, "digest").select(
         "doc_id", "text_md5", F.col("keeper.doc_id").alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"),
         (F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_md5") == F.col("keeper.text_md5"))).alias("keep"),
     )

@@ -175,6 +175,38 @@ def test_links_and_classes_equal_plain_join(spark, cfg):
     assert kept.columns == docs.columns and kept.count() == len({g if rows[g][1] else (rows[g][0], "") for g in group})
 
 
+def test_blocks_are_bounded_by_bytes(spark):
+    """A hot node of long texts is cut by its shingles' bytes, and still compared whole."""
+    base = prose(970, 3000).split()
+    rows = [(i, " ".join([*base[: 40 * i], f"edit{i}", *base[40 * i :]])) for i in range(60)] + [(100 + i, prose(980 + i, 50)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    cfg = ngram_join.Config(block_bytes=200_000, count_bytes=30_000)
+    signed = ngram_join.signatures(docs, cfg).cache()
+    total = signed.agg(F.sum("n_bytes")).first()[0]
+    assert total > 5 * cfg.block_bytes
+    groups = ngram_join.trie_members(signed, cfg).join(signed.select("digest", "n_bytes"), "digest").groupBy("g").agg(F.sum("n_bytes").alias("n_bytes"))
+    assert groups.agg(F.max("n_bytes")).first()[0] < 4 * cfg.block_bytes  # two blocks, dealt by hash
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join_documents(docs, cfg).collect()}
+    assert got == {**{i: (0, 59) for i in range(60)}, **{100 + i: (100 + i, 0) for i in range(20)}}
+
+
+def test_shingles_are_counted_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 64, 40_000, np.uint64, endpoint=False)
+    sets = [np.unique(rng.choice(pool, 20_000)) for _ in range(100)]
+    i, j = (x[::25] for x in np.triu_indices(100, 1))
+    tracemalloc.start()
+    got = ngram_join.common_shingles(sets, i, j, 1 << 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
+    assert peak < 2 * sum(s.nbytes for s in sets)
+
+
 def test_prefixes_shorten_to_the_recall():
     cfg = ngram_join.Config()
     d = ngram_join.prefix_depth(cfg)
