@@ -1,11 +1,12 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join with MinHash banding.
 
 Texts are sets of `Config.words`-word shingles (64-bit hashes; a text with fewer
 words is one shingle of all its words). Documents with equal sets form a class,
-and classes are joined. Each of `Config.trees` prefix tries sorts the classes by
-its own run of min-hashes; the matched prefix is shortened from `max_depth` until
-a pair at the similarity threshold is found with the target recall
-(`prefix_depth`), which bounds the recall of all more similar pairs from below.
+and classes are joined. Banding of fixed depth replaces an LSH forest: each of
+`Config.trees` bands (called tries here) groups the classes by its own run of
+min-hashes. Its length is the longest, `max_depth` at most, at which a pair at the
+similarity threshold is found with the target recall (`prefix_depth`); no data is
+read for it. That bounds the recall of all more similar pairs from below.
 
 Classes that share a prefix are compared in blocks: a trie node with more than
 `Config.block` members, or `Config.block_bytes` of their shingles, is cut into
