@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import decontaminate, license_scan, mixing, ngram_join, packing, ppm, quality_ranker, quality_rules, url_lists, warc
+from revlens.llm import (
+    decontaminate,
+    hard_negatives,
+    license_scan,
+    mixing,
+    ngram_join,
+    packing,
+    ppm,
+    quality_ranker,
+    quality_rules,
+    turn_repair,
+    url_lists,
+    warc,
+    wrapper,
+)
 from revlens.llm.common import read
 
 
@@ -58,6 +72,18 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.judge(url_lists.dated_captures(pages), url_lists.dated_entries(pages))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
@@ -69,10 +95,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_url_lists": op10_url_lists,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 ORACLE: dict[str, str] = {
     "op6_warc": warc.WARC_SQL,
     "op8_source_mixing": mixing.MIX_SQL,
     "op10_url_lists": url_lists.JUDGE_SQL,
+    "op11_hard_negatives": hard_negatives.NEGATIVES_SQL,
+    "op12_turn_repair": turn_repair.REPAIR_SQL,
+    "op13_html_extraction": wrapper.EXTRACT_SQL,
 }

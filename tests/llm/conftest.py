@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
 
-from llm_data import prose  # noqa: E402
+from llm_data import TURNS, VECTORS, prose  # noqa: E402
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, score double, size string, label int, sig string"
 
@@ -52,6 +52,8 @@ def sf_dir(spark, corpus, tmp_path_factory):
     pages = [(i, f"http://h{i % 5}.example.com:80/p?{i}", big if i % 3 == 0 else f"<p>{i}é</p>") for i in range(40)]
     pages += [(None, None, None), (41, "no url", ""), (42, "https://u@A.B.Example.com./x\ny", big), (42, None, big)]
     spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string").repartition(3).write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>, label int, score string").repartition(3).write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string, copies int").repartition(3).write.parquet(f"{d}/conversations.parquet")
     return d
 
 
@@ -60,6 +62,6 @@ def duck(sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "labels", "benchmark", "pages"):
+    for t in ("documents", "labels", "benchmark", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet/*.parquet')")
     return con
