@@ -5,14 +5,16 @@ preprocessor lines are skipped, the holes of interpolated strings are code), and
 one walk over the tokens keeps the open braces with what they belong to: a type,
 a method body, or anything else. Outside of a type (a diff seldom shows the
 class line) declarations count as members. Functions inside a method body are
-local and not reported. An empty statement right behind a block is not counted,
-for it cannot be told from the end of an initialiser.
+local and not reported. A brace in a method body opens a block behind a control
+statement's parentheses, a block keyword or the head of a local function, else an
+initialiser, a lambda or a pattern, with which the statement goes on.
 """
 
 from __future__ import annotations
 
 import re
 from decimal import Decimal
+from math import isinf
 from typing import NamedTuple
 
 # --- fixed values ---------------------------------------------------------------
@@ -24,12 +26,18 @@ STATEMENT_WORDS = frozenset(
     "if for foreach while do switch try catch finally using lock fixed return throw await yield else goto case default break "
     "continue checked unchecked base this var".split()
 )
+#: Statements whose parentheses stand before a block, and words right before one.
+CONTROL_WORDS = frozenset("if for foreach while switch catch using lock fixed when".split())
+BLOCK_WORDS = frozenset("else do try catch finally unsafe checked unchecked".split())
+INTEGER_LIMIT = (1 << 64) - 1
+DECIMAL_LIMIT = (1 << 96) - 1
+SINGLE_LIMIT = 3.4028235677973366e38
 # ----------------------------------------------------------------------------------
 
 _TOKEN = re.compile(
     r"""
-    (?P<skip>\s+ | //[^\r\n]* | /\*.*?(?:\*/|\Z) | ^[ \t]*\#[^\r\n]*)
-  | (?P<raw>\$*(?P<q>"{3,}).*?(?:(?P=q)|\Z))
+    (?P<skip>^[ \t]*\#[^\r\n]* | \n+ | [^\S\n]+ | //[^\r\n]* | /\*.*?(?:\*/|\Z))
+  | (?P<raw>\$*(?P<q>"{3,}).*?(?:(?P=q)"*|\Z))
   | (?P<inter>\$@?"|@\$")
   | (?P<string>@"(?:[^"]|"")*(?:"|\Z) | "(?:[^"\\\n]|\\.)*(?:"|(?=\n)|\Z) | '(?:[^'\\\n]|\\.)*(?:'|(?=\n)|\Z))
   | (?P<number>0[xX][0-9a-fA-F_]+[uUlL]* | 0[bB][01_]+[uUlL]*
@@ -85,40 +93,75 @@ def _interpolated(text: str, i: int, verbatim: bool) -> tuple[list[tuple[int, in
     return holes, n
 
 
-def tokens(text: str, low: int = 0, high: int | None = None) -> list[Token]:
-    high = len(text) if high is None else high
+def _raw_holes(text: str, low: int, high: int, width: int) -> list[tuple[int, int]]:
+    """Code ranges in the holes of a raw interpolated string: `width` braces each."""
+    holes, i = [], low
+    while 0 <= (i := text.find("{" * width, i, high)):
+        while text[i + width : i + width + 1] == "{":  # the innermost braces of a run open the hole
+            i += 1
+        depth, start, j = 1, i + width, i + width
+        while j < high and depth:
+            depth += {"{": 1, "}": -1}.get(text[j], 0)
+            j += 1
+        holes.append((start, j - 1 if not depth else high))
+        i = j - 1 + width if not depth else high
+    return holes
+
+
+def tokens(text: str) -> list[Token]:
     out: list[Token] = []
-    while low < high:
-        m = _TOKEN.match(text, low, high)
-        kind, low = m.lastgroup, m.end()
-        if kind == "q":
-            kind = "raw"
-        if kind == "inter":
-            holes, low = _interpolated(text, low, "@" in m.group())
-            for a, b in holes:
-                out += [Token("mark", "(", a), *tokens(text, a, b), Token("mark", ")", b)]
-        elif kind == "number" and m.group().startswith(".") and out and out[-1].at + len(out[-1].text) == m.start() and out[-1].kind == "word":
-            out.append(Token("mark", ".", m.start()))  # a member, not a fraction
-            low = m.start() + 1
-        elif kind in ("number", "word", "mark"):
-            out.append(Token(kind, m.group(), m.start()))
-        elif kind in ("raw", "string"):
-            out.append(Token("string", '"', m.start()))
+    todo: list[Token | tuple[int, int]] = [(0, len(text))]  # code ranges still to be read, the next one last
+    while todo:
+        part = todo.pop()
+        if isinstance(part, Token):
+            out.append(part)
+            continue
+        low, high = part
+        while low < high:
+            m = _TOKEN.match(text, low, high)
+            kind, low = m.lastgroup, m.end()
+            holes: list[tuple[int, int]] = []
+            if kind in ("q", "raw"):
+                kind, dollars = "raw", len(m.group()) - len(m.group().lstrip("$"))
+                holes = _raw_holes(text, m.start("q") + len(m.group("q")), low, dollars) if dollars else []
+            elif kind == "inter":
+                holes, low = _interpolated(text, low, "@" in m.group())
+            if holes:
+                todo.append((low, high))
+                for a, b in reversed(holes):
+                    todo += [Token("mark", ")", b), (a, min(b, high)), Token("mark", "(", a)]
+                break
+            if kind == "number" and m.group().startswith(".") and out and out[-1].at + len(out[-1].text) == m.start() and out[-1].kind == "word":
+                out.append(Token("mark", ".", m.start()))  # a member, not a fraction
+                low = m.start() + 1
+            elif kind in ("number", "word", "mark"):
+                out.append(Token(kind, m.group(), m.start()))
+            elif kind in ("raw", "string"):
+                out.append(Token("string", '"', m.start()))
     return out
 
 
 def literal_value(token: str) -> str:
     """Value text of a numeric literal: integers in decimal, reals in shortest
-    form with an exponent from 15 digits or below 0.0001, decimals as written."""
+    form with an exponent from 15 digits or below 0.0001, decimals as written.
+    What no type holds has the value a compiler falls back on: 0 for integers
+    (also those without digits) and decimals, Infinity for reals."""
     t = token.lower().replace("_", "")
     if t[:2] in ("0x", "0b"):
-        return str(int(t.rstrip("ul") if t[1] == "x" else t.rstrip("ul"), 0))
+        digits = t[2:].rstrip("ul")
+        value = int(digits, 16 if t[1] == "x" else 2) if digits and len(digits) <= 128 else 0
+        return str(value) if value <= INTEGER_LIMIT else "0"
     number = t.rstrip("fdmul")
-    if number.isdigit() and not t.endswith(("f", "d")):
-        return str(int(number))
+    if number.isdigit() and not t.endswith(("f", "d", "m")):
+        number = number.lstrip("0")
+        return number if number and (len(number), number) <= (20, str(INTEGER_LIMIT)) else "0"
     if t.endswith("m"):
-        return format(Decimal(number), "f")
-    value = Decimal(repr(float(number))).normalize()
+        value = Decimal(number)
+        return format(value, "f") if value.adjusted() < 30 and value.copy_abs() <= DECIMAL_LIMIT and value.as_tuple().exponent > -400 else "0"
+    real = float(number)
+    if isinf(real) or t.endswith("f") and real > SINGLE_LIMIT:
+        return "Infinity"
+    value = Decimal(repr(real)).normalize()
     sign, digits, shift = value.as_tuple()
     exponent = len(digits) - 1 + shift
     if value and (exponent >= 15 or exponent < -4):
@@ -133,6 +176,21 @@ class _Scope:
     def __init__(self, kind: str, start: int = 0, name: str = ""):
         self.kind, self.start, self.name = kind, start, name
         self.statements, self.first = 0, ""
+        self.block = True  # of a statement, not of an expression
+        self.head: list[Token] = []  # the statement so far
+        self.opened: list[str] = []  # the word before each open parenthesis
+        self.closed = ""  # the word before the parentheses closed last
+
+    def next_statement(self) -> None:
+        self.statements, self.first, self.head, self.opened, self.closed = self.statements + 1, "", [], [], ""
+
+    def opens_block(self) -> bool:
+        """Whether a brace here, outside of parentheses, opens a block."""
+        before = self.head[-1].text if self.head else ""
+        if before == ")" and self.closed in CONTROL_WORDS or before in BLOCK_WORDS or before in ("", ":"):
+            return True
+        return _method(self.head) is not None
+
 
 
 def _method(head: list[Token]) -> tuple[str, bool] | None:
@@ -170,11 +228,19 @@ def _method(head: list[Token]) -> tuple[str, bool] | None:
             depth += {">": 1, "<": -1}.get(parts.pop().text, 0)
             if not depth:
                 break
-    if len(parts) < 2 or parts[-1].kind != "word" or parts[-2].text == ".":
+    if len(parts) < 2 or parts[-1].kind != "word":
         return None
     if parts[0].text in STATEMENT_WORDS or any(p.text in TYPE_WORDS or p.text == "operator" for p in parts):
         return None
-    return parts[-1].text, "async" in modifiers and [p.text for p in parts[:-1]] == ["void"]
+    name = parts.pop().text
+    while parts and parts[-1].text == ".":  # the interface that an explicit implementation names
+        parts.pop()
+        depth = 0
+        while parts and (parts[-1].text == ">" or depth):
+            depth += {">": 1, "<": -1}.get(parts.pop().text, 0)
+        if not parts or parts.pop().kind != "word":
+            return None
+    return (name, "async" in modifiers and [p.text for p in parts] == ["void"]) if parts else None
 
 
 def scan(text: str, max_statements: int) -> list[Found]:
@@ -215,22 +281,31 @@ def scan(text: str, max_statements: int) -> list[Found]:
                 scopes.pop()
                 head, depth = [], 0
         elif t.text == "{":
-            if scope.kind == "method" and not scope.first:
-                scope.first = t.text
-            scopes.append(_Scope("paren" if t.kind != "mark" else "other"))
+            inner = _Scope("other")
+            if scope.kind == "method":
+                inner.block = not depth and scope.opens_block()
+                scope.first = scope.first or t.text
+                scope.head.append(t)
+            scopes.append(inner)
         elif t.text == "}":
             scopes.pop()
             close(scope)
             outer = scopes[-1]
-            if outer.kind == "method" and not depth:
-                goes_on = after in ("else", "catch", "finally") or after == "while" and outer.first == "do"
-                if not goes_on and (after == "" or after in "{}" or after[0].isalnum() or after[0] in "_@"):
-                    outer.statements, outer.first = outer.statements + 1, ""
+            if outer.kind == "method" and not depth and scope.block:
+                if after not in ("else", "catch", "finally") and not (after == "while" and outer.first == "do"):
+                    outer.next_statement()
         elif scope.kind == "method":
             scope.first = scope.first or t.text
-            depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(t.text, 0) if t.kind == "mark" else 0
-            if t.text == ";" and not depth and after != "else" and not (after == "while" and scope.first == "do"):
-                scope.statements, scope.first = scope.statements + 1, ""
+            if t.kind == "mark" and t.text in "([":
+                scope.opened.append(scope.head[-1].text if scope.head else "")
+                depth += 1
+            elif t.kind == "mark" and t.text in ")]":
+                scope.closed = scope.opened.pop() if scope.opened else ""
+                depth = max(0, depth - 1)
+            done = scope.closed == "while" and scope.head[-1:] and scope.head[-1].text == ")"  # the end of a do statement
+            scope.head.append(t)
+            if t.text == ";" and not depth and after != "else" and (done or not (after == "while" and scope.first == "do")):
+                scope.next_statement()
     for scope in reversed(scopes):
         close(scope)
     if scopes[-1].kind == "type" and head:

@@ -2,9 +2,11 @@
 
 One pass over each file's added text (`functions.csharp.scan`, a small lexical
 helper in an Arrow-batched UDF) gives the hits of R1-R3 as an array, where the
-file is read: no shuffle, whatever the number of rules. Exempt values, the
-optional limit (W1) and the texts of findings are column expressions on that
-array. The registry (X3) maps a kind of hit to the column that turns it into a
+file is read: no shuffle, whatever the number of rules. Only files that can hold a
+hit of the asked rules reach it (`may_hit`, a JVM expression). A file that the
+helper cannot read has no findings, is listed by `unread_files` and never fails the
+job (R5). Exempt values, the optional limit (W1) and the texts of findings are
+column expressions on that array. The registry (X3) maps a kind of hit to the column that turns it into a
 finding; rules of other kinds are functions of the files, and all findings are
 united as a bag (U1).
 """
@@ -36,26 +38,48 @@ LONG_ID = "CV0003"
 LONG_TITLE = "Çok uzun metot"
 LONG_CATEGORY = "Maintainability"
 LONG_MAX_STATEMENTS = 50
+MAGIC_MESSAGE = "Use a named constant instead of magic number '%s'"
+MAGIC_FIX = "const int MEANINGFUL_NAME = %s;"
+ASYNC_VOID_FIX = "async Task %s(...)"
+LONG_MESSAGE = "Metot çok uzun (%s satır). Daha küçük parçalara bölün."
 # ------------------------------------------------------------------------------------
 
 LINE_KEYS = ["analysis_id", "file_idx"]
 HITS = "array<struct<rule:string,line:int,col:int,text:string>>"
-
-
-def hits(content: Column, max_statements: int = LONG_MAX_STATEMENTS) -> Column:
-    """Hits of R1-R3 in one file's text, in text order; 1-based line and column."""
-
-    def positions(text: str) -> list[tuple]:
-        out, line, start = [], 1, 0
-        for f in csharp.scan(text, max_statements):
+UNREAD = "unread"  # kind of the one hit of a file that cannot be read
+
+
+def may_hit(content: Column, kind: str, max_statements: int = LONG_MAX_STATEMENTS) -> Column:
+    """Whether the text can hold a hit of that kind; false means that it cannot."""
+    if kind == "async_void":
+        return content.contains("async") & content.contains("void")
+    if kind == "literal":  # a digit that does not go on with a name
+        return content.rlike("(?<![A-Za-z0-9_])[0-9]")
+    if kind == "long_method":  # every statement ends in one of the two
+        return F.length(content) - F.length(F.translate(content, ";}", "")) > max_statements
+    return F.lit(True)
+
+
+def positions(text: str | None, max_statements: int) -> list[tuple]:
+    """Kind, 1-based line and column, and text of each hit; one of the kind
+    `UNREAD` if the text cannot be read."""
+    out, line, start = [], 1, 0
+    try:
+        for f in csharp.scan(text or "", max_statements):
             line += text.count("\n", start, f.at)
             start = f.at
             out.append((f.rule, line, f.at - text.rfind("\n", 0, f.at), f.text))
-        return out
+    except Exception as e:  # noqa: BLE001 - whatever a text provokes concerns its file only
+        return [(UNREAD, 1, 1, type(e).__name__)]
+    return out
+
+
+def hits(content: Column, max_statements: int = LONG_MAX_STATEMENTS) -> Column:
+    """Hits of R1-R3 in one file's text, in text order. A null text has none."""
 
     @F.pandas_udf(HITS)
     def scan(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: positions(t or ""))
+        return texts.map(lambda t: positions(t, max_statements))
 
     return scan(content)
 
@@ -74,19 +98,16 @@ def _finding(
 
 
 def _async_void(h: Column) -> Column:
-    fix = F.concat(F.lit("async Task "), h["text"], F.lit("(...)"))
-    return _finding(ASYNC_VOID_ID, ASYNC_VOID_TITLE, F.lit(ASYNC_VOID_MESSAGE), S.SEV_WARNING, ASYNC_VOID_CATEGORY, fix)
+    return _finding(ASYNC_VOID_ID, ASYNC_VOID_TITLE, F.lit(ASYNC_VOID_MESSAGE), S.SEV_WARNING, ASYNC_VOID_CATEGORY, F.format_string(ASYNC_VOID_FIX, h["text"]))
 
 
 def _magic_number(h: Column) -> Column:
-    message = F.concat(F.lit("Use a named constant instead of magic number '"), h["text"], F.lit("'"))
-    fix = F.concat(F.lit("const int MEANINGFUL_NAME = "), h["text"], F.lit(";"))
+    message, fix = (F.format_string(text, h["text"]) for text in (MAGIC_MESSAGE, MAGIC_FIX))
     return _finding(MAGIC_ID, MAGIC_TITLE, message, S.SEV_INFO, MAGIC_CATEGORY, fix)
 
 
 def _long_method(h: Column) -> Column:
-    message = F.concat(F.lit("Metot çok uzun ("), h["text"], F.lit(" satır). Daha küçük parçalara bölün."))
-    return _finding(LONG_ID, LONG_TITLE, message, S.SEV_WARNING, LONG_CATEGORY)
+    return _finding(LONG_ID, LONG_TITLE, F.format_string(LONG_MESSAGE, h["text"]), S.SEV_WARNING, LONG_CATEGORY)
 
 
 #: Kind of hit -> finding.
@@ -112,7 +133,10 @@ def run_rules(
     wanted = F.filter(
         "_hits", lambda h: h["rule"].isin(*rules) & ~((h["rule"] == "literal") & h["text"].isin(*MAGIC_EXEMPT))
     )
-    scanned = files.select(*LINE_KEYS, "file_path", hits(F.col("content"), max_statements).alias("_hits"))
+    content, can = F.col("content"), F.lit(False)
+    for kind in rules:
+        can = can | may_hit(content, kind, max_statements)
+    scanned = files.select(*LINE_KEYS, "file_path", hits(F.when(can, content), max_statements).alias("_hits"))
     scanned = scanned.select(*LINE_KEYS, "file_path", wanted.alias("_hits"))
     if literal_limit is not None:
         others = F.filter("_hits", lambda h: h["rule"] != "literal")
@@ -142,6 +166,13 @@ def run_rules(
     return out
 
 
+def unread_files(files: DataFrame) -> DataFrame:
+    """Files whose text the rules could not read, with the kind of error."""
+    hit = F.col("_hits")[0]
+    read = files.select(*LINE_KEYS, "file_path", hits(F.col("content")).alias("_hits")).where(F.size("_hits") == 1)
+    return read.where(hit["rule"] == UNREAD).select(*LINE_KEYS, "file_path", hit["text"].alias("error"))
+
+
 def async_void(files: DataFrame) -> DataFrame:
     """Methods (not local functions) that are async and return void; Warning."""
     return run_rules(files, {"async_void": _async_void})

@@ -140,3 +140,69 @@ def test_diagnostics_snippet(spark):
     )
     got = sorted((r["line_number"], r["severity"], r["code_snippet"]) for r in R.diagnostics(diags, files).collect())
     assert got == [(1, 2, "first"), (2, 0, "second"), (5, 2, ""), (10, 1, "")]
+
+
+def test_odd_literals_have_a_value():
+    values = {"1e400": "Infinity", "1e39f": "Infinity", "0x_": "0", "0b_": "0", "9" * 5000: "0", "0x" + "F" * 900: "0", "18446744073709551615": "18446744073709551615",
+              "18446744073709551616": "0", "1e400m": "0", "1e-500m": "0", "79228162514264337593543950335m": "79228162514264337593543950335", "0" * 30 + "7": "7"}
+    assert {k: csharp.literal_value(k) for k in values} == values
+
+
+def test_deep_interpolation_and_raw_holes():
+    deep = '$"{' * 1500 + "42" + '}"' * 1500
+    assert [v for _, _, v in _values(f"var s = {deep};")][-1:] in ([], ["42"])  # read without an error
+    assert _values('$"""a {n + 42} b"""') == [(1, 12, "42")]
+    assert _values('$$"""a {1} {{n + 42}} {{{43}}} "" b"""; f(44)') == [(1, 18, "42"), (1, 26, "43"), (1, 43, "44")]
+    assert _values('"""a {42} b""" + 43') == [(1, 18, "43")]
+
+
+def test_indented_directives_are_no_code():
+    assert _values("class C {\n\n  #region 7 { (\n\t#pragma warning disable 618\n  int a = 8;\n}") == [(5, 11, "8")]
+    assert _statements("void M() {\n  a();\n  #if X {\n  b();\n  #endif\n}") == [2]
+
+
+def test_blocks_and_initialisers_in_statement_counts():
+    of = lambda body: _statements("void M() {\n" + body + "\n}")
+    assert of("var q = new T { A = a } as U;\n" * 26) == [26]
+    assert of("if (a) { b(); }\n++i;\n" * 26) == [52]
+    assert of("if (a) { b(); }\n(b).C();\n" * 26) == [52]
+    assert of('if (a) { b(); }\n"x".C();\n' * 3) == [6]
+    assert of("if (a is { L: 1 }) { b(); } [X] void L() { y(); } *p = 1;") == [3]
+    assert of("var f = async () => { q(); }; g += delegate (int x) { y(); }; return a switch { 1 => 2, _ => 3 };") == [3]
+    assert of("try { } catch (E e) when (f(e)) { } finally { } { a(); } unsafe { } ; lab: { b(); }") == [5]
+    assert of("await foreach (var x in y) { z(); } static T L<T>(T t) where T : class { return t; } (int a, int b) P() { return (1, 2); }") == [3]
+    assert of("using (a) using (b) { c(); } new T(1) { A = 2 }.Run(); int[] v = { 1, 2 }; do { x(); } while (c); while (d) { }") == [5]
+    assert of('s = $"{(a ? b : c)}"; if (x) { y(); } else if (z) { w(); } else { v(); }') == [2]
+
+
+def test_explicit_interface_methods():
+    assert _async("class C { async void I.F() { } async void N.I<T, U>.G(int x) { } async Task I.H() { } }") == [(1, 11, "F"), (1, 32, "G")]
+    assert _async("x.Foo();\nawait a.b();\nasync void G<T>() { }") == [(3, 1, "G")]
+
+
+ODD_TEXTS = ["f(1e400);", "f(0x_, 0b_);", "f(" + "9" * 5000 + ");", "var s = " + '$"{' * 1500 + "42" + '}"' * 1500 + ";", "{" * 3000 + "}" * 3000, "\x00\ud83d\ude00 5;", '$"{', "@", "'", '"""', "/*"]
+
+
+def test_one_bad_file_never_fails_the_others(spark):
+    files = _code(spark, *ODD_TEXTS, "f(12);")
+    got = R.magic_numbers(files).collect()
+    assert [r["message"] for r in got if r["file_idx"] == len(ODD_TEXTS)] == ["Use a named constant instead of magic number '12'"]
+    assert R.unread_files(files).count() == 0
+
+
+def test_unreadable_file_is_one_hit_of_its_own_kind(monkeypatch):
+    def scan(text, most):
+        raise ValueError(text)
+
+    monkeypatch.setattr(csharp, "scan", scan)
+    assert R.positions("f(7);", 50) == [(R.UNREAD, 1, 1, "ValueError")]
+
+
+def test_guards_never_hide_a_hit(spark):
+    texts = ["async void F() {}", "async\nvoid F() {}", "f(.5);", "a[3..7]", "x=1", "é5", "5", '$"{n+42}"', "1_0", "-3", "x1 + y2", _method(51), _method(50), "void M() {" + "{ }" * 51 + "}"] + ODD_TEXTS
+    files = _code(spark, *texts).withColumn("n", R.F.col("file_idx"))
+    for kind in R.RULES:
+        rows = files.select("content", R.may_hit(R.F.col("content"), kind).alias("may")).collect()
+        for r in rows:
+            hit = any(f.rule == kind for f in csharp.scan(r["content"], R.LONG_MAX_STATEMENTS))
+            assert r["may"] or not hit, (kind, r["content"])
