@@ -204,12 +204,11 @@ def symbols(rows: DataFrame) -> DataFrame:
     that also stand at an earlier turn are found by an aggregate on their hash;
     only those at several turns are joined back."""
     row = ["conv_id", "turn", "role", "text"]
-    rows = rows.groupBy(*row).agg(F.sum("copies").alias("copies"))
     at = F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"))
     same = rows.where("copies > 0").groupBy(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.md5(F.col("text").cast("binary")).alias("h"))
-    first = same.agg(F.min(at).alias("first"), F.count("*").alias("turns")).where("turns > 1").drop("turns")
+    first = same.agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").drop("last")
     on = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("role") == F.col("r")) & (F.md5(F.col("text").cast("binary")) == F.col("h"))
-    rows = rows.join(first, on, "left")
+    rows = rows.groupBy(*row).agg(F.sum("copies").alias("copies")).join(first, on, "left")
     ending = F.rtrim(F.col("text"), F.lit(SPACE))
     initial = F.substring("role", 1, 1)
     place = F.coalesce(*[F.when(initial == c, i) for i, c in enumerate(INITIALS)], F.lit(len(INITIALS)))
