@@ -397,9 +397,10 @@ def seeds(pages: DataFrame) -> DataFrame:
     those nearest to it) for every host."""
     size, key = F.length("html"), F.xxhash64("html")
     known = pages.select("host", size.alias("size"), key.alias("key"))
-    middle = known.groupBy("host").agg(F.percentile_approx("size", 0.5).alias("middle"))
+    middle = materialize(known.groupBy("host").agg(F.percentile_approx("size", 0.5).alias("middle")), "wrapper-sizes")
     chosen = known.join(middle, "host").groupBy("host").agg(F.min(F.struct(F.abs(F.col("size") - F.col("middle")).alias("far"), "key", "size")).alias("s"))
-    chosen = chosen.select(F.col("host").alias("h"), "s.key", F.col("s.size").alias("size"))
+    # stored, so that their size is known: a small table keeps the pages from being shuffled
+    chosen = materialize(chosen.select(F.col("host").alias("h"), "s.key", F.col("s.size").alias("size")), "wrapper-chosen")
     same = (F.col("host") == F.col("h")) & (size == F.col("size")) & (F.xxhash64("html") == F.col("key"))
     rows = pages.join(chosen, same, "left_semi").select("host", "html")
     schema = pa.schema([("host", pa.string()), ("seed", pa.string())])
