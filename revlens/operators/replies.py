@@ -14,7 +14,7 @@ callable, run over prompt rows with `mapInPandas`, partitioned like the input.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -168,10 +168,12 @@ def from_items_type() -> str:
 TASKS = {"summary": RF.SUMMARY_LIMIT, "issues": RF.ISSUES_LIMIT, "refactor": RF.REFACTOR_LIMIT, "security": RF.SECURITY_LIMIT}
 
 
-def review_prompts(rows: DataFrame, key: str, text: str, title: str, file_name: str | None = None) -> DataFrame:
-    """F5 + F6: the prompts of the four tasks for each row, in numbered parts:
-    key, task, part, parts, truncated, prompt, and the title for fallbacks.
-    Without `file_name` the refactoring task names the title."""
+def review_prompts(
+    rows: DataFrame, key: str, text: str, title: str, file_name: str | None = None, tasks: Iterable[str] = tuple(TASKS)
+) -> DataFrame:
+    """F5 + F6: the prompts of the tasks (all four by default) for each row, in
+    numbered parts: key, task, part, parts, truncated, prompt, and the title for
+    fallbacks. Without `file_name` the refactoring task names the title."""
     build = {
         "summary": lambda p: RF.summary_prompt(p, F.col(title)),
         "issues": RF.issues_prompt,
@@ -183,7 +185,7 @@ def review_prompts(rows: DataFrame, key: str, text: str, title: str, file_name:
         made = RF.prompts(text, build[task], limit)
         return F.transform(made, lambda p: F.struct(F.lit(task).alias("task"), p["part"], p["parts"], p["truncated"], p["prompt"]))
 
-    asked = [named(task, limit) for task, limit in TASKS.items()]
+    asked = [named(task, TASKS[task]) for task in tasks]
     return rows.select(key, F.col(title).alias("title"), F.inline(F.concat(*asked))).toDF(key, "title", "task", "part", "parts", "truncated", "prompt")
 
 
@@ -222,27 +224,6 @@ def summaries(replies: DataFrame, key: str) -> DataFrame:
     return per.select(key, RF.summary_text(F.when(joined != "", joined), "title", failed="failed").alias("summary"))
 
 
-def stub_responder(prompts: pd.Series) -> pd.Series:
-    """Deterministic test reviewer: one suggestion whose priority and impact
-    come from the prompt length (so the oracle can recompute it)."""
-    pri = ["Low", "Medium", "High", "Critical"]
-    n = prompts.str.len()
-    return pd.Series(
-        [
-            json.dumps({"suggestions": [{"priority": pri[k % 4], "impactScore": str(k % 12), "title": f"len {k}"}]})
-            for k in n
-        ],
-        index=prompts.index,
-    )
-
-
-def fragile_responder(prompts: pd.Series) -> pd.Series:
-    """Test reviewer that fails on prompts whose length ends in 3."""
-    if (prompts.str.len() % 10 == 3).any():
-        raise RuntimeError("no answer")
-    return stub_responder(prompts)
-
-
 def with_review(analyses: DataFrame, replies: DataFrame, key: str = "id") -> DataFrame:
     """Each analysis with the summaries its reviews gave, a row each.
     `replies`: key, reply, failed. An analysis without a row there was not

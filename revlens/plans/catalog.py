@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens import schemas as S
 from revlens.functions import labels as L
 from revlens.operators import queue as Q
 from revlens.operators import scoring as SC
 from revlens.operators import serving as SV
 from revlens.plans import proxies as P
 from revlens.plans.proxies import sql_with
+from revlens.plans.reviewers import fragile_responder, stub_responder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,10 +59,14 @@ def jobs(spark: SparkSession, d: str) -> DataFrame:
     return Q.job_states(P.job_events(spark, d))
 
 
-def with_analysis_id(rows: DataFrame) -> DataFrame:
+def job_analysis_id() -> Column:
     """The proxy's analysis of a job."""
     parts = F.split(F.col("job_id"), "-")
-    return rows.withColumn("analysis_id", parts[0].cast("long") * 100 + parts[1].cast("long"))
+    return parts[0].cast("long") * 100 + parts[1].cast("long")
+
+
+def with_analysis_id(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("analysis_id", job_analysis_id())
 
 
 SQL_SCORED = {
@@ -1097,7 +1103,7 @@ def responder(spark, d):
     from revlens.operators import replies as RP
 
     asked = prompt_rows(spark, d).withColumn("asked", F.concat_ws("/", "doc_id", "task", "part"))
-    rep = RP.respond(asked, RP.fragile_responder).where(~F.col("failed"))
+    rep = RP.respond(asked, fragile_responder).where(~F.col("failed"))
     s = RP.parse_replies(rep, "asked", "reply")
     return s.select("asked", "priority", "impact_score", "title")
 
@@ -1434,42 +1440,101 @@ def _sql_summaries() -> str:
               FROM (SELECT doc_id, {_sql_parts('diff', 12000)} AS x FROM v_diffs)) GROUP BY doc_id"""
 
 
+# Every tenth document has no analysis (an orphan job), every thirteenth a diff that cannot be read.
 @register(
     "stream_enrich",
     "WITH df AS (" + SQL_DIFF_FINDINGS + "), v_diffs AS (" + P.SQL_DIFF_TEXT + "), sg AS (" + _sql_outcomes()
     + "), sm AS (" + _sql_summaries() + """), o AS (
-    SELECT d.doc_id,
+    SELECT d.doc_id, d.doc_id % 10 <> 9 AS known, CASE WHEN d.doc_id % 10 = 9 THEN 'Analysis record not found'
+                WHEN d.doc_id % 13 = 5 THEN 'diff ' || CAST(d.doc_id AS VARCHAR) || ' not readable' END AS error_message,
            CAST(coalesce(f.finding_count, 0) AS INTEGER) AS finding_count,
            CAST(coalesce(f.errors, 0) AS INTEGER) AS errors, CAST(coalesce(f.warnings, 0) AS INTEGER) AS warnings,
            CAST(coalesce(f.finding_score, 100) AS INTEGER) AS finding_score, coalesce(f.risk_level, 0) AS risk_level,
            CAST(sg.n AS INTEGER) AS suggestion_count, CAST(greatest(0, 100 - sg.pen) AS INTEGER) AS suggestion_score,
-           sha256(sm.summary) AS summary_sha
+           sha256(sm.summary) AS summary_sha,
+           CAST(trunc(coalesce(f.finding_score, 100) * 0.6::DOUBLE + greatest(0, 100 - sg.pen) * 0.4::DOUBLE) AS INTEGER) AS quality_score,
+           TIMESTAMP '2024-01-01' + to_seconds(d.doc_id) AS processed_at
     FROM documents d LEFT JOIN df f ON f.analysis_id = CAST(d.doc_id AS VARCHAR)
-    JOIN sg USING (doc_id) JOIN sm USING (doc_id))
-    SELECT CAST(doc_id AS VARCHAR) AS analysis_id, 2 AS status, * EXCLUDE (doc_id),
-           CAST(trunc(finding_score * 0.6::DOUBLE + suggestion_score * 0.4::DOUBLE) AS INTEGER) AS quality_score,
-           TIMESTAMP '2024-01-01' + to_seconds(doc_id) AS processed_at
-    FROM o""",
+    JOIN sg USING (doc_id) JOIN sm USING (doc_id)), g AS (SELECT *, error_message IS NULL AS good FROM o)
+    SELECT CAST(doc_id AS VARCHAR) AS analysis_id, CASE WHEN good THEN 2 ELSE 3 END AS status, error_message,
+           CASE WHEN good THEN finding_count END AS finding_count, CASE WHEN good THEN errors END AS errors,
+           CASE WHEN good THEN warnings END AS warnings, CASE WHEN good THEN finding_score END AS finding_score,
+           CASE WHEN good THEN suggestion_count END AS suggestion_count, CASE WHEN good THEN suggestion_score END AS suggestion_score,
+           CASE WHEN good THEN risk_level END AS risk_level, CASE WHEN good THEN quality_score END AS quality_score,
+           CASE WHEN good THEN processed_at END AS processed_at,
+           CASE WHEN known THEN CASE WHEN good THEN 2 ELSE 3 END END AS stored_status,
+           CASE WHEN known THEN CASE WHEN good THEN quality_score ELSE 0 END END AS stored_quality,
+           CASE WHEN known THEN CASE WHEN good THEN risk_level ELSE 0 END END AS stored_risk,
+           CASE WHEN known THEN CASE WHEN good THEN finding_count ELSE 0 END END AS stored_findings,
+           CASE WHEN known THEN CASE WHEN good THEN suggestion_count ELSE 0 END END AS stored_suggestions,
+           CASE WHEN known THEN CASE WHEN good THEN summary_sha ELSE sha256('') END END AS stored_summary
+    FROM g""",
 )
 def stream_enrich(spark, d):
-    """K6: the streaming twin of `diff_findings` with reviews: one outcome per new job."""
-    from revlens.operators import replies as RP
+    """K6: the streaming twin of `diff_findings` with reviews: the outcome of
+    every new job, and what the analyses hold afterwards."""
+    from revlens.operators import state as ST
+    from revlens.sources import tables as TB
     from revlens.streaming import jobs as SJ
 
     root = SJ.scratch(spark, "stream-enrich")
-    src = f"{root}/source"
+    src, table, doc = f"{root}/source", f"{root}/analyses", F.col("doc_id")
     newjobs = P.table(spark, d, "documents").select(
-        F.col("doc_id").cast("string").alias("analysis_id"),
+        doc.cast("string").alias("analysis_id"),
         F.lit("org/docs").alias("repo_name"),
-        F.col("doc_id").cast("int").alias("pr_number"),
-        F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("pr_title"),
-        F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("doc_id")).alias("ts"),
-        F.col("doc_id").alias("seq"),
+        doc.cast("int").alias("pr_number"),
+        F.concat(F.lit("Doc "), doc.cast("string")).alias("pr_title"),
+        F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + doc).alias("ts"),
+        doc.alias("seq"),
     )
-    static = SJ.store_diffs(P.diffs(spark, d), f"{root}/diffs")
+    made = newjobs.where(doc_known(F.col("seq"))).select(F.col("analysis_id").alias("id"), "repo_name", "pr_number", "pr_title", F.lit("").alias("pr_author"))
+    TB.store_keyed(ST.new_analysis_defaults(made, F.lit("2023-12-31 00:00:00").cast("timestamp")), table)
+    error = F.when(F.col("pr_number") % 13 == 5, F.concat(F.lit("diff "), F.col("pr_number").cast("string"), F.lit(" not readable")))
+    static = SJ.store_diffs(P.diffs(spark, d).withColumn("error", error), f"{root}/diffs")
     diags = P.diagnostics_input(spark, d)
-    out = SJ.feed(newjobs, src, "seq", 3, lambda: SJ.run_enrich_stream(spark, src, root, static, RP.stub_responder, diags))
-    return out.select("*", F.sha2("summary", 256).alias("summary_sha")).drop("summary", "updated_at")
+    run = lambda: SJ.run_enrich_stream(spark, src, root, static, stub_responder, diags, table)
+    out = SJ.feed(newjobs, src, "seq", 3, run)
+    after = TB.read_keyed(spark, table, S.ANALYSES).select(
+        F.col("id").alias("analysis_id"),
+        F.col("status").alias("stored_status"),
+        F.col("quality_score").alias("stored_quality"),
+        F.col("risk_level").alias("stored_risk"),
+        F.json_array_length("findings_json").alias("stored_findings"),
+        F.json_array_length("suggestions_json").alias("stored_suggestions"),
+        F.sha2("summary", 256).alias("stored_summary"),
+    )
+    return out.drop("summary", "updated_at", "findings_json", "suggestions_json").join(after, "analysis_id", "left")
+
+
+def doc_known(doc_id: Column) -> Column:
+    return doc_id % 10 != 9
+
+
+@register(
+    "stream_status",
+    with_jobs("v_analyses", extra={"eff": SQL_EFFECTIVE})
+    + """SELECT e.job_id, e.seq, e.kind, e.analysis_status, e.hub_event, e.hub_event IS NOT NULL AND a.id IS NOT NULL AS sent,
+               CASE WHEN a.id IS NOT NULL THEN coalesce(l.st, a.status) END AS stored_status
+         FROM eff e LEFT JOIN v_analyses a ON a.id = e.analysis_id
+         LEFT JOIN (SELECT analysis_id, arg_max(analysis_status, seq) AS st
+                    FROM eff WHERE analysis_status IS NOT NULL GROUP BY analysis_id) l ON l.analysis_id = e.analysis_id""",
+)
+def stream_status(spark, d):
+    """K5 and S7 as one stream with two sinks: every status event, whether its
+    hub event was sent, and the status that the analysis has afterwards."""
+    from revlens.sources import tables as TB
+    from revlens.streaming import jobs as SJ
+    from revlens.streaming import lifecycle as LC
+
+    root = SJ.scratch(spark, "stream-status")
+    src, table, analyses = f"{root}/source", f"{root}/analyses", P.analyses(spark, d)
+    TB.store_keyed(analyses, table)
+    sink = LC.StatusSinks(spark, root, table, analyses.schema, job_analysis_id())
+    SJ.feed(P.job_events(spark, d), src, "seq", 4, lambda: LC.run_job_stream(spark, src, root, sink=sink))
+    sent = LC.hub_log(spark, root).select("seq", F.lit(True).alias("sent"))
+    after = TB.read_keyed(spark, table, analyses.schema).select(F.col("id").cast("string").alias("analysis_id"), F.col("status").alias("stored_status"))
+    log = LC.status_log(spark, root).join(sent, "seq", "left").join(after, "analysis_id", "left")
+    return log.select("job_id", "seq", "kind", "analysis_status", "hub_event", F.coalesce("sent", F.lit(False)).alias("sent"), "stored_status")
 
 
 # ---------------------------------------------------------------------------

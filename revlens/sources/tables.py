@@ -2,9 +2,11 @@
 
 Tables are plain files (parquet by default) with fixed schemas. JDBC or any
 other stock Spark source is reached with the same call by passing `fmt` and
-`options`. There is no MERGE on parquet: a whole-row replace is written as a
-new snapshot, from one shuffle join on the key that never goes through the
-driver.
+`options`. There is no MERGE on parquet. A whole-row replace is a DataFrame
+(`replace_rows`), from one shuffle join on the key that never goes through the
+driver, to be written as a new snapshot. A keyed table (`store_keyed`) lies in
+folders by a fixed hash of its key, and `update_touched` reads and rewrites only
+the folders of the changed keys.
 """
 
 from __future__ import annotations
@@ -76,3 +78,53 @@ def replace_rows(state: DataFrame, changes: DataFrame, key: str | list[str] = "i
 def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write a new snapshot of a table (the replace half of S5)."""
     df.write.mode("overwrite").format(fmt).save(path)
+
+
+# --- keyed tables: S5 in place ------------------------------------------------------
+BUCKETS = 64
+
+
+def key_bucket(keys: str | list[str], buckets: int = BUCKETS) -> Column:
+    """The folder of a key; does not depend on the session or the cluster."""
+    return F.pmod(F.hash(*([keys] if isinstance(keys, str) else keys)), F.lit(buckets))
+
+
+def store_keyed(rows: DataFrame, path: str, key: str | list[str] = "id", buckets: int = BUCKETS) -> None:
+    """Write a table in folders by a fixed hash of its key. `buckets` is a
+    property of the table: choose it so that a folder's rows are some files."""
+    keyed = rows.withColumn("bucket", key_bucket(key, buckets)).hint("rebalance", F.col("bucket"))
+    keyed.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_keyed(spark: SparkSession, path: str, schema: T.StructType, touched: list[int] | None = None) -> DataFrame:
+    """A keyed table, or the rows of some folders (the others are not listed
+    among the files to read), with its bucket."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(path)
+    return rows if touched is None else rows.where(F.col("bucket").isin(touched))
+
+
+def touched_buckets(changes: DataFrame, key: str | list[str] = "id", buckets: int = BUCKETS) -> list[int]:
+    """The folders of the changed keys: `buckets` numbers at most."""
+    return sorted(r[0] for r in changes.select(key_bucket(key, buckets).alias("b")).distinct().collect())
+
+
+def update_touched(
+    spark: SparkSession, path: str, schema: T.StructType, changes: DataFrame, key: str | list[str] = "id", buckets: int = BUCKETS
+) -> None:
+    """S5 on a keyed table. `changes` has the key (one row each) and any of the
+    table's columns; a null value leaves the stored one, and keys without a
+    stored row are left out. Only the folders of the changed keys are read and
+    written, by dynamic partition overwrite: rows are staged first and folders
+    are exchanged when all tasks have ended, so a failed write leaves the old
+    rows, and the same changes again give the same table. `changes` is read
+    twice, so it should be a stored table."""
+    keys = [key] if isinstance(key, str) else list(key)
+    touched = touched_buckets(changes, keys, buckets)
+    if not touched:
+        return
+    set_columns = [c for c in changes.columns if c not in keys]
+    stored = read_keyed(spark, path, schema, touched)
+    new = changes.select(*keys, F.struct(*set_columns).alias("_new"))
+    values = [F.coalesce(F.col(f"_new.{c}"), F.col(c)).alias(c) if c in set_columns else F.col(c) for c in stored.columns]
+    updated = stored.join(new, keys, "left").select(*values).hint("rebalance", F.col("bucket"))
+    updated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

@@ -1,10 +1,9 @@
-"""Structured Streaming jobs (K1, K2, K6).
+"""Structured Streaming: feeding and running file streams, and K1.
 
 * K1 `run_state_stream`: webhook event files -> analysis state table.
-* K2 `run_job_stream`: job-event files -> status per job.
-* K6 `run_enrich_stream`: new jobs joined to static diffs and analysed.
+* K2-K5, S7 are in `lifecycle`, K6 is in `enrich`.
 
-K1 and K2 keep a state table in two slots. Micro-batch b reads slot (b - 1) mod
+K1 keeps a state table in two slots. Micro-batch b reads slot (b - 1) mod
 2 and overwrites slot b mod 2, so a retried batch starts from the same state and
 writes the same rows again, the lineage is cut in every batch, and the folders
 do not grow. The number of cores or partitions has no part in it: a restart on
@@ -20,16 +19,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens import schemas as S
-from revlens.operators import queue as Q
 from revlens.operators import state as ST
 from revlens.session import scratch_path
+from revlens.streaming.enrich import run_enrich_stream, store_diffs
+from revlens.streaming.lifecycle import run_job_stream
+
+__all__ = ["batch_log", "feed", "run_available", "run_enrich_stream", "run_job_stream", "run_state_stream", "run_stateful", "scratch", "store_diffs"]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -127,115 +128,3 @@ def run_state_stream(spark: SparkSession, source: str, root: str, files_per_batc
         return ST.apply_batch(state, parsed.filter((status == OK) & targeted)), counts
 
     return run_stateful(spark, source, RAW_EVENT, root, S.ANALYSES, step, files_per_batch)
-
-
-# --- K2 ------------------------------------------------------------------------------
-JOB_EVENT_SCHEMA = T.StructType(
-    [
-        T.StructField("job_id", T.StringType()),
-        T.StructField("seq", T.LongType()),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("message", T.StringType()),
-    ]
-)
-JOB_STATE = T.StructType(
-    [
-        T.StructField("job_id", T.StringType()),
-        T.StructField("status", T.IntegerType()),
-        T.StructField("retry_count", T.IntegerType()),
-        T.StructField("created_at", T.TimestampType()),
-        T.StructField("failed_at", T.TimestampType()),
-        T.StructField("next_attempt_at", T.TimestampType()),
-        T.StructField("error_message", T.StringType()),
-    ]
-)
-
-
-def run_job_stream(
-    spark: SparkSession, source: str, root: str, retain_hours: int | None = None, files_per_batch: int | None = None
-) -> DataFrame:
-    """K2: take in all job-event files that have arrived and return the state of
-    every job. Batches are applied in the order of arrival, the events of a
-    batch in seq order. With `retain_hours` (K4), finished jobs that are older
-    at a batch's latest event leave the state."""
-
-    def step(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        touched = batch.select("job_id").distinct()
-        folded = Q.job_states(batch, state.join(touched, "job_id", "left_semi"))
-        new = state.join(touched, "job_id", "left_anti").unionByName(folded)
-        if retain_hours is not None:
-            latest = batch.agg(F.max("ts")).first()[0]
-            new = Q.retention(new, F.lit(latest), retain_hours) if latest is not None else new
-        return new, batch.agg(F.count("*").alias("events"))
-
-    return run_stateful(spark, source, JOB_EVENT_SCHEMA, root, JOB_STATE, step, files_per_batch)
-
-
-# --- K6 ------------------------------------------------------------------------------
-DIFF_BUCKETS = 64  # fixed: folders of the static diff table
-
-
-def diff_bucket() -> Column:
-    return F.pmod(F.hash("repo_name", "pr_number"), F.lit(DIFF_BUCKETS))
-
-
-def store_diffs(diffs: DataFrame, path: str) -> DataFrame:
-    """The static side of K6 as a table in folders by a fixed hash of its key."""
-    stored = diffs.select("repo_name", "pr_number", "diff").withColumn("bucket", diff_bucket())
-    stored.write.mode("overwrite").partitionBy("bucket").parquet(path)
-    return diffs.sparkSession.read.parquet(path)
-
-
-def run_enrich_stream(
-    spark: SparkSession,
-    source: str,
-    root: str,
-    diffs: DataFrame,
-    responder: Callable[[pd.Series], pd.Series],
-    diags: DataFrame | None = None,
-) -> DataFrame:
-    """K6: the outcome of every new job (analysis_id, repo_name, pr_number,
-    pr_title). A micro-batch reads the diffs from the folders of its keys,
-    writes its diffs once, and from them come the findings (R5), the reviewer's
-    suggestions and summary (X2), both scores, quality and risk (A1-A5), the
-    status Completed and the time. `diffs` is a table of `store_diffs`; the
-    result has the values to be written back to the analyses (S5)."""
-    from revlens.operators import diffs as DF
-    from revlens.operators import replies as RP
-    from revlens.operators import rules as R
-    from revlens.operators import scoring as SC
-
-    sink = f"{root}/outcomes"
-    schema = "analysis_id string, repo_name string, pr_number int, pr_title string, ts timestamp"
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        keyed = batch.withColumn("bucket", diff_bucket())
-        folders = [r[0] for r in keyed.select("bucket").distinct().collect()]  # DIFF_BUCKETS at most
-        mine = diffs.where(F.col("bucket").isin(folders))
-        work = f"{root}/work/slot={batch_id % 2}"
-        DF.attach_diffs(keyed, mine, ["bucket", "repo_name", "pr_number"]).write.mode("overwrite").parquet(work)
-        jobs = spark.read.parquet(work).drop("slot")
-        own = None if diags is None else diags.join(jobs.select("analysis_id"), "analysis_id", "left_semi")
-        found = SC.finding_stats(R.analyze_diffs(jobs, own))
-        asked = RP.review_prompts(jobs, "analysis_id", "diff", "pr_title")
-        replies = RP.respond(asked, responder)
-        suggested = SC.suggestion_stats(RP.parse_replies(replies.where("task = 'issues' and not failed"), "analysis_id"))
-        summaries = RP.summaries(replies.where("task = 'summary'"), "analysis_id")
-        scored = jobs.select("analysis_id", "ts").join(found, "analysis_id", "left").join(suggested, "analysis_id", "left").join(summaries, "analysis_id", "left")
-        scores = scored.select(
-            "analysis_id",
-            F.lit(S.ST_COMPLETED).alias("status"),
-            "summary",
-            *[F.coalesce(c, F.lit(0)).alias(c) for c in ("finding_count", "errors", "warnings", "suggestion_count")],
-            SC.score_from_penalty(F.col("finding_penalty")).alias("finding_score"),
-            SC.score_from_penalty(F.col("suggestion_penalty")).alias("suggestion_score"),
-            SC.risk_level(F.col("errors"), F.col("warnings")).alias("risk_level"),
-            F.col("ts").alias("processed_at"),
-            F.col("ts").alias("updated_at"),
-        )
-        outcome = scores.withColumn("quality_score", SC.quality_score(F.col("finding_score"), F.col("suggestion_score")))
-        outcome.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-
-    run_available(spark, source, schema, root, apply)
-    return spark.read.parquet(sink).drop("batch")
