@@ -24,6 +24,19 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
+def unused(rows: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that the rows do not have in any case."""
+    taken = {c.lower() for c in rows.columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -67,10 +80,12 @@ def with_hint(rows: DataFrame, bitmap: DataFrame, key: str, name: str) -> DataFr
     not). The bitmap has a fixed bound, so it is broadcast: rows that cannot
     match need no shuffle. With very many keys it only excludes less."""
     columns = rows.columns
+    row, bits = unused(rows, "row", "bits")
+    bitmap = bitmap.withColumnsRenamed({"__row": row, "__bits": bits})
     at = _bit(key) % _ROW_BITS
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     held = F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1
-    joined = rows.join(F.broadcast(bitmap), F.floor(_bit(key) / _ROW_BITS) == F.col("__row"), "left")
+    joined = rows.join(F.broadcast(bitmap), F.floor(_bit(key) / _ROW_BITS) == F.col(row), "left")
     return joined.select(*columns, F.coalesce(held, F.lit(False)).alias(name))
 
 

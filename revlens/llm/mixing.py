@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import word_count
+from revlens.llm.common import unused, word_count
 from revlens.session import materialize
 
 #: Weights of the sources in order, repeating (fixed values).
@@ -138,14 +138,16 @@ def mixed(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
         parts = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("."), "source"), F.lit(""))
         return F.md5(F.concat_ws("\x1f", *parts, F.col(size).cast("string")).cast("binary"))
 
+    k, words, nth, n, copy = unused(documents, "k", "words", "rank", "n", "copy")
+    often_names = unused(documents, *[f"often{t}" for t in range(1, cfg.repeats + 1)])
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)
-    often = [F.sum((times >= t).cast("long")).alias(f"__often{t}") for t in range(1, cfg.repeats + 1)]
-    taken = materialize(mix(documents, cfg).groupBy(key("size").alias("__k")).agg(*often).where("__often1 > 0"), "mix-taken")
-    docs = documents.withColumn("__words", word_count("text")).withColumn("__k", key("__words"))
-    rank = F.row_number().over(Window.partitionBy("__k").orderBy(F.md5(F.col("text").cast("binary"))))
-    docs = docs.join(taken, "__k").withColumn("__rank", rank)
-    n = sum(((F.col("__rank") <= F.col(f"__often{t}")).cast("int") for t in range(1, cfg.repeats + 1)), F.lit(0))
-    copies = docs.withColumn("__n", n).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    often = [F.sum((times >= t).cast("long")).alias(name) for t, name in enumerate(often_names, 1)]
+    taken = materialize(mix(documents, cfg).groupBy(key("size").alias(k)).agg(*often).where(F.col(often_names[0]) > 0), "mix-taken")
+    docs = documents.withColumn(words, word_count("text")).withColumn(k, key(words))
+    rank = F.row_number().over(Window.partitionBy(k).orderBy(F.md5(F.col("text").cast("binary"))))
+    docs = docs.join(taken, k).withColumn(nth, rank)
+    served = sum(((F.col(nth) <= F.col(name)).cast("int") for name in often_names), F.lit(0))
+    copies = docs.withColumn(n, served).where(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
     return copies.select(*documents.columns)
 
 

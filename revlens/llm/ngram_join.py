@@ -1,14 +1,18 @@
-"""N-gram Jaccard join with MinHash banding.
+"""N-gram Jaccard join with a MinHash LSH forest.
 
 Texts are sets of `Config.words`-word shingles (64-bit hashes; a text with fewer
 words is one shingle of all its words). Documents with equal sets form a class,
-and classes are joined. Banding of fixed depth replaces an LSH forest: each of
-`Config.trees` bands (called tries here) groups the classes by its own run of
-min-hashes. Its length is the longest, `max_depth` at most, at which a pair at the
-similarity threshold is found with the target recall (`prefix_depth`); no data is
-read for it. That bounds the recall of all more similar pairs from below.
-
-Classes that share a prefix are compared in blocks: a trie node with more than
+and classes are joined. A signature holds `max_depth` min-hashes for each of
+`Config.trees` prefix tries. In every trie a class ends in one node (`settled`):
+its prefix of `max_depth` hashes is shortened, level by level, until the recall
+bound holds for the node, and further while the shorter prefix's node has `small`
+members at most. The bound: two sets of the node's sizes whose similarity reaches
+the threshold meet in some trie with the target recall (`needed_depth`; sets of
+few shingles cannot lie just above the threshold, so longer prefixes do for them).
+The counts decide, so the levels are worked out from the short end: classes that
+are alone at the shortest prefix have no partner in that trie and go at once.
+
+Classes that end in one node are compared in blocks: a node with more than
 `Config.block` members, or `Config.block_bytes` of their shingles, is cut into
 blocks by hash, and every pair of blocks is a task's group, so a node of any size
 is compared whole, without a row for each pair; shingles are counted in ranges of
@@ -40,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import key_bitmap, utf8, with_hint
+from revlens.llm.common import key_bitmap, unused, utf8, with_hint
 from revlens.session import materialize
 
 
@@ -50,6 +54,8 @@ class Config:
     threshold: float = 0.8
     trees: int = 16
     max_depth: int = 8
+    min_depth: int = 3
+    small: int = 32  # members of a node that may be kept at a shorter prefix than the bound asks for
     target_recall: float = 0.995
     margin: float = 5.0  # standard errors of the signature estimate
     block: int = 1024  # members of a trie node compared against as many in a group
@@ -57,14 +63,32 @@ class Config:
     count_bytes: int = 1 << 24  # shingles sorted at once
 
 
-def prefix_depth(cfg: Config) -> int:
-    """The longest prefix, shortened until the target recall is met at the threshold."""
+def deepest(similarity: float, cfg: Config) -> int:
+    """The longest prefix, shortened until pairs of that similarity are found with
+    the target recall."""
     depth = cfg.max_depth
-    while depth > 1 and 1 - (1 - cfg.threshold**depth) ** cfg.trees < cfg.target_recall:
+    while depth > cfg.min_depth and 1 - (1 - similarity**depth) ** cfg.trees < cfg.target_recall:
         depth -= 1
     return depth
 
 
+def least_similarity(n: int, threshold: float) -> float:
+    """The least similarity at or above the threshold that a set of n shingles
+    can have with a different one (1: none)."""
+    other = [c / (n + b - c) for b in range(1, int(n / threshold) + 2) for c in range(1, min(n, b) + 1) if (n, n) != (b, c)]
+    return min((s for s in other if s >= threshold), default=1.0)
+
+
+FEW = 64  # shingles; with more the least similarity is taken for the threshold
+
+
+def needed_depth(n: Column, cfg: Config) -> Column:
+    """The longest prefix that meets the recall bound for a set of n shingles and
+    all sets that can be similar to it."""
+    few = F.array(*[F.lit(deepest(least_similarity(k, cfg.threshold), cfg)) for k in range(1, FEW + 1)])
+    return F.when(n <= FEW, F.try_element_at(few, F.greatest(n, F.lit(1)).cast("int"))).otherwise(F.lit(deepest(cfg.threshold, cfg)))
+
+
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
     tokens = utf8(text).split()
@@ -101,7 +125,7 @@ def signature(s: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.ndarra
 
 def signatures(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
     """doc_id, text_md5, digest (of the shingle set; null without words), sig, n_bytes (of the set)."""
-    n = cfg.trees * prefix_depth(cfg)
+    n = cfg.trees * cfg.max_depth
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = _hash_family(n)
@@ -143,20 +167,18 @@ def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def candidate_pairs(sig: np.ndarray, tree: int, left: np.ndarray, right: np.ndarray, cfg: Config) -> tuple[np.ndarray, np.ndarray]:
+def candidate_pairs(sig: np.ndarray, ends: np.ndarray, tree: int, left: np.ndarray, right: np.ndarray, cfg: Config) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (one of the `left`, one of the `right` block, or both of one block)
-    that first meet in this trie and whose signatures do not rule them out."""
-    depth = prefix_depth(cfg)
-    prefixes = np.ascontiguousarray(sig).view(np.dtype((np.void, 4 * depth))).reshape(len(sig), cfg.trees)
-    ids = np.stack([np.unique(prefixes[:, t], return_inverse=True)[1].reshape(-1) for t in range(tree + 1)], 1)
+    that first meet in this trie and whose signatures do not rule them out.
+    `ends`: each class's node in every trie, 0 for none."""
     rows, cols = np.flatnonzero(left), np.flatnonzero(right)
     least = sig.shape[1] * cfg.threshold - cfg.margin * np.sqrt(sig.shape[1] * cfg.threshold * (1 - cfg.threshold))
     found = []
     for low in range(0, len(rows), 256):
         r = rows[low : low + 256]
-        ok = ids[r, tree][:, None] == ids[cols, tree][None, :]
+        ok = ends[r, tree][:, None] == ends[cols, tree][None, :]
         for t in range(tree):
-            ok &= ids[r, t][:, None] != ids[cols, t][None, :]
+            ok &= (ends[r, t][:, None] != ends[cols, t][None, :]) | (ends[r, t][:, None] == 0)
         same = np.zeros(ok.shape, np.int16)
         for k in range(sig.shape[1]):
             same += sig[r, k][:, None] == sig[cols, k][None, :]
@@ -211,37 +233,75 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 # --- the join ----------------------------------------------------------------
 
-_MEMBER = "g long, tree int, side_a boolean, side_b boolean, digest binary, sig binary"
+_MEMBER = "g long, tree int, side_a boolean, side_b boolean, digest binary, sig binary, ends array<long>"
 
 
 def _sorted_groups(rows: DataFrame) -> DataFrame:
     return rows.repartition("g").sortWithinPartitions("g")
 
 
-def trie_members(classes: DataFrame, cfg: Config) -> DataFrame:
-    """Members of trie nodes with two classes or more, once for each pair of
-    blocks they take part in. Equal group numbers of different nodes would only
-    add pairs that then fail the prefix test."""
-    depth = prefix_depth(cfg)
+def settled(classes: DataFrame, cfg: Config) -> DataFrame:
+    """node, tree, digest, n_bytes: the node in which each class ends in each
+    trie, without nodes of one class."""
+
+    def key(depth: int) -> Column:
+        start = F.col("tree") * (4 * cfg.max_depth) + 1
+        return F.xxhash64("tree", F.lit(depth), F.substring(F.col("sig"), start, F.lit(4 * depth)))
+
     tree = F.explode(F.sequence(F.lit(0), F.lit(cfg.trees - 1))).alias("tree")
-    nodes = classes.select("digest", "sig", "n_bytes", tree).select("digest", "n_bytes", "tree", F.xxhash64("tree", F.substring(F.col("sig"), F.col("tree") * (4 * depth) + 1, F.lit(4 * depth))).alias("node"))
-    full = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("node_bytes")).where("n > 1")
+    rows = classes.select("digest", "sig", "n_bytes", tree)
+    first = rows.select("digest", "n_bytes", "tree", key(cfg.min_depth).alias("node"))
+    shared = first.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    own = F.substring(F.col("sig"), F.col("tree") * (4 * cfg.max_depth) + 1, F.lit(4 * cfg.max_depth))
+    rest = rows.withColumn("node", key(cfg.min_depth)).withColumn("sig", own).join(shared, "node")
+    rest = materialize(rest.select("digest", "sig", "n_bytes", "tree", "n", "node", needed_depth(F.col("n_bytes") / 8, cfg).alias("need")), "join-prefixes")
+    done = None
+    for depth in range(cfg.min_depth, cfg.max_depth + 1):
+        if depth > cfg.min_depth:
+            rest = rest.withColumn("node", F.xxhash64("tree", F.lit(depth), F.substring("sig", 1, 4 * depth)))
+        nodes = materialize(rest.groupBy("node").agg(F.count("*").alias("size"), F.min("need").alias("bound")), "join-nodes")
+        here = (F.col("size") <= cfg.small) | (F.col("bound") <= depth) | F.lit(depth == cfg.max_depth)
+        at = rest.join(nodes, "node")
+        ends = at.where(here & (F.col("size") > 1)).select("node", "tree", "digest", "n_bytes")
+        done = ends if done is None else done.unionByName(ends)
+        rest = materialize(at.where(~here).select("digest", "sig", "n_bytes", "tree", "need"), "join-prefixes")
+        if rest.isEmpty():
+            break
+    return materialize(done, "join-ends")
+
+
+def trie_members(ends: DataFrame, cfg: Config) -> DataFrame:
+    """The members of each node, once for each pair of blocks they take part in.
+    Equal group numbers of different nodes would only add pairs that then fail
+    the test of their nodes."""
+    full = ends.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("node_bytes"))
     blocks = F.least("n", F.greatest(F.ceil(F.col("n") / cfg.block), F.ceil(F.col("node_bytes") / cfg.block_bytes)))
     own = F.pmod(F.xxhash64("digest", F.lit(1)), blocks)
-    members = nodes.join(full, "node").select("node", "tree", "digest", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    members = ends.join(full, "node").select("node", "tree", "digest", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     return members.select(
         F.xxhash64("node", low, high).alias("g"), "tree", (F.col("own") == low).alias("side_a"), (F.col("own") == high).alias("side_b"), "digest"
     )
 
 
+def class_ends(ends: DataFrame, classes: DataFrame, cfg: Config) -> DataFrame:
+    """digest, sig, ends: each class's node in every trie (0 for none)."""
+    per = ends.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("tree", "node"))).alias("at"))  # an entry a trie
+    at = F.transform(F.sequence(F.lit(0), F.lit(cfg.trees - 1)), lambda t: F.coalesce(F.try_element_at("at", t), F.lit(0).cast("long")))
+    return classes.select("digest", "sig").join(per.select("digest", at.alias("ends")), "digest")
+
+
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, width)
 
 
+def _ends(group: pa.Table, cfg: Config) -> np.ndarray:
+    return group["ends"].combine_chunks().flatten().to_numpy().reshape(-1, cfg.trees)
+
+
 def possible_members(members: DataFrame, cfg: Config) -> DataFrame:
     """The members that have a pair to verify in their group."""
-    width = cfg.trees * prefix_depth(cfg)
+    width = cfg.trees * cfg.max_depth
 
     def filter_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, "g"):
@@ -257,14 +317,15 @@ def possible_members(members: DataFrame, cfg: Config) -> DataFrame:
 
 def _group_pairs(group: pa.Table, trees: np.ndarray, sig: np.ndarray, cfg: Config) -> tuple[np.ndarray, np.ndarray]:
     a, b = group["side_a"].to_numpy(), group["side_b"].to_numpy()
-    found = [candidate_pairs(sig, int(t), a & (trees == t), b & (trees == t), cfg) for t in np.unique(trees)]
+    ends = _ends(group, cfg)
+    found = [candidate_pairs(sig, ends, int(t), a & (trees == t), b & (trees == t), cfg) for t in np.unique(trees)]
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def verified(members: DataFrame, cfg: Config) -> DataFrame:
     """digest, root, links: for each member of a group the least member it is
     connected to there, and its verified links weighted by the partners' copies."""
-    width = cfg.trees * prefix_depth(cfg)
+    width = cfg.trees * cfg.max_depth
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, "g"):
@@ -301,9 +362,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Stored, so that both sides of the join are plain exchanges and a hub's edges can be split.
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "cc-large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = materialize(small.select("e.u", "e.v").where("u != v").distinct(), "cc")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -335,7 +398,8 @@ def join_documents(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
     classes = materialize(
         with_words.groupBy("digest").agg(F.min(_first("text_md5")).alias("first"), F.count("*").alias("copies"), F.min("sig").alias("sig"), F.min("n_bytes").alias("n_bytes")), "join-classes"
     )
-    members = trie_members(classes, cfg).join(classes.select("digest", "sig"), "digest").select(*(c.split()[0] for c in _MEMBER.split(", ")))
+    ends = settled(classes, cfg)
+    members = trie_members(ends, cfg).join(class_ends(ends, classes, cfg), "digest").select(*(c.split()[0] for c in _MEMBER.split(", ")))
     possible = materialize(possible_members(members, cfg), "join-members")
 
     def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,15 +435,16 @@ def deduplicated(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
     """One document of each component, with all its columns. Documents that
     cannot be among the dropped or repeated rows pass where they are read; only
     the others are shuffled."""
-    rows = join_documents(documents, cfg).select(_row_key(F.col("doc_id"), F.col("text_md5")).alias("__k"), "keep")
-    keys = rows.groupBy("__k").agg(F.bool_or("keep").alias("keep"), F.count("*").alias("n"))
-    checked = materialize(keys.where("not keep or n > 1").select("__k", "keep"), "join-checked")
+    k, may, n = unused(documents, "k", "may", "n")
+    rows = join_documents(documents, cfg).select(_row_key(F.col("doc_id"), F.col("text_md5")).alias(k), "keep")
+    keys = rows.groupBy(k).agg(F.bool_or("keep").alias("keep"), F.count("*").alias("n"))
+    checked = materialize(keys.where("not keep or n > 1").select(k, "keep"), "join-checked")
     key = _row_key(F.col("doc_id").cast("long"), _text_md5())
-    docs = with_hint(documents.withColumn("__k", key), key_bitmap(checked, "__k"), "__k", "__may")
-    doubtful = docs.where("__may")
+    docs = with_hint(documents.withColumn(k, key), key_bitmap(checked, k), k, may)
+    doubtful = docs.where(F.col(may))
     others = [F.col(c).cast("string") for c in documents.columns if c not in ("doc_id", "text")]
-    nth = F.row_number().over(Window.partitionBy("__k").orderBy(*others, F.lit(1)))
-    kept = doubtful.join(checked.where("keep").select("__k"), "__k").withColumn("__n", nth).where("__n = 1")
-    parts = (docs.where("not __may"), doubtful.join(checked, "__k", "left_anti"), kept)
+    nth = F.row_number().over(Window.partitionBy(k).orderBy(*others, F.lit(1)))
+    kept = doubtful.join(checked.where("keep").select(k), k).withColumn(n, nth).where(F.col(n) == 1)
+    parts = (docs.where(~F.col(may)), doubtful.join(checked.select(k), k, "left_anti"), kept)
     a, b, c = (x.select(*documents.columns) for x in parts)
     return a.unionByName(b).unionByName(c)

@@ -184,7 +184,7 @@ def test_blocks_are_bounded_by_bytes(spark):
     signed = ngram_join.signatures(docs, cfg).cache()
     total = signed.agg(F.sum("n_bytes")).first()[0]
     assert total > 5 * cfg.block_bytes
-    groups = ngram_join.trie_members(signed, cfg).join(signed.select("digest", "n_bytes"), "digest").groupBy("g").agg(F.sum("n_bytes").alias("n_bytes"))
+    groups = ngram_join.trie_members(ngram_join.settled(signed, cfg), cfg).join(signed.select("digest", "n_bytes"), "digest").groupBy("g").agg(F.sum("n_bytes").alias("n_bytes"))
     assert groups.agg(F.max("n_bytes")).first()[0] < 4 * cfg.block_bytes  # two blocks, dealt by hash
     got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join_documents(docs, cfg).collect()}
     assert got == {**{i: (0, 59) for i in range(60)}, **{100 + i: (100 + i, 0) for i in range(20)}}
@@ -209,9 +209,38 @@ def test_shingles_are_counted_in_bounded_memory():
 
 def test_prefixes_shorten_to_the_recall():
     cfg = ngram_join.Config()
-    d = ngram_join.prefix_depth(cfg)
+    d = ngram_join.deepest(0.8, cfg)
     assert 1 - (1 - 0.8**d) ** cfg.trees >= cfg.target_recall > 1 - (1 - 0.8 ** (d + 1)) ** cfg.trees
-    assert ngram_join.prefix_depth(ngram_join.Config(target_recall=0.9)) > d
+    assert ngram_join.deepest(0.8, ngram_join.Config(target_recall=0.9)) > d
+    assert ngram_join.least_similarity(3, 0.8) == 1 and ngram_join.least_similarity(4, 0.8) == 0.8 and abs(ngram_join.least_similarity(6, 0.8) - 5 / 6) < 1e-9
+    assert ngram_join.deepest(1.0, cfg) == cfg.max_depth
+
+
+def test_classes_settle_in_nodes_by_size_and_bound(spark):
+    """By hand: a small node stays short, a large one is lengthened up to the
+    bound of its least need, nodes of one go."""
+    cfg = ngram_join.Config(trees=2, max_depth=6, min_depth=2, small=3, target_recall=0.5)
+    bound = ngram_join.deepest(0.8, cfg)
+    assert cfg.min_depth < bound < cfg.max_depth
+    rng = __import__("random").Random(1)
+    hashes = lambda head, n: [*head, *(rng.randrange(1 << 31) for _ in range(n - len(head)))]
+    firsts = [hashes([1, 2], 6) for _ in range(3)] + [hashes([5, 6, 7, 8, 9][:bound], 6) for _ in range(5)] + [hashes([5, 6], 6) for _ in range(2)] + [hashes([], 6)]
+    sigs = [b"".join(x.to_bytes(4, "little") for x in (*first, *hashes([], 6))) for first in firsts]
+    rows = [(bytes([i]), s, 8 * 1000) for i, s in enumerate(sigs)]
+    got = ngram_join.settled(spark.createDataFrame(rows, "digest binary, sig binary, n_bytes long"), cfg).collect()
+    nodes = {}
+    for r in got:
+        nodes.setdefault((r.tree, r.node), set()).add(bytes(r.digest)[0])
+    assert sorted(map(sorted, nodes.values())) == [[0, 1, 2], [3, 4, 5, 6, 7]]
+
+
+def test_helper_names_do_not_clash(spark):
+    rows = [(i, prose(400 + i % 3, 60), "en", f"s{i % 2}", i, 7 + i, "b", True, i) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __n long, __k long, __bits string, __may boolean, __Words long")
+    kept = sorted(map(tuple, ngram_join.deduplicated(docs).collect()))
+    assert kept == sorted(rows[:3])
+    taken = mixing.mixed(docs)
+    assert taken.columns == docs.columns and set(map(tuple, taken.collect())) <= set(rows)
 
 
 def test_components_of_chains(spark):
