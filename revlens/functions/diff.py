@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 FILE_HEADER = "diff --git"
 ADDED_MARK = "+"
 NEW_FILE_MARK = "+++"
+HUNK_HEADER = r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 # ----------------------------------------------------------------------------------
 
 
@@ -56,6 +57,29 @@ def added_text(block) -> Column:
     return F.when(F.size(a) > 0, F.concat(F.array_join(a, "\n"), F.lit("\n"))).otherwise(F.lit(""))
 
 
+def hunk_lines(block) -> Column:
+    """F3 with hunk tracking: the added lines of a block with their line numbers in
+    the real file, array<struct<line_number, text>>.
+
+    Inside a hunk every line begins with ' ', '+', '-' or a backslash, so a line
+    that begins with '@@ -' opens the next one, and the file's own '---' and '+++'
+    lines stand before the first. The lines of the new file are those that are not
+    removed (or a note); the header says where they start and how many they are,
+    so text behind the last hunk is no content. An added `++i;` is kept.
+    """
+    hunks = F.filter(F.split(_c(block), r"\n(?=@@ -\d)"), lambda h: h.rlike(f"^{HUNK_HEADER}"))
+
+    def added(hunk: Column) -> Column:
+        lines = F.split(hunk, "\n")
+        number = lambda n: F.nullif(F.regexp_extract(lines[0], HUNK_HEADER, n), F.lit("")).cast("int")
+        own = F.filter(F.slice(lines, 2, F.size(lines)), lambda l: ~l.startswith("-") & ~l.startswith("\\"))
+        own = F.slice(own, 1, F.coalesce(number(4), F.lit(1)))
+        marked = F.transform(own, lambda l, i: F.struct((number(3) + i).alias("line_number"), F.substring(l, 2, 1 << 30).alias("text"), l.startswith(ADDED_MARK).alias("added")))
+        return F.transform(F.filter(marked, lambda x: x["added"]), lambda x: F.struct(x["line_number"], x["text"]))
+
+    return F.flatten(F.transform(hunks, added))
+
+
 def trim_ws(c) -> Column:
     """Trim all leading/trailing whitespace (not only spaces)."""
     return F.regexp_replace(_c(c), r"^\s+|\s+$", "")

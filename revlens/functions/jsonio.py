@@ -86,26 +86,43 @@ def pack_suggestions(suggestions: DataFrame, key: str = "analysis_id", order: li
     return _pack(suggestions, SUGGESTION_KEYS, S.SUGGESTION, order, key).withColumnRenamed("json", "suggestions_json")
 
 
-def _read(js, keys, schema: T.ArrayType) -> Column:
-    """Stored JSON list -> array of structs. Property names match in any case (of
-    several the last one counts), quotes must be double; empty or malformed
-    text gives []."""
-    c = F.col(js) if isinstance(js, str) else js
-    strict = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
-    rows = F.from_json(c, "array<map<string,string>>", strict)
-    types = {f.name: f.dataType for f in schema.elementType.fields}
+def _exact_case(c: Column, names: list[str]) -> Column:
+    """Property names in the stored casing. A quoted name with a colon behind it
+    cannot stand inside a JSON string, whose quotes are escaped."""
+    out, known = c, "|".join(names)
+    for n in names:
+        out = F.regexp_replace(out, rf'"(?!{n}")(?i:{n})"\s*:', f'"{n}":')
+    other = c.rlike(rf'"(?!(?:{known})")(?i:{known})"\s*:')
+    return F.when(other, out).otherwise(c)
 
-    def field(entries: Column, k: str) -> Column:
-        same = F.filter(entries, lambda e: F.lower(e["key"]) == k.lower())
-        v = F.try_element_at(same, F.lit(-1))["value"]
-        t = types[k]
-        return (F.from_json(v, t, strict) if isinstance(t, T.ArrayType) else v.try_cast(t)).alias(k)
 
-    def item(m: Column) -> Column:
-        return F.struct(*[field(F.map_entries(m), k) for k, _ in keys])
+def _read(js, keys, schema: T.ArrayType) -> Column:
+    """Stored JSON list -> array of structs. Property names match in any case (of
+    several the last one counts), quotes must be double; empty or malformed text,
+    text behind the list and values of a wrong type give []. Our own writer's
+    texts are parsed once; others get their names in the stored casing first.
 
+    The list is parsed as a property of an object that ends in another one: only
+    if that is there, the list was read to its end."""
+    c = F.col(js) if isinstance(js, str) else js
+    names, texts = [k for k, _ in keys], [f.name for f in schema.elementType.fields if isinstance(f.dataType, T.StringType)]
+    text = F.transform(F.array(c), lambda x: _exact_case(x, names))
+    root = T.StructType([T.StructField("list", schema), T.StructField("end", T.IntegerType()), T.StructField("bad", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "allowSingleQuotes": "false"}
+    no_text = rf'"(?:{"|".join(texts)})"\s*:\s*(?!"|null\b)[^\s]'
     empty = F.array().cast(schema)
-    return F.when(F.trim(c).rlike(r"\]$") & rows.isNotNull(), F.transform(F.filter(rows, lambda m: m.isNotNull()), item)).otherwise(empty)
+
+    def checked(t: Column) -> Column:
+        parsed = F.from_json(F.concat(F.lit('{"list":'), t, F.lit(',"end":1}')), root, options)
+        alone = F.json_array_length(F.concat(F.lit("["), t, F.lit(",0]"))) == 2
+        return F.transform(
+            F.array(parsed),
+            lambda r: F.when(
+                r["bad"].isNull() & (r["end"] == 1) & r["list"].isNotNull() & alone & ~t.rlike(no_text), F.filter(r["list"], lambda x: x.isNotNull())
+            ).otherwise(empty),
+        )[0]
+
+    return F.coalesce(F.transform(text, checked)[0], empty)
 
 
 def read_findings(js) -> Column:

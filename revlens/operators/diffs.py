@@ -54,6 +54,24 @@ def changed_files(diffs: DataFrame, id_col: str = "analysis_id", parity: bool =
     return out
 
 
+def tracked_lines(diffs: DataFrame, id_col: str = "analysis_id") -> DataFrame:
+    """F3, W5 with hunk tracking: one row per added line of every file block, with
+    its position among the file's added lines (`line_number`, as in W5) and its
+    line number in the real file (`file_line`). Lines that begin with '++' are
+    kept, which F3's prefix test loses (T10). Blocks without a hunk header (a
+    rename, a binary file) have no line. No exchange."""
+    arr = diffs.select(id_col, D.file_blocks("diff").alias("_blocks"))
+    pre = F.when(F.element_at("_blocks", 1).startswith(D.FILE_HEADER), F.lit(0)).otherwise(F.lit(1))
+    parsed = F.transform(
+        "_blocks",
+        lambda blk, i: F.struct((i - pre).alias("file_idx"), blk.startswith(D.FILE_HEADER).alias("is_file"), D.block_path(blk).alias("file_path"), D.hunk_lines(blk).alias("lines")),
+    )
+    kept = F.filter(parsed, lambda x: x["is_file"] & x["file_path"].isNotNull() & (F.size(x["lines"]) > 0))
+    files = arr.select(id_col, F.explode(kept).alias("_f"))
+    lines = files.select(id_col, F.col("_f.file_idx").cast("int").alias("file_idx"), "_f.file_path", F.posexplode("_f.lines").alias("_i", "_l"))
+    return lines.select(id_col, "file_idx", "file_path", (F.col("_i") + 1).cast("int").alias("line_number"), F.col("_l.line_number").alias("file_line"), "_l.text")
+
+
 def csharp_files(files: DataFrame, ext: str = ".cs") -> DataFrame:
     """Keep files whose path ends with the extension (case-insensitive)."""
     return files.filter(D.is_extension("file_path", ext))

@@ -58,6 +58,52 @@ def page(df: DataFrame, skip: int = 0, take: int = SERVICE_PAGE_SIZE, order: lis
     return out.limit(take)
 
 
+def _beyond(processed_at, row_id, inclusive: bool = False) -> Column:
+    """Rows behind a place in the page order (newest first, null times last)."""
+    t, i = F.col("processed_at"), F.col("id")
+    tie = i >= F.lit(row_id) if inclusive else i > F.lit(row_id)
+    if processed_at is None:
+        return t.isNull() & tie
+    at = F.lit(processed_at)
+    return t.isNull() | (t < at) | ((t == at) & tie)
+
+
+def page_after(df: DataFrame, last: tuple | None, take: int = SERVICE_PAGE_SIZE) -> DataFrame:
+    """W2, the next page behind the row `last` (processed_at, id), or the first
+    page: a seek predicate instead of an offset, so every task keeps at most
+    `take` rows at any depth."""
+    rows = df if last is None else df.filter(_beyond(*last))
+    return rows.orderBy(*page_order()).limit(take)
+
+
+def page_index(df: DataFrame, step: int = 1000) -> DataFrame:
+    """W2, the places of every `step`-th row in the page order: rank, processed_at,
+    id. Row counts of a range-sorted table give the ranks, so nothing but two
+    columns is sorted and no task holds more than a range."""
+    from pyspark.sql import Window
+
+    from revlens.session import materialize
+
+    keys = df.select("processed_at", "id").repartitionByRange(*page_order())
+    sorted_ = materialize(keys.withColumn("part", F.spark_partition_id()), "page-keys")
+    sizes = sorted_.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # rows are ranges
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*page_order())) - 1
+    ranked = sorted_.withColumn("nth", inside).join(starts, "part").withColumn("rank", F.col("start") + F.col("nth"))
+    return ranked.filter(F.col("rank") % step == 0).select("rank", "processed_at", "id")
+
+
+def page_at(df: DataFrame, index: DataFrame, skip: int, take: int = SERVICE_PAGE_SIZE) -> DataFrame:
+    """W2 at any depth: seek to the last place of the `page_index` at or before
+    `skip`; a task keeps at most the index's step and `take` rows."""
+    place = index.filter(F.col("rank") <= skip).orderBy(F.desc("rank")).limit(1).first()
+    if place is None:
+        return df.limit(0)
+    rows = df.filter(_beyond(place["processed_at"], place["id"], inclusive=True)).orderBy(*page_order())
+    return rows.offset(skip - place["rank"]).limit(take)
+
+
 def recent(df: DataFrame, n: int = DASHBOARD_RECENT) -> DataFrame:
     """The n most recent analyses."""
     return page(df, 0, n)

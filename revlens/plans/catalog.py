@@ -322,6 +322,53 @@ def repo_page(spark, d):
     return SV.analysis_list(SV.page(SV.by_repo(scored(spark, d), REPO), 0, SV.SERVICE_PAGE_SIZE))
 
 
+DEEP_SKIP, DEEP_TAKE = 1234, 25
+
+
+@register(
+    "deep_page",
+    sql_with("v_analyses") + f"SELECT id, repo_name, processed_at FROM v_analyses ORDER BY processed_at DESC, id LIMIT {DEEP_TAKE} OFFSET {DEEP_SKIP}",
+)
+def deep_page(spark, d):
+    """W2 at depth through the index of places: equal to OFFSET on tied times."""
+    rows = P.analyses(spark, d).select("id", "repo_name", "processed_at")
+    return SV.page_at(rows, SV.page_index(rows, step=100), DEEP_SKIP, DEEP_TAKE)
+
+
+@register(
+    "next_page",
+    sql_with("v_analyses")
+    + f"""SELECT id, repo_name, processed_at FROM v_analyses ORDER BY processed_at DESC, id
+          LIMIT {SV.SERVICE_PAGE_SIZE} OFFSET {2 * SV.SERVICE_PAGE_SIZE}""",
+)
+def next_page(spark, d):
+    """The third page, sought behind the last row of the second."""
+    rows, last = P.analyses(spark, d).select("id", "repo_name", "processed_at"), None
+    for _ in range(2):
+        end = SV.page_after(rows, last).orderBy(*SV.page_order()).tail(1)
+        last = (end[0]["processed_at"], end[0]["id"]) if end else last
+    return SV.page_after(rows, last)
+
+
+@register(
+    "clustered_lookup",
+    sql_with("v_analyses")
+    + f"SELECT id, repo_name, pr_title, processed_at FROM v_analyses WHERE repo_name = '{REPO}' AND processed_at >= DATE '1996-01-01' OR id IN (42, 7)",
+)
+def clustered_lookup(spark, d):
+    """P2, P5 on a table that is range-sorted by (repo_name, processed_at) with
+    Bloom filters on the id."""
+    from revlens.sources import tables as TB
+    from revlens.streaming.jobs import scratch
+
+    path = scratch(spark, "analyses-clustered")
+    TB.store_clustered(P.analyses(spark, d), path)
+    rows = spark.read.parquet(path).select("id", "repo_name", "pr_title", "processed_at")
+    recent = SV.by_repo(rows, REPO).where(F.col("processed_at") >= F.lit("1996-01-01").cast("timestamp"))
+    some = [SV.get_by_id(rows, i).where((F.col("repo_name") != REPO) | (F.col("processed_at") < F.lit("1996-01-01").cast("timestamp"))) for i in (42, 7)]
+    return recent.unionByName(some[0]).unionByName(some[1])
+
+
 # P1-P3, X1
 @register(
     "find",
@@ -944,6 +991,26 @@ SQL_DIFF_FINDINGS = (
 )
 
 
+@register(
+    "hunk_lines",
+    """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+       n AS (SELECT doc_id, len(ls) AS n, (len(ls) + 1) // 4 AS gone FROM l),
+       x AS (SELECT doc_id, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS i FROM l),
+       a AS (SELECT doc_id, 1 AS hunk, 20 + i - (i + 1) // 4 AS file_line, text FROM x WHERE i % 4 IN (0, 1)
+             UNION ALL SELECT doc_id, 1, 20 + n - gone, '++i;' FROM n UNION ALL SELECT doc_id, 1, 21 + n - gone, '--j;' FROM n
+             UNION ALL SELECT doc_id, 2, 600, '++k;' FROM n UNION ALL SELECT doc_id, 2, 601, 'last' FROM n)
+       SELECT CAST(doc_id AS VARCHAR) AS analysis_id, 0 AS file_idx, 'src/H' || CAST(doc_id AS VARCHAR) || '.cs' AS file_path,
+              CAST(row_number() OVER (PARTITION BY doc_id ORDER BY hunk, file_line) AS INTEGER) AS line_number, CAST(file_line AS INTEGER) AS file_line, text
+       FROM a""",
+)
+def hunk_lines(spark, d):
+    """F3, W5 with hunk tracking: '++' lines are kept, real line numbers follow
+    from the hunk headers."""
+    from revlens.operators import diffs as DF
+
+    return DF.tracked_lines(P.hunk_diffs(spark, d))
+
+
 @register("diff_findings", SQL_DIFF_FINDINGS)
 def diff_findings(spark, d):
     """All rules + ingested diagnostics over every PR diff, scored per analysis."""
@@ -1473,11 +1540,30 @@ def _sql_summaries() -> str:
 def stream_enrich(spark, d):
     """K6: the streaming twin of `diff_findings` with reviews: the outcome of
     every new job, and what the analyses hold afterwards."""
-    from revlens.operators import state as ST
     from revlens.sources import tables as TB
     from revlens.streaming import jobs as SJ
 
     root = SJ.scratch(spark, "stream-enrich")
+    out, table = enriched(spark, d, root)
+    after = TB.read_keyed(spark, table, S.ANALYSES).select(
+        F.col("id").alias("analysis_id"),
+        F.col("status").alias("stored_status"),
+        F.col("quality_score").alias("stored_quality"),
+        F.col("risk_level").alias("stored_risk"),
+        F.json_array_length("findings_json").alias("stored_findings"),
+        F.json_array_length("suggestions_json").alias("stored_suggestions"),
+        F.sha2("summary", 256).alias("stored_summary"),
+    )
+    return out.drop("summary", "updated_at", "findings_json", "suggestions_json").join(after, "analysis_id", "left")
+
+
+def enriched(spark: SparkSession, d: str, root: str, metrics=None) -> tuple[DataFrame, str]:
+    """K6 over the documents' diffs in three deliveries: the outcomes, and the
+    path of the analyses."""
+    from revlens.operators import state as ST
+    from revlens.sources import tables as TB
+    from revlens.streaming import jobs as SJ
+
     src, table, doc = f"{root}/source", f"{root}/analyses", F.col("doc_id")
     newjobs = P.table(spark, d, "documents").select(
         doc.cast("string").alias("analysis_id"),
@@ -1492,24 +1578,58 @@ def stream_enrich(spark, d):
     error = F.when(F.col("pr_number") % 13 == 5, F.concat(F.lit("diff "), F.col("pr_number").cast("string"), F.lit(" not readable")))
     static = SJ.store_diffs(P.diffs(spark, d).withColumn("error", error), f"{root}/diffs")
     diags = P.diagnostics_input(spark, d)
-    run = lambda: SJ.run_enrich_stream(spark, src, root, static, stub_responder, diags, table)
-    out = SJ.feed(newjobs, src, "seq", 3, run)
-    after = TB.read_keyed(spark, table, S.ANALYSES).select(
-        F.col("id").alias("analysis_id"),
-        F.col("status").alias("stored_status"),
-        F.col("quality_score").alias("stored_quality"),
-        F.col("risk_level").alias("stored_risk"),
-        F.json_array_length("findings_json").alias("stored_findings"),
-        F.json_array_length("suggestions_json").alias("stored_suggestions"),
-        F.sha2("summary", 256).alias("stored_summary"),
-    )
-    return out.drop("summary", "updated_at", "findings_json", "suggestions_json").join(after, "analysis_id", "left")
+    run = lambda: SJ.run_enrich_stream(spark, src, root, static, stub_responder, diags, table, metrics=metrics)
+    if metrics is not None:
+        metrics.start(TB.read_keyed(spark, table, S.ANALYSES))
+    return SJ.feed(newjobs, src, "seq", 3, run), table
+
+
+@register(
+    "stream_metrics",
+    ", res AS (SELECT".join(ORACLE["stream_enrich"].rsplit("SELECT CAST(doc_id AS VARCHAR) AS analysis_id,", 1))
+    + """) SELECT CAST(count(*) AS INTEGER) AS total, CAST(count(*) FILTER (WHERE stored_quality >= 90) AS INTEGER) AS high_quality,
+               CAST(count(*) FILTER (WHERE stored_quality BETWEEN 70 AND 89) AS INTEGER) AS medium_quality,
+               CAST(count(*) FILTER (WHERE stored_quality < 70) AS INTEGER) AS low_quality,
+               CAST(coalesce(round_even(avg(stored_quality), 0), 0) AS INTEGER) AS average_score,
+               CAST(count(*) FILTER (WHERE stored_risk = 2) AS INTEGER) AS high_risk,
+               CAST(count(*) FILTER (WHERE stored_risk = 1) AS INTEGER) AS medium_risk,
+               CAST(count(*) FILTER (WHERE stored_risk = 0) AS INTEGER) AS low_risk
+         FROM res WHERE stored_status IS NOT NULL""",
+)
+def stream_metrics(spark, d):
+    """A7-A10 as a running total over K6's batches: equal to the full aggregate
+    over the analyses, without reading them."""
+    from revlens.streaming import jobs as SJ
+    from revlens.streaming.metrics import RunningMetrics
+
+    root = SJ.scratch(spark, "stream-metrics")
+    metrics = RunningMetrics(spark, root)
+    enriched(spark, d, root, metrics)
+    return metrics.current()
 
 
 def doc_known(doc_id: Column) -> Column:
     return doc_id % 10 != 9
 
 
+@register(
+    "webhook_stream",
+    sql_with("v_webhooks", extra={"f": SQL_WEBHOOK_FLAT}) + "SELECT parse_status, action, repo_name, pr_number, pr_title, pr_author FROM f",
+)
+def webhook_stream(spark, d):
+    """S1 as a stream of JSON-lines files in two deliveries: equal to `webhook_flat`."""
+    from revlens.sources.webhooks import run_webhook_stream
+    from revlens.streaming.jobs import scratch
+
+    root = scratch(spark, "webhook-stream")
+    out = None
+    for half in (0, 1):
+        lines = webhook_payloads(spark, d).where(F.col("seq") % 2 == half).select(F.col("raw").alias("value"))
+        lines.write.mode("append").text(f"{root}/source")
+        out = run_webhook_stream(spark, f"{root}/source", root)
+    return out.select("parse_status", "action", "repo_name", "pr_number", "pr_title", "pr_author")
+
+
 @register(
     "stream_status",
     with_jobs("v_analyses", extra={"eff": SQL_EFFECTIVE})

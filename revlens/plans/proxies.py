@@ -317,6 +317,23 @@ def diffs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def hunk_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """documents -> diffs of one file with two hunks: the text's lines as context
+    (i % 4 = 3), removed (2) or added lines, added lines that begin with '++' or
+    '--', and a mail signature behind the last hunk."""
+    sid = F.col("doc_id").cast("string")
+    lines = F.split("text", "\n")
+    removed = F.floor((F.size(lines) + 1) / 4)
+    both = F.size(F.filter(lines, lambda _, i: i % 4 == 3))
+    mark = lambda i: F.when(i % 4 == 3, " ").when(i % 4 == 2, "-").otherwise("+")
+    body = F.array_join(F.transform(lines, lambda ln, i: F.concat(mark(i), ln)), "\n")
+    first = F.concat(F.lit("@@ -10,"), (removed + both).cast("string"), F.lit(" +20,"), (F.size(lines) - removed + 2).cast("string"), F.lit(" @@ class X"))
+    path = F.concat(F.lit("src/H"), sid, F.lit(".cs"))
+    header = [F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path), F.concat(F.lit("--- a/"), path), F.concat(F.lit("+++ b/"), path)]
+    rest = ["+++i;", "+--j;", "@@ -500 +600,2 @@", "-old", "+++k;", "\\ No newline at end of file", "+last", "-- ", "2.40.1", "+not content"]
+    return table(spark, d, "documents").select(sid.alias("analysis_id"), F.concat_ws("\n", *header, first, body, *map(F.lit, rest)).alias("diff"))
+
+
 def diagnostics_input(spark: SparkSession, d: str) -> DataFrame:
     """Compiler diagnostics produced elsewhere: one per document."""
     doc = table(spark, d, "documents")

@@ -97,10 +97,11 @@ def store_keyed(rows: DataFrame, path: str, key: str | list[str] = "id", buckets
 
 
 def read_keyed(spark: SparkSession, path: str, schema: T.StructType, touched: list[int] | None = None) -> DataFrame:
-    """A keyed table, or the rows of some folders (the others are not listed
-    among the files to read), with its bucket."""
+    """A keyed table, or the rows of some folders (the others are not read), with
+    its bucket. Rows without an id only keep an emptied folder in place."""
     rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(path)
-    return rows if touched is None else rows.where(F.col("bucket").isin(touched))
+    rows = rows if touched is None else rows.where(F.col("bucket").isin(touched))
+    return rows.where(F.col(schema.fieldNames()[0]).isNotNull())
 
 
 def touched_buckets(changes: DataFrame, key: str | list[str] = "id", buckets: int = BUCKETS) -> list[int]:
@@ -128,3 +129,39 @@ def update_touched(
     values = [F.coalesce(F.col(f"_new.{c}"), F.col(c)).alias(c) if c in set_columns else F.col(c) for c in stored.columns]
     updated = stored.join(new, keys, "left").select(*values).hint("rebalance", F.col("bucket"))
     updated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def replace_keys(
+    spark: SparkSession, path: str, schema: T.StructType, keys: DataFrame, rows: DataFrame, key: str | list[str] = "id", buckets: int = BUCKETS
+) -> None:
+    """On a keyed table, put `rows` in the place of whatever it holds for `keys`
+    (a key without rows is deleted). Only the folders of the keys are read and
+    written, as in `update_touched`; both inputs should be stored tables. An
+    emptied folder keeps one row of nulls, for a folder without rows would not
+    be exchanged."""
+    columns = [key] if isinstance(key, str) else list(key)
+    touched = touched_buckets(keys, columns, buckets)
+    if not touched:
+        return
+    kept = read_keyed(spark, path, schema, touched).join(keys.select(*columns).distinct(), columns, "left_anti")
+    names = [*schema.fieldNames(), "bucket"]
+    new = rows.withColumn("bucket", key_bucket(columns, buckets)).select(*names)
+    marks = spark.createDataFrame([(b,) for b in touched], "bucket int").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields], "bucket")
+    whole = kept.select(*names).unionByName(new).unionByName(marks).hint("rebalance", F.col("bucket"))
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+# --- clustered tables: what the declared indexes are for ------------------------------
+def store_clustered(
+    rows: DataFrame, path: str, by: tuple[str, ...] = ("repo_name", "processed_at"), key: str = "id", distinct: int | None = None, group_bytes: int | None = None
+) -> None:
+    """Write a table range-sorted by `by`, with Bloom filters on the key. Filters
+    on the sorted columns skip files and row groups by their least and greatest
+    values, lookups by key skip those whose filter rules it out. `distinct`: keys
+    expected in a row group; `group_bytes`: its size."""
+    options = {f"parquet.bloom.filter.enabled#{key}": "true"}
+    if distinct:
+        options[f"parquet.bloom.filter.expected.ndv#{key}"] = str(distinct)
+    if group_bytes:
+        options |= {"parquet.block.size": str(group_bytes), "parquet.page.row.count.limit": "1000", "parquet.block.size.row.check.min": "100"}
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").options(**options).parquet(path)

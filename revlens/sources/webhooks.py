@@ -62,6 +62,19 @@ def read_pr_events(spark: SparkSession, path: str, streaming: bool = False, **op
     return parse_pr_events(raw, "raw")
 
 
+def run_webhook_stream(spark: SparkSession, path: str, root: str, files_per_batch: int | None = None) -> DataFrame:
+    """S1 as a file stream: take in all JSON-lines files that have arrived. Each
+    batch's flat events are written under its number, bad lines included with
+    their status, so a repeated batch writes the same rows again. Returns all
+    events so far."""
+    options = {"maxFilesPerTrigger": files_per_batch} if files_per_batch else {}
+    events = read_pr_events(spark, path, streaming=True, **options)
+    out = f"{root}/events"
+    writer = events.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"))
+    writer.option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(out)
+
+
 def encode_pr_event(action: Column, repo: Column, number: Column, title: Column, author: Column, ts: Column) -> Column:
     """Webhook JSON text for one event (used to turn event tables into payloads)."""
     owner = F.split(repo, "/")[0]

@@ -11,6 +11,7 @@ One micro-batch, step by step, each stored before the next one reads it:
 4. `suggestions` (F9, F10), and with them `outcomes`: scores, risk, summary, status
    Completed or Failed, and the packed findings and suggestions (S6).
 5. The analyses take the outcomes (S5); only the folders of their keys are touched.
+   With `metrics` the dashboard's numbers follow the same change (A7-A10).
 
 A batch that is repeated after a crash writes the same rows to the same places.
 """
@@ -33,7 +34,9 @@ from revlens.operators import replies as RP
 from revlens.operators import rules as R
 from revlens.operators import scoring as SC
 from revlens.sources import tables as TB
+from revlens.streaming.metrics import RunningMetrics
 
+METRIC_COLUMNS = ("quality_score", "risk_level")
 NEW_JOBS = "analysis_id string, repo_name string, pr_number int, pr_title string, ts timestamp"
 TASKS = ("summary", "issues")  # the tasks whose replies an analysis keeps
 DIFF_BUCKETS = 64  # fixed: folders of the static diff table
@@ -74,7 +77,9 @@ class Enrichment:
         diags: DataFrame | None = None,
         analyses: str | None = None,
         schema: T.StructType = S.ANALYSES,
+        metrics: RunningMetrics | None = None,
     ) -> None:
+        self.metrics = metrics
         self.spark, self.root, self.diffs, self.responder, self.diags = spark, root, diffs, responder, diags
         self.analyses, self.schema = analyses, schema
 
@@ -152,7 +157,22 @@ class Enrichment:
             done = self.spark.read.parquet(path)
             key = F.col("analysis_id").cast(self.schema["id"].dataType).alias("id")
             set_columns = ("status", "summary", "quality_score", "findings_json", "suggestions_json", "risk_level", "processed_at", "updated_at")
-            TB.update_touched(self.spark, self.analyses, self.schema, done.select(key, *set_columns))
+            changes = done.select(key, *set_columns)
+            if self.metrics is not None:
+                old = self.before(changes.select("id"), batch_id)
+                new = old.select("id", *[F.col(c).alias(f"old_{c}") for c in METRIC_COLUMNS]).join(changes, "id")
+                new = new.select(*[F.coalesce(c, f"old_{c}").alias(c) for c in METRIC_COLUMNS])
+                self.metrics.change(old.select(*METRIC_COLUMNS), new, batch_id)
+            TB.update_touched(self.spark, self.analyses, self.schema, changes)
+
+    def before(self, ids: DataFrame, batch_id: int) -> DataFrame:
+        """The analyses as they were before the batch, stored once."""
+        path, mark = f"{self.root}/before/batch={batch_id}", f"{self.root}/noted/batch={batch_id}"
+        if not exists(self.spark, mark):
+            rows = TB.read_keyed(self.spark, self.analyses, self.schema, TB.touched_buckets(ids))
+            rows.select("id", *METRIC_COLUMNS).join(ids, "id", "left_semi").write.mode("overwrite").parquet(path)
+            self.spark.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(mark)
+        return self.spark.read.parquet(path)
 
 
 def run_enrich_stream(
@@ -164,6 +184,7 @@ def run_enrich_stream(
     diags: DataFrame | None = None,
     analyses: str | None = None,
     schema: T.StructType = S.ANALYSES,
+    metrics: RunningMetrics | None = None,
 ) -> DataFrame:
     """K6: take in all new-job files that have arrived and return the outcomes so
     far, a row for every analysis and batch. `diffs` is a table of `store_diffs`,
@@ -171,6 +192,6 @@ def run_enrich_stream(
     batch are one job, the latest; jobs without an analysis id are left out."""
     from revlens.streaming.jobs import run_available
 
-    step = Enrichment(spark, root, diffs, responder, diags, analyses, schema)
+    step = Enrichment(spark, root, diffs, responder, diags, analyses, schema, metrics)
     run_available(spark, source, NEW_JOBS, root, lambda b, i: step(b.where("analysis_id is not null"), i))
     return spark.read.parquet(f"{root}/outcomes").drop("batch")

@@ -1,15 +1,7 @@
 """Structured Streaming: feeding and running file streams, and K1.
 
 * K1 `run_state_stream`: webhook event files -> analysis state table.
-* K2-K5, S7 are in `lifecycle`, K6 is in `enrich`.
-
-K1 keeps a state table in two slots. Micro-batch b reads slot (b - 1) mod
-2 and overwrites slot b mod 2, so a retried batch starts from the same state and
-writes the same rows again, the lineage is cut in every batch, and the folders
-do not grow. The number of cores or partitions has no part in it: a restart on
-another cluster goes on from the stored slot. A batch costs one pass over the
-state, so the trigger interval is to be chosen by the state's size. Every batch
-also logs one row of counts (`batches`), which names the current slot.
+* K2-K5, S7 are in `lifecycle`, K6 is in `enrich`, A7-A10 as a total in `metrics`.
 
 All folders live under the session's `spark.checkpoint.dir` (shared storage on a
 cluster), never in a machine-local temp folder.
@@ -27,10 +19,12 @@ from pyspark.sql import types as T
 from revlens import schemas as S
 from revlens.operators import state as ST
 from revlens.session import scratch_path
-from revlens.streaming.enrich import run_enrich_stream, store_diffs
+from revlens.sources import tables as TB
+from revlens.streaming.enrich import METRIC_COLUMNS, exists, run_enrich_stream, store_diffs
 from revlens.streaming.lifecycle import run_job_stream
+from revlens.streaming.metrics import RunningMetrics
 
-__all__ = ["batch_log", "feed", "run_available", "run_enrich_stream", "run_job_stream", "run_state_stream", "run_stateful", "scratch", "store_diffs"]
+__all__ = ["batch_log", "feed", "run_available", "run_enrich_stream", "run_job_stream", "run_state_stream", "scratch", "store_diffs"]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -62,32 +56,6 @@ def run_available(spark: SparkSession, source: str, schema: T.StructType | str,
     writer.option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def run_stateful(
-    spark: SparkSession,
-    source: str,
-    schema: T.StructType | str,
-    root: str,
-    state_schema: T.StructType,
-    step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
-    files_per_batch: int | None = None,
-) -> DataFrame:
-    """`step(state, batch)` gives the next state and one row of counts to be
-    logged. Returns the state after the last batch."""
-    slot = lambda b: f"{root}/state/slot={b % 2}"
-    stored = lambda b: spark.read.schema(state_schema).parquet(slot(b))
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        state = stored(batch_id - 1) if batch_id else spark.createDataFrame([], state_schema)
-        new, counts = step(state, batch)
-        new.select(*state_schema.fieldNames()).write.mode("overwrite").parquet(slot(batch_id))
-        logged = counts.select(F.lit(batch_id).cast("long").alias("batch_id"), *counts.columns)
-        logged.coalesce(1).write.mode("overwrite").parquet(f"{root}/batches/batch={batch_id}")
-
-    run_available(spark, source, schema, root, apply, files_per_batch)
-    last = batch_log(spark, root).agg(F.max("batch_id")).first()[0]
-    return spark.createDataFrame([], state_schema) if last is None else stored(last)
-
-
 def batch_log(spark: SparkSession, root: str) -> DataFrame:
     """One row of counts per micro-batch so far; empty before the first."""
     try:
@@ -106,25 +74,79 @@ RAW_EVENT = T.StructType(
         T.StructField("raw", T.StringType()),
     ]
 )
+EVENTS = "seq long, ts timestamp, action string, repo_name string, pr_number int, pr_title string, pr_author string"
 
 
-def run_state_stream(spark: SparkSession, source: str, root: str, files_per_batch: int | None = None) -> DataFrame:
-    """K1: take in all webhook files that have arrived and return the analysis
-    table. Source rows are (seq, ts, raw webhook JSON); each micro-batch is
-    parsed (S1) and applied in seq order (J3, J4). Malformed and rejected
-    payloads, and those without a repository or PR number, are left out and
-    counted in the batch log (T21)."""
-    from revlens.sources.webhooks import MALFORMED, OK, REJECTED, parse_pr_events
-
-    def step(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        parsed = parse_pr_events(batch, "raw")
+class StateStep:
+    """K1 for one micro-batch, step by step, each stored before the next one:
+
+    1. the parsed events (S1), and one row of counts: all, malformed, rejected and
+       those without a repository or PR number, which are left out (T21);
+    2. the old and the new rows of the events' keys (J3, J4), under the batch's
+       number, with a mark that is written after them;
+    3. the table takes the new rows, in the folders of the keys only;
+    4. the dashboard's numbers take the old rows out and the new ones in.
+
+    A batch that is repeated after a crash finds the mark of step 2 and goes on
+    with the same rows, so no step is applied twice."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root, self.table = spark, root, f"{root}/analyses"
+        self.metrics = RunningMetrics(spark, root)
+
+    def events(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        from revlens.sources.webhooks import MALFORMED, OK, REJECTED, parse_pr_events
+
+        path = f"{self.root}/events/slot={batch_id % 2}"
+        parse_pr_events(batch, "raw").write.mode("overwrite").parquet(path)
+        parsed = self.spark.read.schema(f"parse_status string, {EVENTS}").parquet(path)
         status, targeted = F.col("parse_status"), (F.col("repo_name") != "") & (F.col("pr_number") != 0)
         counts = parsed.agg(
+            F.lit(batch_id).cast("long").alias("batch_id"),
             F.count("*").alias("events"),
             F.count_if(status == MALFORMED).alias("malformed"),
             F.count_if(status == REJECTED).alias("rejected"),
             F.count_if((status == OK) & ~targeted).alias("without_target"),
         )
-        return ST.apply_batch(state, parsed.filter((status == OK) & targeted)), counts
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/batches/batch={batch_id}")
+        return parsed.where((status == OK) & targeted).drop("parse_status")
+
+    def changes(self, events: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Keys, old rows and new rows of the batch, worked out once."""
+        path, mark = f"{self.root}/changes/batch={batch_id}", f"{self.root}/changed/batch={batch_id}"
+        if not exists(self.spark, mark):
+            events.select(*ST.KEY).distinct().write.mode("overwrite").parquet(f"{path}/keys")
+            keys = self.spark.read.parquet(f"{path}/keys")
+            touched = TB.touched_buckets(keys, ST.KEY)
+            old = self.stored(touched).join(keys, ST.KEY, "left_semi")
+            old.write.mode("overwrite").parquet(f"{path}/old")
+            old = self.spark.read.schema(S.ANALYSES).parquet(f"{path}/old")
+            ST.apply_batch(old, events).write.mode("overwrite").parquet(f"{path}/new")
+            self.spark.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(mark)
+        keys = self.spark.read.parquet(f"{path}/keys")
+        return keys, *(self.spark.read.schema(S.ANALYSES).parquet(f"{path}/{p}") for p in ("old", "new"))
+
+    def stored(self, touched: list[int] | None = None) -> DataFrame:
+        """The table, or some of its folders; empty before the first batch."""
+        try:
+            return TB.read_keyed(self.spark, self.table, S.ANALYSES, touched).drop("bucket")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            TB.store_keyed(self.spark.createDataFrame([], S.ANALYSES), self.table, ST.KEY)
+            return self.spark.createDataFrame([], S.ANALYSES)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        keys, old, new = self.changes(self.events(batch, batch_id), batch_id)
+        TB.replace_keys(self.spark, self.table, S.ANALYSES, keys, new, ST.KEY)
+        self.metrics.change(old.select(*METRIC_COLUMNS), new.select(*METRIC_COLUMNS), batch_id)
 
-    return run_stateful(spark, source, RAW_EVENT, root, S.ANALYSES, step, files_per_batch)
+
+def run_state_stream(spark: SparkSession, source: str, root: str, files_per_batch: int | None = None) -> DataFrame:
+    """K1: take in all webhook files that have arrived and return the analysis
+    table. Source rows are (seq, ts, raw webhook JSON); the events of a batch are
+    applied in seq order, batches in the order of arrival. `StateStep` says what
+    a batch does; the table lies under `analyses`, A7's numbers under `metrics`."""
+    step = StateStep(spark, root)
+    run_available(spark, source, RAW_EVENT, root, step, files_per_batch)
+    return step.stored()

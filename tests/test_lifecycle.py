@@ -12,11 +12,13 @@ from revlens import schemas as S
 from revlens.operators import queue as Q
 from revlens.operators import rules as R
 from revlens.operators import scoring as SC
+from revlens.operators import serving as SV
 from revlens.operators import state as ST
 from revlens.sources import tables as TB
 from revlens.streaming import enrich as EN
 from revlens.streaming import jobs as SJ
 from revlens.streaming import lifecycle as LC
+from revlens.streaming.metrics import RunningMetrics
 
 T0 = datetime(2024, 1, 1)
 JOB = "job_id string, seq long, ts timestamp, kind string, message string"
@@ -197,3 +199,63 @@ def test_every_prompt_is_asked_once_and_outcomes_are_written_back(spark, tmp_pat
         assert rows[k]["quality_score"] == out[k]["quality_score"] == int(out[k]["finding_score"] * 0.6 + 90 * 0.4) and rows[k]["processed_at"] == T0
     assert (rows["2"]["status"], rows["2"]["summary"], rows["2"]["findings_json"], rows["2"]["quality_score"]) == (S.ST_FAILED, "", "[]", 0)
     assert len(rows) == 4
+
+
+# --- K1 with A7-A10 -----------------------------------------------------------------------
+def hooks(spark, *rows):
+    from revlens.sources.webhooks import encode_pr_event
+
+    ev = spark.createDataFrame([(s, T0 + timedelta(seconds=s), a, repo, 1, f"t{s}", "u") for s, a, repo in rows], "seq long, ts timestamp, action string, repo_name string, pr_number int, pr_title string, pr_author string")
+    raw = encode_pr_event(F.col("action"), F.col("repo_name"), F.col("pr_number"), F.col("pr_title"), F.col("pr_author"), F.col("ts"))
+    return ev.select("seq", "ts", raw.alias("raw"))
+
+
+def test_running_metrics_follow_every_batch_and_survive_crashes(spark, monkeypatch):
+    root = SJ.scratch(spark, "test-k1-metrics")
+    metrics = RunningMetrics(spark, root)
+    assert tuple(metrics.current().first()) == (0,) * 8
+
+    def batch(*rows):
+        deliver(hooks(spark, *rows), root)
+        return SJ.run_state_stream(spark, f"{root}/src", root)
+
+    def same(state):
+        assert metrics.current().collect() == SV.quality_metrics(state).collect()
+
+    same(batch((0, "opened", "o/a"), (1, "opened", "o/b"), (2, "opened", "o/c")))
+    step = SJ.StateStep(spark, root)
+    scored = [("o/a", 1, 95, 0), ("o/b", 1, 75, 2), ("o/c", 1, 20, 1)]  # by another stream
+    TB.update_touched(spark, step.table, S.ANALYSES, spark.createDataFrame(scored, "repo_name string, pr_number int, quality_score int, risk_level int"), ST.KEY)
+    metrics.start(step.stored())
+    metrics.change(step.stored().limit(0), step.stored().limit(0), 0)
+    same(step.stored())
+    same(batch((3, "closed", "o/b"), (4, "synchronize", "o/a"), (5, "opened", "o/d")))
+    for where in ("replace_keys", "change"):
+        real = getattr(TB, where) if where == "replace_keys" else SJ.RunningMetrics.change
+
+        def crash(*args, **more):
+            raise RuntimeError("crash")
+
+        target = TB if where == "replace_keys" else SJ.RunningMetrics
+        monkeypatch.setattr(target, where, crash)
+        seq = 10 if where == "replace_keys" else 20
+        with pytest.raises(Exception, match="crash"):
+            batch((seq, "closed", "o/a"), (seq + 1, "opened", "o/a"), (seq + 2, "opened", f"o/{where}"))
+        monkeypatch.setattr(target, where, real)
+        same(SJ.run_state_stream(spark, f"{root}/src", root))
+    want = ["o/a", "o/c", "o/change", "o/d", "o/replace_keys"]
+    assert sorted(r["repo_name"] for r in step.stored().collect()) == want
+    same(batch(*[(30 + i, "closed", r) for i, r in enumerate(want)]))
+    assert step.stored().count() == 0
+
+
+def test_a_batch_rewrites_the_folders_of_its_keys_only(spark):
+    root = SJ.scratch(spark, "test-k1-folders")
+    deliver(hooks(spark, *[(i, "opened", f"o/r{i}") for i in range(80)]), root)
+    SJ.run_state_stream(spark, f"{root}/src", root)
+    before = parquet_files(f"{root}/analyses")
+    deliver(hooks(spark, (100, "closed", "o/r3")), root)
+    assert SJ.run_state_stream(spark, f"{root}/src", root).count() == 79
+    after = parquet_files(f"{root}/analyses")
+    gone = {os.path.dirname(f) for f in before if f not in after}
+    assert len(gone) == 1

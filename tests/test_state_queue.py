@@ -162,3 +162,14 @@ def test_stored_json_names_in_any_case(spark):
     assert got == [[("a", 2, 3)], [], [("y", None, None)], [], [], [], []]
     tags = spark.createDataFrame([('[{"tags":["a"," "],"Priority":1}]',)], "j string").select(J.read_suggestions("j")[0]).first()[0]
     assert tags["Tags"] == ["a", " "] and tags["Priority"] == 1
+
+
+def test_stored_json_of_wrong_form_gives_nothing(spark):
+    from revlens.functions import jsonio as J
+
+    none = ['[{"Id":"a"} ] ]', '[{"Id":"a"}] x', '[{"Severity":"Error"}]', '[{"LineNumber":"7"}]', '[{"LineNumber":7.0}]', '[{"LineNumber":99999999999}]', '[{"Id":5}]', '[{"Id":{"x":1}}]',
+            '{"Id":"a"}', "[1]", '[[{"Id":"a"}]]', '[{"Id":"a"},]', "[NaN]", "null", '[{"Id":"a"}],"c":2', '[{"Id":"a"}],0],[1', "["]
+    some = {'[{"Message":"say \\"id\\": 5, \\"Id\\" : x","severity":2}]': [(None, 'say "id": 5, "Id" : x', 2)], '[{"id":"a","ID":"c","Other":5}]': [("c", None, None)], " [ ] ": []}
+    df = spark.createDataFrame([(t,) for t in [*none, *some]], "j string")
+    got = {r["j"]: [(f["Id"], f["Message"], f["Severity"]) for f in r[1]] for r in df.select("j", J.read_findings("j")).collect()}
+    assert got == {**dict.fromkeys(none, []), **some}
