@@ -12,7 +12,8 @@ before it kept; all but the last return the columns of documents.
 
 Defined results: repeated rows collapse in stage 2; null and empty texts are
 judged as empty texts by stage 1 and carry no words in stage 4, which leaves
-them out; extra columns pass through stages 1 to 4; an empty table gives no rows.
+them out; extra columns of any name pass through stages 1 to 4; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -57,8 +58,10 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, out: str | None = None) -> DataFrame:
+    """The rows of the packed corpus. Its id matrices are stored as Parquet under
+    `out`, or in a new folder of the shared scratch."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.split()[0]}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return packing.sequences(packing.write_packed(docs, path=out))
