@@ -14,7 +14,8 @@ Beside the templates, fixed base phrases are located in every text.
 
 Defined results: null and empty texts have no words, no places, empty label
 strings and score 0. Repeated rows are scanned row by row; extra columns are
-ignored. A phrase found at several places counts once for each.
+ignored; an empty table gives no rows. A phrase found at several places counts
+once for each; of positions with equal scores the first is the hit.
 """
 
 from __future__ import annotations

@@ -99,7 +99,7 @@ def moment(cfg: Config) -> Column:
 
 
 def mix(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every document row."""
+    """doc_id, size, source_size, target, taken and source of every document row."""
     sizes = materialize(
         documents.select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -126,7 +126,7 @@ def mix(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
             rest.withColumn("words", F.when(F.col("moment") < end["moment"], F.col("size")).otherwise(0))
         )
     row = ["source", "slot", "nth", "doc_id", "size", "source_size", "target"]
-    return taken.groupBy(*row).agg(F.sum("words").alias("taken")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return taken.groupBy(*row).agg(F.sum("words").alias("taken")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def mixed(documents: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -181,5 +181,5 @@ WITH sizes AS (
 ), taken AS (
   SELECT id, sum(CASE WHEN upto <= (SELECT sum(size) FROM sizes) * 1.5e0 THEN size ELSE 0 END) AS taken FROM served GROUP BY id
 )
-SELECT doc_id, source, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM docs LEFT JOIN taken USING (id)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, source FROM docs LEFT JOIN taken USING (id)
 """

@@ -17,7 +17,9 @@ A block row holds up to `Config.block_rows` sequences:
 Every document ends with the end token, so an empty or null text is one token.
 
 Defined results: null doc_ids stay null; repeated rows are packed row by row;
-extra columns are ignored; an empty table gives no blocks.
+pieces of equal length go in the order in which they were read, and of bins with
+equal room the one filled last takes the piece; extra columns are ignored; an
+empty table gives no blocks.
 """
 
 from __future__ import annotations

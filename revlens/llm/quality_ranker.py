@@ -12,7 +12,9 @@ sample is bounded (`rows_per_class`, `pairs`); the quantile uses all rows.
 
 Defined results: null and empty texts have the features of an empty text and
 score like one; rows without doc_id count as held out; without labelled rows
-of both classes every score is 1. Ties in strength get equal scores.
+of both classes every score is 1. Ties in strength get equal scores. Repeated
+rows get a result each and count each in the quantile; extra columns are ignored
+by `classify` and pass through `accepted`; an empty table gives no rows.
 """
 
 from __future__ import annotations

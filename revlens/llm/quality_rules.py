@@ -10,8 +10,10 @@ fixed threshold `Config.keep_at`.
 
 Defined results: a null text counts as empty; a text without words has all
 counts 0 and `base_failed` true; without labelled rows of both classes the
-probability is 1 for all (only the base rules then decide). Repeated rows are
-scored row by row; extra columns are ignored.
+probability is 1 for all (only the base rules then decide). A document with
+labels of both kinds is learned from under each; a null doc_id is scored but
+never learned from. Repeated rows are scored row by row; very long texts are
+read whole; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,12 +34,12 @@ SYMBOLS = "#*$%&|<>"
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, base_failed boolean, probability double, kept boolean"
+    "n_repeat_words long, base_failed boolean, kept boolean, probability double"
 )
 _ARROW = pa.schema(
     [("doc_id", pa.int64())]
     + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    + [("base_failed", pa.bool_()), ("probability", pa.float64()), ("kept", pa.bool_())]
+    + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("probability", pa.float64())]
 )
 
 
@@ -255,7 +257,7 @@ def quality_rules(documents: DataFrame, model: Model | None, cfg: Config = Confi
                 if fitted is not None:
                     logit = fitted.bias + sum(float(fitted.weights[x].mean(dtype=np.float64)) for x in buckets(ids, distinct, cps, cfg.bits))
                     p = float(_sigmoid(np.float64(fitted.slope * logit + fitted.offset)))
-                out.append((*counts, failed, p, not failed and p >= cfg.keep_at))
+                out.append((*counts, failed, not failed and p >= cfg.keep_at, p))
             columns = list(zip(*out)) or [()] * 8
             yield record_batch(dict(zip(_ARROW.names, [batch.column("doc_id"), *map(list, columns)])), _ARROW)
 

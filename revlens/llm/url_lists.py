@@ -80,7 +80,7 @@ def judge(captures: DataFrame, entries: DataFrame, lists: Sequence[str] = LISTS)
 
 def dated_captures(pages: DataFrame) -> DataFrame:
     """The pages table has no fetch time: a day of 2024 follows from page_id."""
-    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.pmod(F.col("page_id"), F.lit(366)) * 37, F.lit(366)).cast("int"))
     return pages.select("page_id", "url", day.alias("day"))
 
 
@@ -113,7 +113,7 @@ def dated_entries(pages: DataFrame) -> DataFrame:
 #: The same in DuckDB's SQL.
 JUDGE_SQL = r"""
 WITH own AS (
-  SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS DATE) AS day,
+  SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id % 366 * 37 % 366 AS INTEGER) AS DATE) AS day,
          regexp_replace(regexp_replace(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://([^/?#\\]*)', 1), '^.*@', ''),
                         '\.?(:[0-9]*)?$', '') AS host
   FROM pages

@@ -18,7 +18,8 @@ Defined results: a null html is an empty payload; a null url is left out of the
 record; line breaks in a url are written percent-encoded; repeated rows are a
 record each (rows that share the largest page_id are all responses); a null
 page_id is smaller than any other and, if it is a group's only one, all its
-rows are responses; extra columns are ignored; empty tables give an empty index.
+rows are responses; a very long html is one record, held whole while it is
+written or read; extra columns are ignored; empty tables give an empty index.
 """
 
 from __future__ import annotations

@@ -150,3 +150,9 @@ def test_no_entries_or_captures(spark):
     c = spark.createDataFrame([(1, "http://a.b/")], "page_id long, url string").withColumn("day", F.lit(DAY))
     assert [r.blocked for r in url_lists.judge(c, e).collect()] == [False]
     assert url_lists.judge(c.limit(0), e).count() == 0
+
+
+def test_captures_of_large_page_ids(spark):
+    ids = [0, 1, 366, 2**62, 2**63 - 1, -(2**63), None]
+    got = {r.page_id: r.day for r in url_lists.dated_captures(spark.createDataFrame([(i, "http://a.b/") for i in ids], "page_id long, url string")).collect()}
+    assert got == {i: None if i is None else dt.date(2024, 1, 1) + dt.timedelta(days=i * 37 % 366) for i in ids}

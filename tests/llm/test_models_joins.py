@@ -280,5 +280,6 @@ def test_pipeline_keeps_and_drops(spark, tmp_path):
     assert len(sizes[0] & {i for i, q in truth.items() if not q}) <= 0.05 * len(truth)
     assert sizes[0] - sizes[1] == {1000} and sizes[1] - sizes[2] == {1001}
     assert len(corpus_pipeline.STAGES) == 5
-    rows = corpus_pipeline.run(spark, d).collect()
+    rows = corpus_pipeline.run(spark, d, f"{d}/corpus").collect()
     assert {x for r in rows for x in r.doc_ids} == sizes[3]
+    assert spark.read.parquet(f"{d}/corpus").agg(F.sum("n_seqs")).first()[0] == len(rows)  # the id matrices
