@@ -81,7 +81,7 @@ def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 # --- keyed tables: S5 in place ------------------------------------------------------
-BUCKETS = 64
+BUCKETS = 16  # by default; a large table needs as many as it has gigabytes
 
 
 def key_bucket(keys: str | list[str], buckets: int = BUCKETS) -> Column:

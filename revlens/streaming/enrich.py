@@ -39,7 +39,7 @@ from revlens.streaming.metrics import RunningMetrics
 METRIC_COLUMNS = ("quality_score", "risk_level")
 NEW_JOBS = "analysis_id string, repo_name string, pr_number int, pr_title string, ts timestamp"
 TASKS = ("summary", "issues")  # the tasks whose replies an analysis keeps
-DIFF_BUCKETS = 64  # fixed: folders of the static diff table
+DIFF_BUCKETS = 16  # fixed: folders of the static diff table
 
 
 def diff_bucket() -> Column:
@@ -78,8 +78,9 @@ class Enrichment:
         analyses: str | None = None,
         schema: T.StructType = S.ANALYSES,
         metrics: RunningMetrics | None = None,
+        buckets: int = TB.BUCKETS,
     ) -> None:
-        self.metrics = metrics
+        self.metrics, self.buckets = metrics, buckets
         self.spark, self.root, self.diffs, self.responder, self.diags = spark, root, diffs, responder, diags
         self.analyses, self.schema = analyses, schema
 
@@ -104,7 +105,7 @@ class Enrichment:
         if self.analyses is None:
             return jobs.withColumnRenamed("error", "failure").drop("bucket")
         key = self.schema["id"].dataType
-        touched = TB.touched_buckets(jobs.select(F.col("analysis_id").cast(key).alias("id")))
+        touched = TB.touched_buckets(jobs.select(F.col("analysis_id").cast(key).alias("id")), buckets=self.buckets)
         known = TB.read_keyed(self.spark, self.analyses, self.schema, touched).select(F.col("id").cast("string").alias("analysis_id"), F.lit(True).alias("known"))
         failure = F.when(F.col("known").isNull(), F.lit(Q.ORPHAN_MESSAGE)).otherwise(F.col("error"))
         return jobs.join(known, "analysis_id", "left").withColumn("failure", failure).drop("known", "error", "bucket")
@@ -163,13 +164,13 @@ class Enrichment:
                 new = old.select("id", *[F.col(c).alias(f"old_{c}") for c in METRIC_COLUMNS]).join(changes, "id")
                 new = new.select(*[F.coalesce(c, f"old_{c}").alias(c) for c in METRIC_COLUMNS])
                 self.metrics.change(old.select(*METRIC_COLUMNS), new, batch_id)
-            TB.update_touched(self.spark, self.analyses, self.schema, changes)
+            TB.update_touched(self.spark, self.analyses, self.schema, changes, buckets=self.buckets)
 
     def before(self, ids: DataFrame, batch_id: int) -> DataFrame:
         """The analyses as they were before the batch, stored once."""
         path, mark = f"{self.root}/before/batch={batch_id}", f"{self.root}/noted/batch={batch_id}"
         if not exists(self.spark, mark):
-            rows = TB.read_keyed(self.spark, self.analyses, self.schema, TB.touched_buckets(ids))
+            rows = TB.read_keyed(self.spark, self.analyses, self.schema, TB.touched_buckets(ids, buckets=self.buckets))
             rows.select("id", *METRIC_COLUMNS).join(ids, "id", "left_semi").write.mode("overwrite").parquet(path)
             self.spark.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(mark)
         return self.spark.read.parquet(path)
@@ -185,6 +186,7 @@ def run_enrich_stream(
     analyses: str | None = None,
     schema: T.StructType = S.ANALYSES,
     metrics: RunningMetrics | None = None,
+    buckets: int = TB.BUCKETS,
 ) -> DataFrame:
     """K6: take in all new-job files that have arrived and return the outcomes so
     far, a row for every analysis and batch. `diffs` is a table of `store_diffs`,
@@ -192,6 +194,6 @@ def run_enrich_stream(
     batch are one job, the latest; jobs without an analysis id are left out."""
     from revlens.streaming.jobs import run_available
 
-    step = Enrichment(spark, root, diffs, responder, diags, analyses, schema, metrics)
+    step = Enrichment(spark, root, diffs, responder, diags, analyses, schema, metrics, buckets)
     run_available(spark, source, NEW_JOBS, root, lambda b, i: step(b.where("analysis_id is not null"), i))
     return spark.read.parquet(f"{root}/outcomes").drop("batch")

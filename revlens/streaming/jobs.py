@@ -90,8 +90,8 @@ class StateStep:
     A batch that is repeated after a crash finds the mark of step 2 and goes on
     with the same rows, so no step is applied twice."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root, self.table = spark, root, f"{root}/analyses"
+    def __init__(self, spark: SparkSession, root: str, buckets: int = TB.BUCKETS) -> None:
+        self.spark, self.root, self.table, self.buckets = spark, root, f"{root}/analyses", buckets
         self.metrics = RunningMetrics(spark, root)
 
     def events(self, batch: DataFrame, batch_id: int) -> DataFrame:
@@ -117,7 +117,7 @@ class StateStep:
         if not exists(self.spark, mark):
             events.select(*ST.KEY).distinct().write.mode("overwrite").parquet(f"{path}/keys")
             keys = self.spark.read.parquet(f"{path}/keys")
-            touched = TB.touched_buckets(keys, ST.KEY)
+            touched = TB.touched_buckets(keys, ST.KEY, self.buckets)
             old = self.stored(touched).join(keys, ST.KEY, "left_semi")
             old.write.mode("overwrite").parquet(f"{path}/old")
             old = self.spark.read.schema(S.ANALYSES).parquet(f"{path}/old")
@@ -133,20 +133,20 @@ class StateStep:
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            TB.store_keyed(self.spark.createDataFrame([], S.ANALYSES), self.table, ST.KEY)
+            TB.store_keyed(self.spark.createDataFrame([], S.ANALYSES), self.table, ST.KEY, self.buckets)
             return self.spark.createDataFrame([], S.ANALYSES)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         keys, old, new = self.changes(self.events(batch, batch_id), batch_id)
-        TB.replace_keys(self.spark, self.table, S.ANALYSES, keys, new, ST.KEY)
+        TB.replace_keys(self.spark, self.table, S.ANALYSES, keys, new, ST.KEY, self.buckets)
         self.metrics.change(old.select(*METRIC_COLUMNS), new.select(*METRIC_COLUMNS), batch_id)
 
 
-def run_state_stream(spark: SparkSession, source: str, root: str, files_per_batch: int | None = None) -> DataFrame:
+def run_state_stream(spark: SparkSession, source: str, root: str, files_per_batch: int | None = None, buckets: int = TB.BUCKETS) -> DataFrame:
     """K1: take in all webhook files that have arrived and return the analysis
     table. Source rows are (seq, ts, raw webhook JSON); the events of a batch are
     applied in seq order, batches in the order of arrival. `StateStep` says what
     a batch does; the table lies under `analyses`, A7's numbers under `metrics`."""
-    step = StateStep(spark, root)
+    step = StateStep(spark, root, buckets)
     run_available(spark, source, RAW_EVENT, root, step, files_per_batch)
     return step.stored()

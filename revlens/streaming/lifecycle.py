@@ -201,8 +201,8 @@ class StatusSinks:
     crash at any point the batch repeats itself and writes the same rows to the
     same places."""
 
-    def __init__(self, spark: SparkSession, root: str, analyses: str, schema: T.StructType, analysis_id: Column) -> None:
-        self.spark, self.root, self.analyses, self.schema, self.analysis_id = spark, root, analyses, schema, analysis_id
+    def __init__(self, spark: SparkSession, root: str, analyses: str, schema: T.StructType, analysis_id: Column, buckets: int = TB.BUCKETS) -> None:
+        self.spark, self.root, self.analyses, self.schema, self.analysis_id, self.buckets = spark, root, analyses, schema, analysis_id, buckets
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         path = f"{self.root}/status/batch={batch_id}"
@@ -217,12 +217,12 @@ class StatusSinks:
             F.max(F.struct("seq", "analysis_status", "ts")).alias("last")
         )
         changes = latest.select("id", F.col("last.analysis_status").alias("status"), F.col("last.ts").alias("updated_at"))
-        TB.update_touched(self.spark, self.analyses, self.schema, changes)
+        TB.update_touched(self.spark, self.analyses, self.schema, changes, buckets=self.buckets)
 
     def write_hub(self, events: DataFrame, batch_id: int) -> None:
         """Hub events of the analyses that exist."""
         key = self.schema["id"].dataType
-        touched = TB.touched_buckets(events.select(F.col("analysis_id").cast(key).alias("id")))
+        touched = TB.touched_buckets(events.select(F.col("analysis_id").cast(key).alias("id")), buckets=self.buckets)
         known = TB.read_keyed(self.spark, self.analyses, self.schema, touched).select(F.col("id").cast("string").alias("analysis_id"))
         hub = events.where("hub_event is not null").join(known, "analysis_id", "left_semi")
         nothing = [F.lit(None).cast(t).alias(c) for c, t in (("repo_name", "string"), ("pr_number", "int"), ("title", "string"), ("author", "string"))]
