@@ -18,8 +18,11 @@ best-scoring first, until one passes: at least `Config.min_overlap` of the word
 answer (the last quarter, with the two words before it) must occur there. Words
 are alphanumeric runs in lower case.
 
-The index is broadcast in groups of at most `Config.group_chunks` chunks, which
-bounds its size; a larger benchmark takes more passes over the documents.
+The index lies in the shared folder, in groups of about `Config.group_chunks`
+chunks. The documents are read once; a worker holds one group's index at a time
+and takes a batch of texts through all groups, so memory does not grow with the
+benchmark (an item's own words stay together for the verification). A word's
+maxima are stored for the blocks it occurs in only.
 
 Defined results: null or empty texts and items give no pair; items that repeat
 give a pair each; a repeated document row gives one pair per (doc_id, item_id),
@@ -29,16 +32,19 @@ benchmark gives an empty result. `clean` judges every row by itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm.common import alnum_words
+from revlens.session import materialize, scratch_path
 
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long"
 
@@ -58,11 +64,20 @@ class Config:
 @dataclass(frozen=True)
 class Index:
     terms: dict[bytes, int]
-    block_max: np.ndarray  # terms + 1 x blocks; the last row, for unknown words, is 0
-    coarse_max: np.ndarray  # the maximum over runs of blocks, 16 runs at most
+    starts: np.ndarray  # of each term's run in the next two arrays
+    blocks: np.ndarray
+    maxima: np.ndarray  # the term's maximal impact in that block
+    coarse_max: np.ndarray  # terms + 1 x runs of blocks, 16 runs at most; the last row, for unknown words, is 0
+    block_max: list[dict[int, float]]  # the maxima by block and term
     postings: list[dict[int, tuple[list[int], list[float]]]]  # by block and term: chunk numbers, impacts
     items: list[str]  # item key by chunk
     texts: dict[str, list[bytes]]  # words by item key
+    item_ids: dict[str, int | None]  # by item key
+
+    def reach(self, query: np.ndarray) -> np.ndarray:
+        """For every block the sum of the terms' maxima."""
+        at = np.concatenate([np.arange(self.starts[t], self.starts[t + 1]) for t in query])
+        return np.bincount(self.blocks[at], self.maxima[at], len(self.block_max))
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -99,7 +114,7 @@ def chunk_postings(benchmark: DataFrame, cfg: Config) -> DataFrame:
     return impact.join(own, ["key", "chunk"]).select("key", "chunk", "word", "len", (F.col("impact") / F.col("own")).alias("impact"))
 
 
-def build_index(rows: list[tuple], items: dict[str, tuple[int, list[bytes]]], cfg: Config) -> Index:
+def build_index(rows: list[tuple], items: dict[str, tuple[int | None, list[bytes]]], cfg: Config) -> Index:
     """rows: (key, chunk, word, length, impact). Chunks are numbered by rising
     length, so that a block's chunks have impacts of a like size."""
     numbers = {c: i for i, c in enumerate(sorted({(r[3], r[0], r[1]) for r in rows}))}
@@ -109,21 +124,28 @@ def build_index(rows: list[tuple], items: dict[str, tuple[int, list[bytes]]], cf
     for key, chunk, word, length, impact in rows:
         t, c = terms.setdefault(word, len(terms)), numbers[length, key, chunk]
         grouped[c // cfg.block].setdefault(t, []).append((c, impact))
-    block_max = np.zeros((len(terms) + 1, n_blocks), np.float32)
-    postings = []
+    runs = np.unique(np.linspace(0, n_blocks - 1, 16).astype(int))
+    coarse = np.zeros((len(terms) + 1, len(runs)), np.float32)
+    postings, block_max, own = [], [], []
     for b, by_term in enumerate(grouped):
-        held = {}
+        held, top = {}, {}
+        run = int(np.searchsorted(runs, b, side="right")) - 1
         for t, posts in by_term.items():
             posts.sort()
             held[t] = ([c for c, _ in posts], [x for _, x in posts])
-            block_max[t, b] = np.nextafter(np.float32(max(held[t][1])), np.float32(2))
+            top[t] = float(np.nextafter(np.float32(max(held[t][1])), np.float32(2)))
+            coarse[t, run] = max(coarse[t, run], top[t])
+            own.append((t, b, top[t]))
         postings.append(held)
-    coarse = np.maximum.reduceat(block_max, np.unique(np.linspace(0, n_blocks - 1, 16).astype(int)), axis=1)
+        block_max.append(top)
+    own.sort()
+    starts = np.searchsorted([t for t, _, _ in own], np.arange(len(terms) + 2))
     keys = [key for _, key, _ in numbers]
-    return Index(terms, block_max, coarse, postings, keys, {k: items[k][1] for k in set(keys)})
+    blocks, maxima = np.array([b for _, b, _ in own], np.int64), np.array([x for _, _, x in own], np.float32)
+    return Index(terms, starts, blocks, maxima, coarse, block_max, postings, keys, {k: items[k][1] for k in set(keys)}, {k: items[k][0] for k in set(keys)})
 
 
-def wand(terms: list[int], postings: dict, maxima: np.ndarray, least: float) -> list[tuple[int, float]]:
+def wand(terms: list[int], postings: dict, maxima: Mapping[int, float] | np.ndarray, least: float) -> list[tuple[int, float]]:
     """Chunks of one block whose impacts over the query's distinct terms sum to
     `least` or more. Lists are kept by current chunk; the pivot is the first
     list at which the maxima so far can reach the threshold."""
@@ -206,9 +228,8 @@ def match_text(text: str | None, index: Index, cfg: Config) -> dict[str, tuple[f
     retrieved: dict[str, dict[int, float]] = {}  # score by item key and start
     for window, query in passages(places // cfg.chunk, ids[places], unknown, index, cfg):
         start = window * cfg.chunk
-        reach = index.block_max[query].sum(axis=0)
-        for b in np.flatnonzero(reach >= cfg.min_score):
-            for chunk, score in wand(query.tolist(), index.postings[b], index.block_max[:, b], cfg.min_score - 1e-9):
+        for b in np.flatnonzero(index.reach(query) >= cfg.min_score):
+            for chunk, score in wand(query.tolist(), index.postings[b], index.block_max[b], cfg.min_score - 1e-9):
                 at = retrieved.setdefault(index.items[chunk], {})
                 at[start] = max(score, at.get(start, 0.0))
     found = {}
@@ -222,59 +243,94 @@ def match_text(text: str | None, index: Index, cfg: Config) -> dict[str, tuple[f
     return found
 
 
-def indexes(benchmark: DataFrame, cfg: Config) -> Iterator[tuple[Index, dict[str, int]]]:
-    """Bounded indexes that cover the whole benchmark, one at a time, and the
-    items' ids by key. Items are dealt to groups by hash."""
+def indexes(benchmark: DataFrame, cfg: Config) -> Iterator[Index]:
+    """Bounded indexes that cover the whole benchmark, one at a time. Items are
+    dealt to groups by hash."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") > 0)
     items = items.withColumn("key", F.md5(F.concat_ws("\x1f", F.col("item_id").cast("string"), "text")))
     items = items.groupBy("key").agg(F.min("item_id").alias("item_id"), F.min("text").alias("text"))
     chunks = items.agg(F.sum(F.ceil(F.regexp_count("text", F.lit(r"\S+")) * 2 / cfg.chunk) + 1).alias("n")).first()["n"] or 0
     groups = -(-int(chunks) // cfg.group_chunks)
     posts = chunk_postings(items, cfg) if groups else None
+    if groups > 1:  # each group reads them
+        items, posts = materialize(items, "items"), materialize(posts, "postings")
     for g in range(groups):
         mine = F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(groups)) == g
         held = {r["key"]: (r["item_id"], item_words(r["text"])) for r in items.where(mine).collect()}
         rows = [(r["key"], r["chunk"], bytes(r["word"]), r["len"], r["impact"]) for r in posts.where(mine).collect()]
         if rows:
-            yield build_index(rows, held, cfg), {k: v[0] for k, v in held.items()}
+            yield build_index(rows, held, cfg)
+
+
+@dataclass(frozen=True)
+class Stored:
+    """The indexes of a benchmark in the shared folder."""
+
+    folder: str
+    groups: int
+
+    def __iter__(self) -> Iterator[Index]:
+        return (_load(self.folder, g) for g in range(self.groups))
+
+
+def store(benchmark: DataFrame, cfg: Config) -> Stored:
+    """Writes the indexes one after the other; the driver holds one of them."""
+    from pyarrow.fs import FileSystem
+
+    folder, n = scratch_path(benchmark.sparkSession, "benchmark-index"), 0
+    fs, base = FileSystem.from_uri(folder)
+    fs.create_dir(base)
+    for n, index in enumerate(indexes(benchmark, cfg), 1):
+        with fs.open_output_stream(f"{base}/{n - 1}") as out:
+            pickle.dump(index, out, pickle.HIGHEST_PROTOCOL)
+    return Stored(folder, n)
+
+
+@lru_cache(1)
+def _load(folder: str, group: int) -> Index:
+    from pyarrow.fs import FileSystem
+
+    fs, base = FileSystem.from_uri(folder)
+    with fs.open_input_stream(f"{base}/{group}") as f:
+        return pickle.loads(f.read())
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, cfg: Config = Config()) -> DataFrame:
     """One row for each document and test item that it holds."""
-    spark = documents.sparkSession
-    parts = []
-    for index, ids in indexes(benchmark, cfg):
-        shared = spark.sparkContext.broadcast((index, ids))  # group_chunks bounds it
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, item_ids = shared.value
-            for batch in batches:
-                rows = [
-                    (doc_id, item_ids[key], *hit)
-                    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
-                    for key, hit in match_text(text, own, cfg).items()
-                ]
-                columns = list(zip(*rows)) or [()] * 6
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in SCHEMA.split(", ")])
-
-        parts.append(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, SCHEMA))
-    if not parts:
-        return spark.createDataFrame([], SCHEMA)
+    stored = store(benchmark, cfg)
+    if not stored.groups:
+        return documents.sparkSession.createDataFrame([], SCHEMA)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            rows = [
+                (doc_id, index.item_ids[key], *hit)
+                for index in stored
+                for doc_id, text in zip(ids, texts)
+                for key, hit in match_text(text, index, cfg).items()
+            ]
+            columns = list(zip(*rows)) or [()] * 6
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, SCHEMA)
     best = F.max_by(F.struct("score", "question_overlap", "answer_overlap", "passage_start"), F.struct("score", -F.col("passage_start"))).alias("b")
-    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, cfg: Config = Config()) -> DataFrame:
     """The documents without a verified test item, with all their columns. Each
     row is judged by its own text, in the pass that reads it; no shuffle."""
-    for index, _ in indexes(benchmark, cfg):
-        shared = documents.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def holds_none(texts, shared=shared):
-            own = shared.value
-            return texts.map(lambda t: not match_text(t, own, cfg))
-
-        documents = documents.where(holds_none(F.coalesce(F.col("text"), F.lit(""))))
-    return documents
+    stored = store(benchmark, cfg)
+    if not stored.groups:
+        return documents
+
+    @F.pandas_udf("boolean")
+    def holds_none(texts: pd.Series) -> pd.Series:
+        none = pd.Series(True, index=texts.index)
+        for index in stored:
+            none &= texts.map(lambda t: not match_text(t, index, cfg))  # noqa: B023 - used at once
+        return none
+
+    return documents.where(holds_none(F.coalesce(F.col("text"), F.lit(""))))

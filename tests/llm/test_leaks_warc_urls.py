@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 
+import pytest
 from llm_data import prose
 from pyspark.sql import functions as F
 
@@ -70,6 +71,65 @@ def test_wand_equals_full_scoring():
         assert got.keys() == {c for c, x in full.items() if x >= 1.5} and all(abs(got[c] - full[c]) < 1e-9 for c in got)
 
 
+def plain_leaks(docs, items, cfg):
+    """Every window of every text scored against every chunk by BM25, then verified."""
+    import math
+    from collections import defaultdict
+
+    chunks = [(i, c) for i, t in items for c in decontaminate.cut(decontaminate.item_words(t), cfg.chunk) if c]
+    mean = sum(len(c) for _, c in chunks) / len(chunks)
+    holders = defaultdict(int)
+    for _, c in chunks:
+        for w in set(c):
+            holders[w] += 1
+
+    def impact(w, c):
+        tf = c.count(w)
+        return math.log(1 + (len(chunks) - holders[w] + 0.5) / (holders[w] + 0.5)) * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * len(c) / mean))
+
+    weights = [(i, {w: impact(w, c) for w in set(c)}) for i, c in chunks]
+    own = [sum(w.values()) for _, w in weights]
+    words = {i: decontaminate.item_words(t) for i, t in items}
+    out = {}
+    for d, text in docs:
+        tokens = decontaminate.item_words(text)
+        for start in range(0, len(tokens), cfg.chunk):
+            here = set(tokens[start : start + 2 * cfg.chunk])
+            for (i, w), total in zip(weights, own, strict=True):
+                score = sum(x for k, x in w.items() if k in here) / total
+                if score >= cfg.min_score - 1e-9:
+                    item = words[i]
+                    q, a = decontaminate.overlaps(item, tokens[max(0, start - len(item)) : start + 2 * cfg.chunk + len(item)], cfg.gram)
+                    if q >= cfg.min_overlap and a >= cfg.min_overlap and score > out.get((d, i), (0,))[0] + 1e-9:
+                        out[d, i] = (score, q, a, start)
+    return out
+
+
+@pytest.mark.parametrize("cfg", [decontaminate.Config(), decontaminate.Config(chunk=8, min_score=0.5, block=3, group_chunks=20)])
+def test_leaks_equal_plain_bm25(spark, cfg):
+    import random
+
+    r = random.Random(4)
+    items = [(k, prose(600 + k, r.randint(3, 90))) for k in range(25)]
+    docs = []
+    for i in range(80):
+        body = prose(2500 + i, r.randint(5, 300)).split()
+        for _ in range(r.randint(0, 3)):
+            w = items[r.randrange(25)][1].split()
+            a = r.randrange(len(w))
+            part = [x if r.random() > 0.07 else "edit" for x in w[a // 4 :]]
+            at = r.randrange(len(body) + 1)
+            body[at:at] = part
+        docs.append((i, " ".join(body)))
+    want = plain_leaks(docs, items, cfg)
+    assert len(want) > 20
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), cfg)
+    got = {(x.doc_id, x.item_id): (x.score, x.question_overlap, x.answer_overlap, x.passage_start) for x in found.collect()}
+    assert got.keys() == want.keys(), ([(k, want[k]) for k in want.keys() - got.keys()][:4], [(k, got[k]) for k in got.keys() - want.keys()][:4], len(want), len(got))
+    for k, v in got.items():
+        assert abs(v[0] - want[k][0]) < 1e-6 and min(v[1:3]) >= cfg.min_overlap, k  # passages of equal score may differ
+
+
 def test_long_text_and_empty_benchmark(spark, documents, no_documents):
     items = spark.createDataFrame([(1, prose(700, 40))], "item_id long, text string")
     text = " ".join([prose(701, 80_000), prose(700, 40), prose(702, 80_000), prose(700, 40)])
@@ -105,8 +165,6 @@ def test_archives_hold_standard_records(spark, tmp_path):
 
 
 def test_damaged_record_is_noticed():
-    import pytest
-
     raw = warc.record_bytes(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None, warc.Config())
     assert warc.parse_record(raw)[:3] == (1, "u", 3)
     with pytest.raises(ValueError):
