@@ -142,11 +142,18 @@ def apply_batch(state: DataFrame, events: DataFrame) -> DataFrame:
     return j.filter(create | update_old | keep_old).select(*[value(c) for c in state.columns])
 
 
-def closed_report(events: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
+PRIOR_SEQ = -(1 << 62)  # a stored analysis comes before every event
+
+
+def closed_report(events: DataFrame, span: int = DEFAULT_SPAN, prior: DataFrame | None = None) -> DataFrame:
     """For every close event, whether an analysis existed (deleted) or not,
     and which. The analysis that a close deletes was created by the first upsert
-    after the close before it."""
+    after the close before it, or is one of `prior` (id and key), the analyses
+    stored before the events."""
     ev = events.withColumn("_route", route_action("action")).filter(F.col("_route").isNotNull())
+    if prior is not None:
+        stored = prior.select(*KEY, F.lit(PRIOR_SEQ).alias("seq"), F.lit("upsert").alias("_route"))
+        ev = ev.select(*KEY, "seq", "pr_title", "_route").unionByName(stored, allowMissingColumns=True)
     scanned = running_max(
         ev.select(*KEY, "seq", "pr_title", "_route"),
         KEY,
@@ -161,14 +168,16 @@ def closed_report(events: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
         F.min(F.when(~upsert, F.struct("seq", "pr_title"))).alias("close"),
     )
     found = F.coalesce(F.col("creator_seq") < F.col("close.seq"), F.lit(False))
+    own = analysis_id(F.col("repo_name"), F.col("pr_number"), F.col("creator_seq"))
+    if prior is not None:
+        segments = segments.join(prior.select(*KEY, F.col("id").alias("_prior_id")), KEY, "left")
+        own = F.when(F.col("creator_seq") == PRIOR_SEQ, F.col("_prior_id")).otherwise(own)
     return segments.filter(F.col("close").isNotNull()).select(
         F.col("close.seq").alias("seq"),
         *KEY,
         F.col("close.pr_title").alias("pr_title"),
         F.when(found, F.lit(DELETED)).otherwise(F.lit(NOT_FOUND)).alias("outcome"),
-        F.when(found, analysis_id(F.col("repo_name"), F.col("pr_number"), F.col("creator_seq"))).alias(
-            "analysis_id"
-        ),
+        F.when(found, own).alias("analysis_id"),
     )
 
 

@@ -1475,6 +1475,23 @@ def stream_state(spark, d):
     return out.select(*[c.strip() for c in STATE_COLS.split(",")])
 
 
+@register("stream_notifications", ORACLE["notification_log"].replace("FROM v_webhooks", "FROM v_webhooks WHERE seq % 50 NOT IN (7, 8, 9)"))
+def stream_notifications(spark, d):
+    """S7 as streams: the webhook stream's notifications and the hub events of
+    the job stream, each from the batches that caused them."""
+    from revlens.sources import tables as TB
+    from revlens.streaming import jobs as SJ
+    from revlens.streaming import lifecycle as LC
+
+    hooks, work = SJ.scratch(spark, "notify-hooks"), SJ.scratch(spark, "notify-jobs")
+    SJ.feed(webhook_payloads(spark, d), f"{hooks}/source", "seq", 3, lambda: SJ.run_state_stream(spark, f"{hooks}/source", hooks))
+    analyses = P.analyses(spark, d)
+    TB.store_keyed(analyses, f"{work}/analyses")
+    sink = LC.StatusSinks(spark, work, f"{work}/analyses", analyses.schema, job_analysis_id())
+    SJ.feed(P.job_events(spark, d), f"{work}/source", "seq", 3, lambda: LC.run_job_stream(spark, f"{work}/source", work, sink=sink))
+    return LC.hub_log(spark, hooks).unionByName(LC.hub_log(spark, work)).select("event", "seq", "repo_name", "pr_number", "title", "author", "analysis_id")
+
+
 @register("stream_jobs", with_jobs() + "SELECT * FROM v_jobs")
 def stream_jobs(spark, d):
     from revlens.streaming import jobs as SJ

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from revlens import schemas as S
 from revlens.operators import state as ST
+from revlens.operators.notifications import webhook_notifications
 from revlens.session import scratch_path
 from revlens.sources import tables as TB
 from revlens.streaming.enrich import METRIC_COLUMNS, exists, run_enrich_stream, store_diffs
@@ -85,7 +86,8 @@ class StateStep:
     2. the old and the new rows of the events' keys (J3, J4), under the batch's
        number, with a mark that is written after them;
     3. the table takes the new rows, in the folders of the keys only;
-    4. the dashboard's numbers take the old rows out and the new ones in.
+    4. the dashboard's numbers take the old rows out and the new ones in;
+    5. the batch's notifications (S7) are written under its number.
 
     A batch that is repeated after a crash finds the mark of step 2 and goes on
     with the same rows, so no step is applied twice."""
@@ -137,9 +139,12 @@ class StateStep:
             return self.spark.createDataFrame([], S.ANALYSES)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        keys, old, new = self.changes(self.events(batch, batch_id), batch_id)
+        events = self.events(batch, batch_id)
+        keys, old, new = self.changes(events, batch_id)
         TB.replace_keys(self.spark, self.table, S.ANALYSES, keys, new, ST.KEY, self.buckets)
         self.metrics.change(old.select(*METRIC_COLUMNS), new.select(*METRIC_COLUMNS), batch_id)
+        sent = webhook_notifications(events, old.select("id", *ST.KEY))
+        sent.write.mode("overwrite").parquet(f"{self.root}/notifications/batch={batch_id}")
 
 
 def run_state_stream(spark: SparkSession, source: str, root: str, files_per_batch: int | None = None, buckets: int = TB.BUCKETS) -> DataFrame:

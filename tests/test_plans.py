@@ -58,9 +58,9 @@ def test_stream_steps_have_no_cross_products(spark):
     from revlens.operators import queue as Q
     from revlens.operators import state as ST
     from revlens.plans import proxies as P
-    from revlens.streaming import jobs as SJ
 
-    jobs = Q.job_states(P.job_events(spark, SMALL), spark.createDataFrame([], SJ.JOB_STATE))
+    JOB_STATE = "job_id string, status int, retry_count int, created_at timestamp, failed_at timestamp, next_attempt_at timestamp, error_message string"  # noqa: N806
+    jobs = Q.job_states(P.job_events(spark, SMALL), spark.createDataFrame([], JOB_STATE))
     state = ST.apply_batch(spark.createDataFrame([], S.ANALYSES), P.webhook_rows(spark, SMALL))
     for df in (jobs, state):
         assert not any(op in _plan(df) for op in FORBIDDEN)

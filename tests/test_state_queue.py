@@ -173,3 +173,12 @@ def test_stored_json_of_wrong_form_gives_nothing(spark):
     df = spark.createDataFrame([(t,) for t in [*none, *some]], "j string")
     got = {r["j"]: [(f["Id"], f["Message"], f["Severity"]) for f in r[1]] for r in df.select("j", J.read_findings("j")).collect()}
     assert got == {**dict.fromkeys(none, []), **some}
+
+
+def test_closed_report_knows_stored_analyses(spark):
+    ev = _events(spark, ["closed", "opened", "closed", "closed"])
+    key = ev.first()
+    prior = spark.createDataFrame([("stored", key["repo_name"], key["pr_number"])], "id string, repo_name string, pr_number int")
+    got = sorted((r["seq"], r["outcome"], r["analysis_id"]) for r in ST.closed_report(ev, prior=prior).collect())
+    assert [g[:2] for g in got] == [(0, ST.DELETED), (2, ST.DELETED), (3, ST.NOT_FOUND)] and got[0][2] == "stored" and got[1][2] not in (None, "stored")
+    assert [r["outcome"] for r in ST.closed_report(ev, prior=prior.limit(0)).orderBy("seq").collect()] == [ST.NOT_FOUND, ST.DELETED, ST.NOT_FOUND]
