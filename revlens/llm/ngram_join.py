@@ -107,19 +107,22 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 
 def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd multipliers for the upper and the lower half of a shingle's hash."""
     rng = np.random.default_rng(7)
-    return rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
+    a, c = (rng.integers(0, 1 << 31, n, np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
+    return a, c
 
 
 def signature(s: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The least 32-bit hash of the set under each function of the family."""
-    least = np.full(len(family[0]), 0xFFFFFFFF, np.uint32)
-    for low in range(0, len(s), 4096):
-        part = s[low : low + 4096]
-        for k, (a, b) in enumerate(zip(*family)):
-            v = np.uint32((part * a + b).min() >> np.uint64(32))
-            if v < least[k]:
-                least[k] = v
+    """The least 32-bit hash of the set under each function of the family, worked
+    out for some shingles and all functions at once."""
+    a, c = family
+    least = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    upper, lower = (s >> np.uint64(32)).astype(np.uint32), s.astype(np.uint32)
+    for low in range(0, len(s), 256):
+        v = upper[low : low + 256, None] * a
+        v ^= lower[low : low + 256, None] * c
+        np.minimum(least, v.min(0), out=least)
     return least
 
 
