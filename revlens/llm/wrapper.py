@@ -58,7 +58,7 @@ MARKED_ROLES = frozenset("navigation banner contentinfo complementary search for
 MARKED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs "
     "sidebar footer masthead cookie cookies consent gdpr notice notices notification alert popup modal newsletter subscribe subscription "
-    "social share sharing comment comments disqus replies respond related recommended widget widgets pagination pager toolbar".split()
+    "social share sharing comment comments commentlist commentform disqus replies respond adbox adslot adsbygoogle topbar subnav submenu related recommended widget widgets pagination pager toolbar".split()
 )
 CLOSES_P = BLOCKS - frozenset("button canvas noscript object option optgroup svg select template td th tr tbody thead tfoot caption".split())
 NOT_P = BLOCKS - {"p"}
