@@ -20,3 +20,15 @@ def test_reviewer_gets_few_prompts_at_a_time(spark):
     got = RP.respond(df, count).collect()
     assert sorted((r["id"], r["prompt"]) for r in got) == sorted((i, f"p{i}") for i in range(950))
     assert max(int(r["reply"]) for r in got) <= RP.ASKED_AT_ONCE and not any(r["failed"] for r in got)
+
+
+def test_texts_go_to_python_a_few_rows_at_a_time(spark):
+    files = spark.createDataFrame([("a", 0, "x.cs", "f(7);\n"), ("b", 0, "y.cs", None)], "analysis_id string, file_idx int, file_path string, content string")
+    found = R.magic_numbers(files, limit=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [(r["analysis_id"], r["line_number"], r["column_number"]) for r in found.collect()] == [("a", 1, 3)]
+    replies = spark.createDataFrame([("a", '{"suggestions": [{"title": "t"}]}')], "k string, reply string")
+    parsed = RP.parse_replies(replies, "k")
+    assert "ArrowEvalPython" not in parsed._jdf.queryExecution().executedPlan().toString()
+    assert [r["title"] for r in parsed.collect()] == ["t"]
