@@ -32,3 +32,39 @@ def test_texts_go_to_python_a_few_rows_at_a_time(spark):
     parsed = RP.parse_replies(replies, "k")
     assert "ArrowEvalPython" not in parsed._jdf.queryExecution().executedPlan().toString()
     assert [r["title"] for r in parsed.collect()] == ["t"]
+
+
+def test_detail_lists_are_read_once(spark, tmp_path):
+    from revlens.plans import catalog
+
+    at = datetime(2024, 1, 1)
+    tables = {
+        "orders": ([(1, 1, "F", 1.0, at, "1-URGENT"), (2, 1, "O", 1.0, at, "5-LOW")], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"),
+        "customer": ([(1, "c")], "c_custkey long, c_name string"),
+        "lineitem": (
+            [(1, 10 + n, 5, n, 3.0 + n, "R", "O") for n in (1, 2)],
+            "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_quantity double, l_returnflag string, l_linestatus string",
+        ),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for query, want in (("detail_findings", ["1-1-11-5", "1-2-12-5"]), ("detail_suggestions", ["1-1-11", "1-2-12"])):
+        out = catalog.QUERIES[query](spark, str(tmp_path))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Filter" in x and "from_json" in x]
+        assert sorted(r["id"] for r in out.collect()) == want
+
+
+def test_own_texts_are_read_as_others_are(spark):
+    item = {k: None for k, _ in J.FINDING_KEYS} | {"Id": 'a "id": b', "Title": "é\\\n", "Severity": 1}
+    import json
+
+    own = json.dumps([item], separators=(",", ":"), ensure_ascii=False)
+    spaced, lower = json.dumps([item]), own.replace('"Severity"', '"severity"')
+    texts = [own, spaced, lower, "[]", "[null]", own + "x", own.replace(":1", ':"x"'), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, js string")
+    got = {r["i"]: [(f["Id"], f["Title"], f["Severity"]) for f in r["f"]] for r in df.select("i", J.read_findings("js").alias("f")).collect()}
+    one = [(item["Id"], item["Title"], 1)]
+    assert got == {0: one, 1: one, 2: one, 3: [], 4: [], 5: [], 6: [], 7: []}
+    plan = df.select(J.read_findings("js").alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json(ArrayType" in plan  # our own texts are read as they stand
