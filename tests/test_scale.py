@@ -68,3 +68,43 @@ def test_own_texts_are_read_as_others_are(spark):
     assert got == {0: one, 1: one, 2: one, 3: [], 4: [], 5: [], 6: [], 7: []}
     plan = df.select(J.read_findings("js").alias("f"))._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json(ArrayType" in plan  # our own texts are read as they stand
+
+
+class _Job:
+    def __init__(self, value=None):
+        self.value = value
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def _fold(old, events):
+    step = LC.JobLifecycle()
+    step.job, step.handle = _Job(old), None
+    out = step.handleInputRows(("j",), iter([Row(seq=s, at=at, code=c, message=m) for s, at, c, m in events]), None)
+    return [(r.seq, r.kind, r.first) for r in out], step.job.value
+
+
+def test_job_stream_folds_plain_rows():
+    E, D, C, X = LC.ENQUEUE, LC.DEQUEUE, LC.COMPLETE, LC.FAIL
+    assert _fold(None, [(1, 10, D, None), (2, 20, X, "m")]) == ([], None)
+    got, value = _fold(None, [(None, 50, X, "late"), (3, 30, D, None), (2, 20, E, None), (1, 10, X, "no")])
+    assert got == [(2, "enqueue", True), (3, "dequeue", False), (None, "fail", False)]
+    assert value == (S.JOB_RETRYING, 1, 20, 50, "late")
+    got, value = _fold(value, [(4, 60, E, None), (5, 70, E, None), (6, 80, D, None), (7, 90, D, None), (8, 95, C, None), (9, 99, X, "x")])
+    assert got == [(4, "enqueue", False), (5, "enqueue", False), (6, "dequeue", False), (8, "complete", False)]
+    assert value == (S.JOB_COMPLETED, 1, 70, None, "late")
+    assert _fold((S.JOB_PROCESSING, 2, 5, None, None), [(1, 6, X, None)])[1] == (S.JOB_FAILED, 3, 5, 6, None)
+
+
+def test_job_stream_keeps_every_job(spark):
+    from revlens.streaming import jobs as SJ
+
+    t0 = datetime(2024, 1, 1)
+    rows = [(f"j{i % 40}", i, t0 + timedelta(seconds=i), LC.KINDS[i // 40 % 4], f"m{i}") for i in range(400)]
+    root = SJ.scratch(spark, "test-many-jobs")
+    out = SJ.feed(spark.createDataFrame(rows, LC.JOB_EVENT_SCHEMA), f"{root}/src", "seq", 2, lambda: SJ.run_job_stream(spark, f"{root}/src", root))
+    assert out.count() == 40
