@@ -11,6 +11,8 @@ from revlens import schemas as S
 from revlens.functions import jsonio as J
 from revlens.operators import replies as RP
 from revlens.operators import rules as R
+from revlens.streaming import enrich as EN
+from revlens.streaming import jobs as SJ
 from revlens.streaming import lifecycle as LC
 
 
@@ -22,6 +24,38 @@ def test_reviewer_gets_few_prompts_at_a_time(spark):
     assert max(int(r["reply"]) for r in got) <= RP.ASKED_AT_ONCE and not any(r["failed"] for r in got)
 
 
+def test_prompts_need_not_come_back_with_the_replies(spark):
+    df = spark.createDataFrame([(1, "p1", "t"), (2, None, None)], "id int, prompt string, title string")
+    got = RP.respond(df, lambda p: p.fillna("none").str.upper(), keep_prompt=False)
+    assert got.columns == ["id", "title", "reply", "failed"]
+    assert sorted(map(tuple, got.collect())) == [(1, "t", "P1", False), (2, None, "NONE", False)]
+
+
+def test_rules_scan_each_text_once(spark, tmp_path):
+    rows = [("a", 0, "x.cs", "f(7);\n"), ("b", 0, "y.cs", None), ("c", 0, "z.cs", "int x;\n")]
+    spark.createDataFrame(rows, "analysis_id string, file_idx int, file_path string, content string").write.parquet(f"{tmp_path}/files")
+    found = R.run_rules(spark.read.parquet(f"{tmp_path}/files"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("BatchEvalPython") == 1
+    assert [(r["analysis_id"], r["line_number"], r["column_number"]) for r in found.collect()] == [("a", 1, 3)]
+
+
+def test_a_batch_reads_the_diffs_between_its_numbers(spark):
+    root = SJ.scratch(spark, "test-span")
+    rows = [("o/a", i, f"d{i}", "bad" if i == 21 else None) for i in range(40)] + [("o/a", 20, "again", None), (None, 20, "no key", None), ("o/a", None, "no key", None)]
+    static = EN.store_diffs(spark.createDataFrame(rows, "repo_name string, pr_number int, diff string, error string"), f"{root}/diffs")
+    step = EN.Enrichment(spark, root, static, None)
+    t0 = datetime(2024, 1, 1)
+    jobs = [("a", "o/a", 20, "T", t0), ("b", "o/a", 21, "T", t0), ("c", "o/b", 20, "T", t0), ("d", "o/a", None, "T", t0), ("e", None, 20, "T", t0)]
+    work = step.work(spark.createDataFrame(jobs, EN.NEW_JOBS))
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(work._jdf.queryExecution(), "formatted")
+    assert "GreaterThanOrEqual(pr_number,20)" in plan and "LessThanOrEqual(pr_number,21)" in plan
+    got = sorted((r["analysis_id"], r["diff"], r["diff_missing"], r["failure"]) for r in work.collect())
+    assert [g[:3] for g in got] == [("a", "again", False), ("a", "d20", False), ("b", "d21", False), ("c", "", True), ("d", "", True), ("e", "", True)]
+    assert [g[3] for g in got] == [None, None, "bad", None, None, None]
+    only_null = step.work(spark.createDataFrame(jobs[3:4], EN.NEW_JOBS)).collect()
+    assert [(r["analysis_id"], r["diff_missing"]) for r in only_null] == [("d", True)]
+
+
 def test_texts_go_to_python_a_few_rows_at_a_time(spark):
     files = spark.createDataFrame([("a", 0, "x.cs", "f(7);\n"), ("b", 0, "y.cs", None)], "analysis_id string, file_idx int, file_path string, content string")
     found = R.magic_numbers(files, limit=3)
