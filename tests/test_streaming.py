@@ -147,3 +147,41 @@ def test_enrich_stream_equals_batch(spark):
     assert got["a3"]["summary"] == f"PR Title: T3\nSummary: {RP.RF.SUMMARY_ERROR}" and got["a3"]["suggestion_score"] == 100
     assert got["a1"]["summary"] == RP.RF.SUMMARY_EMPTY and got["a0"]["suggestion_score"] == 90
     assert got["a0"]["quality_score"] == int(got["a0"]["finding_score"] * 0.6 + 90 * 0.4)
+
+
+def test_enrich_stream_fails_what_the_rules_cannot_read(spark, monkeypatch):
+    import json
+
+    from test_diffs_rules import failing_positions
+
+    from revlens import schemas as S
+    from revlens.operators import rules as R
+    from revlens.sources import tables as TB
+    from revlens.streaming.metrics import RunningMetrics
+
+    monkeypatch.setattr(R, "positions", failing_positions())
+    head = "diff --git a/{0} b/{0}\n+".format
+    texts = [head("a.cs") + "f(7); // unreadable\n" + head("b.cs") + "f(12);", head("a.cs") + "f(12);", head("a.cs") + "f(1e" + "9" * 19 + "m, 12);"]
+    diffs = spark.createDataFrame([("o/a", i, t) for i, t in enumerate(texts)], "repo_name string, pr_number int, diff string")
+    ev = spark.createDataFrame([(f"a{i}", "o/a", i, f"T{i}", T0, i) for i in range(3)], "analysis_id string, repo_name string, pr_number int, pr_title string, ts timestamp, seq long")
+    root = SJ.scratch(spark, "test-k6-unread")
+    static = SJ.store_diffs(diffs, f"{root}/diffs")
+    table = f"{root}/analyses"
+    made = ev.select(F.col("analysis_id").alias("id"), "repo_name", "pr_number", "pr_title", F.lit("").alias("pr_author"))
+    TB.store_keyed(ST.new_analysis_defaults(made, F.lit(T0)), table)
+    metrics = RunningMetrics(spark, root)
+    metrics.start(TB.read_keyed(spark, table, S.ANALYSES))
+    reviewer = lambda prompts: prompts.map(lambda p: '{"suggestions": [{"priority": "high"}]}' if "JSON" in p else "fine")
+    run = lambda: SJ.run_enrich_stream(spark, f"{root}/src", root, static, reviewer, analyses=table, metrics=metrics)
+    got = {r["analysis_id"]: r.asDict() for r in SJ.feed(ev, f"{root}/src", "seq", 1, run).collect()}
+    unread = got["a0"]
+    assert unread["status"] == 3 and unread["error_message"] == "a.cs: " + R.UNREAD_MESSAGE % "ValueError"
+    assert {unread[c] for c in ("finding_count", "errors", "warnings", "finding_score", "risk_level", "quality_score", "processed_at")} == {None}
+    assert (unread["suggestion_count"], unread["suggestion_score"], unread["summary"]) == (1, 90, "fine")
+    assert [(f["FilePath"], f["RuleId"]) for f in json.loads(unread["findings_json"])] == [("a.cs", R.UNREAD_ID), ("b.cs", R.MAGIC_ID)]
+    for k in ("a1", "a2"):
+        assert (got[k]["status"], got[k]["error_message"], got[k]["finding_count"], got[k]["finding_score"]) == (2, None, 1, 99)
+    stored = {r["id"]: r for r in TB.read_keyed(spark, table, S.ANALYSES).collect()}
+    assert {k: (r["status"], r["quality_score"]) for k, r in stored.items()} == {"a0": (3, 0), "a1": (2, 95), "a2": (2, 95)}
+    assert stored["a0"]["findings_json"] == unread["findings_json"] and stored["a0"]["summary"] == "fine"
+    assert metrics.current().first()["high_quality"] == 2
